@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once by the vectorised passes; one longer text is taken alone.
@@ -73,12 +73,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES):
-    """Row ranges of at most `most` bytes, or of one row."""
+def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES, rows: int = 1 << 20):
+    """Row ranges of at most `most` bytes and `rows` rows, or of one row."""
     low, n = 0, len(offsets) - 1
     while low < n:
         high = int(np.searchsorted(offsets, offsets[low] + most, "right")) - 1
-        high = min(max(high, low + 1), n)
+        high = min(max(high, low + 1), low + rows, n)
         yield low, high
         low = high
 
@@ -141,13 +141,49 @@ def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((h[ends] - h[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingle_hash(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hash of each run of k consecutive word hashes; len(words)-k+1 of them."""
+def joint(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hash of the pair, in order."""
+    z = (x ^ (y + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    z = (z ^ (z >> np.uint64(32)) ^ x) * np.uint64(0xA0761D6478BD642F)
+    return z ^ (z >> np.uint64(29))
+
+
+def shingle_hash(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k consecutive word hashes; len(words)-k+1 of them. Runs of
+    a power of two are made from halves, others from such runs."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    x = np.full(n, np.uint64(0xA0761D6478BD642F + seed), np.uint64)
-    for i in range(k):
-        x = (x ^ words[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-    return mix(x)
+    out, done, run, size = None, 0, words, 1
+    while True:
+        if k & size:
+            part = run[done : done + n]
+            out = part if out is None else joint(out, part)
+            done += size
+        size *= 2
+        if size > k:
+            return mix(out)
+        run = joint(run[: len(run) - size // 2], run[size // 2 :])
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit integers byte plane by byte plane, so that small ones compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that the intervals cover; touching ones join."""
+    order = np.argsort(starts, kind="stable")
+    s, e = starts[order], np.maximum.accumulate(ends[order]) if len(starts) else ends
+    new = np.concatenate([[True], s[1:] > e[:-1]]) if len(s) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return s[first], e[np.append(first[1:], len(s)) - 1] if len(s) else e
+
+
+def held_out(doc_id: Column) -> Column:
+    """crc32 of the id as text, modulo 4, is 2; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -7,8 +7,9 @@ derives the digest columns of its contract from the operator's real output.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioforge.llm import bpe
+from folioforge.llm import bpe, langid, lm, quality, rlz, topk
 from folioforge.llm.common import table
 
 
@@ -18,10 +19,32 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(spark, docs, langid.fit(docs))
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark, table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rlz.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op10_bpe_codec": op10_bpe_codec}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_topk_search, op6_lm_scores, op7_substring_dedup, op8_quality, op10_bpe_codec)}
 
 ORACLE: dict[str, str] = {}
