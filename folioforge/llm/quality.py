@@ -27,6 +27,7 @@ WAVES = 384
 GROUPS = 16
 BINS = 1000
 CUT = 0.7
+PRIOR = 0.05  # weight of the mean label in a calibration bin
 
 _CLASSES = np.zeros(256, np.int64)  # 0 other punctuation
 for _k, _of in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".,", "!?;:", "#$%&*@^~", "|<>{}[]\\/", "\"'()-_"), 1):
@@ -187,7 +188,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, ridge: float
     count, ones = (held[:BINS], held[BINS:]) if len(held) > 1 else (np.zeros(BINS), np.zeros(BINS))
     full = np.flatnonzero(count)
     centre = (full + 0.5) / BINS * 2 - 0.5
-    level = pool((ones[full] + positive / n) / (count[full] + 1), count[full] + 1) if len(full) > 1 else np.zeros(0)
+    level = pool((ones[full] + PRIOR * positive / n) / (count[full] + PRIOR), count[full] + PRIOR) if len(full) > 1 else np.zeros(0)
 
     def run(batches):
         for b in batches:
