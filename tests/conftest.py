@@ -19,4 +19,6 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    yield s
+    from folioforge.session import ship
+
+    yield ship(s)
