@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, langid, lm, quality, rlz, topk
+from folioforge.llm import bpe, langid, lm, paritysketch, quality, rlz, suffixes, topk
 from folioforge.llm.common import table
 
 
@@ -41,10 +41,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paritysketch.components(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_topk_search, op6_lm_scores, op7_substring_dedup, op8_quality, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_topk_search, op5_ngram_jaccard, op6_lm_scores, op7_substring_dedup, op8_quality, op9_suffix_dedup, op10_bpe_codec)}
 
 ORACLE: dict[str, str] = {}
