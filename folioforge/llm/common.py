@@ -4,6 +4,7 @@ tables in the cluster's shared folder, and vectorised word layout over Arrow tex
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -40,8 +41,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files that no live plan refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import blocks, keyed, materialize, partitions, planes, prefix_hash, release, shingle_hash, span_hash, unplanes, utf8, word_spans
+from folioforge.llm.common import blocks, keyed, materialize, mix, partitions, planes, prefix_hash, release, shingle_hash, span_hash, unplanes, utf8, word_spans
 
 WINDOW = 13
 
@@ -62,8 +62,13 @@ def seeds(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, "bucket int, k1 binary, k2 binary, n binary, h binary, gap binary")
 
 
-def found(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The places whose seed this index block has from a smaller id, by document."""
+def grouped(k1: np.ndarray, k2: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(k1.view(np.uint64) ^ mix(k2.view(np.uint64))) % np.uint64(groups)).astype(np.int64)
+
+
+def found(pdf: pd.DataFrame, groups: int) -> pd.DataFrame:
+    """The places whose seed this index block has from a smaller id: one row for each
+    group of documents, packed document by document."""
     of = lambda c: np.frombuffer(b"".join(pdf[c]), np.int64)
     n = np.concatenate([unplanes(x) for x in pdf["n"]]).astype(np.int64)
     doc = np.repeat(np.arange(len(n)), n)
@@ -78,10 +83,35 @@ def found(pdf: pd.DataFrame) -> pd.DataFrame:
     again = np.empty(len(h), bool)
     again[order] = k1[doc][order] > least
     doc, place = doc[again], place[again]
-    there, first, count = np.unique(doc, return_index=True, return_counts=True)
-    gap = np.diff(place, prepend=0)
-    gap[first] = place[first]
-    return pd.DataFrame({"k1": k1[there], "k2": k2[there], "gap": [planes(gap[i : i + c]) for i, c in zip(first, count, strict=True)]})
+    group = grouped(k1[doc], k2[doc], groups)
+    order = np.lexsort((place, doc, group))
+    doc, place, group = doc[order], place[order], group[order]
+    out = {c: [] for c in ("grp", "k1", "k2", "n", "gap")}
+    cut = np.searchsorted(group, np.arange(groups + 1))
+    for g in np.flatnonzero(np.diff(cut)):
+        d, p = doc[cut[g] : cut[g + 1]], place[cut[g] : cut[g + 1]]
+        there, first, count = np.unique(d, return_index=True, return_counts=True)
+        gap = np.diff(p, prepend=0)
+        gap[first] = p[first]
+        for c, v in (("grp", int(g)), ("k1", k1[there].tobytes()), ("k2", k2[there].tobytes()), ("n", planes(count)), ("gap", planes(gap))):
+            out[c].append(v)
+    return pd.DataFrame(out)
+
+
+def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for each document of a group: all its places, in order, as distances."""
+    n = np.concatenate([unplanes(x) for x in pdf["n"]]).astype(np.int64)
+    gap = np.concatenate([unplanes(x) for x in pdf["gap"]]).astype(np.int64)
+    start = np.cumsum(n) - n
+    walked = np.cumsum(gap)
+    place = walked - np.repeat(walked[start] - gap[start], n)
+    k = np.stack([np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("k1", "k2")], 1)
+    docs, doc = np.unique(k, axis=0, return_inverse=True)
+    doc = np.repeat(doc.ravel(), n)
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    cut = np.searchsorted(doc, np.arange(len(docs) + 1))
+    return pd.DataFrame({"k1": docs[:, 0], "k2": docs[:, 1], "gap": [planes(np.diff(place[i:j], prepend=0)) for i, j in zip(cut[:-1], cut[1:], strict=True)]})
 
 
 def factors(matched: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -100,22 +130,23 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, factors (first, past) and the kept text of each row."""
     spark = docs.sparkSession
     rows = keyed(docs)
-    answers = seeds(rows, window, partitions(spark)).groupBy("bucket").applyInPandas(found, "k1 long, k2 long, gap binary")
-    answers = materialize(answers, "rlz-seeds")
+    parts = 4 * partitions(spark)
+    answers = seeds(rows, window, parts).groupBy("bucket").applyInPandas(lambda pdf: found(pdf, parts), "grp int, k1 binary, k2 binary, n binary, gap binary")
+    marks = answers.groupBy("grp").applyInPandas(gathered, "k1 long, k2 long, gap binary")
+    marks = materialize(marks, "rlz-places")
     release(spark)
-    marks = answers.groupBy("k1", "k2").agg(F.collect_list("gap").alias("gaps"))
 
     def run(batches):
         for b in batches:
             buf, off = utf8(b.column(1))
             out = {k: [] for k in ("n_words", "n_removed", "factors", "kept")}
-            for i, gaps in enumerate(b.column(2)):
+            for i, gap in enumerate(b.column(2)):
                 part = buf[off[i] : off[i + 1]]
                 s, e, _ = word_spans(part, np.array([0, len(part)]))
                 raw = part.tobytes()
                 parsed, keep = [], np.ones(len(s), bool)
-                if gaps.is_valid:
-                    parsed = factors(np.sort(np.concatenate([np.cumsum(unplanes(g.as_py()).astype(np.int64)) for g in gaps.values])), window)
+                if gap.is_valid:
+                    parsed = factors(np.cumsum(unplanes(gap.as_py()).astype(np.int64)), window)
                     for first, past in parsed:
                         keep[first:past] = False
                 words = [raw[x:y] for x, y in zip(s[keep].tolist(), e[keep].tolist(), strict=True)]
@@ -124,4 +155,4 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["factors"], pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))), pa.array(out["kept"], pa.binary()).cast(pa.string())], names=["doc_id", *out])
 
     schema = "doc_id long, n_words long, n_removed long, factors array<struct<first: long, past: long>>, kept string"
-    return rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "gaps").mapInArrow(run, schema)
+    return rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "gap").mapInArrow(run, schema)
