@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, langid, lm, paritysketch, quality, rlz, suffixes, topk
+from folioforge.llm import bpe, decontaminate, langid, lm, paritysketch, quality, rlz, suffixes, topk
 from folioforge.llm.common import table
 
 
@@ -24,6 +24,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(spark, docs, langid.fit(docs))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark, table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -54,6 +60,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_topk_search, op5_ngram_jaccard, op6_lm_scores, op7_substring_dedup, op8_quality, op9_suffix_dedup, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_decontamination, op4_topk_search, op5_ngram_jaccard, op6_lm_scores, op7_substring_dedup, op8_quality, op9_suffix_dedup, op10_bpe_codec)}
 
 ORACLE: dict[str, str] = {}
