@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, decontaminate, langid, lm, paritysketch, quality, rlz, suffixes, topk
+from folioforge.llm import bpe, decontaminate, langid, licences, lm, paritysketch, quality, rlz, suffixes, topk
 from folioforge.llm.common import table
 
 
@@ -19,6 +19,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(spark, docs, langid.fit(docs))
@@ -60,6 +64,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_decontamination, op4_topk_search, op5_ngram_jaccard, op6_lm_scores, op7_substring_dedup, op8_quality, op9_suffix_dedup, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_decontamination, op4_topk_search, op5_ngram_jaccard, op6_lm_scores, op7_substring_dedup, op8_quality, op9_suffix_dedup, op10_bpe_codec)}
 
 ORACLE: dict[str, str] = {}
