@@ -27,6 +27,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 END = "\ue000"  # stands for the end-of-word suffix as part of the last symbol
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Ranges of code points that the splitter's tables know as letters or numbers
+# and Unicode 16, which the encoding is defined by, does not.
+NEWER = (
+    "\\u0558\\u058b\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7ce\\ua7cf\\ua7d2\\ua7d4\\ua7dd\\ua7e2\\ua7f1\\uab6c\\uab6d"
+    "\\U000107bb-\\U000107bf\\U00010940-\\U00010959\\U00010ec5-\\U00010ec7\\U00010ed9-\\U00010eee\\U00011b0a\\U00011db0-\\U00011ddb\\U00011de0-\\U00011de9"
+    "\\U00011df1\\U0001246f\\U00012475-\\U0001247f\\U00012550-\\U00012686\\U00016ea0-\\U00016eb8\\U00016ebb-\\U00016ed3\\U00016ff2-\\U00016ff6\\U000187f8-\\U000187ff"
+    "\\U00018cd6-\\U00018cda\\U00018d09-\\U00018d20\\U00018d80-\\U00018df2\\U00018e00-\\U00019191\\U000191a0-\\U000191d2\\U0001b123-\\U0001b128\\U0001b168"
+    "\\U0001d6a6\\U0001df1f-\\U0001df24\\U0001df2b-\\U0001df81\\U0001df90-\\U0001df96\\U0001dfcd-\\U0001dfff\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2"
+    "\\U0001e6e4\\U0001e6e5\\U0001e6e7-\\U0001e6ed\\U0001e6f0-\\U0001e6f4\\U0001e6fe\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead"
+    "\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
+)
+# Lower case of capitals that this Python's tables don't have yet.
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 CHUNK = 1 << 16  # characters of a text handled at once
 CACHED = 400_000  # words whose encoding a worker keeps
 
@@ -214,6 +228,10 @@ class Codec:
         self.m = Merges(json.loads(spec))
         self.alphabet = byte_alphabet()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+", regex.V0)
+        new = f"[{NEWER}]"
+        self.wide = regex.compile("[\\u0558-\\U0010ffff]")
+        self.rare = regex.compile(f"[{NEWER}{''.join(map(chr, CAPITALS))}]")
+        self.exact = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|(?:(?!{new})\p{{L}})+|(?!{new})\p{{N}}|(?:{new}|[^{WHITE}\p{{L}}\p{{N}}])+", regex.V0)
         special = sorted(self.m.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.breaks = regex.compile("[\t-\r ]")
@@ -274,7 +292,10 @@ class Codec:
                     yield [(1, struct.pack("<I", i), part.encode())]
                     continue
                 normal = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                yield [cache.get(w) or packed(w) for w in self.split.findall(normal)]
+                split = self.split
+                if self.wide.search(normal) and self.rare.search(normal):
+                    normal, split = normal.translate(CAPITALS), self.exact
+                yield [cache.get(w) or packed(w) for w in split.findall(normal)]
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         n, ids, decoded, glue = 0, hashlib.sha256(), hashlib.sha256(), b""

@@ -9,7 +9,8 @@ import pytest
 from folioforge.llm import suffixes
 
 
-def brute(rows, length):
+def covered_bytes(rows, length):
+    """(id, bytes, flags of the covered ones) of each row."""
     seen = Counter()
     texts = [(r[0], (r[1] or "").encode()) for r in rows]
     for _, t in texts:
@@ -20,11 +21,32 @@ def brute(rows, length):
         for k in range(len(t) - length + 1):
             if seen[t[k : k + length]] > 1:
                 gone[k : k + length] = True
+        out.append((i, t, gone))
+    return out
+
+
+def brute(rows, length):
+    out = []
+    for i, t, gone in covered_bytes(rows, length):
         runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         out.append((i, len(t), int(gone.sum()), runs, bytes(np.frombuffer(t, np.uint8)[~gone])))
     return sorted(out)
 
 
+def kept_characters(rows, length):
+    """What stays if only characters go that are covered whole."""
+    out = []
+    for i, t, gone in covered_bytes(rows, length):
+        at, kept = 0, []
+        for c in t.decode():
+            n = len(c.encode())
+            if not gone[at : at + n].all():
+                kept.append(c)
+            at += n
+        out.append((i, "".join(kept)))
+    return sorted(out)
+
+
 def result(df):
     return sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in df.collect())
 
