@@ -1,0 +1,4 @@
+"""All registered queries of the engine's own operators."""
+
+from folioforge.plans import text  # noqa: F401
+from folioforge.plans.registry import ORACLE, QUERIES  # noqa: F401
