@@ -81,10 +81,10 @@ def executions(t) -> DataFrame:
     """Already-run commands: one row for each event; ten a cycle."""
     e = t.events
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_id") % 17 == 0, "blocked").when(F.col("event_id") % 19 == 0, "timeout").otherwise("success")
-    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("ts").alias("at"), F.col("event_type").alias("command"), status.alias("status"), F.col("props").alias("output"), F.col("value").alias("execution_time"), (F.col("event_id") % 5 + 1).cast("int").alias("cycle"))
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("ts").alias("ran_at"), F.col("event_type").alias("command"), status.alias("status"), F.col("props").alias("output"), F.col("value").alias("execution_time"), (F.col("event_id") % 5 + 1).cast("int").alias("cycle"))
 
 
-EXECUTIONS = "(SELECT event_id AS id, user_id AS session_id, ts AS at, event_type AS command, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 17 = 0 THEN 'blocked' WHEN event_id % 19 = 0 THEN 'timeout' ELSE 'success' END AS status, props AS output, value AS execution_time, CAST(event_id % 5 + 1 AS INTEGER) AS cycle FROM events)"
+EXECUTIONS = "(SELECT event_id AS id, user_id AS session_id, ts AS ran_at, event_type AS command, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 17 = 0 THEN 'blocked' WHEN event_id % 19 = 0 THEN 'timeout' ELSE 'success' END AS status, props AS output, value AS execution_time, CAST(event_id % 5 + 1 AS INTEGER) AS cycle FROM events)"
 
 
 def interactions(t) -> DataFrame:
