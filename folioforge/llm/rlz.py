@@ -130,8 +130,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, factors (first, past) and the kept text of each row."""
     spark = docs.sparkSession
     rows = keyed(docs)
-    parts = 4 * partitions(spark)
-    answers = seeds(rows, window, parts).groupBy("bucket").applyInPandas(lambda pdf: found(pdf, parts), "grp int, k1 binary, k2 binary, n binary, gap binary")
+    groups = partitions(spark)
+    answers = seeds(rows, window, 4 * groups).groupBy("bucket").applyInPandas(lambda pdf: found(pdf, groups), "grp int, k1 binary, k2 binary, n binary, gap binary")
     marks = answers.groupBy("grp").applyInPandas(gathered, "k1 long, k2 long, gap binary")
     marks = materialize(marks, "rlz-places")
     release(spark)
