@@ -83,3 +83,21 @@ def break_point(text: Column, target: Column, reach: int = 200) -> Column:
     blank, space = last_index(part, "\n\n"), last_index(part, " ")
     sentence = F.greatest(*(last_index(part, e) for e in SENTENCE_ENDS))
     return F.when(blank >= 0, start + blank + 2).when(sentence >= 0, start + sentence + 2).when(space >= 0, start + space + 1).otherwise(target)
+
+
+def word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, SPACES), lambda w: w != ""))
+
+
+def packed(text: Column, size: int = 2000) -> Column:
+    """Paragraphs packed greedily to at most `size` words; a longer one goes sentence by
+    sentence. The pieces carry the ends that they are joined with."""
+    pieces = F.flatten(F.transform(F.split(text, "\n\n"), lambda p: F.when(word_count(p) > size, F.transform(F.split(p, r"\. "), lambda s: F.struct(F.concat(s, F.lit(". ")).alias("t"), word_count(s).alias("n")))).otherwise(F.array(F.struct(F.concat(p, F.lit("\n\n")).alias("t"), word_count(p).alias("n"))))))
+    start = F.struct(F.lit("").alias("now"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = s["n"] + x["n"] <= size
+        full = F.when(s["now"] != "", F.concat(s["done"], F.array(strip(s["now"])))).otherwise(s["done"])
+        return F.struct(F.when(fits, F.concat(s["now"], x["t"])).otherwise(x["t"]).alias("now"), F.when(fits, s["n"] + x["n"]).otherwise(x["n"]).alias("n"), F.when(fits, s["done"]).otherwise(full).alias("done"))
+
+    return F.aggregate(pieces, start, step, lambda s: F.when(s["now"] != "", F.concat(s["done"], F.array(strip(s["now"])))).otherwise(s["done"]))

@@ -31,8 +31,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) == 0) | (norm(b) == 0), F.lit(0.0)).otherwise(dot(a, b) / (norm(a) * norm(b)))
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(a: Column) -> Column:
-    return F.when(norm(a) == 0, a).otherwise(F.transform(a, lambda x: x / norm(a)))
+    return let(a, lambda v: let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
 
 
 def similarity(distance: Column) -> Column:

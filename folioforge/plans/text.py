@@ -275,7 +275,7 @@ def chapters(df, key: str):
     return kept.select(key, "number", "title", (F.row_number().over(order) - 1).alias("n"))
 
 
-@query("doc_detect_chapters", values([(1, "1", "Start", 0), (1, "2", "Middle", 1), (2, "1", "Introduction", 0), (2, "2", "Methods", 1), (2, "3", "Results", 2), (3, "1", "One", 0), (3, "2", "Two", 1), (3, "0x1F", "Intro here", 2), (3, "9", "LOUD", 3), (11, "3", "Inline title", 0)], "id int, number string, title string, n int")[1:-1])
+@query("doc_detect_chapters")
 def _(t):
     return chapters(inline(t, STRUCTURED, STRUCTURED_DDL), "id")
 

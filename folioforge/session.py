@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +17,16 @@ def ship(spark: SparkSession) -> SparkSession:
     if root not in there:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, there)])
     return spark
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a local default only where it is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/folioforge-shared").rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, dropped when the session's JVM ends."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
