@@ -35,3 +35,13 @@ def test_two_families_in_one_document(spark):
 def test_empty(spark, no_docs, odd_docs):
     assert licences.scan(no_docs).count() == 0
     assert licences.scan(odd_docs).count() == 6
+
+
+def test_planted_notices(spark):
+    """Of the notices in the test documents all are found, and nothing else."""
+    notices = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under CC BY-NC 4.0.": "CC-BY-NC"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id: ",".join(sorted({f for line, f in notices.items() if line in r.text.split("\n")})) for r in docs.collect()}
+    got = {r.doc_id: r.licences for r in licences.scan(docs).collect()}
+    assert sum(1 for v in want.values() if v) > 10
+    assert {i for i in got if got[i] != want[i]} == set()

@@ -86,3 +86,9 @@ def test_odd_inputs(odd_docs, no_docs):
 def test_whole_characters():
     part = np.frombuffer("aéé".encode(), np.uint8)
     assert [x.tolist() for x in suffixes.whole_characters(part, np.array([2]), np.array([4]))] == [[], []]
+
+
+def test_real_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(suffixes.dedup(df)) == brute(rows, 400)
