@@ -25,7 +25,9 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-STEPS, RATE, RIDGE = 80, 0.3, 0.01
+from folioforge.llm.common import materialize
+
+STEPS, RATE, RIDGE = 50, 0.4, 0.01
 SHARED = 0.6
 
 # Short public notices of licence families.
@@ -111,8 +113,12 @@ def words(text: Column) -> Column:
 
 
 def grams(w: Column, n: int) -> Column:
-    places = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.concat_ws(" ", F.slice(w, i, n)))
+    """Runs of n words; each step zips with the words one place on, so nothing is looked
+    up or sliced by element."""
+    out = w
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(w, k + 1, 1 << 30), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    return F.filter(out, lambda g: g.isNotNull())
 
 
 def features(w: Column) -> Column:
@@ -134,11 +140,11 @@ class Model:
         rows = literal(spark, known + [("unknown", t) for t in others], "family, text")
         whole = rows.select("family", words(F.col("text")).alias("w"))
         # Besides each whole paragraph: without its first and without its last words.
-        shapes = F.array(F.col("w"), F.slice("w", 2, 1000), F.expr("slice(w, 1, greatest(size(w) - 1, 1))"), F.expr("slice(w, 3, 1000)"), F.expr("slice(w, 1, greatest(size(w) - 2, 1))"))
+        shapes = F.array(F.col("w"), F.expr("slice(w, 1, greatest(size(w) - 1, 1))"), F.slice("w", 2, 1000), F.expr("slice(w, 3, 1000)"), F.expr("slice(w, 1, greatest(size(w) - 2, 1))"))
         examples = whole.select("family", F.posexplode(shapes).alias("shape", "w")).where("size(w) > 1")
         examples = examples.select("family", "shape", F.xxhash64("family", "w").alias("id"), features(F.col("w")).alias("grams")).where("size(grams) > 0").dropDuplicates(["id"])
         sparse = lambda df: df.select("id", F.explode("grams").alias("gram"), (1 / F.sqrt(F.size("grams").cast("double"))).alias("x"))
-        fits = examples.where("shape < 3")
+        fits = materialize(examples.where("shape < 2"), "licence-examples")
         near = sparse(fits).alias("p").join(sparse(fits).alias("q"), F.col("p.gram") == F.col("q.gram")).groupBy(F.col("p.id").alias("i"), F.col("q.id").alias("j")).agg(F.sum(F.col("p.x") * F.col("q.x")).alias("dot"))
         ids = fits.select("id")
         full = ids.select(F.col("id").alias("i")).crossJoin(ids.select(F.col("id").alias("j"))).join(near, ["i", "j"], "left")  # examples only: a fixed number
@@ -149,12 +155,13 @@ class Model:
             zip_with(m, a, (r, v) -> v + {RATE} * (IF(r.is = family, 1D, 0D)
               - 1 / (1 + exp(-aggregate(zip_with(r.row, a, (x, y) -> x * y), 0D, (s, z) -> s + z))) - {RIDGE} * v)))"""
         dual = families.crossJoin(matrix).select("family", F.explode(F.expr(f"zip_with(m, {fold}, (r, v) -> struct(r.i AS id, v AS a))")).alias("s")).select("family", "s.*")
-        self.weights = sparse(fits).join(dual, "id").groupBy("gram", "family").agg(F.sum(F.col("x") * F.col("a")).alias("weight"))
+        dual = materialize(dual.repartition(1), "licence-dual")  # the fold is dear: it runs once
+        self.weights = materialize(sparse(fits).join(dual, "id").groupBy("gram", "family").agg(F.sum(F.col("x") * F.col("a")).alias("weight")), "licence-weights")
         self.bias = dual.groupBy("family").agg((0.3 * F.sum("a")).alias("bias"))
-        tuned = self.scored(examples.where("shape >= 3").select("id", F.col("family").alias("truth"), "grams"), ["id", "truth"])
+        tuned = self.scored(examples.where("shape >= 2").select("id", F.col("family").alias("truth"), "grams"), ["id", "truth"])
         own = F.min(F.when(F.col("truth") == F.col("family"), F.col("p")))
         other = F.max(F.when(F.col("truth") != F.col("family"), F.col("p")))
-        self.cuts = tuned.groupBy("family").agg(((F.coalesce(own, F.lit(0.6)) + F.coalesce(other, F.lit(0.2))) / 2).alias("cut"))
+        self.cuts = materialize(tuned.groupBy("family").agg(((F.coalesce(own, F.lit(0.6)) + F.coalesce(other, F.lit(0.2))) / 2).alias("cut")), "licence-cuts")
         self.pairs = literal(spark, known, "family, text").select("family", F.array_distinct(grams(words(F.col("text")), 2)).alias("pairs")).groupBy("family").agg(F.collect_list("pairs").alias("templates"))
         self.vocabulary = sorted({w for _, t in known for w in "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()} - set(COMMON))
 
@@ -171,12 +178,13 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     telling = F.array(*map(F.lit, model.vocabulary))
     lines = docs.select("k1", "k2", "text").where(F.arrays_overlap(words(F.col("text")), telling))
     lines = lines.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("par", "line")).select("k1", "k2", "par", words(F.col("line")).alias("w"))
-    lines = lines.where(F.arrays_overlap("w", telling)).distinct()
+    lines = materialize(lines.where(F.arrays_overlap("w", telling)).distinct(), "licence-lines")
     best = model.scored(lines.select("k1", "k2", "par", features(F.col("w")).alias("grams")), ["k1", "k2", "par"])
     first = best.withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2", "par").orderBy(F.desc("p"), "family"))).where("n = 1").select("k1", "k2", "par", "family", "p")
     judged = lines.join(first, ["k1", "k2", "par"]).join(F.broadcast(model.cuts), "family").join(F.broadcast(model.pairs), "family")
-    own = F.array_distinct(grams(F.col("w"), 2))
-    shared = F.aggregate("templates", F.lit(0.0), lambda s, t: F.greatest(s, F.size(F.array_intersect(own, t)) / F.greatest(F.lit(1.0), F.least(F.size(own), F.size(t)).cast("double"))))
+    own = F.array(F.array_distinct(grams(F.col("w"), 2)))  # bound once as a lambda's variable
+    each = lambda o, t: F.size(F.array_intersect(o, t)) / F.greatest(F.lit(1.0), F.least(F.size(o), F.size(t)).cast("double"))
+    shared = F.array_max(F.flatten(F.transform(own, lambda o: F.transform("templates", lambda t: each(o, t)))))
     judged = judged.withColumn("shared", shared)
     confirmed = (F.col("p") >= F.col("cut")) & (F.col("shared") >= SHARED)
     return judged.select("k1", "k2", "par", "family", F.round("p", 6).alias("p"), confirmed.alias("confirmed"), F.when(confirmed, F.col("family")).otherwise("unknown").alias("licence"))
