@@ -40,7 +40,8 @@ def test_paragraph_packing(spark):
 
 
 def test_chunks_cover_the_text(spark):
-    texts = ["word " * 5000, "Sentence here. " * 900, "x" * 9000, "p q r\n\n" * 900]
+    n = range(10_000, 13_000)
+    texts = [" ".join(f"word{i}" for i in n), " ".join(f"Sentence {i} here." for i in n), "".join(map(str, n)), "\n\n".join(f"p {i} r" for i in n)]
     rows = inline(Tables(spark, ""), list(enumerate(texts)), "id int, t string").select("id", text.paragraphs(F.col("t")).alias("s"))
     for r in rows.select("s", text.chunks(F.col("s"), 100, 10).alias("c")).collect():
         assert all(0 < len(c) <= 400 for c in r.c)
