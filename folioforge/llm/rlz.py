@@ -22,7 +22,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from folioforge.llm.common import blocks, keyed, materialize, mix, partitions, planes, prefix_hash, release, shingle_hash, span_hash, unplanes, utf8, word_spans
 
