@@ -42,7 +42,8 @@ NEWER = (
 CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 CHUNK = 1 << 16  # characters of a text handled at once
-CACHED = 400_000  # words whose encoding a worker keeps
+CACHED = 80_000  # words whose encoding a worker keeps in each of two generations
+PAIRS = 250_000  # pairs of tokens whose fit it keeps
 
 
 def byte_alphabet() -> list[str]:
@@ -132,7 +133,7 @@ class Merges:
         """compatible, remembered; an empty a is the start of a word."""
         ok = self.pair_ok.get((a, b))
         if ok is None:
-            if len(self.pair_ok) > 1_000_000:
+            if len(self.pair_ok) > PAIRS:
                 self.pair_ok.clear()
             ok = self.pair_ok[a, b] = self.usable(b) and (not a or self.compatible(a, b))
         return ok
@@ -237,6 +238,7 @@ class Codec:
         self.breaks = regex.compile("[\t-\r ]")
         self.made = {s: (struct.pack("<I", i), self.m.strings[i].encode()) for s, i in self.m.ids.items()}
         self.cache: dict[str, tuple[int, bytes, bytes]] = {}
+        self.older: dict[str, tuple[int, bytes, bytes]] = {}
 
     def word(self, word: str) -> list[str]:
         """Tokens of one word; a short one needs no window, as all of it is one."""
@@ -263,10 +265,13 @@ class Codec:
         return out[::-1]
 
     def packed(self, word: str) -> tuple[int, bytes, bytes]:
-        got = [self.made[s] for s in self.word(word) if s in self.made]
-        got = len(got), b"".join([x[0] for x in got]), b" ".join([x[1] for x in got])
+        got = self.older.get(word)
+        if got is None:
+            parts = [self.made[s] for s in self.word(word) if s in self.made]
+            got = len(parts), b"".join([x[0] for x in parts]), b" ".join([x[1] for x in parts])
         if len(word) <= 64:
-            if len(self.cache) >= CACHED:
+            if len(self.cache) >= CACHED:  # in place: a caller may hold it
+                self.older = dict(self.cache)
                 self.cache.clear()
             self.cache[word] = got
         return got
