@@ -12,14 +12,16 @@ instead, of which linked sets share one; with more than `SMALL` pieces a linked
 the very threshold agrees in empty pieces alone with a chance below 1e-8.
 
 Equal sets are one class, found by a digest before any join. Classes that share a piece
-become candidate pairs: all of a piece's classes if they are few, else each with the
-piece's least and with its neighbours in an order that differs from piece to piece, so a
-family is tied by as many different paths as it shares pieces. The sketch folded to a
-few words bounds the difference from below as well and drops most pairs that only share
-a common passage. The others are verified on their full sets: first each class with its
-least partner, then the pairs whose ends are still apart, so sets of a family travel
-about twice. A verifying task passes on a spanning forest of its links, and these close
-to components of least ids.
+become candidate pairs: all of a piece's classes if they are few, else at first each with
+the piece's least and with its neighbours in an order that differs from piece to piece,
+which ties most families. The sketch folded to a few words bounds the difference from
+below as well and drops most pairs that only share a common passage. The others are
+verified on their full sets: first each class with its least partner, then the pairs whose
+ends are still apart, so sets of a family travel about twice. Last come all pairs of a
+crowded piece that lie in different components by then: its classes are dealt to blocks,
+each two blocks meet in a task, and what sizes and folded sketches allow is verified, so
+no pair that shares a piece is left out. A verifying task passes on a spanning forest of
+its links, and these close to components of least ids.
 
 Defined results: a null text, or one without words, has an empty set and links with
 nothing; fewer words than n make one shingle; rows that repeat an id are rows of their
@@ -40,6 +42,7 @@ from folioforge.llm.common import LOWER, blocks, joint, keyed, materialize, mix,
 N, NUMERATOR, DENOMINATOR = 5, 80, 100  # shingle length; least similarity as a fraction
 SMALL = 24
 FEW, NEAR = 16, 2
+CROWD = 2048  # classes of a crowded piece in a block
 SET_BYTES = 8 << 20
 FOLD = 4  # 64-bit words of the folded sketch
 FILTER_BITS = 1 << 22
@@ -162,7 +165,8 @@ def sketched(rows: DataFrame, buckets: int, n: int, p: int, q: int) -> DataFrame
 
 
 def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of classes (a < b) to verify, from one bucket of keys."""
+    """Pairs of classes (a < b) to verify first, from one bucket of keys; and where
+    `crowded`, the key (a) and class (b) of each class of a key that more than FEW share."""
     size = np.array([len(c) // 8 for c in pdf["classes"]])
     base = np.repeat(np.cumsum(size) - size, [len(o) // 2 for o in pdf["owner"]])
     classes = np.frombuffer(b"".join(pdf["classes"]), np.int64)
@@ -173,7 +177,7 @@ def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
     key, owner = key[new], owner[new]
-    pairs = []
+    pairs, k, o = [], key[:0], owner[:0]
 
     def tie(k: np.ndarray, o: np.ndarray, most: int) -> None:
         for step in range(1, most + 1):
@@ -192,10 +196,43 @@ def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs.append(np.stack([least, o], 1)[least != o])
         shuffled = np.lexsort((joint(o.view(np.uint64), k), k))
         tie(k[shuffled], o[shuffled], NEAR)
-    if not pairs:
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    found = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
-    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+    found = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), 1), axis=0)
+    return pd.DataFrame({"a": np.concatenate([found[:, 0], k.view(np.int64)]), "b": np.concatenate([found[:, 1], o]), "crowded": np.repeat([False, True], [len(found), len(k)])})
+
+
+def crowded_pairs(crowd: DataFrame, classes: DataFrame, roots: DataFrame, p: int, q: int) -> DataFrame:
+    """All pairs (a < b) of a crowded key's classes that lie in different components and
+    that sizes and folded sketches allow. crowd: key and class."""
+    words = [f"w{k}" for k in range(FOLD)]
+    there = crowd.join(classes.select("class", "n", *words), "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    there = materialize(there, "jaccard-crowd")
+    open_ = there.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", F.ceil(F.col("m") / CROWD).cast("int").alias("ways"))
+    mine = there.join(open_, "key").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("ways")).cast("int"))
+    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
+    buckets = 4 * partitions(crowd.sparkSession)
+    met = met.withColumn("bucket", F.pmod(F.xxhash64("key", "x", "y"), F.lit(buckets)))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "x", "y", "mine"])
+        place = pdf[["key", "x", "y"]].to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1, [len(pdf)]])
+        of, root, n = pdf["class"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy()
+        sketch, left = pdf[words].to_numpy(), (pdf["mine"] == pdf["x"]).to_numpy()
+        same = (pdf["x"] == pdf["y"]).to_numpy()
+        out = [np.zeros((0, 2), np.int64)]
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            mid = i if same[i] else i + int(left[i:j].sum())  # of one block both sides are the whole
+            for lo in range(i, j if same[i] else mid, 128):
+                u, v = slice(lo, min(lo + 128, j if same[i] else mid)), slice(mid, j)
+                least, most = np.minimum.outer(n[u], n[v]), np.maximum.outer(n[u], n[v])
+                ok = (root[u, None] != root[v]) & (least * q >= most * p)
+                distance = sum(np.bitwise_count((sketch[u, None, k] ^ sketch[v, k]).view(np.uint64)).astype(np.int64) for k in range(FOLD))
+                a, b = np.nonzero(ok & (distance * (q + p) <= (least + most) * (q - p)))
+                out.append(np.stack([of[u][a], of[v][b]], 1))
+        found = np.unique(np.sort(np.concatenate(out), 1), axis=0)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    return met.select("bucket", "key", "x", "y", "mine", "class", "root", "n", *words).groupBy("bucket").applyInPandas(compare, "a long, b long").distinct()
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame:
@@ -264,16 +301,21 @@ def hooks(pairs: DataFrame) -> DataFrame:
     return ways.groupBy("v").agg(F.min("w").alias("a")).select("a", F.col("v").alias("b"))
 
 
-def linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """Links that join all that any of the pairs joins. First each class is tried with its
-    least partner; then all other pairs that this leaves in different components."""
+def linked(pairs: DataFrame, crowd: DataFrame, rows: DataFrame, classes: DataFrame, n: int, p: int, q: int) -> DataFrame:
+    """Links that join all that any of the pairs, or any two classes of a crowded key, join.
+    First each class is tried with its least partner; then all other pairs, and at last
+    all of the crowded keys, that this leaves in different components."""
     first = materialize(hooks(pairs), "jaccard-hooks")
     near = materialize(verified(first, rows, classes, n, p, q), "jaccard-links")
     roots = closed(near)
     side = lambda c: roots.select(F.col("class").alias(c), F.col("root").alias(f"r{c}"))
     rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    return near.union(materialize(verified(materialize(rest, "jaccard-rest"), rows, classes, n, p, q), "jaccard-links"))
+    near = near.union(materialize(verified(materialize(rest, "jaccard-rest"), rows, classes, n, p, q), "jaccard-links"))
+    apart = materialize(crowded_pairs(crowd, classes, closed(near), p, q), "jaccard-apart")
+    if apart.isEmpty():
+        return near
+    return near.union(materialize(verified(apart, rows, classes, n, p, q), "jaccard-links"))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,10 +372,11 @@ def labelled(docs: DataFrame, n: int = N, p: int = NUMERATOR, q: int = DENOMINAT
     every = materialize(classed(rows, n), "jaccard-classes")
     classes = every.where("class != 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.max("n_shingles").alias("n"), *(F.max(f"w{k}").alias(f"w{k}") for k in range(FOLD)))
     classes = materialize(classes, "jaccard-distinct")
-    pairs = sketched(rows, partitions(spark), n, p, q).groupBy("bucket").applyInPandas(candidates, "a long, b long").distinct()
-    pairs = materialize(plausible(pairs, classes, p, q), "jaccard-candidates")
+    found = materialize(sketched(rows, partitions(spark), n, p, q).groupBy("bucket").applyInPandas(candidates, "a long, b long, crowded boolean"), "jaccard-found")
+    pairs = materialize(plausible(found.where("not crowded").select("a", "b").distinct(), classes, p, q), "jaccard-candidates")
+    crowd = found.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("class"))
     release(spark)
-    links = linked(pairs, rows, classes, n, p, q)
+    links = linked(pairs, crowd, rows, classes, n, p, q)
     rooted = classes.join(closed(links), "class", "left")
     return every, rooted.select("class", F.coalesce("root", "class").alias("root"), "least", "one")
 

@@ -53,6 +53,50 @@ def test_components_are_brute_force(spark, docs_rows):
     assert sum(1 for d, _, c in want if d != c) > 60
 
 
+def test_star_family_is_brute_force(spark):
+    """2000 variants, each linked with the base alone: a crowded key's least class and
+    neighbours in an order are nearly always other variants."""
+    rnd = random.Random(3)
+    base = [f"b{i}" for i in range(304)]
+    rows, places = [(0, " ".join(base))], set()
+    while len(places) < 2000:
+        places.add(tuple(sorted(rnd.sample(range(5, 300, 5), 6))))
+    for i, at in enumerate(sorted(places), 1):
+        words = list(base)
+        for k in at:
+            words[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    sets = [shingles(t) for _, t in rows]
+    column = {s: k for k, s in enumerate(sets[0])}
+    has = np.zeros((len(sets), len(column)), np.int64)
+    for i, s in enumerate(sets):
+        has[i, [column[x] for x in s & sets[0]]] = 1  # variants share what the base has
+    common, size = has @ has.T, np.array([len(s) for s in sets])
+    linked = 100 * common >= 80 * (size[:, None] + size - common)
+    assert linked[0].all() and linked[1:, 1:].sum() == 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = paritysketch.components(df).collect()
+    assert len(got) == 2001 and {r.component_id for r in got} == {0}
+
+
+def test_crowded_pairs_meet_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(paritysketch, "CROWD", 7)
+    crowd = spark.createDataFrame([(1, c) for c in range(1, 41)] + [(2, c) for c in range(30, 50)] + [(3, c) for c in range(60, 80)], "key long, class long")
+    classes = spark.createDataFrame([(c, 100 + c % 3 * 20, *(c % 5 * 7 for _ in range(paritysketch.FOLD))) for c in range(1, 90)], "class long, n long, " + ", ".join(f"w{k} long" for k in range(paritysketch.FOLD)))
+    root = lambda c: 60 if 60 <= c < 80 else c - c % 2 or c
+    roots = spark.createDataFrame([(c, root(c)) for c in range(1, 90) if c % 10], "class long, root long")
+    got = {tuple(r) for r in paritysketch.crowded_pairs(crowd, classes, roots, 80, 100).collect()}
+    key, want = [set(range(1, 41)), set(range(30, 50)), set(range(60, 80))], set()
+    for a in range(1, 90):
+        for b in range(a + 1, 90):
+            ra, rb = (root(x) if x % 10 else x for x in (a, b))
+            na, nb = (100 + x % 3 * 20 for x in (a, b))
+            d = paritysketch.FOLD * bin(a % 5 * 7 ^ b % 5 * 7).count("1")
+            if any(a in k and b in k for k in key) and ra != rb and 100 * min(na, nb) >= 80 * max(na, nb) and 180 * d <= 20 * (na + nb):
+                want.add((a, b))
+    assert got == want and len(want) > 300
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(2)
     bands = paritysketch.Bands(4000, 80, 100)
