@@ -6,9 +6,10 @@ the context word; a count-table partition sums what all blocks bring of its cont
 joins the sums back to the bigrams of each document and returns sums per document.
 
 A bigram's score is log(c(ab) / c(a)), with a document's own occurrences left out;
-where no other document has it, log(0.4 * c(b) / N). c(b) comes from a table of a fixed
-number of hashed slots, counted over all documents and broadcast; words that share a
-slot share its count. The first word of a row follows a mark of its own.
+where no other document has it, log(0.4 * c(b) / N). c(b) is exact: each bucket of
+contexts sends its words and their counts to buckets of words, which sum them and send
+the sums back to the buckets that asked; only N reaches the driver. The first word of a
+row follows a mark of its own.
 
 Defined results: a null or empty text has no words and score 0; rows that repeat an id
 (or have none) are parts of one document; extra columns are ignored. Identities are 40
@@ -17,8 +18,6 @@ bits of the context beside its partition and 40 bits of the word.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,8 +26,6 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import blocks, mix, partitions, prefix_hash, span_hash, utf8, word_spans
 
-SLOTS = 1 << 21
-RANGES = 16
 BACKOFF = 0.4
 START = np.uint64(0x5851F42D4C957F2D)
 _LOW = lambda n: np.uint64((1 << n) - 1)
@@ -39,36 +36,23 @@ def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(prefix_hash(buf), s, e), row
 
 
-def unigrams(docs: DataFrame) -> np.ndarray:
-    """Counts by hashed slot over all documents; what reaches the driver has a fixed size."""
+def tokens(docs: DataFrame) -> int:
+    """N, the words of all documents."""
 
     def count(batches):
-        total = np.zeros(SLOTS, np.int64)
         for b in batches:
             buf, off = utf8(b.column(0))
-            for lo, hi in blocks(off):
-                w, _ = words_of(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                total += np.bincount((w % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        parts = total.reshape(RANGES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["r", "c"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["c"])
-        return pd.DataFrame({"r": pdf["r"][:1], "c": [zlib.compress(total.tobytes(), 1)]})
+            n = sum(len(word_spans(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])[0]) for lo, hi in blocks(off))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    got = docs.select(F.col("text").cast("string")).mapInArrow(count, "r int, c binary").groupBy("r").applyInPandas(add, "r int, c binary").collect()
-    out = np.zeros((RANGES, SLOTS // RANGES), np.int64)
-    for r in got:
-        out[r["r"]] = np.frombuffer(zlib.decompress(bytes(r["c"])), np.int64)
-    return out.ravel()
+    return docs.select(F.col("text").cast("string")).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def packed(docs: DataFrame, backing, buckets: int) -> DataFrame:
+def packed(docs: DataFrame, buckets: int) -> DataFrame:
     """One row for each block of documents and bucket of contexts: ids of the documents,
-    distinct bigrams with their backed-off score, and the document of each occurrence."""
+    distinct bigrams with their counts, and the document of each occurrence."""
 
     def run(batches):
-        low = backing.value
         for b in batches:
             ids, (buf, off) = b.column(0), utf8(b.column(1))
             for lo, hi in blocks(off, rows=60_000):
@@ -82,31 +66,57 @@ def packed(docs: DataFrame, backing, buckets: int) -> DataFrame:
                 pair = ((a & _LOW(40)) << np.uint64(24)) | (w >> np.uint64(40))
                 tail = ((w >> np.uint64(24)) & _LOW(16)).astype(np.uint16)
                 order = np.lexsort((tail, pair, bucket))
-                bucket, pair, tail, row, w = bucket[order], pair[order], tail[order], row[order], w[order]
+                bucket, pair, tail, row = bucket[order], pair[order], tail[order], row[order]
                 new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (tail[1:] != tail[:-1]) | (bucket[1:] != bucket[:-1])])
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(pair))).astype(np.uint32)
-                back = low[(w[first] % np.uint64(SLOTS)).astype(np.int64)]
-                rows_out = {k: [] for k in ("bucket", "ids", "pair", "tail", "times", "back", "doc")}
+                rows_out = {k: [] for k in ("bucket", "ids", "pair", "tail", "times", "doc")}
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 cut_first = np.searchsorted(first, cut)
                 names = np.asarray(ids.slice(lo, hi - lo).fill_null(-(2**63) + 1).to_numpy(zero_copy_only=False), np.int64)
                 for k in np.flatnonzero(np.diff(cut)):
                     i, j, x, y = cut[k], cut[k + 1], cut_first[k], cut_first[k + 1]
                     there, local = np.unique(row[i:j], return_inverse=True)
-                    for name, v in (("bucket", int(k)), ("ids", names[there].tobytes()), ("pair", pair[first[x:y]].tobytes()), ("tail", tail[first[x:y]].tobytes()), ("times", times[x:y].tobytes()), ("back", back[x:y].tobytes()), ("doc", local.astype(np.uint16).tobytes())):
+                    for name, v in (("bucket", int(k)), ("ids", names[there].tobytes()), ("pair", pair[first[x:y]].tobytes()), ("tail", tail[first[x:y]].tobytes()), ("times", times[x:y].tobytes()), ("doc", local.astype(np.uint16).tobytes())):
                         rows_out[name].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows_out["bucket"], pa.int32()), *(pa.array(v, pa.binary()) for k, v in rows_out.items() if k != "bucket")], names=list(rows_out))
 
-    schema = "bucket int, ids binary, pair binary, tail binary, times binary, back binary, doc binary"
+    schema = "bucket int, ids binary, pair binary, tail binary, times binary, doc binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def joined(pdf: pd.DataFrame, groups: int) -> pd.DataFrame:
+def word_of(pair: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The 40 bits that name a bigram's word."""
+    return ((pair & _LOW(24)) << np.uint64(16)) | tail
+
+
+def dealt(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Words and counts of one bucket of contexts, one row for each bucket of words."""
+    of = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
+    words, at = np.unique(word_of(of("pair", np.uint64), of("tail", np.uint16)), return_inverse=True)
+    count = np.bincount(at, of("times", np.uint32)).astype(np.int64)
+    home = (mix(words) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    cut = np.searchsorted(home[order], np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(cut))
+    pack = lambda x: [x[order[cut[k] : cut[k + 1]]].tobytes() for k in full]
+    return pd.DataFrame({"home": full.astype(np.int32), "asker": np.full(len(full), pdf["bucket"].iloc[0], np.int32), "words": pack(words), "counts": pack(count)})
+
+
+def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The same rows with each word's count over all buckets of contexts."""
+    words, at = np.unique(np.frombuffer(b"".join(pdf["words"]), np.uint64), return_inverse=True)
+    total = np.zeros(len(words), np.int64)
+    np.add.at(total, at, np.frombuffer(b"".join(pdf["counts"]), np.int64))
+    cut = np.cumsum([0, *(len(w) // 8 for w in pdf["words"])])
+    return pd.DataFrame({"asker": pdf["asker"], "words": pdf["words"], "counts": [total[at[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]})
+
+
+def joined(pdf: pd.DataFrame, asked: pd.DataFrame, groups: int, n_tokens: int) -> pd.DataFrame:
     """Counts of one bucket of contexts, joined to the bigrams of each document: packed
     sums, one row for each group of documents."""
     of = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
-    pair, tail, times, back = of("pair", np.uint64), of("tail", np.uint16), of("times", np.uint32), of("back", np.float16)
+    pair, tail, times = of("pair", np.uint64), of("tail", np.uint16), of("times", np.uint32)
     sizes = np.array([len(x) // 8 for x in pdf["ids"]])
     base = np.repeat(np.cumsum(sizes) - sizes, [len(x) // 2 for x in pdf["doc"]])
     names, docs = np.unique(of("ids", np.int64), return_inverse=True)
@@ -117,8 +127,10 @@ def joined(pdf: pd.DataFrame, groups: int) -> pd.DataFrame:
     gram = np.empty(len(pair), np.int64)
     gram[order] = np.cumsum(new) - 1
     context_of = (np.cumsum(np.concatenate([[True], (p[1:] >> np.uint64(24)) != (p[:-1] >> np.uint64(24))])) - 1)[np.flatnonzero(new)]
-    backed = np.empty(context_of.size)
-    backed[gram] = back.astype(float)
+    words, counts = np.frombuffer(b"".join(asked["words"]), np.uint64), np.frombuffer(b"".join(asked["counts"]), np.int64)
+    known = np.argsort(words)
+    first = np.flatnonzero(new)
+    backed = np.log(counts[known[np.searchsorted(words[known], word_of(p[first], t[first]))]] / n_tokens)
     total = np.bincount(gram, times)
     total_context = np.bincount(context_of, total)
     n = len(names)
@@ -129,13 +141,13 @@ def joined(pdf: pd.DataFrame, groups: int) -> pd.DataFrame:
     own_context = np.bincount(place, m)[place]
     left, left_context = total[g] - m, total_context[context] - own_context
     value = np.where(left > 0, np.log(np.maximum(left, 1) / np.maximum(left_context, 1)), np.log(BACKOFF) + backed[g])
-    sums, words = np.bincount(d, value * m, n), np.bincount(d, m, n).astype(np.int64)
+    sums, n_words = np.bincount(d, value * m, n), np.bincount(d, m, n).astype(np.int64)
     group = (mix(names.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     cut = np.searchsorted(group[order], np.arange(groups + 1))
     full = np.flatnonzero(np.diff(cut))
     pack = lambda x: [x[order[cut[g] : cut[g + 1]]].tobytes() for g in full]
-    return pd.DataFrame({"grp": full.astype(np.int32), "ids": pack(names), "s": pack(sums), "n": pack(words)})
+    return pd.DataFrame({"grp": full.astype(np.int32), "ids": pack(names), "s": pack(sums), "n": pack(n_words)})
 
 
 def summed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,11 +159,13 @@ def summed(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_score (natural log, summed) and per_word of each document."""
-    counts = unigrams(docs)
-    total = max(int(counts.sum()), 1)
-    backing = spark.sparkContext.broadcast(np.log(np.maximum(counts, 1) / total).astype(np.float16))
+    total = max(tokens(docs), 1)
     groups = partitions(spark)
-    parts = packed(docs, backing, 4 * groups).groupBy("bucket").applyInPandas(lambda pdf: joined(pdf, groups), "grp int, ids binary, s binary, n binary")
+    buckets = 4 * groups
+    grams = packed(docs, buckets)
+    asked = grams.groupBy("bucket").applyInPandas(lambda pdf: dealt(pdf, buckets), "home int, asker int, words binary, counts binary")
+    counts = asked.groupBy("home").applyInPandas(counted, "asker int, words binary, counts binary")
+    parts = grams.groupBy("bucket").cogroup(counts.groupBy("asker")).applyInPandas(lambda pdf, has: joined(pdf, has, groups, total), "grp int, ids binary, s binary, n binary")
     sums = parts.groupBy("grp").applyInPandas(summed, "doc_id long, s double, n long")
     sums = sums.select(F.when(F.col("doc_id") != -(2**63) + 1, F.col("doc_id")).alias("doc_id"), "s", "n")
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
