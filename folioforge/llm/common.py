@@ -5,38 +5,46 @@ from __future__ import annotations
 
 import gc
 import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.session import fresh_path
+
 #: Text handled at once by the vectorised passes; one longer text is taken alone.
 BLOCK_BYTES = 2 << 20
+ARROW_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local default only where it is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    return there or "file:///tmp/folioforge-shared"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, lost
     executors lose nothing, and the shuffle files behind it can be dropped."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Bound the Arrow batches sent to Python workers by bytes, not by rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return spark
 
 
 def release(spark: SparkSession) -> None:
@@ -178,6 +186,31 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def planes64(x: np.ndarray) -> bytes:
+    """Non-negative integers byte plane by byte plane, as many planes as the largest needs."""
+    x = np.ascontiguousarray(x).astype("<u8")
+    n = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([n]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def unplanes64(raw: bytes) -> np.ndarray:
+    n = raw[0]
+    out = np.zeros(((len(raw) - 1) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8, offset=1).reshape(n, -1).T
+    return out.view("<u8").ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending 64-bit integers as their first and the distances."""
+    return b"".join((x[:1].astype("<u8").tobytes(), planes64(np.diff(x)))) if len(x) else b""
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(raw, "<u8", 1), unplanes64(raw[8:])]), dtype=np.uint64)
+
+
 def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The maximal runs that the intervals cover; touching ones join."""
     order = np.argsort(starts, kind="stable")

@@ -1,19 +1,22 @@
-"""Stupid-backoff scores from n-gram counts over all documents.
-
-Words are `[^\\x20\\x09-\\x0D]+`. Counting and scoring are one relational pass: each
-block of documents explodes into bigrams, grouped by bigram and packed by the hash of
-the context word; a count-table partition sums what all blocks bring of its contexts,
-joins the sums back to the bigrams of each document and returns sums per document.
-
-A bigram's score is log(c(ab) / c(a)), with a document's own occurrences left out;
-where no other document has it, log(0.4 * c(b) / N). c(b) is exact: each bucket of
-contexts sends its words and their counts to buckets of words, which sum them and send
-the sums back to the buckets that asked; only N reaches the driver. The first word of a
-row follows a mark of its own.
-
-Defined results: a null or empty text has no words and score 0; rows that repeat an id
-(or have none) are parts of one document; extra columns are ignored. Identities are 40
-bits of the context beside its partition and 40 bits of the word.
+"""Stupid-backoff trigram scores from n-gram count tables over all documents.
+
+Words are `[^\\x20\\x09-\\x0D]+`; a mark stands before the first word of a row. With f the
+counts of n-grams in all rows and f' those without the row's own occurrences, a word c
+after a, b scores f'(abc) / f'(ab) where f'(abc) > 0, else 0.4 times f'(bc) / f'(b) where
+f'(bc) > 0, else 0.4 times 0.4 times f(c) / N; a row's first word starts at the second.
+
+Rows are laid out in blocks of a few MB, each written once with its distinct words and the
+place of each occurrence. A block asks the count tables, partitioned by ranges of the
+n-gram's hash, for each of its distinct unigrams, bigrams and trigrams once, with its own
+count; a partition sums what all blocks bring of an n-gram, joins the sums back to them
+and the block sums the scores of each document. So an n-gram that stands everywhere is
+one entry a block, and no partition holds more than its range. `PASSES` hash ranges go
+one after another, each from the written blocks, so that only one lies on disk.
+
+Defined results: a null or empty text has no words and score 0; rows are scored on their
+own, those that repeat an id or have none included; ties can't occur; a text longer than
+a block is a block of its own, whole; extra columns are ignored; an empty table gives no
+rows. N-grams are equal when their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -21,153 +24,141 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import blocks, mix, partitions, prefix_hash, span_hash, utf8, word_spans
+from folioforge.llm.common import blocks, discard, joint, materialize, mix, pack_sorted, planes64, prefix_hash, release, span_hash, tuned, unpack_sorted, unplanes64, utf8, word_spans
 
 BACKOFF = 0.4
 START = np.uint64(0x5851F42D4C957F2D)
-_LOW = lambda n: np.uint64((1 << n) - 1)
+BLOCK = 4 << 20  # bytes of text
+KEYS = 1 << 20  # distinct n-grams of all blocks that a count partition is made for
+PASSES = 4
+NO_ID = -(2**63) + 1
 
 
-def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s, e, row = word_spans(buf, off)
-    return span_hash(prefix_hash(buf), s, e), row
+def blocked(docs: DataFrame) -> DataFrame:
+    """The blocks: a key, ids and word counts of the rows, distinct word hashes (sorted)
+    and the place among them of each word."""
 
-
-def tokens(docs: DataFrame) -> int:
-    """N, the words of all documents."""
-
-    def count(batches):
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
         for b in batches:
-            buf, off = utf8(b.column(0))
-            n = sum(len(word_spans(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])[0]) for lo, hi in blocks(off))
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-
-
-def packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """One row for each block of documents and bucket of contexts: ids of the documents,
-    distinct bigrams with their counts, and the document of each occurrence."""
+            ids = np.asarray(b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False), np.int64)
+            buf, off = utf8(b.column(1))
+            for lo, hi in blocks(off, BLOCK):
+                part, at = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+                s, e, row = word_spans(part, at)
+                vocabulary, place = np.unique(span_hash(prefix_hash(part), s, e), return_inverse=True)
+                n = np.bincount(row, minlength=hi - lo)
+                yield pa.RecordBatch.from_pydict({"block": [number], "n_words": [len(s)], "ids": [ids[lo:hi].tobytes()], "n": [planes64(n)], "vocabulary": [pack_sorted(vocabulary)], "place": [planes64(place)]}, pa.schema(fields))
+                number += 1
+
+    fields = [("block", pa.int64()), ("n_words", pa.int64()), *((c, pa.binary()) for c in ("ids", "n", "vocabulary", "place"))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "block long, n_words long, ids binary, n binary, vocabulary binary, place binary")
+
+
+class Grams:
+    """The n-grams of a block: keys of each order, and the row of each word."""
+
+    def __init__(self, n: bytes, vocabulary: bytes, place: bytes):
+        self.n = unplanes64(n).astype(np.int64)
+        w = unpack_sorted(vocabulary)[unplanes64(place)]
+        self.rows = len(self.n)
+        self.row = np.repeat(np.arange(self.rows), self.n)
+        full = np.flatnonzero(self.n)
+        first = (np.cumsum(self.n) - self.n)[full]
+        b = np.concatenate([w[:1], w[:-1]])
+        b[first] = START
+        two = joint(b, w)
+        a = np.concatenate([w[:1], b[:-1]])  # the word before b; none before a row's mark
+        three = joint(joint(a, b), mix(w))
+        self.second = np.ones(len(w), bool)
+        self.second[first] = False  # words that have a trigram
+        self.first, self.full = first, full
+        self.one, self.two, self.three = mix(w ^ np.uint64(1)), mix(two ^ np.uint64(2)), mix(three ^ np.uint64(3))
+        self.mark = mix(np.array([START ^ np.uint64(1)]))[0]
+
+    def keys(self, low: int, high: int) -> np.ndarray:
+        """Keys of all orders, the row marks included, whose upper 32 bits lie in [low, high)."""
+        out = np.concatenate([self.one, self.two, self.three[self.second], np.full(len(self.full), self.mark)])
+        if (low, high) == (0, 1 << 32):
+            return out
+        top = out >> np.uint64(32)
+        return out[(top >= low) & (top < high)]
+
+
+def edges(buckets: int) -> np.ndarray:
+    """First upper 32 bits of each hash range; the last is past all."""
+    return np.array([-(-(k << 32) // buckets) for k in range(buckets + 1)], np.int64)
+
+
+def asked(table: DataFrame, buckets: int, first: int, past: int) -> DataFrame:
+    """Distinct n-grams of each block in the ranges first to past, with their counts."""
+    edge = edges(buckets)
 
     def run(batches):
         for b in batches:
-            ids, (buf, off) = b.column(0), utf8(b.column(1))
-            for lo, hi in blocks(off, rows=60_000):
-                w, row = words_of(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                if not len(w):
-                    continue
-                a = np.concatenate([[START], w[:-1]])
-                a[np.concatenate([[True], row[1:] != row[:-1]])] = START
-                a = mix(a)
-                bucket = ((a >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                pair = ((a & _LOW(40)) << np.uint64(24)) | (w >> np.uint64(40))
-                tail = ((w >> np.uint64(24)) & _LOW(16)).astype(np.uint16)
-                order = np.lexsort((tail, pair, bucket))
-                bucket, pair, tail, row = bucket[order], pair[order], tail[order], row[order]
-                new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (tail[1:] != tail[:-1]) | (bucket[1:] != bucket[:-1])])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(pair))).astype(np.uint32)
-                rows_out = {k: [] for k in ("bucket", "ids", "pair", "tail", "times", "doc")}
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                cut_first = np.searchsorted(first, cut)
-                names = np.asarray(ids.slice(lo, hi - lo).fill_null(-(2**63) + 1).to_numpy(zero_copy_only=False), np.int64)
-                for k in np.flatnonzero(np.diff(cut)):
-                    i, j, x, y = cut[k], cut[k + 1], cut_first[k], cut_first[k + 1]
-                    there, local = np.unique(row[i:j], return_inverse=True)
-                    for name, v in (("bucket", int(k)), ("ids", names[there].tobytes()), ("pair", pair[first[x:y]].tobytes()), ("tail", tail[first[x:y]].tobytes()), ("times", times[x:y].tobytes()), ("doc", local.astype(np.uint16).tobytes())):
-                        rows_out[name].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(rows_out["bucket"], pa.int32()), *(pa.array(v, pa.binary()) for k, v in rows_out.items() if k != "bucket")], names=list(rows_out))
-
-    schema = "bucket int, ids binary, pair binary, tail binary, times binary, doc binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def word_of(pair: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """The 40 bits that name a bigram's word."""
-    return ((pair & _LOW(24)) << np.uint64(16)) | tail
-
-
-def dealt(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Words and counts of one bucket of contexts, one row for each bucket of words."""
-    of = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
-    words, at = np.unique(word_of(of("pair", np.uint64), of("tail", np.uint16)), return_inverse=True)
-    count = np.bincount(at, of("times", np.uint32)).astype(np.int64)
-    home = (mix(words) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(home, kind="stable")
-    cut = np.searchsorted(home[order], np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(cut))
-    pack = lambda x: [x[order[cut[k] : cut[k + 1]]].tobytes() for k in full]
-    return pd.DataFrame({"home": full.astype(np.int32), "asker": np.full(len(full), pdf["bucket"].iloc[0], np.int32), "words": pack(words), "counts": pack(count)})
-
-
-def counted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The same rows with each word's count over all buckets of contexts."""
-    words, at = np.unique(np.frombuffer(b"".join(pdf["words"]), np.uint64), return_inverse=True)
-    total = np.zeros(len(words), np.int64)
-    np.add.at(total, at, np.frombuffer(b"".join(pdf["counts"]), np.int64))
-    cut = np.cumsum([0, *(len(w) // 8 for w in pdf["words"])])
-    return pd.DataFrame({"asker": pdf["asker"], "words": pdf["words"], "counts": [total[at[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]})
-
-
-def joined(pdf: pd.DataFrame, asked: pd.DataFrame, groups: int, n_tokens: int) -> pd.DataFrame:
-    """Counts of one bucket of contexts, joined to the bigrams of each document: packed
-    sums, one row for each group of documents."""
-    of = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
-    pair, tail, times = of("pair", np.uint64), of("tail", np.uint16), of("times", np.uint32)
-    sizes = np.array([len(x) // 8 for x in pdf["ids"]])
-    base = np.repeat(np.cumsum(sizes) - sizes, [len(x) // 2 for x in pdf["doc"]])
-    names, docs = np.unique(of("ids", np.int64), return_inverse=True)
-    doc = docs[base + of("doc", np.uint16)]
-    order = np.lexsort((tail, pair))
-    p, t = pair[order], tail[order]
-    new = np.concatenate([[True], (p[1:] != p[:-1]) | (t[1:] != t[:-1])])
-    gram = np.empty(len(pair), np.int64)
-    gram[order] = np.cumsum(new) - 1
-    context_of = (np.cumsum(np.concatenate([[True], (p[1:] >> np.uint64(24)) != (p[:-1] >> np.uint64(24))])) - 1)[np.flatnonzero(new)]
-    words, counts = np.frombuffer(b"".join(asked["words"]), np.uint64), np.frombuffer(b"".join(asked["counts"]), np.int64)
-    known = np.argsort(words)
-    first = np.flatnonzero(new)
-    backed = np.log(counts[known[np.searchsorted(words[known], word_of(p[first], t[first]))]] / n_tokens)
-    total = np.bincount(gram, times)
-    total_context = np.bincount(context_of, total)
-    n = len(names)
-    own, m = np.unique(np.repeat(gram, times) * n + doc, return_counts=True)
-    g, d = own // n, own % n
-    context = context_of[g]
-    at, place = np.unique(context * n + d, return_inverse=True)
-    own_context = np.bincount(place, m)[place]
-    left, left_context = total[g] - m, total_context[context] - own_context
-    value = np.where(left > 0, np.log(np.maximum(left, 1) / np.maximum(left_context, 1)), np.log(BACKOFF) + backed[g])
-    sums, n_words = np.bincount(d, value * m, n), np.bincount(d, m, n).astype(np.int64)
-    group = (mix(names.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    cut = np.searchsorted(group[order], np.arange(groups + 1))
-    full = np.flatnonzero(np.diff(cut))
-    pack = lambda x: [x[order[cut[g] : cut[g + 1]]].tobytes() for g in full]
-    return pd.DataFrame({"grp": full.astype(np.int32), "ids": pack(names), "s": pack(sums), "n": pack(n_words)})
-
-
-def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sums of each document of one group over all buckets."""
-    of = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
-    names, at = np.unique(of("ids", np.int64), return_inverse=True)
-    return pd.DataFrame({"doc_id": names, "s": np.bincount(at, of("s", float)), "n": np.bincount(at, of("n", np.int64)).astype(np.int64)})
+            for block, n, vocabulary, place in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                keys, count = np.unique(Grams(n, vocabulary, place).keys(int(edge[first]), int(edge[past])), return_counts=True)
+                cut = np.searchsorted(keys >> np.uint64(32), edge[first : past + 1].astype(np.uint64))
+                full = np.flatnonzero(np.diff(cut))
+                if len(full):
+                    yield pa.RecordBatch.from_pydict({"bucket": full + first, "block": [block] * len(full), "keys": [pack_sorted(keys[cut[k] : cut[k + 1]]) for k in full], "counts": [planes64(count[cut[k] : cut[k + 1]]) for k in full]}, pa.schema(fields))
+
+    fields = [("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]
+    return table.select("block", "n", "vocabulary", "place").mapInArrow(run, "bucket long, block long, keys binary, counts binary")
+
+
+def answered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One count partition: its table summed over all blocks and joined to what each asked."""
+    keys = [unpack_sorted(k) for k in pdf["keys"]]
+    cut = np.cumsum([0, *map(len, keys)])
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    table = np.zeros(at.max() + 1, np.int64)
+    np.add.at(table, at, np.concatenate([unplanes64(c) for c in pdf["counts"]]).astype(np.int64))
+    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "counts": [planes64(table[at[i:j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]})
+
+
+def scored(block: pd.DataFrame, counts: pd.DataFrame, n_tokens: int) -> pd.DataFrame:
+    """doc_id, n_words and the summed score of each row of one block."""
+    ids, g = np.frombuffer(block["ids"].iloc[0], np.int64), Grams(*block[["n", "vocabulary", "place"]].iloc[0])
+    total = np.zeros(0, np.int64)
+    if len(counts):
+        total = np.concatenate([unplanes64(c) for c in counts.sort_values("bucket")["counts"]]).astype(np.int64)
+    known, at = np.unique(g.keys(0, 1 << 32), return_inverse=True)
+    n, m = len(g.one), int(g.second.sum())
+    one, two, three, mark = at[:n], at[n : 2 * n], at[2 * n : 2 * n + m], at[2 * n + m :]
+    rows = np.concatenate([g.row, g.row, g.row[g.second], g.full])
+    _, own_at, own = np.unique(at * max(g.rows, 1) + rows, return_inverse=True, return_counts=True)
+    left = total[at] - own[own_at]  # occurrences in other rows, of each occurrence's n-gram
+    left1, left2, left3, left_mark = left[:n], left[n : 2 * n], left[2 * n : 2 * n + m], left[2 * n + m :]
+    before = np.concatenate([left1[:1], left1[:-1]])
+    before[g.first] = left_mark
+    ratio = lambda x, y: np.log(np.maximum(x, 1) / np.maximum(y, 1))
+    value = np.where(left2 > 0, ratio(left2, before), np.log(BACKOFF) + np.log(total[one] / n_tokens))
+    second = np.flatnonzero(g.second)
+    value[second] = np.where(left3 > 0, ratio(left3, left2[second - 1]), np.log(BACKOFF) + value[second])
+    return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.copy(), ids == NO_ID), "n_words": g.n, "s": np.bincount(g.row, value, g.rows)})
 
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, log_score (natural log, summed) and per_word of each document."""
-    total = max(tokens(docs), 1)
-    groups = partitions(spark)
-    buckets = 4 * groups
-    grams = packed(docs, buckets)
-    asked = grams.groupBy("bucket").applyInPandas(lambda pdf: dealt(pdf, buckets), "home int, asker int, words binary, counts binary")
-    counts = asked.groupBy("home").applyInPandas(counted, "asker int, words binary, counts binary")
-    parts = grams.groupBy("bucket").cogroup(counts.groupBy("asker")).applyInPandas(lambda pdf, has: joined(pdf, has, groups, total), "grp int, ids binary, s binary, n binary")
-    sums = parts.groupBy("grp").applyInPandas(summed, "doc_id long, s double, n long")
-    sums = sums.select(F.when(F.col("doc_id") != -(2**63) + 1, F.col("doc_id")).alias("doc_id"), "s", "n")
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
-    out = sums.unionByName(every).groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("s").alias("s"))
+    """doc_id, n_words, log_score (natural log, summed) and per_word of each row."""
+    tuned(spark)
+    table = materialize(blocked(docs), "lm-blocks")
+    n_tokens = table.agg(F.sum("n_words")).first()[0] or 0
+    buckets = PASSES * max(16, -(-2 * n_tokens // (PASSES * KEYS)))
+    answers = []
+    for k in range(PASSES):
+        some = asked(table, buckets, k * buckets // PASSES, (k + 1) * buckets // PASSES)
+        answers.append(materialize(some.groupBy("bucket").applyInPandas(answered, "block long, bucket long, counts binary"), "lm-counts"))
+        release(spark)
+    counts = answers[0]
+    for more in answers[1:]:
+        counts = counts.unionByName(more)
+    sums = table.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(lambda block, has: scored(block, has, max(n_tokens, 1)), "doc_id long, n_words long, s double")
+    out = materialize(sums, "lm-scores")
+    discard(table, *answers)
     return out.select("doc_id", "n_words", F.round("s", 4).alias("log_score"), F.round(F.col("s") / F.greatest("n_words", F.lit(1)), 6).alias("per_word"))

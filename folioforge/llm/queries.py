@@ -95,6 +95,22 @@ l AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
 """
+OP6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, i, CASE WHEN i = 1 THEN NULL WHEN i = 2 THEN ' ' ELSE w[i - 2] END AS a, CASE WHEN i = 1 THEN ' ' ELSE w[i - 1] END AS b, w[i] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+u AS (SELECT doc_id, c AS x FROM t UNION ALL SELECT doc_id, ' ' FROM d WHERE len(w) > 0),
+f1 AS (SELECT x, count(*) AS n FROM u GROUP BY x), o1 AS (SELECT doc_id, x, count(*) AS n FROM u GROUP BY ALL),
+f2 AS (SELECT b AS x, c AS y, count(*) AS n FROM t GROUP BY ALL), o2 AS (SELECT doc_id, b AS x, c AS y, count(*) AS n FROM t GROUP BY ALL),
+f3 AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY ALL), o3 AS (SELECT doc_id, a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY ALL),
+k AS (SELECT t.doc_id, t.a, f1c.n AS c1, f1b.n - o1.n AS l1, f2.n - o2.n AS l2, g2.n - p2.n AS ctx, f3.n - o3.n AS l3
+  FROM t JOIN f1 AS f1c ON f1c.x = t.c JOIN f1 AS f1b ON f1b.x = t.b JOIN o1 ON o1.doc_id = t.doc_id AND o1.x = t.b
+  JOIN f2 ON f2.x = t.b AND f2.y = t.c JOIN o2 ON o2.doc_id = t.doc_id AND o2.x = t.b AND o2.y = t.c
+  LEFT JOIN f2 AS g2 ON g2.x = t.a AND g2.y = t.b LEFT JOIN o2 AS p2 ON p2.doc_id = t.doc_id AND p2.x = t.a AND p2.y = t.b
+  LEFT JOIN f3 ON f3.a = t.a AND f3.b = t.b AND f3.c = t.c LEFT JOIN o3 ON o3.doc_id = t.doc_id AND o3.a = t.a AND o3.b = t.b AND o3.c = t.c),
+v AS (SELECT doc_id, a, l3, ctx, CASE WHEN l2 > 0 THEN ln(l2 / l1) ELSE ln(0.4::DOUBLE) + ln(c1 / (SELECT count(*) FROM t)) END AS s2 FROM k),
+s AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN a IS NULL THEN s2 WHEN l3 > 0 THEN ln(l3 / ctx) ELSE ln(0.4::DOUBLE) + s2 END) AS s FROM v GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, round(coalesce(s, 0.0), 4) AS log_score, round(coalesce(s, 0.0) / greatest(coalesce(n, 0), 1), 6) AS per_word FROM d LEFT JOIN s USING (doc_id)
+"""
 OP7 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
@@ -105,4 +121,4 @@ g AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, '
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op4_topk_search": OP4, "op5_ngram_jaccard": OP5, "op7_substring_dedup": OP7}
+ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op4_topk_search": OP4, "op5_ngram_jaccard": OP5, "op6_lm_scores": OP6, "op7_substring_dedup": OP7}
