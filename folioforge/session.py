@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -20,8 +22,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local default only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/folioforge-shared").rstrip("/")
+    """The shared folder of spark.checkpoint.dir. Where it is unset, a temporary folder of
+    this machine for a session that runs in one JVM; on a cluster that would be another
+    folder on every machine, so it is an error."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        there = f"file://{tempfile.gettempdir()}/folioforge-{os.getpid()}"
+    return there.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
