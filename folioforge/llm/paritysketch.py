@@ -2,31 +2,34 @@
 
 Two sets of sizes a <= b with Jaccard similarity of at least t differ in at most
 d = (a + b)(1 - t)/(1 + t) elements. Sets meet in size bands; a band fixes d from its
-largest sizes and cuts its bit sketch into d + 1 pieces. Each element flips one bit of
+largest sizes and cuts its bit sketch into d + 1 + s pieces. Each element flips one bit of
 one piece, so the Hamming distance of two sketches is at most their symmetric difference
-and linked sets agree in a piece. A piece joins by a fingerprint of its parity bits.
-
-A piece without an element says nothing and isn't joined on. Bands of few pieces, where
-a linked pair might agree in empty pieces only, join on the d + 1 elements of least hash
-instead, of which linked sets share one; with more than `SMALL` pieces a linked pair at
-the very threshold agrees in empty pieces alone with a chance below 1e-8.
+and linked sets agree in at least s + 1 pieces. A piece joins by a fingerprint of its
+parity bits. Empty pieces say little and aren't joined on: a set with at most s of them
+still has a piece with elements in common with each linked one. A set with more joins, as
+the exact way for pairs of such sets, on its d + 1 elements of least hash too: the least
+element that linked sets share is among these in both.
 
 Equal sets are one class, found by a digest before any join. Classes that share a piece
 become candidate pairs: all of a piece's classes if they are few, else at first each with
 the piece's least and with its neighbours in an order that differs from piece to piece,
-which ties most families. The sketch folded to a few words bounds the difference from
-below as well and drops most pairs that only share a common passage. The others are
-verified on their full sets: first each class with its least partner, then the pairs whose
-ends are still apart, so sets of a family travel about twice. Last come all pairs of a
-crowded piece that lie in different components by then: its classes are dealt to blocks,
-each two blocks meet in a task, and what sizes and folded sketches allow is verified, so
-no pair that shares a piece is left out. A verifying task passes on a spanning forest of
-its links, and these close to components of least ids.
+which ties most families. A sketch of two to four bits an element bounds each pair's
+difference from below, as pieces do, and drops nearly all that aren't similar enough. The
+others are verified on their full sets: first each class with its least partner, then the
+pairs whose ends are still apart. Last come all pairs of a crowded piece that lie in
+different components by then: its classes are dealt to blocks, each two blocks meet in a
+task, and what the sketches allow is verified, so no pair that shares a piece is left out.
+A verifying task passes on a spanning forest of its links, and these close to components
+of least ids.
+
+Pieces that a bounded sample of rows shows to be hot are dealt to tasks by class as well;
+that changes where their pairs are found, not which.
 
 Defined results: a null text, or one without words, has an empty set and links with
 nothing; fewer words than n make one shingle; rows that repeat an id are rows of their
 own; a row without an id links others, but lends no component id and gets the least id
-of its component, or null; extra columns are ignored; an empty table gives no rows.
+of its component, or null; of ties for a representative the least (id, text hash) wins; a
+text of any length is one set; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,15 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import LOWER, blocks, joint, keyed, materialize, mix, partitions, prefix_hash, release, shingle_hash, span_hash, utf8, word_spans
+from folioforge.llm.common import LOWER, blocks, discard, joint, keyed, materialize, mix, prefix_hash, release, shingle_hash, span_hash, tuned, utf8, word_spans
 
 N, NUMERATOR, DENOMINATOR = 5, 80, 100  # shingle length; least similarity as a fraction
-SMALL = 24
 FEW, NEAR = 16, 2
 CROWD = 2048  # classes of a crowded piece in a block
-SET_BYTES = 8 << 20
-FOLD = 4  # 64-bit words of the folded sketch
+SET_BYTES = 4 << 20  # full sets that a verifying task is made for
+KEY_BYTES = 8 << 20  # piece keys that a bucket is made for
+CELL_ROWS = 16384  # classes that a task of crowded pieces is made for
 FILTER_BITS = 1 << 22
+SAMPLE, HOT = 4096, 16  # rows sampled for hot pieces; rows of these that make a piece hot
+SALTS = 64  # ways that a hot piece is dealt
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +89,31 @@ def digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def folded(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Parity sketches of FOLD words: each element flips one bit of one word."""
-    out = np.zeros((len(at) - 1, FOLD), np.int64)
-    full = np.flatnonzero(np.diff(at))
-    if len(full):
-        bit = np.uint64(1) << (h & np.uint64(63))
-        word = (h >> np.uint64(6)) & np.uint64(FOLD - 1)
-        for k in range(FOLD):
-            out[full, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), at[full]).view(np.int64)
-    return out
+def sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The parity sketch of each set: each element flips one bit. Its bits are a power of
+    two from two to four times the elements, so a longer one folds to a shorter by halves."""
+    size = np.diff(at)
+    bits = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64)))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    place = base[np.repeat(np.arange(len(size)), size)] + (h & (np.repeat(bits, size) - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits(np.bincount(place, minlength=base[-1]).astype(np.uint8) & 1, bitorder="little")
+    return [raw[i:j].tobytes() for i, j in zip(base[:-1] // 8, base[1:] // 8, strict=True)]
+
+
+def words_of(column: list[bytes]) -> np.ndarray:
+    """Sketches of one length, a row of 64-bit words each."""
+    return np.frombuffer(b"".join(column), "<u8").reshape(len(column), -1)
+
+
+def folds(x: np.ndarray, words: int) -> np.ndarray:
+    while x.shape[1] > words:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+def allowed(m, n, distance, p: int, q: int):
+    """Whether sizes m and n and a lower bound of the difference allow similarity p/q."""
+    return (np.minimum(m, n) * q >= np.maximum(m, n) * p) & (distance * (q + p) <= (m + n) * (q - p))
 
 
 class Bands:
@@ -108,6 +128,7 @@ class Bands:
         top = self.low[1:] - 1
         self.reach = top * denominator // numerator  # largest partner of a band's sets
         self.distance = (top + self.reach) * (denominator - numerator) // (denominator + numerator)
+        self.slack = 2 + (self.distance + 1) // 8  # empty pieces that a set may have
 
     def of(self, size: int) -> range:
         """The bands in which a set of this size takes part."""
@@ -119,37 +140,57 @@ def piece_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
     """The join keys of one sorted set."""
     out = []
     for t in bands.of(len(h)):
-        d = int(bands.distance[t])
+        d, s = int(bands.distance[t]), int(bands.slack[t])
         if not d:
             continue  # only equal sets link here
-        if d < SMALL:
-            out.append(joint(h[: d + 1], np.uint64(2 * t + 1)))
-            continue
-        piece = ((h >> np.uint64(32)) * np.uint64(d + 1)) >> np.uint64(32)  # ascending, as h is
+        pieces = d + 1 + s
+        piece = ((h >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)  # ascending, as h is
         first = np.concatenate([[0], np.flatnonzero(piece[1:] != piece[:-1]) + 1])
         parity = np.bitwise_xor.reduceat(mix((h & np.uint64(0xFFFFFFFF)) + np.uint64(1)), first)  # a code of each bit of a 2^32-bit piece
         out.append(joint(parity, (piece[first] << np.uint64(20)) + np.uint64(2 * t)))
+        if pieces - len(first) > s:
+            out.append(joint(h[: d + 1], np.uint64(2 * t + 1)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sketched(rows: DataFrame, buckets: int, n: int, p: int, q: int) -> DataFrame:
+def classed_keys(buf: np.ndarray, off: np.ndarray, n: int, p: int, q: int):
+    """Digests of the distinct sets of a block, the keys of all and whose each key is."""
+    h, at = shingle_sets(buf, off, n)
+    digest = digests(h, at)
+    classes, first = np.unique(digest, return_index=True)
+    first = first[classes != 0]
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    bands = Bands(int(np.diff(at).max()), p, q)
+    keys = [piece_keys(h[at[i] : at[i + 1]], bands) for i in first]
+    return digest[first], np.concatenate(keys), np.repeat(np.arange(len(first)), [len(k) for k in keys])
+
+
+def hot_keys(rows: DataFrame, count: int, n: int, p: int, q: int) -> np.ndarray:
+    """Keys that at least HOT of some SAMPLE rows share; at most SAMPLE / HOT times the
+    keys of a row, whatever the number of rows."""
+
+    def run(batches):
+        for b in batches:
+            buf, off = utf8(b.column(0))
+            for lo, hi in blocks(off):
+                yield pa.RecordBatch.from_arrays([pa.array(classed_keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n, p, q)[1].view(np.int64))], names=["key"])
+
+    some = rows.where(F.pmod("k2", F.lit(max(1, count // SAMPLE))) == 0).select("text").mapInArrow(run, "key long")
+    found = some.groupBy("key").count().where(F.col("count") >= HOT).select("key").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64)).view(np.uint64)
+
+
+def sketched(rows: DataFrame, buckets: int, hot: np.ndarray, n: int, p: int, q: int) -> DataFrame:
     """One row for each block of documents and bucket of keys, classes once a block."""
 
     def run(batches):
         for b in batches:
             buf, off = utf8(b.column(0))
             for lo, hi in blocks(off, rows=60_000):
-                h, at = shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-                digest = digests(h, at)
-                classes, first = np.unique(digest, return_index=True)
-                first = first[classes != 0]
-                if not len(first):
-                    continue
-                bands = Bands(int(np.diff(at).max()), p, q)
-                keys = [piece_keys(h[at[i] : at[i + 1]], bands) for i in first]
-                owner = np.repeat(np.arange(len(first)), [len(k) for k in keys])
-                key = np.concatenate(keys)
-                bucket = ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+                digest, key, owner = classed_keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n, p, q)
+                salt = np.where(np.isin(key, hot), mix(digest)[owner] % np.uint64(SALTS), np.uint64(0))
+                bucket = (mix(key + salt) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 key, owner, bucket = key[order], owner[order], bucket[order]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -157,16 +198,18 @@ def sketched(rows: DataFrame, buckets: int, n: int, p: int, q: int) -> DataFrame
                 for k in np.flatnonzero(np.diff(cut)):
                     i, j = cut[k], cut[k + 1]
                     who, local = np.unique(owner[i:j], return_inverse=True)
-                    for c, v in (("bucket", int(k)), ("classes", digest[first[who]].tobytes()), ("key", key[i:j].tobytes()), ("owner", local.astype("<u2").tobytes())):
+                    for c, v in (("bucket", int(k)), ("classes", digest[who].tobytes()), ("key", key[i:j].tobytes()), ("owner", local.astype("<u2").tobytes())):
                         out[c].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("classes", "key", "owner"))], names=list(out))
+                if out["bucket"]:
+                    yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("classes", "key", "owner"))], names=list(out))
 
     return rows.select("text").mapInArrow(run, "bucket int, classes binary, key binary, owner binary")
 
 
-def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+def candidates(pdf: pd.DataFrame, hot: np.ndarray) -> pd.DataFrame:
     """Pairs of classes (a < b) to verify first, from one bucket of keys; and where
-    `crowded`, the key (a) and class (b) of each class of a key that more than FEW share."""
+    `crowded`, the key (a) and class (b) of each class of a key that is hot or that more
+    than FEW share."""
     size = np.array([len(c) // 8 for c in pdf["classes"]])
     base = np.repeat(np.cumsum(size) - size, [len(o) // 2 for o in pdf["owner"]])
     classes = np.frombuffer(b"".join(pdf["classes"]), np.int64)
@@ -187,9 +230,8 @@ def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
             pairs.append(np.stack([o[:-step][same], o[step:][same]], 1))
 
     _, start, count = np.unique(key, return_index=True, return_counts=True)
-    times = np.repeat(count, count)
-    tie(key[times <= FEW], owner[times <= FEW], FEW - 1)
-    many = times > FEW
+    many = (np.repeat(count, count) > FEW) | np.isin(key, hot)
+    tie(key[~many], owner[~many], FEW - 1)
     if many.any():
         k, o = key[many], owner[many]
         least = np.repeat(owner[start], count)[many]
@@ -202,46 +244,74 @@ def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def crowded_pairs(crowd: DataFrame, classes: DataFrame, roots: DataFrame, p: int, q: int) -> DataFrame:
     """All pairs (a < b) of a crowded key's classes that lie in different components and
-    that sizes and folded sketches allow. crowd: key and class."""
-    words = [f"w{k}" for k in range(FOLD)]
-    there = crowd.join(classes.select("class", "n", *words), "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    there = materialize(there, "jaccard-crowd")
-    open_ = there.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", F.ceil(F.col("m") / CROWD).cast("int").alias("ways"))
-    mine = there.join(open_, "key").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("ways")).cast("int"))
+    that sizes and sketches allow. crowd: key and class."""
+    there = materialize(crowd.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "jaccard-crowd")
+    open_ = there.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", "m", F.ceil(F.col("m") / CROWD).cast("int").alias("ways"))
+    open_ = materialize(open_, "jaccard-open")
+    rows = open_.agg(F.sum(F.col("m") * F.col("ways"))).first()[0]
+    if not rows:
+        discard(there, open_)
+        return None
+    mine = there.join(open_, "key").join(classes.select("class", "n", "sketch"), "class").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("ways")).cast("int"))
     met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
-    buckets = 4 * partitions(crowd.sparkSession)
-    met = met.withColumn("bucket", F.pmod(F.xxhash64("key", "x", "y"), F.lit(buckets)))
+    met = met.withColumn("bucket", F.pmod(F.xxhash64("key", "x", "y"), F.lit(-(-rows // CELL_ROWS) * 4)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "x", "y", "mine"])
         place = pdf[["key", "x", "y"]].to_numpy()
         cut = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1, [len(pdf)]])
-        of, root, n = pdf["class"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy()
-        sketch, left = pdf[words].to_numpy(), (pdf["mine"] == pdf["x"]).to_numpy()
-        same = (pdf["x"] == pdf["y"]).to_numpy()
+        of, root, n, sketch = (pdf[c].to_numpy() for c in ("class", "root", "n", "sketch"))
+        length = np.array([len(x) for x in sketch])
+        left, same = (pdf["mine"] == pdf["x"]).to_numpy(), (pdf["x"] == pdf["y"]).to_numpy()
         out = [np.zeros((0, 2), np.int64)]
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             mid = i if same[i] else i + int(left[i:j].sum())  # of one block both sides are the whole
-            for lo in range(i, j if same[i] else mid, 128):
-                u, v = slice(lo, min(lo + 128, j if same[i] else mid)), slice(mid, j)
-                least, most = np.minimum.outer(n[u], n[v]), np.maximum.outer(n[u], n[v])
-                ok = (root[u, None] != root[v]) & (least * q >= most * p)
-                distance = sum(np.bitwise_count((sketch[u, None, k] ^ sketch[v, k]).view(np.uint64)).astype(np.int64) for k in range(FOLD))
-                a, b = np.nonzero(ok & (distance * (q + p) <= (least + most) * (q - p)))
-                out.append(np.stack([of[u][a], of[v][b]], 1))
+            rows, columns = np.arange(i, j if same[i] else mid), np.arange(mid, j)
+            for m in np.unique(length[rows]):
+                for k in np.unique(length[columns]):
+                    words = min(m, k) // 8
+                    v = columns[length[columns] == k]
+                    right = folds(words_of(sketch[v]), words)
+                    whole = rows[length[rows] == m]
+                    for lo in range(0, len(whole), 128):
+                        u = whole[lo : lo + 128]
+                        distance = np.zeros((len(u), len(v)), np.int64)
+                        ok = (root[u, None] != root[v]) & allowed(n[u, None], n[v], 0, p, q)
+                        if ok.any():
+                            mine = folds(words_of(sketch[u]), words)
+                            for w in range(words):
+                                distance += np.bitwise_count(mine[:, w, None] ^ right[:, w])
+                            a, b = np.nonzero(ok & allowed(n[u, None], n[v], distance, p, q))
+                            out.append(np.stack([of[u[a]], of[v[b]]], 1))
         found = np.unique(np.sort(np.concatenate(out), 1), axis=0)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    return met.select("bucket", "key", "x", "y", "mine", "class", "root", "n", *words).groupBy("bucket").applyInPandas(compare, "a long, b long").distinct()
+    out = materialize(met.select("bucket", "key", "x", "y", "mine", "class", "root", "n", "sketch").groupBy("bucket").applyInPandas(compare, "a long, b long").distinct(), "jaccard-apart")
+    discard(there, open_)
+    return out
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs that sizes and folded sketches allow to be similar enough."""
-    words = [f"w{k}" for k in range(FOLD)]
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), *(F.col(w).alias(f"{w}{c}") for w in words))
-    distance = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
+    """The pairs that sizes and sketches allow to be similar enough."""
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     least, most = F.least("na", "nb"), F.greatest("na", "nb")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where((least * q >= most * p) & (distance * (q + p) <= (least + most) * (q - p))).select("a", "b")
+    sizes = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"))
+    fit = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(least * q >= most * p).select("a", "b")
+
+    def run(batches):
+        for b in batches:
+            a, c, na, nb = (b.column(i).to_numpy() for i in range(4))
+            sa, sb = (np.array(b.column(i).to_pylist() or [b""], object) for i in (4, 5))
+            la, lb = (np.array([len(x) for x in s[: len(a)]], np.int64) for s in (sa, sb))
+            ok = np.zeros(len(a), bool)
+            for m, k in np.unique(np.stack([la, lb], 1), axis=0):
+                at = np.flatnonzero((la == m) & (lb == k))
+                words = min(m, k) // 8
+                distance = np.bitwise_count(folds(words_of(sa[at]), words) ^ folds(words_of(sb[at]), words)).sum(1, dtype=np.int64)
+                ok[at] = allowed(na[at], nb[at], distance, p, q)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], names=["a", "b"])
+
+    return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -259,11 +329,12 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, p: i
     """Links among the pairs, by their full sets: of each task a spanning forest. Pairs are
     dealt by their hub a, a large hub's to several tasks; each set goes straight from one
     text of its class to the tasks that ask for it."""
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    size = ends.join(classes, "class").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 8
+    sizes = lambda c: classes.select(F.col("class").alias(c), (8 * F.col("n")).alias(f"n{c}"))
+    weighed = materialize(pairs.join(sizes("a"), "a").join(sizes("b"), "b"), "jaccard-weighed")
+    hubs = weighed.groupBy("a").agg(F.max("na").alias("own"), F.ceil(F.sum("nb") / SET_BYTES).cast("long").alias("ways"))
+    size = (weighed.agg(F.sum("nb")).first()[0] or 0) + (hubs.agg(F.sum(F.col("own") * F.col("ways"))).first()[0] or 0)  # as sent, each set once a task
     deal = max(1, -(-size // SET_BYTES))
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("long").alias("ways"))
-    dealt = pairs.join(degree, "a").withColumn("block", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("ways"))), F.lit(deal)))
+    dealt = weighed.join(hubs, "a").withColumn("block", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("ways"))), F.lit(deal)))
     dealt = materialize(dealt.select("block", "a", "b"), "jaccard-pairs")
     needed = dealt.select("block", F.col("a").alias("class")).union(dealt.select("block", F.col("b").alias("class")))
     homes = needed.groupBy("class").agg(F.collect_set("block").alias("homes"))
@@ -292,7 +363,9 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, p: i
         a, b = forest(a[ok], b[ok])
         return pd.DataFrame({"a": a, "b": b})
 
-    return dealt.groupBy("block").cogroup(sent.groupBy("home")).applyInPandas(check, "a long, b long")
+    out = materialize(dealt.groupBy("block").cogroup(sent.groupBy("home")).applyInPandas(check, "a long, b long"), "jaccard-links")
+    discard(weighed, dealt, wanted)
+    return out
 
 
 def hooks(pairs: DataFrame) -> DataFrame:
@@ -306,16 +379,22 @@ def linked(pairs: DataFrame, crowd: DataFrame, rows: DataFrame, classes: DataFra
     First each class is tried with its least partner; then all other pairs, and at last
     all of the crowded keys, that this leaves in different components."""
     first = materialize(hooks(pairs), "jaccard-hooks")
-    near = materialize(verified(first, rows, classes, n, p, q), "jaccard-links")
+    near = verified(first, rows, classes, n, p, q)
     roots = closed(near)
     side = lambda c: roots.select(F.col("class").alias(c), F.col("root").alias(f"r{c}"))
     rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    near = near.union(materialize(verified(materialize(rest, "jaccard-rest"), rows, classes, n, p, q), "jaccard-links"))
-    apart = materialize(crowded_pairs(crowd, classes, closed(near), p, q), "jaccard-apart")
-    if apart.isEmpty():
-        return near
-    return near.union(materialize(verified(apart, rows, classes, n, p, q), "jaccard-links"))
+    rest = materialize(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "jaccard-rest")
+    if not rest.isEmpty():
+        near = near.union(verified(rest, rows, classes, n, p, q))
+        discard(roots)
+        roots = closed(near)
+    discard(first, rest)
+    apart = crowded_pairs(crowd, classes, roots, p, q)
+    if apart is None or apart.isEmpty():
+        return roots
+    near = near.union(verified(apart, rows, classes, n, p, q))
+    discard(apart, roots)
+    return closed(near)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,49 +414,54 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
-def closed(links: DataFrame, vertex: str = "class") -> DataFrame:
-    """(vertex, root) of each vertex of the links; equal roots are one component. Each
-    round takes the least root of the neighbours and then the root's own root."""
-    both = materialize(links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct(), "links")
-    roots = materialize(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("root")), "roots")
-    while True:
-        near = both.join(roots.select(F.col("v").alias("w"), "root"), "w").groupBy("v").agg(F.min("root").alias("m"))
-        step = roots.join(near, "v").select("v", "root", F.least("root", "m").alias("m"))
-        jump = roots.select(F.col("v").alias("m"), F.col("root").alias("up"))
-        step = step.join(jump, "m").select("v", "root", F.col("up").alias("m"))
-        step = materialize(step.join(jump, "m").select("v", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "roots")
-        if not step.where("moved").limit(1).count():
-            return step.select(F.col("v").alias(vertex), "root")
-        roots = step.select("v", "root")
+def closed(links: DataFrame) -> DataFrame:
+    """(class, root) of each end of the links; equal roots are one component. Each round
+    takes the least root of the neighbours and then the root's own root."""
+    both = materialize(links.select(F.col("a").alias("class"), F.col("b").alias("w")).union(links.select(F.col("b").alias("class"), F.col("a").alias("w"))).distinct(), "links")
+    roots = materialize(both.groupBy("class").agg(F.min("w").alias("m")).select("class", F.least("class", "m").alias("root"), F.lit(True).alias("moved")), "roots")
+    while not roots.where("moved").isEmpty():
+        near = both.join(roots.select(F.col("class").alias("w"), "root"), "w").groupBy("class").agg(F.min("root").alias("m"))
+        step = roots.join(near, "class").select("class", "root", F.least("root", "m").alias("m"))
+        jump = roots.select(F.col("class").alias("m"), F.col("root").alias("up"))
+        step = step.join(jump, "m").select("class", "root", F.col("up").alias("m"))
+        step = materialize(step.join(jump, "m").select("class", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "roots")
+        discard(roots)
+        roots = step
+    discard(both)
+    return roots
 
 
 def classed(rows: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, k1, k2, n_shingles, class (0: empty set) and folded sketch of each row."""
+    """doc_id, k1, k2, n_shingles, class (0: empty set) and sketch of each row."""
 
     def run(batches):
         for b in batches:
             buf, off = utf8(b.column(3))
             for lo, hi in blocks(off):
                 h, at = shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:3]), pa.array(np.diff(at)), pa.array(digests(h, at).view(np.int64)), *map(pa.array, np.ascontiguousarray(folded(h, at).T))], names=["doc_id", "k1", "k2", "n_shingles", "class", *(f"w{k}" for k in range(FOLD))])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:3]), pa.array(np.diff(at)), pa.array(digests(h, at).view(np.int64)), pa.array(sketches(h, at), pa.binary())], names=["doc_id", "k1", "k2", "n_shingles", "class", "sketch"])
 
-    schema = "doc_id long, k1 long, k2 long, n_shingles long, class long, " + ", ".join(f"w{k} long" for k in range(FOLD))
-    return rows.select("doc_id", "k1", "k2", "text").mapInArrow(run, schema)
+    return rows.select("doc_id", "k1", "k2", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long, class long, sketch binary")
 
 
 def labelled(docs: DataFrame, n: int = N, p: int = NUMERATOR, q: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, k1, k2, n_shingles, class) and distinct classes (class, root, least)."""
-    spark = docs.sparkSession
+    spark = tuned(docs.sparkSession)
     rows = keyed(docs)
     every = materialize(classed(rows, n), "jaccard-classes")
-    classes = every.where("class != 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.max("n_shingles").alias("n"), *(F.max(f"w{k}").alias(f"w{k}") for k in range(FOLD)))
+    classes = every.where("class != 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     classes = materialize(classes, "jaccard-distinct")
-    found = materialize(sketched(rows, partitions(spark), n, p, q).groupBy("bucket").applyInPandas(candidates, "a long, b long, crowded boolean"), "jaccard-found")
+    count, elements = every.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    hot = hot_keys(rows, count, n, p, q)
+    buckets = max(64, 5 * elements // KEY_BYTES)  # a key is 8 bytes and its owner; there is about one to two elements
+    found = materialize(sketched(rows, buckets, hot, n, p, q).groupBy("bucket").applyInPandas(lambda pdf: candidates(pdf, hot), "a long, b long, crowded boolean"), "jaccard-found")
+    release(spark)
     pairs = materialize(plausible(found.where("not crowded").select("a", "b").distinct(), classes, p, q), "jaccard-candidates")
     crowd = found.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("class"))
+    roots = linked(pairs, crowd, rows, classes, n, p, q)
+    discard(found, pairs)
     release(spark)
-    links = linked(pairs, crowd, rows, classes, n, p, q)
-    rooted = classes.join(closed(links), "class", "left")
+    rooted = classes.join(roots, "class", "left")
     return every, rooted.select("class", F.coalesce("root", "class").alias("root"), "least", "one")
 
 

@@ -79,10 +79,71 @@ def test_star_family_is_brute_force(spark):
     assert len(got) == 2001 and {r.component_id for r in got} == {0}
 
 
+def test_families_with_few_links_are_brute_force(spark):
+    """Ten families of 402 texts that share most pieces but are linked in a few pairs only."""
+    rnd, rows, want = random.Random(17), [], {}
+    for f in range(10):
+        base, texts = [f"f{f}w{i}" for i in range(300)], []
+        for k in range(402):
+            words = list(base)
+            for i in rnd.sample(range(300), 3 if k in (100, 300) else 6):
+                words[i] = f"f{f}k{k}i{i}"
+            texts.append(" ".join(words))
+        column = {x: i for i, x in enumerate(sorted(set().union(*map(shingles, texts))))}
+        has = np.zeros((402, len(column)), np.float32)
+        for k, t in enumerate(texts):
+            has[k, [column[x] for x in shingles(t)]] = 1
+        common, size = (has @ has.T).astype(int), has.sum(1).astype(int)
+        links = 100 * common >= 80 * (size[:, None] + size - common)
+        root = list(range(402))
+        for i, j in zip(*np.nonzero(links), strict=True):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        rows += [(1000 * f + k, t) for k, t in enumerate(texts)]
+        want |= {1000 * f + k: 1000 * f + r for k, r in enumerate(root)}
+    got = {r.doc_id: r.component_id for r in paritysketch.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want
+    assert sum(a != b for a, b in want.items()) >= 10
+
+
+def test_hollow_sets_share_a_key():
+    """Sets with more empty pieces than the slack, elements crowded into few pieces."""
+    rng = np.random.default_rng(4)
+    bands = paritysketch.Bands(4000, 80, 100)
+    for size in (40, 300, 1000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**58, size, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: -(size // 20)], rng.integers(0, 2**64, size // 20, dtype=np.uint64)]))
+            assert len(np.intersect1d(paritysketch.piece_keys(a, bands), paritysketch.piece_keys(b, bands)))
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(6)
+    a = np.unique(rng.integers(0, 2**64, 900, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[100:], rng.integers(0, 2**64, 60, dtype=np.uint64)]))
+    c = np.unique(np.concatenate([a, rng.integers(0, 2**64, 200, dtype=np.uint64)]))
+    x, y, z = paritysketch.sketches(np.concatenate([a, b, c]), np.cumsum([0, len(a), len(b), len(c)]))
+    assert len(x) == len(y) == 256 and len(z) == 512
+    near = int(np.bitwise_count(paritysketch.words_of([x]) ^ paritysketch.words_of([y])).sum())
+    assert 130 < near <= 160
+    far = int(np.bitwise_count(paritysketch.words_of([x]) ^ paritysketch.folds(paritysketch.words_of([z]), 32)).sum())
+    assert 170 < far <= 200
+
+
+def test_hot_pieces_keep_their_pairs(spark, monkeypatch):
+    rnd = random.Random(5)
+    family = [f"f{rnd.randrange(9000)}" for _ in range(120)]
+    rows = [(i, edited(rnd, family, 0.02), "en", "s", 1) for i in range(300)]
+    monkeypatch.setattr(paritysketch, "HOT", 4)
+    got = sorted(tuple(r) for r in paritysketch.components(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)).collect())
+    assert got == brute(rows)
+
+
 def test_crowded_pairs_meet_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(paritysketch, "CROWD", 7)
     crowd = spark.createDataFrame([(1, c) for c in range(1, 41)] + [(2, c) for c in range(30, 50)] + [(3, c) for c in range(60, 80)], "key long, class long")
-    classes = spark.createDataFrame([(c, 100 + c % 3 * 20, *(c % 5 * 7 for _ in range(paritysketch.FOLD))) for c in range(1, 90)], "class long, n long, " + ", ".join(f"w{k} long" for k in range(paritysketch.FOLD)))
+    words = lambda c: [c % 5 * 7] * 4 + [0] * (4 * (c % 3 == 0))  # noqa: E731  the longer ones fold to the same
+    classes = spark.createDataFrame([(c, 100 + c % 3 * 20, bytearray(np.array(words(c), "<u8").tobytes())) for c in range(1, 90)], "class long, n long, sketch binary")
     root = lambda c: 60 if 60 <= c < 80 else c - c % 2 or c
     roots = spark.createDataFrame([(c, root(c)) for c in range(1, 90) if c % 10], "class long, root long")
     got = {tuple(r) for r in paritysketch.crowded_pairs(crowd, classes, roots, 80, 100).collect()}
@@ -91,7 +152,7 @@ def test_crowded_pairs_meet_across_blocks(spark, monkeypatch):
         for b in range(a + 1, 90):
             ra, rb = (root(x) if x % 10 else x for x in (a, b))
             na, nb = (100 + x % 3 * 20 for x in (a, b))
-            d = paritysketch.FOLD * bin(a % 5 * 7 ^ b % 5 * 7).count("1")
+            d = 4 * bin(a % 5 * 7 ^ b % 5 * 7).count("1")
             if any(a in k and b in k for k in key) and ra != rb and 100 * min(na, nb) >= 80 * max(na, nb) and 180 * d <= 20 * (na + nb):
                 want.add((a, b))
     assert got == want and len(want) > 300
