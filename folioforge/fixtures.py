@@ -69,12 +69,36 @@ VECTORS = (
 )
 
 
-def asked(t, n: int = 10) -> DataFrame:
-    """Query vectors: the first n ids."""
-    return t.embeddings.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query"))
+def asked(t) -> DataFrame:
+    """Query vectors: every row whose id is divisible by 50."""
+    return t.embeddings.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query"))
 
 
-ASKED = "(SELECT vec_id AS query_id, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id < 10)"
+ASKED = "(SELECT vec_id AS query_id, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id % 50 = 0)"
+
+
+def intents(t) -> DataFrame:
+    """The queries with what their questions ask for: some an author (one that nobody
+    has among them), some a language, all a chapter; the words come from a document."""
+    q = F.col("query_id")
+    author = F.when(q % 150 == 0, F.concat(F.lit("SRC"), (F.floor(q / 50) % 5).cast("string"))).when(q % 150 == 50, "nobody")
+    words = t.documents.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 300).alias("text"))
+    return asked(t).select("query_id", "query", author.alias("author"), F.when(q % 100 == 0, "en").alias("language"), (F.floor(q / 50) % 3).cast("int").alias("chapter")).join(words, "query_id", "left")
+
+
+INTENTS = (
+    "(SELECT query_id, query, CASE WHEN query_id % 150 = 0 THEN 'SRC' || (query_id // 50) % 5 WHEN query_id % 150 = 50 THEN 'nobody' END AS author, CASE WHEN query_id % 100 = 0 THEN 'en' END AS language, "
+    f"CAST((query_id // 50) % 3 AS INTEGER) AS chapter, left(d.text, 300) AS text FROM {ASKED} a LEFT JOIN documents d ON d.doc_id = a.query_id)"
+)
+
+
+def contents(t) -> DataFrame:
+    """The text of each stored vector row: 400 characters of its document."""
+    rows = vectors(t).select("chunk_id", "doc_id", "chunk_number").join(t.documents.select("doc_id", "text"), "doc_id")
+    return rows.select("chunk_id", F.substring("text", F.col("chunk_number") * 400 + 1, F.lit(400)).alias("content"))
+
+
+CONTENTS = f"(SELECT v.chunk_id, substr(d.text, v.chunk_number * 400 + 1, 400) AS content FROM {VECTORS} v JOIN documents d USING (doc_id))"
 
 
 def executions(t) -> DataFrame:

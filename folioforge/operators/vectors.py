@@ -1,8 +1,9 @@
 """Exact vector search, fusion and ranking over stored vector rows.
 
-Queries are a small stated set and travel as a broadcast only because callers bound
-them; rows of the store are never paired with each other. Ranks carry explicit ties:
-distance, then chunk id.
+Queries are a stated set. They are counted: up to QUERIES travel to all tasks, more are
+dealt to blocks, and each block meets each part of the rows in a task of its own. Rows of
+the store are never paired with each other. Ranks carry explicit ties: distance, then
+chunk id.
 """
 
 from __future__ import annotations
@@ -10,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import let
+
+#: Queries that may travel to all tasks at once; more are dealt to blocks of as many.
+QUERIES = 1024
+
 
 def folded(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -31,11 +37,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) == 0) | (norm(b) == 0), F.lit(0.0)).otherwise(dot(a, b) / (norm(a) * norm(b)))
 
 
-def let(value: Column, body) -> Column:
-    """body of the value, which is computed once however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def unit(a: Column) -> Column:
     return let(a, lambda v: let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
 
@@ -49,17 +50,36 @@ def ranked(df: DataFrame, keys: list, order: list, k: int, name: str = "rank") -
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", keys: tuple[str, ...] = ()) -> DataFrame:
+def paired(rows: DataFrame, queries: DataFrame, itself: bool = False) -> DataFrame:
+    """Each row with each query (but for the one of its own id, unless `itself`), in blocks
+    of queries."""
+    other, n = (F.lit(True) if itself else F.col("chunk_id") != F.col("query_id")), queries.count()
+    if n <= QUERIES:
+        return rows.join(F.broadcast(queries), other)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERIES)))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = rows.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // QUERIES) - 1))).cast("long"))
+    return met.join(dealt, ["_part", "_block"]).where(other).drop("_part", "_block")
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", keys: tuple[str, ...] = (), allowed: DataFrame | None = None) -> DataFrame:
     """query_id, the row's columns, distance and rank of the k nearest rows of each query
-    (and each value of `keys`, such as the collection), other than the query itself."""
+    (and each value of `keys`, such as the collection), other than the query itself. With
+    `allowed` (query_id, doc_id), a query that it names sees rows of its documents only."""
     d = squared_l2(F.col("query"), F.col("embedding")) if metric == "l2" else 1 - cosine(F.col("query"), F.col("embedding"))
-    pairs = rows.join(F.broadcast(queries), F.col("chunk_id") != F.col("query_id")).withColumn("distance", d)
-    return ranked(pairs.drop("embedding", "query"), ["query_id", *keys], [F.col("distance"), F.col("chunk_id")], k)
+    queries = queries.select("query_id", "query")
+    if allowed is None:
+        pairs = paired(rows, queries)
+    else:
+        bound = allowed.select("query_id").distinct()
+        some = rows.join(allowed, "doc_id").join(queries, "query_id").where("chunk_id <> query_id")
+        pairs = paired(rows, queries.join(bound, "query_id", "left_anti")).unionByName(some)
+    return ranked(pairs.withColumn("distance", d).drop("embedding", "query"), ["query_id", *keys], [F.col("distance"), F.col("chunk_id")], k)
 
 
-def over_collections(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def over_collections(rows: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """k of each collection, then the k most similar of all, ties by collection and rank there."""
-    hits = nearest(rows, queries, min(k, 100), keys=("collection_ord",)).withColumnRenamed("rank", "dist_rank").withColumn("similarity", similarity(F.col("distance")))
+    hits = nearest(rows, queries, min(k, 100), keys=("collection_ord",), allowed=allowed).withColumnRenamed("rank", "dist_rank").withColumn("similarity", similarity(F.col("distance")))
     return ranked(hits, ["query_id"], [F.desc("similarity"), F.col("collection_ord"), F.col("dist_rank")], k, "hit_rank")
 
 
@@ -100,17 +120,52 @@ def final_score(similarity: Column, rerank: Column, author_hit: Column, chapter_
 MODES = {"fast": (10, 5, False, False), "balanced": (20, 10, True, False), "accurate": (50, 20, True, True), "thorough": (100, 50, True, True)}
 
 
-def retrieve(rows: DataFrame, queries: DataFrame, documents: DataFrame, mode: str) -> DataFrame:
-    """The retrieval pipeline: search, expand, cut, score, order; one plan for all queries."""
-    initial, final, expands, _ = MODES[mode]
-    hits = over_collections(rows, queries, initial)
+def filtered(queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """query_id, doc_id of the documents that fit each query's author (a part of the name,
+    without case) and language, where it names any. A query that fits none isn't filtered,
+    so it has no row here. Queries are few against documents; each kind of filter is met
+    by its distinct values only."""
+    asks = queries.where(F.col("author").isNotNull() | F.col("language").isNotNull()).select("query_id", F.lower("author").alias("wanted"), F.col("language").alias("spoken"))
+    named = documents.select("author", "language").distinct().join(F.broadcast(asks) if asks.count() <= QUERIES else asks, (F.col("wanted").isNull() | F.contains(F.lower("author"), F.col("wanted"))) & (F.col("spoken").isNull() | (F.col("language") == F.col("spoken"))))
+    return documents.select("doc_id", "author", "language").join(named.select("query_id", "author", "language"), ["author", "language"]).select("query_id", "doc_id")
+
+
+def reranked(hits: DataFrame, texts: DataFrame, queries: DataFrame, k: int, score=overlap) -> DataFrame:
+    """The k hits of each query whose texts score best against its words (ties by position),
+    with that score and their new position; texts: chunk_id, content."""
+    rows = hits.join(texts, "chunk_id", "left").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
+    rows = rows.withColumn("rerank", score(F.coalesce("question", F.lit("")), F.coalesce("content", F.lit("")))).drop("content", "question")
+    return ranked(rows, ["query_id"], [F.desc("rerank"), F.col("position")], k, "place").drop("position").withColumnRenamed("place", "position")
+
+
+def retrieve(rows: DataFrame, queries: DataFrame, documents: DataFrame, mode: str, texts: DataFrame | None = None, score=overlap) -> DataFrame:
+    """The retrieval pipeline: filter, search, expand, rerank or cut, score with boosts,
+    order; one plan for all queries. queries may carry author, language, chapter and the
+    question's text; documents author, language and summary; rows chapter. Modes that
+    rerank do so where the chunks' texts are given."""
+    initial, final, expands, reranks = MODES[mode]
+    has = set(queries.columns)
+    for name, kind in (("author", "string"), ("language", "string"), ("chapter", "int"), ("text", "string")):
+        queries = queries if name in has else queries.withColumn(name, F.lit(None).cast(kind))
+    allowed = filtered(queries, documents) if has & {"author", "language"} else None
+    hits = over_collections(rows, queries, initial, allowed)
     if expands:
         near = rows.where(F.col("collection_ord").isin(0, 1, 2)).withColumn("priority", F.when(F.col("collection_ord") == 0, 0).when(F.col("collection_ord") == 2, 1).otherwise(2))
         near = ranked(near, ["doc_id", "chunk_number"], [F.col("priority"), F.col("chunk_id")], 1, "first")
         hits = expanded(hits, near)
     else:
         hits = hits.withColumn("position", F.col("hit_rank"))
-    cut = hits.where(F.col("position") <= final)
-    cut = cut.withColumn("score", final_score(F.col("similarity"), F.lit(0.0), F.lit(False), F.lit(False), F.lit(False)))
+    if reranks and texts is not None:
+        cut = reranked(hits, texts, queries, final, score)
+    else:
+        cut = hits.where(F.col("position") <= final).withColumn("rerank", F.lit(0.0))
+    known = documents.select("doc_id", "title", *([c for c in ("author", "summary") if c in documents.columns]))
+    cut = cut.join(known, "doc_id", "left").join(queries.select("query_id", F.lower("author").alias("wanted"), F.col("chapter").alias("asked_chapter")), "query_id")
+    author = F.contains(F.lower("author"), F.col("wanted")) if "author" in known.columns else F.lit(False)
+    chapter = F.col("chapter") == F.col("asked_chapter") if "chapter" in rows.columns else F.lit(False)
+    if "chapter" in rows.columns and "chapter" not in cut.columns:
+        cut = cut.join(rows.select("chunk_id", "chapter"), "chunk_id", "left")
+    summary = F.coalesce(F.col("summary"), F.lit("")) != "" if "summary" in known.columns else F.lit(False)
+    cut = cut.withColumn("score", final_score(F.col("similarity"), F.col("rerank"), author, chapter, summary))
     out = ranked(cut, ["query_id"], [F.desc("score"), F.col("position")], final)
-    return out.join(documents.select("doc_id", "title"), "doc_id", "left").select("query_id", "rank", "chunk_id", "doc_id", "chunk_number", F.coalesce("title", F.lit("Unknown")).alias("title"), F.round("score", 6).alias("score"))
+    return out.select("query_id", "rank", "chunk_id", "doc_id", "chunk_number", F.coalesce("title", F.lit("Unknown")).alias("title"), F.round("score", 6).alias("score"))

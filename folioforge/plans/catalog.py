@@ -57,9 +57,9 @@ def _(t):
     return fx.vectors(t).select("doc_id", F.floor(F.col("chunk_number") / 2).cast("int").alias("chapter_num")).distinct()
 
 
-@query("cat_surrounding", f"SELECT a.chunk_id AS target, b.chunk_id, b.chunk_number FROM {fx.VECTORS} a JOIN {fx.VECTORS} b ON a.doc_id = b.doc_id AND b.chunk_number BETWEEN greatest(0, a.chunk_number - 1) AND a.chunk_number + 1 WHERE a.chunk_id % 7 = 0")
+@query("cat_surrounding", f"SELECT a.chunk_id AS target, b.chunk_id, b.chunk_number FROM {fx.VECTORS} a JOIN {fx.VECTORS} b ON a.doc_id = b.doc_id AND b.chunk_number BETWEEN greatest(0, a.chunk_number - 1) AND a.chunk_number + 1")
 def _(t):
-    return op.surrounding(fx.vectors(t).where("chunk_id % 7 = 0"), fx.vectors(t), 1).select("target", "chunk_id", "chunk_number")
+    return op.surrounding(fx.vectors(t), fx.vectors(t), 1).select("target", "chunk_id", "chunk_number")
 
 
 @query("cat_stats", f"SELECT count(*) AS documents, (SELECT count(*) FROM {fx.VECTORS}) AS chunks, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS tokens FROM {C}")

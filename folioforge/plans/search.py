@@ -51,8 +51,8 @@ def _(t):
     return op.nearest(fx.vectors(t).where("collection = 'documents'"), fx.asked(t), 3).select("query_id", "rank", "chunk_id", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
-def multi(k: int, rows: str = V) -> str:
-    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, collection_ord, dist_rank) AS hit_rank FROM (SELECT *, {SIM} AS similarity FROM {knn(min(k, 100), keys=', collection_ord', rows=rows, name='dist_rank')})) WHERE hit_rank <= {k})"
+def multi(k: int, rows: str = V, where: str = "true") -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, collection_ord, dist_rank) AS hit_rank FROM (SELECT *, {SIM} AS similarity FROM {knn(min(k, 100), where=where, keys=', collection_ord', rows=rows, name='dist_rank')})) WHERE hit_rank <= {k})"
 
 
 @query("knn_multi_collection", f"SELECT query_id, hit_rank, chunk_id, collection, round(similarity, 6) AS similarity FROM {multi(10)}")
@@ -122,10 +122,9 @@ def _(t):
     return t.embeddings.select("vec_id", op.unit(e).alias("u")).select("vec_id", F.round(op.norm(F.col("u")), 6).alias("length"), F.round(F.col("u")[0], 6).alias("first"))
 
 
-@query("emb_similarity", f"SELECT query_id, chunk_id, round(1 - ({COS}), 6) AS similarity FROM {V} v JOIN {Q} q ON v.chunk_id BETWEEN q.query_id + 1 AND q.query_id + 20")
+@query("emb_similarity", f"SELECT query_id, chunk_id, round(1 - ({COS}), 6) AS similarity FROM {V} v JOIN {Q} q ON v.chunk_id <> q.query_id")
 def _(t):
-    near = fx.asked(t).withColumn("chunk_id", F.explode(F.sequence(F.col("query_id") + 1, F.col("query_id") + 20)))
-    return fx.vectors(t).join(near, "chunk_id").select("query_id", "chunk_id", F.round(op.cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
+    return op.paired(fx.vectors(t), fx.asked(t)).select("query_id", "chunk_id", F.round(op.cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
 
 
 EMB_DDL = "name string, device string, configured int"
@@ -166,25 +165,50 @@ def _(t):
 NEAR = f"(SELECT doc_id, chunk_number, chunk_id AS near_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_number ORDER BY CASE collection_ord WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END, chunk_id) AS first FROM {V} WHERE collection_ord IN (0, 1, 2)) WHERE first = 1)"
 
 
-def expand(k: int) -> str:
+def expand(k: int, where: str = "true") -> str:
     return f"""(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_rank, slot) AS position FROM (
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, chunk_number ORDER BY hit_rank, slot) AS visit FROM (
         SELECT h.query_id, h.doc_id, h.chunk_number + s.slot - 1 AS chunk_number, h.hit_rank, s.slot, CASE WHEN s.slot = 1 THEN h.chunk_id ELSE n.near_id END AS chunk_id, CASE WHEN s.slot = 1 THEN h.similarity ELSE 0.7::DOUBLE * h.similarity END AS similarity
-        FROM {multi(k)} h CROSS JOIN (SELECT unnest([0, 1, 2]) AS slot) s LEFT JOIN {NEAR} n ON n.doc_id = h.doc_id AND n.chunk_number = h.chunk_number + s.slot - 1
+        FROM {multi(k, where=where)} h CROSS JOIN (SELECT unnest([0, 1, 2]) AS slot) s LEFT JOIN {NEAR} n ON n.doc_id = h.doc_id AND n.chunk_number = h.chunk_number + s.slot - 1
         WHERE h.chunk_number + s.slot - 1 >= 0 AND (s.slot = 1 OR n.near_id IS NOT NULL))) WHERE visit = 1))"""
 
 
+# What the survey says of the whole pipeline: filter, search, expansion, rerank or cut, boosts, order.
+ALLOWED = f"(SELECT q.query_id, d.doc_id FROM {fx.INTENTS} q JOIN {C} d ON (q.author IS NULL OR contains(lower(d.author), lower(q.author))) AND (q.language IS NULL OR d.language = q.language) WHERE q.author IS NOT NULL OR q.language IS NOT NULL)"
+FILTERED = f"(NOT EXISTS (SELECT 1 FROM {ALLOWED} a WHERE a.query_id = q.query_id) OR EXISTS (SELECT 1 FROM {ALLOWED} a WHERE a.query_id = q.query_id AND a.doc_id = v.doc_id))"
+WORDS = r"list_distinct(list_filter(string_split_regex(lower({0}), '\s+'), lambda w: w <> ''))"
+
+
+def over(q: str, text: str) -> str:
+    return f"CASE WHEN len({WORDS.format(q)}) = 0 THEN 0 ELSE len(list_intersect({WORDS.format(q)}, {WORDS.format(text)}))::DOUBLE / len({WORDS.format(q)}) END"
+
+
+def rerank(hits: str, k: int) -> str:
+    scored_ = f"SELECT h.*, {over('coalesce(q.text, $$$$)', 'coalesce(t.content, $$$$)')} AS rerank FROM {hits} h LEFT JOIN {fx.CONTENTS} t ON t.chunk_id = h.chunk_id JOIN {fx.INTENTS} q ON q.query_id = h.query_id"
+    return f"(SELECT * REPLACE (place AS position) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, position) AS place FROM ({scored_})) WHERE place <= {k})"
+
+
 def pipeline(mode: str) -> str:
-    initial, final, expands, _ = op.MODES[mode]
-    hits = expand(initial) if expands else f"(SELECT *, hit_rank AS position FROM {multi(initial)})"
-    return f"SELECT query_id, rank, chunk_id, r.doc_id, chunk_number, coalesce(title, 'Unknown') AS title, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS rank FROM (SELECT *, least(similarity, 1.0::DOUBLE) AS score FROM {hits} WHERE position <= {final})) r LEFT JOIN {C} c ON c.doc_id = r.doc_id"
+    initial, final, expands, reranks = op.MODES[mode]
+    hits = expand(initial, FILTERED) if expands else f"(SELECT *, hit_rank AS position FROM {multi(initial, where=FILTERED)})"
+    hits = rerank(hits, final) if reranks else f"(SELECT *, 0.0::DOUBLE AS rerank FROM {hits} WHERE position <= {final})"
+    score = "least(CASE WHEN rerank > 0 THEN 0.4::DOUBLE * similarity + 0.6::DOUBLE * rerank ELSE similarity END * CASE WHEN contains(lower(c.author), lower(q.author)) THEN 1.2::DOUBLE ELSE 1 END * CASE WHEN h.chunk_number // 2 = q.chapter THEN 1.15::DOUBLE ELSE 1 END * CASE WHEN h.doc_id % 4 = 0 AND c.doc_id IS NOT NULL THEN 1.05::DOUBLE ELSE 1 END, 1.0::DOUBLE)"
+    rows = f"SELECT h.query_id, h.chunk_id, h.doc_id, h.chunk_number, h.position, c.title, {score} AS score FROM {hits} h LEFT JOIN {C} c ON c.doc_id = h.doc_id JOIN {fx.INTENTS} q ON q.query_id = h.query_id"
+    return f"SELECT query_id, rank, chunk_id, doc_id, chunk_number, coalesce(title, 'Unknown') AS title, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS rank FROM ({rows}))"
+
+
+def retrieved(t, mode: str):
+    """Chapters are pairs of chunks; every fourth document has a summary."""
+    rows = fx.vectors(t).withColumn("chapter", F.floor(F.col("chunk_number") / 2).cast("int"))
+    documents = fx.catalog(t).withColumn("summary", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("About "), "title")))
+    return op.retrieve(rows, fx.intents(t), documents, mode, fx.contents(t))
 
 
 for _mode in op.MODES:
 
     @query(f"ret_pipeline_{_mode}", pipeline(_mode))
     def _(t, mode=_mode):
-        return op.retrieve(fx.vectors(t), fx.asked(t), fx.catalog(t), mode)
+        return retrieved(t, mode)
 
 
 @query("ret_semantic", f"SELECT query_id, chunk_id, round(similarity, 6) AS similarity FROM {multi(20)}")
@@ -217,32 +241,34 @@ def _(t):
     return op.ranked(scored(t).withColumn("r", F.round("score", 6)), ["query_id"], [F.desc("r"), F.col("chunk_id")], 1 << 30, "place").select("query_id", "chunk_id", "place")
 
 
-@query("ret_rerank_stage", f"SELECT query_id, chunk_id, position FROM {expand(50)} WHERE position <= 20")
+@query("ret_rerank_stage", f"SELECT query_id, chunk_id, position, round(rerank, 6) AS rerank FROM {rerank(expand(50), 20)}")
 def _(t):
     rows = fx.vectors(t)
     near = op.ranked(rows.where("collection_ord IN (0, 1, 2)").withColumn("p", F.when(F.col("collection_ord") == 0, 0).when(F.col("collection_ord") == 2, 1).otherwise(2)), ["doc_id", "chunk_number"], [F.col("p"), F.col("chunk_id")], 1, "first")
-    return op.expanded(op.over_collections(rows, fx.asked(t), 50), near).where("position <= 20").select("query_id", "chunk_id", "position")
+    hits = op.expanded(op.over_collections(rows, fx.asked(t), 50), near)
+    return op.reranked(hits, fx.contents(t), fx.intents(t), 20).select("query_id", "chunk_id", "position", F.round("rerank", 6).alias("rerank"))
 
 
 @query("ret_stats", f"SELECT query_id, count(*) AS final_count, count(DISTINCT title) AS titles, round(max(score), 6) AS best FROM ({pipeline('balanced')}) GROUP BY query_id")
 def _(t):
-    return op.retrieve(fx.vectors(t), fx.asked(t), fx.catalog(t), "balanced").groupBy("query_id").agg(F.count("*").alias("final_count"), F.countDistinct("title").alias("titles"), F.max("score").alias("best"))
+    return retrieved(t, "balanced").groupBy("query_id").agg(F.count("*").alias("final_count"), F.countDistinct("title").alias("titles"), F.max("score").alias("best"))
 
 
 @query("ret_format", f"SELECT query_id, string_agg('[' || rank || '] Score: ' || printf('%.3f', score) || ' Title: ' || title, chr(10) ORDER BY rank) AS shown FROM ({pipeline('balanced')}) GROUP BY query_id")
 def _(t):
-    rows = op.retrieve(fx.vectors(t), fx.asked(t), fx.catalog(t), "balanced")
+    rows = retrieved(t, "balanced")
     line = F.format_string("[%d] Score: %.3f Title: %s", "rank", "score", "title")
     return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l")).select("query_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("shown"))
 
 
-@query("ret_metadata_filter", f"SELECT q.id, d.doc_id FROM {values([(1, 'src3'), (2, 'nobody'), (3, 'src5')], 'id int, author string')} q JOIN {C} d ON d.author = q.author OR NOT EXISTS (SELECT 1 FROM {C} x WHERE x.author = q.author)")
+@query("ret_metadata_filter", f"SELECT query_id, doc_id FROM {ALLOWED} UNION ALL SELECT query_id, NULL FROM {fx.INTENTS} WHERE query_id NOT IN (SELECT query_id FROM {ALLOWED})")
 def _(t):
-    """Documents of each question's author; a question that matches none is not filtered."""
-    asked, docs = inline(t, [(1, "src3"), (2, "nobody"), (3, "src5")], "id int, author string"), fx.catalog(t).select("doc_id", "author")
-    hit = docs.join(F.broadcast(asked), "author").select("id", "doc_id")
-    free = asked.join(docs, "author", "left_anti").select("id")
-    return hit.union(docs.select("doc_id").join(F.broadcast(free)).select("id", "doc_id"))
+    """Documents of each question's author and language; null for a question that asks for
+    none or fits none, which is not filtered."""
+    questions = fx.intents(t)
+    allowed = op.filtered(questions, fx.catalog(t))
+    free = questions.join(allowed, "query_id", "left_anti").select("query_id", F.lit(None).cast("long").alias("doc_id"))
+    return allowed.unionByName(free)
 
 
 @query("ret_context_window", f"SELECT chunk_id, (i - 1) AS idx, n AS total, i > 1 AS can_prev, i < n AS can_next, round(i / n::DOUBLE, 6) AS progress, greatest(i - 2, 1) - 1 AS from_idx, least(i + 2, n) - 1 AS to_idx FROM (SELECT chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_number) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM {V})")
@@ -274,16 +300,19 @@ def _(t):
     return t.documents.select(made.alias("chunk_id")).select("chunk_id", F.regexp_extract("chunk_id", "^(.*)_chunk_", 1).alias("doc"))
 
 
-# Reranking: benchmark items ask, documents of one source answer.
-WORDS = r"list_distinct(list_filter(string_split_regex(lower({0}), '\s+'), lambda w: w <> ''))"
-OVER = f"CASE WHEN len({WORDS.format('q')}) = 0 THEN 0 ELSE len(list_intersect({WORDS.format('q')}, {WORDS.format('text')}))::DOUBLE / len({WORDS.format('q')}) END"
-PAIRS = f"(SELECT item_id, doc_id, text, {OVER} AS overlap FROM (SELECT item_id, text AS q FROM benchmark WHERE item_id < 10) b, (SELECT doc_id, text FROM documents WHERE source = 'src3') d)"
+# Reranking: benchmark items with ids divisible by 50 ask, all documents answer.
+PAIRS = f"(SELECT item_id, doc_id, text, {over('q', 'text')} AS overlap FROM (SELECT item_id, text AS q FROM benchmark WHERE item_id % 50 = 0) b, (SELECT doc_id, text FROM documents) d)"
+
+
+def questioned(t):
+    """Each document with each question, in blocks of questions."""
+    asked = t.benchmark.where(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    rows = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
+    return op.paired(rows, asked, itself=True).withColumnsRenamed({"query_id": "item_id", "chunk_id": "doc_id"})
 
 
 def overlaps(t):
-    asked = t.benchmark.where("item_id < 10").select("item_id", F.col("text").alias("q"))  # ten stated questions
-    rows = t.documents.where("source = 'src3'").select("doc_id", "text").join(F.broadcast(asked))
-    return rows.withColumn("overlap", op.overlap(F.col("q"), F.col("text")))
+    return questioned(t).withColumn("overlap", op.overlap(F.col("q"), F.col("text")))
 
 
 @query("rerank_overlap", f"SELECT item_id, doc_id, round(overlap, 6) AS overlap FROM {PAIRS}")

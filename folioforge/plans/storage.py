@@ -8,6 +8,7 @@ from folioforge import fixtures as fx
 from folioforge.functions import providers, text
 from folioforge.operators import sessions as sess
 from folioforge.operators import vectors as vec
+from folioforge.plans.search import questioned
 from folioforge.plans.registry import inline, query, values
 from folioforge.session import fresh_path
 from folioforge.sources import files
@@ -155,8 +156,7 @@ def _(t):
 
 @query("rerank_cross")
 def _(t):
-    asked = t.benchmark.where("item_id < 3").select("item_id", F.col("text").alias("q"))  # three stated questions
-    pairs = t.documents.where("source = 'src3'").select("doc_id", "text").join(F.broadcast(asked))
+    pairs = questioned(t)
     ranked = vec.ranked(pairs.withColumn("score", providers.scored()(F.col("q"), F.col("text"))), ["item_id"], [F.desc("score"), F.col("doc_id")], 5)
     return ranked.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
