@@ -10,17 +10,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from folioforge.operators.vectors import let, unit
+from folioforge.functions.text import let
+from folioforge.operators.vectors import unit
 
 DIMS = 64
 
 
-def hashed(text: Column, dims: int = DIMS) -> Column:
-    """Bag of words hashed to signed buckets, unit length; a blank text is the zero vector."""
+def hashed(text: Column, dims: int = DIMS, normalise: bool = True) -> Column:
+    """Bag of words hashed to buckets, of unit length if `normalise`; a blank text is the
+    zero vector."""
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
     bucket = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
     counts = let(bucket, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(all_, lambda b: b == i)).cast("double")))
-    return unit(counts)
+    return unit(counts) if normalise else counts
 
 
 def batched(encode=None, batch: int = 64):

@@ -8,11 +8,11 @@ from folioforge import fixtures as fx
 from folioforge.functions import providers, text
 from folioforge.operators import sessions as sess
 from folioforge.operators import vectors as vec
-from folioforge.plans.search import questioned
 from folioforge.plans.registry import inline, query, values
+from folioforge.plans.search import PAIRS, questioned
 from folioforge.session import fresh_path
-from folioforge.sources import files
-from folioforge.sources.store import Store
+from folioforge.sources import files, pdf
+from folioforge.sources.store import Store, updated
 from folioforge.streaming import requests
 
 V = fx.VECTORS
@@ -24,21 +24,46 @@ def stored(t, rows=None) -> Store:
     return store
 
 
-@query("src_text_read", "SELECT count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents WHERE doc_id < 20")
+@query("src_text_read", "SELECT count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents WHERE text <> ''")
 def _(t):
-    """Texts written as files and read back."""
+    """All texts written as files, many to a file, and read back."""
     path = fresh_path(t.spark, "texts")
-    t.documents.where("doc_id < 20").select("text", F.col("doc_id").alias("d")).repartition("d").write.partitionBy("d").option("lineSep", "\u0001").text(path)
+    t.documents.where("text <> ''").select("text").write.option("lineSep", "\u0001").option("maxRecordsPerFile", 10_000).text(path)
     rows = files.texts(t.spark, path).select(F.explode(F.split("text", "\u0001")).alias("x")).where("x <> ''")
-    return rows.agg(F.count("*").alias("files"), F.sum(F.length("x")).alias("characters"))
+    return rows.agg(F.count("*").alias("texts"), F.sum(F.length("x")).alias("characters"))
 
 
-@query("src_pdf_read")
+# One PDF for each document: 40 lines a page.
+LINES = "(SELECT doc_id, (i - 1) // 40 AS page, i, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
+PAGES = f"(SELECT doc_id, page, string_agg(line, chr(10) ORDER BY i) AS body FROM {LINES} GROUP BY ALL)"
+
+
+def sql_pdf(page: str) -> str:
+    return f"SELECT d.doc_id, p.text, CASE WHEN p.text IS NULL THEN 'error' ELSE 'success' END AS status FROM documents d LEFT JOIN (SELECT doc_id, string_agg({page}, chr(10) || chr(10) ORDER BY page) AS text FROM {PAGES} WHERE trim(body, ' ' || chr(9) || chr(10)) <> '' GROUP BY doc_id) p USING (doc_id)"
+
+
+def printed(t):
+    """The documents as PDF files: doc_id, path, content."""
+    rows = t.documents.select("doc_id", F.concat(F.lit("/docs/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.split("text", "\n").alias("lines"))
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 40).cast("int")), lambda k: F.slice("lines", k * 40 + 1, F.lit(40)))
+    return rows.select("doc_id", "path", pages.alias("pages")).mapInPandas(pdf.printed, "doc_id long, path string, content binary")
+
+
+def read_back(t, numbered: bool):
+    made = printed(t).withColumn("doc", F.col("doc_id"))
+    return files.pdf_texts(made, numbered=numbered).select(F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long").alias("doc_id"), "text", "status")
+
+
+@query("src_pdf_read", sql_pdf("body"))
+def _(t):
+    """Pages of text joined by blank lines, blank pages left out."""
+    return read_back(t, False)
+
+
+@query("src_pdf_marked", sql_pdf("'[Page ' || page + 1 || ']' || chr(10) || body"))
 def _(t):
-    """No PDF library here: the default reader finds no text, a provider may."""
-    path = fresh_path(t.spark, "pdfs")
-    t.documents.where("doc_id < 3").select("text").write.text(path)
-    return files.pdfs(t.spark, path)
+    """The second reader: kept pages begin with their number, blank ones counted."""
+    return read_back(t, True)
 
 
 META_DDL = "path string, title string, author string"
@@ -51,14 +76,17 @@ def _(t):
     return files.pdf_metadata(raw).select("path", "title", "author")
 
 
-@query("stream_requests")
+_asked = "(SELECT doc_id, trim(text, ' ' || chr(9) || chr(10)) AS text FROM documents)"
+
+
+@query("stream_requests", f"SELECT doc_id, CASE WHEN length(text) > {requests.LIMIT} THEN left(text, {requests.LIMIT}) || '{requests.MARK}' ELSE text END AS request, CASE WHEN {fx.sql_contains('lower(left(text, ' + str(requests.LIMIT) + '))', requests.SUMMARY_WORDS)} THEN 'summarization' ELSE 'sysadmin' END AS category, CASE WHEN {fx.sql_contains('lower(left(text, ' + str(requests.LIMIT) + '))', requests.SUMMARY_WORDS)} THEN 'summarize' ELSE 'collaborate' END AS handler FROM {_asked} WHERE text <> ''")
 def _(t):
-    """Files of requests through the stream, one micro-batch after another, into a table."""
+    """Each document as a request file through the stream, one micro-batch after another."""
     folder, out, mark = (fresh_path(t.spark, n) for n in ("arrivals", "handled", "offsets"))
-    t.documents.where("doc_id < 8").select("text").repartition(4).write.text(folder)
-    stream = requests.triaged(requests.arrivals(t.spark, folder, per_trigger=2))
+    t.documents.select("text", "doc_id").write.partitionBy("doc_id").text(folder)
+    stream = requests.triaged(requests.arrivals(t.spark, folder, per_trigger=4096))
     requests.run(stream, lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out), mark).awaitTermination()
-    return t.spark.read.parquet(out).select("request", "category", "handler")
+    return t.spark.read.parquet(out).select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "request", "category", "handler")
 
 
 @query("sink_pending", "SELECT doc_id, '{\"request_id\":' || doc_id || ',\"status\":\"needs_clarification\"}' AS metadata FROM documents WHERE length(text) < 100")
@@ -75,16 +103,31 @@ def _(t):
     return asked.join(there, "doc_id", "left").select("doc_id", F.coalesce("text", "request").alias("content"))
 
 
-@query("vec_add", f"SELECT db, collection, count(*) AS n FROM {V} GROUP BY ALL")
+STORED = "SELECT chunk_id, doc_id, chunk_number, db, collection, round(embedding[1], 6) AS first, len(embedding) AS dims FROM " + V
+
+
+def kept(rows):
+    return rows.select("chunk_id", "doc_id", "chunk_number", "db", "collection", F.round(F.col("embedding")[0], 6).alias("first"), F.size("embedding").cast("long").alias("dims"))
+
+
+@query("vec_add", STORED)
 def _(t):
-    return stored(t).read().groupBy("db", "collection").agg(F.count("*").alias("n"))
+    return kept(stored(t).read())
 
 
-@query("vec_drop_collection", f"SELECT db, collection, count(*) AS n FROM {V} WHERE NOT (db = 'private' AND collection = 'semantic') GROUP BY ALL")
+@query("vec_drop_collection", f"{STORED} WHERE NOT (db = 'private' AND collection = 'semantic')")
 def _(t):
     store = stored(t)
     store.drop_collection("private", "semantic")
-    return store.read().groupBy("db", "collection").agg(F.count("*").alias("n"))
+    return kept(store.read())
+
+
+@query("mem_touch", f"SELECT chunk_id, CASE WHEN chunk_id % 50 = 0 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS importance, CASE WHEN chunk_id % 50 = 0 THEN 1 ELSE 0 END AS access_count FROM {V} UNION ALL SELECT -1, 0.8::DOUBLE, 1")
+def _(t):
+    """Memories of known ids change, of other ids are added; the rest stay."""
+    rows = fx.vectors(t).select("chunk_id", "db", "collection", F.lit(0.5).alias("importance"), F.lit(0).alias("access_count"))
+    touched = fx.asked(t).select(F.col("query_id").alias("chunk_id"), F.lit(0.9).alias("importance")).unionByName(inline(t, [(-1, 0.8)], "chunk_id long, importance double"))
+    return updated(rows, touched).select("chunk_id", "importance", "access_count")
 
 
 @query("store_admin_stats")
@@ -92,49 +135,61 @@ def _(t):
     return stored(t).stats()
 
 
-@query("store_reset", f"SELECT count(*) AS left_over FROM {V} WHERE db = 'public'")
+@query("store_reset", f"{STORED} WHERE db = 'public'")
 def _(t):
     store = stored(t)
     assert not store.reset("private") and store.reset("private", confirm=True)
-    return store.read().agg(F.count("*").alias("left_over"))
+    return kept(store.read())
+
 
+#: Rows with faults for the health checks: ids missing and vectors of two lengths.
+BROKEN = f"(SELECT CASE WHEN chunk_id % 50 <> 0 THEN chunk_id END AS chunk_id, db, CASE WHEN chunk_id % 3 = 0 THEN embedding[1:32] ELSE embedding END AS embedding FROM {V})"
 
-@query("store_health", "SELECT unnest(['has rows', 'ids', 'databases', 'vectors', 'one dimension']) AS \"check\", true AS passed")
+
+def sql_health(rows: str, store: str) -> str:
+    one = f"(SELECT count(*) > 0 AS a, count(*) FILTER (chunk_id IS NULL) = 0 AS b, count(DISTINCT db) > 0 AS c, count(*) FILTER (len(embedding) < 1) = 0 AS d, count(DISTINCT len(embedding)) = 1 AS e FROM {rows})"
+    return f"SELECT '{store}' AS store, unnest(['has rows', 'ids', 'databases', 'vectors', 'one dimension']) AS \"check\", unnest([a, b, c, d, e]) AS passed FROM {one}"
+
+
+@query("store_health", f"{sql_health(V, 'sound')} UNION ALL {sql_health(BROKEN, 'broken')}")
 def _(t):
-    return stored(t).health()
+    rows = fx.vectors(t)
+    broken = rows.withColumn("embedding", F.when(F.col("chunk_id") % 3 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))).withColumn("chunk_id", F.when(F.col("chunk_id") % 50 != 0, F.col("chunk_id")))
+    parts = [stored(t, r).health().select(F.lit(name).alias("store"), "check", "passed") for name, r in (("sound", rows), ("broken", broken))]
+    return parts[0].unionByName(parts[1])
 
 
-@query("log_full_response", "SELECT conv_id AS session_id, count(*) AS n FROM conversations GROUP BY conv_id")
+@query("log_full_response", "SELECT conv_id AS session_id, role AS kind, text FROM conversations")
 def _(t):
     """An append-only log of prompts and replies, written twice and read as one."""
     path = fresh_path(t.spark, "log")
     rows = fx.interactions(t).select("session_id", "kind", F.col("input").alias("text"))
     for part in ("kind = 'user'", "kind <> 'user'"):
         rows.where(part).write.mode("append").json(path)
-    return t.spark.read.schema("session_id long, kind string, text string").json(path).groupBy("session_id").agg(F.count("*").alias("n"))
+    return t.spark.read.schema("session_id long, kind string, text string").json(path)
 
 
-@query("cat_add_chapter", f"SELECT doc_id, count(*) AS chapters FROM (SELECT DISTINCT doc_id, chunk_number // 2 AS n FROM {V}) GROUP BY doc_id")
+@query("cat_add_chapter", f"SELECT DISTINCT doc_id, chunk_number // 2 AS chapter_num, md5(doc_id || ':' || chunk_number // 2) AS chapter_id FROM {V}")
 def _(t):
-    rows = fx.vectors(t).select("doc_id", F.floor(F.col("chunk_number") / 2).alias("chapter_num")).distinct().withColumn("chapter_id", F.md5(F.concat_ws(":", "doc_id", "chapter_num")))
+    rows = fx.vectors(t).select("doc_id", F.floor(F.col("chunk_number") / 2).cast("int").alias("chapter_num")).distinct().withColumn("chapter_id", F.md5(F.concat_ws(":", "doc_id", "chapter_num")))
     path = fresh_path(t.spark, "chapters")
     rows.write.mode("append").parquet(path)
-    return t.spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("chapters"))
+    return t.spark.read.parquet(path)
 
 
-@query("cat_add_chunk_meta", f"SELECT doc_id, count(*) AS chunks FROM {V} GROUP BY doc_id")
+@query("cat_add_chunk_meta", f"SELECT chunk_id, doc_id, chunk_number, false AS has_tables FROM {V}")
 def _(t):
     path = fresh_path(t.spark, "chunk-meta")
     fx.vectors(t).select("chunk_id", "doc_id", "chunk_number", F.lit(False).alias("has_tables")).write.mode("append").parquet(path)
-    return t.spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    return t.spark.read.parquet(path)
 
 
 for _name, _db, _kind, _weight in (("mem_store_episodic", "private", "episodic", 0.5), ("mem_store_semantic", "public", "semantic", 0.7)):
 
-    @query(_name, f"SELECT '{_db}' AS db, '{_kind}' AS collection, {_weight}::DOUBLE AS importance, count(*) AS n FROM conversations")
+    @query(_name, f"SELECT md5(text) AS chunk_id, text AS content, {_weight}::DOUBLE AS importance, '{_db}' AS db, '{_kind}' AS collection FROM conversations")
     def _(t, db=_db, kind=_kind, weight=_weight):
         rows = fx.interactions(t).select(F.md5("input").alias("chunk_id"), F.col("input").alias("content"), F.lit(weight).alias("importance"), F.lit(db).alias("db"), F.lit(kind).alias("collection"))
-        return stored(t, rows).read(db, kind).groupBy("db", "collection", "importance").agg(F.count("*").alias("n"))
+        return stored(t, rows).read(db, kind)
 
 
 @query("emb_hash_features")
@@ -154,7 +209,14 @@ def _(t):
     return t.documents.select("doc_id", e.alias("e")).select("doc_id", F.size("e").alias("dims"), F.round(vec.norm(F.col("e")), 6).alias("length"))
 
 
-@query("rerank_cross")
+@query("emb_mini", "SELECT doc_id, CAST(len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS DOUBLE) AS total FROM documents")
+def _(t):
+    """The second engine: no unit length, blank texts like any other. Its counts sum to the words."""
+    e = providers.hashed(F.col("text"), normalise=False)
+    return t.documents.select("doc_id", vec.folded(e).alias("total"))
+
+
+@query("rerank_cross", f"SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS INTEGER) AS rank, doc_id, round(overlap, 6) AS score FROM {PAIRS}) WHERE rank <= 5")
 def _(t):
     pairs = questioned(t)
     ranked = vec.ranked(pairs.withColumn("score", providers.scored()(F.col("q"), F.col("text"))), ["item_id"], [F.desc("score"), F.col("doc_id")], 5)

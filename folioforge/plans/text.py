@@ -115,6 +115,17 @@ def _(t):
     return chunk_rows(inline(t, PARAS, PARA_DDL), "id", 100, 10)
 
 
+TOKENS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
+
+
+@query("chunk_fixed_tokens", f"SELECT doc_id, CAST(k AS INTEGER) AS chunk_number, array_to_string(w[k * 90 + 1:k * 90 + 100], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, 1 + CAST(greatest(ceil((len(w) - 100) / 90), 0) AS BIGINT))) AS k FROM (SELECT doc_id, {TOKENS} AS w FROM documents) WHERE len(w) > 0)")
+def _(t):
+    """Runs of 100 tokens, ten of them shared with the run before."""
+    words = F.filter(F.split("text", text.SPACES), lambda w: w != "")
+    rows = t.documents.select("doc_id", F.posexplode(text.token_chunks(words, 100, 10)).alias("chunk_number", "c"))
+    return rows.select("doc_id", "chunk_number", F.array_join("c", " ").alias("chunk"))
+
+
 def sql_break(target: str) -> str:
     stop = "greatest(" + ", ".join(sql_rfind("p", x) for x in STOPS) + ")"
     b, sp = sql_rfind("p", BLANK), sql_rfind("p", SPACE)

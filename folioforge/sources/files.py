@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import analysis
+from folioforge.sources import pdf
 
 
 def binary(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -32,14 +33,10 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
 PageReader = Callable[[bytes], list[str]]
 
 
-def no_pages(_: bytes) -> list[str]:
-    """The default reader: there is no PDF library, so no page has text."""
-    return []
-
-
-def pdfs(spark: SparkSession, folder: str, pages: PageReader = no_pages, numbered: bool = False) -> DataFrame:
-    """path, text, status: page texts joined by blank lines, blank pages left out (but
-    counted by page marks); a file without text is an error."""
+def pdf_texts(rows: DataFrame, pages: PageReader = pdf.pages, numbered: bool = False) -> DataFrame:
+    """path, text, status of rows of path and content: page texts joined by blank lines,
+    blank pages left out (but counted by page marks); a file without text, or that can't
+    be read, is an error."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -49,8 +46,13 @@ def pdfs(spark: SparkSession, folder: str, pages: PageReader = no_pages, numbere
                 out.append("\n\n".join(f"[Page {i}]\n{p}" if numbered else p for i, p in found))
             yield pd.DataFrame({"path": b["path"], "text": out})
 
-    rows = binary(spark, folder).where(analysis.extension(F.col("path")) == ".pdf").select("path", "content").mapInPandas(read, "path string, text string")
-    return rows.select("path", F.when(F.col("text") != "", F.col("text")).alias("text"), F.when(F.col("text") != "", "success").otherwise("error").alias("status"))
+    found = rows.select("path", "content").mapInPandas(read, "path string, text string")
+    return found.select("path", F.when(F.col("text") != "", F.col("text")).alias("text"), F.when(F.col("text") != "", "success").otherwise("error").alias("status"))
+
+
+def pdfs(spark: SparkSession, folder: str, pages: PageReader = pdf.pages, numbered: bool = False) -> DataFrame:
+    """The texts of a folder's PDF files."""
+    return pdf_texts(binary(spark, folder).where(analysis.extension(F.col("path")) == ".pdf"), pages, numbered)
 
 
 def pdf_metadata(rows: DataFrame) -> DataFrame:

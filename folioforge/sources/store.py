@@ -48,3 +48,15 @@ class Store:
         one = rows.agg(F.count("*").alias("n"), F.count_if(F.col("chunk_id").isNull()).alias("no_id"), F.countDistinct("db").alias("dbs"), F.count_if(F.size("embedding") < 1).alias("empty"), F.countDistinct(F.size("embedding")).alias("dims"))
         checks = F.explode(F.create_map(F.lit("has rows"), F.col("n") > 0, F.lit("ids"), F.col("no_id") == 0, F.lit("databases"), F.col("dbs") > 0, F.lit("vectors"), F.col("empty") == 0, F.lit("one dimension"), F.col("dims") == 1)).alias("check", "passed")
         return one.select(checks)
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """rows merged with changes (the key and new values): a known key takes the values that
+    aren't null and counts one more access, an unknown one is added; the last of a key's
+    changes isn't defined, so give one each."""
+    values = [c for c in changes.columns if c != key]
+    new = changes.select(key, *(F.col(c).alias(f"_{c}") for c in values), F.lit(1).alias("_touched"))
+    out = rows.join(new, key, "full")
+    for c in values:
+        out = out.withColumn(c, F.coalesce(f"_{c}", c))
+    return out.withColumn("access_count", F.coalesce("access_count", F.lit(0)) + F.coalesce("_touched", F.lit(0))).select(*rows.columns)

@@ -11,6 +11,7 @@ from folioforge.functions import analysis, safety
 from folioforge.functions.text import preview, strip
 
 MARK, LIMIT = "...[truncated]", 2000
+SUMMARY_WORDS = ("summarize", "summary", "analyze file", "analyze document")
 
 
 def arrivals(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
@@ -24,8 +25,7 @@ def arrivals(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFram
 
 def triaged(requests: DataFrame) -> DataFrame:
     """Requests with their category and handler, by keywords."""
-    words = ("summarize", "summary", "analyze file", "analyze document")
-    category = F.when(safety.any_of(F.lower("request"), words), "summarization").otherwise("sysadmin")
+    category = F.when(safety.any_of(F.lower("request"), SUMMARY_WORDS), "summarization").otherwise("sysadmin")
     rows = requests.withColumn("category", category)
     return rows.withColumn("handler", F.when(F.col("category") == "summarization", "summarize").otherwise("collaborate"))
 
