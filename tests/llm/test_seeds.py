@@ -1,12 +1,11 @@
-"""Word-seed dedup, language-model scores and vector search against brute force."""
+"""Word-seed dedup and vector search against brute force."""
 
-import math
 import random
-from collections import Counter
 
 import numpy as np
+import pytest
 
-from folioforge.llm import lm, rlz, topk
+from folioforge.llm import rlz, topk
 
 
 def words(t):
@@ -36,9 +35,26 @@ def brute_rlz(rows, window=13):
 def test_rlz_is_brute_force(docs, docs_rows):
     got = rlz.dedup(docs).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_rlz(docs_rows)
-    assert all(sum(1 for r in got if r.n_removed) > 5 for _ in [0])
+    assert sum(1 for r in got if r.n_removed) > 5
+
+
+@pytest.mark.parametrize("block", [300, 2 << 20])
+def test_factors_are_substrings_of_their_reference(spark, docs_rows, monkeypatch, block):
+    """Small blocks make documents meet in index blocks only, one large block by itself."""
+    monkeypatch.setattr(rlz, "BLOCK", block)
+    rows = list({r[0]: r for r in docs_rows}.values())
+    texts = {r[0]: words(r[1]) for r in rows}
+    got = rlz.dedup(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_rlz(rows)
+    longest = 0
     for r in got:
-        assert all(f.past - f.first >= 13 for f in r.factors)
+        for f, after in zip(r.factors, [*r.factors[1:], None], strict=True):
+            n = f.past - f.first
+            assert n >= 13 and f.ref < r.doc_id
+            assert texts[r.doc_id][f.first : f.past] == texts[f.ref][f.ref_first : f.ref_first + n]
+            assert after is None or after.first > f.first and after.past > f.past
+            longest = max(longest, n)
+    assert longest > 60
 
 
 def test_rlz_odd_inputs(odd_docs, no_docs):
@@ -47,42 +63,6 @@ def test_rlz_odd_inputs(odd_docs, no_docs):
     assert rlz.dedup(no_docs).count() == 0
 
 
-def brute_lm(rows):
-    texts = {}
-    for r in rows:
-        texts.setdefault(r[0], []).extend(zip(["<s>", *words(r[1])], words(r[1]), strict=False))
-    pairs, context, single = Counter(), Counter(), Counter()
-    own = {}
-    for i, p in texts.items():
-        own[i] = (Counter(p), Counter(a for a, _ in p))
-        pairs += own[i][0]
-        context += own[i][1]
-        single.update(b for _, b in p)
-    total, out = sum(single.values()), {}
-    for i, p in texts.items():
-        s = 0.0
-        for (a, b), m in own[i][0].items():
-            left = pairs[a, b] - m
-            s += m * (math.log(left / (context[a] - own[i][1][a])) if left else math.log(0.4) + math.log(single[b] / total))
-        out[i] = (len(p), s)
-    return out
-
-
-def test_lm_is_brute_force(spark, docs, docs_rows):
-    want = brute_lm(docs_rows)
-    got = {r.doc_id: r for r in lm.score(spark, docs).collect()}
-    assert set(got) == set(want)
-    for i, (n, s) in want.items():
-        assert got[i].n_words == n
-        assert abs(got[i].log_score - s) < 0.02 + 2e-3 * abs(s)
-
-
-def test_lm_odd_inputs(spark, odd_docs, no_docs):
-    got = {r.doc_id: r for r in lm.score(spark, odd_docs).collect()}
-    assert got[8].n_words == 0 and got[8].log_score == 0 and got[7].n_words == 160000
-    assert lm.score(spark, no_docs).count() == 0
-
-
 def brute_topk(vectors, k=5):
     import math as m
 
