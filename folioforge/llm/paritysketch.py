@@ -12,7 +12,7 @@ element that linked sets share is among these in both.
 
 Equal sets are one class, found by a digest before any join. Classes that share a piece
 become candidate pairs: all of a piece's classes if they are few, else at first each with
-the piece's least and with its neighbours in an order that differs from piece to piece,
+the piece's least and with its neighbour in an order that differs from piece to piece,
 which ties most families. A sketch of two to four bits an element bounds each pair's
 difference from below, as pieces do, and drops nearly all that aren't similar enough. The
 others are verified on their full sets: first each class with its least partner, then the
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import LOWER, blocks, discard, joint, keyed, materialize, mix, prefix_hash, release, shingle_hash, span_hash, tuned, utf8, word_spans
 
 N, NUMERATOR, DENOMINATOR = 5, 80, 100  # shingle length; least similarity as a fraction
-FEW, NEAR = 16, 2
+FEW, NEAR = 16, 1
 CROWD = 2048  # classes of a crowded piece in a block
 SET_BYTES = 4 << 20  # full sets that a verifying task is made for
 KEY_BYTES = 8 << 20  # piece keys that a bucket is made for
