@@ -68,7 +68,7 @@ def packed(target: np.ndarray, doc: np.ndarray, place: np.ndarray, k1: np.ndarra
     target, doc, place = target[order], doc[order], place[order]
     out = {c: [] for c in ("target", "k1", "k2", "n", "gap", *more)}
     full, cut = np.unique(target, return_index=True)
-    for t, i, j in zip(full.tolist(), cut.tolist(), [*cut[1:].tolist(), len(target)], strict=True):
+    for t, i, j in zip(full.tolist(), cut.tolist(), np.append(cut, len(target))[1:].tolist(), strict=True):
         there, first, n = np.unique(doc[i:j], return_index=True, return_counts=True)
         gap = np.diff(place[i:j], prepend=0)
         gap[first] = place[i:j][first]
