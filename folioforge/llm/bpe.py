@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.llm.common import lean, tuned
+
 END = "\ue000"  # stands for the end-of-word suffix as part of the last symbol
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Ranges of code points that the splitter's tables know as letters or numbers
@@ -322,15 +324,16 @@ class Codec:
         return d.feed(ids) + d.finish()
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
-def codec_of(spec) -> Codec:
-    """One codec for each worker and broadcast."""
-    if id(spec) not in _codecs:
+def codec_of(spec: str) -> Codec:
+    """One codec for each worker, that of the last vocabulary: known by its content."""
+    name = hashlib.sha256(spec.encode()).hexdigest()
+    if name not in _codecs:
         _codecs.clear()
-        _codecs[id(spec)] = Codec(spec.value)
-    return _codecs[id(spec)]
+        _codecs[name] = Codec(spec)
+    return _codecs[name]
 
 
 def read_vocabulary(path: str) -> str:
@@ -340,22 +343,22 @@ def read_vocabulary(path: str) -> str:
 
 def encode(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id and ids (array of int) of each row, whole texts."""
-    spec = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    spec = tuned(spark).sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches):
-        codec = codec_of(spec)
+        codec = codec_of(spec.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.ids(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def digests(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, whole texts."""
-    spec = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    spec = tuned(spark).sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches):
-        codec = codec_of(spec)
+        codec = codec_of(spec.value)
         for b in batches:
             got = [codec.digest(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -364,4 +367,4 @@ def digests(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(run), schema)

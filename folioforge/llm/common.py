@@ -3,6 +3,7 @@ tables in the cluster's shared folder, and vectorised word layout over Arrow tex
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from folioforge.session import fresh_path
 
 #: Text handled at once by the vectorised passes; one longer text is taken alone.
-BLOCK_BYTES = 2 << 20
-ARROW_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,32 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not every C library has it
+    _trim = None
+
+
+def trim() -> None:
+    """Give memory that Arrow and the C library hold for later back to the machine: workers
+    live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run):
+    """A stage over batches that leaves no memory behind."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches sent to Python workers by bytes, not by rows alone."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))

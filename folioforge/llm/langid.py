@@ -9,9 +9,11 @@ random code with the best least distance of a fixed number of draws.
 Fitting uses at most `per_language` labelled rows of each language, those of the
 lowest hash of the id (a documented bound); prediction reads whole texts, all rows.
 
-Defined results: a null text, or one without a letter, is `und` with score 0; a null
-id is predicted but never learned from; repeated rows get equal results; with no
-learned language all is `und`; columns other than doc_id, text, lang are ignored.
+Defined results: a null text, or one without a letter, is `und` with score 0; of languages
+with equal scores the first by name counts, and the text is ambiguous; a text of any
+length is read whole; a null id is predicted but never learned from; repeated rows get
+equal results; with no learned language all is `und`; columns other than doc_id, text,
+lang are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import blocks, held_out, utf8
+from folioforge.llm.common import blocks, held_out, lean, tuned, utf8
 
 BUCKETS = 4096
 ROWS = 256  # rows of a block: bounds the dense counts to 8 MB
@@ -102,8 +104,11 @@ class Model:
 def fit(docs: DataFrame, per_language: int = 500) -> Model:
     """Learn from text and non-null lang of rows that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = [r[0] for r in known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").collect()]
+    known = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    # Some four times as many as are wanted go on to be ranked, however many there are.
+    few = known.join(F.broadcast(known.groupBy("lang").count()), "lang").where(F.col("h") * F.col("count") < 4.0 * per_language * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = [r[0] for r in few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").collect()]
 
     def run(batches):
         for b in batches:
@@ -114,7 +119,7 @@ def fit(docs: DataFrame, per_language: int = 500) -> Model:
 
     if not chosen:
         return Model([], np.zeros((0, 1)), np.zeros((BUCKETS + 1, 1), np.float32), np.ones(1, np.float32))
-    labelled = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "lang string, x binary")
+    labelled = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(lean(run), "lang string, x binary")
     got = sorted((r["lang"], bytes(r["x"])) for r in labelled.collect())
     languages = sorted({lang for lang, _ in got})
     words = code(len(languages))
@@ -127,15 +132,16 @@ def fit(docs: DataFrame, per_language: int = 500) -> Model:
 def predict(spark: SparkSession, docs: DataFrame, model: Model, keep: str = "") -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin and ambiguous of each row; with
     `keep` (DDL), the columns of docs instead of doc_id and held_out come along."""
-    sent = spark.sparkContext.broadcast(model)
+    sent = tuned(spark).sparkContext.broadcast(model)
     names = [f.split()[0] for f in keep.split(", ")] if keep else ["doc_id", "held_out"]
+    sends = names if "text" in names else [*names, "text"]
     schema = f"{keep or 'doc_id long, held_out boolean'}, lang_pred string, score double, margin double, ambiguous boolean"
 
     def run(batches):
         m = sent.value
         labels = np.array([*m.languages, "und"], object)
         for b in batches:
-            buf, off = utf8(b.column(len(names)))
+            buf, off = utf8(b.column(sends.index("text")))
             for lo, hi in blocks(off, rows=ROWS):
                 part, at = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 n, k = hi - lo, len(m.languages)
@@ -153,4 +159,4 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, keep: str = "")
 
     if not keep:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return docs.select(*names, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else c for c in sends)).mapInArrow(lean(run), schema)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import blocks, discard, joint, materialize, mix, pack_sorted, planes64, prefix_hash, release, span_hash, tuned, unpack_sorted, unplanes64, utf8, word_spans
+from folioforge.llm.common import blocks, discard, joint, lean, materialize, mix, pack_sorted, planes64, prefix_hash, release, span_hash, trim, tuned, unpack_sorted, unplanes64, utf8, word_spans
 
 BACKOFF = 0.4
 START = np.uint64(0x5851F42D4C957F2D)
@@ -57,7 +57,7 @@ def blocked(docs: DataFrame) -> DataFrame:
 
     fields = [("block", pa.int64()), ("n_words", pa.int64()), *((c, pa.binary()) for c in ("ids", "n", "vocabulary", "place"))]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "block long, n_words long, ids binary, n binary, vocabulary binary, place binary")
+    return rows.mapInArrow(lean(run), "block long, n_words long, ids binary, n binary, vocabulary binary, place binary")
 
 
 class Grams:
@@ -109,7 +109,7 @@ def asked(table: DataFrame, buckets: int, first: int, past: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"bucket": full + first, "block": [block] * len(full), "keys": [pack_sorted(keys[cut[k] : cut[k + 1]]) for k in full], "counts": [planes64(count[cut[k] : cut[k + 1]]) for k in full]}, pa.schema(fields))
 
     fields = [("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]
-    return table.select("block", "n", "vocabulary", "place").mapInArrow(run, "bucket long, block long, keys binary, counts binary")
+    return table.select("block", "n", "vocabulary", "place").mapInArrow(lean(run), "bucket long, block long, keys binary, counts binary")
 
 
 def answered(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,6 +117,7 @@ def answered(pdf: pd.DataFrame) -> pd.DataFrame:
     keys = [unpack_sorted(k) for k in pdf["keys"]]
     cut = np.cumsum([0, *map(len, keys)])
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    trim()
     table = np.zeros(at.max() + 1, np.int64)
     np.add.at(table, at, np.concatenate([unplanes64(c) for c in pdf["counts"]]).astype(np.int64))
     return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "counts": [planes64(table[at[i:j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]})
@@ -125,6 +126,7 @@ def answered(pdf: pd.DataFrame) -> pd.DataFrame:
 def scored(block: pd.DataFrame, counts: pd.DataFrame, n_tokens: int) -> pd.DataFrame:
     """doc_id, n_words and the summed score of each row of one block."""
     ids, g = np.frombuffer(block["ids"].iloc[0], np.int64), Grams(*block[["n", "vocabulary", "place"]].iloc[0])
+    trim()
     total = np.zeros(0, np.int64)
     if len(counts):
         total = np.concatenate([unplanes64(c) for c in counts.sort_values("bucket")["counts"]]).astype(np.int64)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import LOWER, blocks, discard, joint, keyed, materialize, mix, prefix_hash, release, shingle_hash, span_hash, tuned, utf8, word_spans
+from folioforge.llm.common import LOWER, blocks, discard, joint, keyed, lean, materialize, mix, prefix_hash, release, shingle_hash, span_hash, trim, tuned, utf8, word_spans
 
 N, NUMERATOR, DENOMINATOR = 5, 80, 100  # shingle length; least similarity as a fraction
 FEW, NEAR = 16, 1
@@ -176,7 +176,7 @@ def hot_keys(rows: DataFrame, count: int, n: int, p: int, q: int) -> np.ndarray:
             for lo, hi in blocks(off):
                 yield pa.RecordBatch.from_arrays([pa.array(classed_keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n, p, q)[1].view(np.int64))], names=["key"])
 
-    some = rows.where(F.pmod("k2", F.lit(max(1, count // SAMPLE))) == 0).select("text").mapInArrow(run, "key long")
+    some = rows.where(F.pmod("k2", F.lit(max(1, count // SAMPLE))) == 0).select("text").mapInArrow(lean(run), "key long")
     found = some.groupBy("key").count().where(F.col("count") >= HOT).select("key").collect()
     return np.sort(np.array([r[0] for r in found], np.int64)).view(np.uint64)
 
@@ -203,13 +203,14 @@ def sketched(rows: DataFrame, buckets: int, hot: np.ndarray, n: int, p: int, q:
                 if out["bucket"]:
                     yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("classes", "key", "owner"))], names=list(out))
 
-    return rows.select("text").mapInArrow(run, "bucket int, classes binary, key binary, owner binary")
+    return rows.select("text").mapInArrow(lean(run), "bucket int, classes binary, key binary, owner binary")
 
 
 def candidates(pdf: pd.DataFrame, hot: np.ndarray) -> pd.DataFrame:
     """Pairs of classes (a < b) to verify first, from one bucket of keys; and where
     `crowded`, the key (a) and class (b) of each class of a key that is hot or that more
     than FEW share."""
+    trim()
     size = np.array([len(c) // 8 for c in pdf["classes"]])
     base = np.repeat(np.cumsum(size) - size, [len(o) // 2 for o in pdf["owner"]])
     classes = np.frombuffer(b"".join(pdf["classes"]), np.int64)
@@ -311,7 +312,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame
                 ok[at] = allowed(na[at], nb[at], distance, p, q)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], names=["a", "b"])
 
-    return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -347,10 +348,11 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, p: i
                 h, at = shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([h[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["class", "homes", "set"])
 
-    found = maybe(rows, wanted).join(wanted, ["k1", "k2"]).select("class", "homes", "text").mapInArrow(sets, "class long, homes array<long>, set binary")
+    found = maybe(rows, wanted).join(wanted, ["k1", "k2"]).select("class", "homes", "text").mapInArrow(lean(sets), "class long, homes array<long>, set binary")
     sent = found.select(F.explode("homes").alias("home"), "class", "set")
 
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        trim()
         of = {c: np.frombuffer(s, np.uint64) for c, s in zip(right["class"], right["set"], strict=True)}
         a, b = left["a"].to_numpy(), left["b"].to_numpy()
         ok = np.zeros(len(a), bool)
@@ -441,7 +443,7 @@ def classed(rows: DataFrame, n: int = N) -> DataFrame:
                 h, at = shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:3]), pa.array(np.diff(at)), pa.array(digests(h, at).view(np.int64)), pa.array(sketches(h, at), pa.binary())], names=["doc_id", "k1", "k2", "n_shingles", "class", "sketch"])
 
-    return rows.select("doc_id", "k1", "k2", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long, class long, sketch binary")
+    return rows.select("doc_id", "k1", "k2", "text").mapInArrow(lean(run), "doc_id long, k1 long, k2 long, n_shingles long, class long, sketch binary")
 
 
 def labelled(docs: DataFrame, n: int = N, p: int = NUMERATOR, q: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:

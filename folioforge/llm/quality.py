@@ -2,14 +2,16 @@
 from partition-summed normal equations, isotonic calibration.
 
 The cosine features approximate a Gaussian kernel at two widths. Each partition sums
-its outer products; sums meet in a fixed number of groups, so the driver solves one
-system of a fixed size. Four fifths of the learning rows fit the ridge; the others
+its outer products; Spark sums these place by place, and the driver solves one system of a
+fixed size. Four fifths of the learning rows fit the ridge; the others
 calibrate it, as counts and label sums of fixed score bins.
 
 Defined results: a null or empty text has all-zero statistics and is scored like any
-other; a null id is scored but never learned from; several labels of one id count as
-their largest; labels other than 0 and 1 are ignored; without labels of both kinds
-the score is 0.5; other columns are ignored.
+other; a text of any length is measured whole; a null id is scored but never learned from;
+rows that repeat an id are rows of their own, each learned from if the id is labelled;
+several labels of one id count as their largest; labels other than 0 and 1 are ignored;
+ties can't occur; without labels of both kinds the score is 0.5; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,14 +19,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import blocks, held_out, materialize, mix, prefix_hash, shingle_hash, span_hash, utf8, word_spans
+from folioforge.llm.common import blocks, held_out, lean, materialize, mix, prefix_hash, shingle_hash, span_hash, tuned, utf8, word_spans
 
 WAVES = 384
-GROUPS = 16
+PART = 20_000  # labelled rows whose equations a task sums
 BINS = 1000
 CUT = 0.7
 PRIOR = 0.05  # weight of the mean label in a calibration bin
@@ -97,7 +98,7 @@ def figures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "held_out", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, x binary")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, x binary")
 
 
 def unpack(column) -> np.ndarray:
@@ -120,7 +121,8 @@ class Waves:
 
 
 def summed(rows: DataFrame, of) -> np.ndarray:
-    """Sum over all rows of the matrices that `of` makes of Arrow batches, in two steps."""
+    """Sum over all rows of the vectors that `of` makes of Arrow batches: each partition sums
+    its own, Spark the partitions' by place, so no task holds more than its share of them."""
 
     def partial(batches):
         total = None
@@ -128,15 +130,12 @@ def summed(rows: DataFrame, of) -> np.ndarray:
             m = of(b.to_pandas())
             total = m if total is None else total + m
         if total is not None:
-            group = TaskContext.get().partitionId() % GROUPS
-            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(m, float) for m in pdf["m"])
-        return pd.DataFrame({"m": [total.tobytes()]})
-
-    parts = rows.mapInArrow(partial, "g int, m binary").groupBy("g").applyInPandas(joined, "m binary").collect()
-    return sum((np.frombuffer(bytes(r["m"]), float) for r in parts), np.zeros(1))
+    got = rows.mapInArrow(lean(partial), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(got.num_rows)
+    out[got["i"].to_numpy()] = got["v"].to_numpy()
+    return out
 
 
 def pool(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -153,10 +152,12 @@ def pool(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, ridge: float = 1e-3) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of docs."""
+    tuned(spark)
     rows = materialize(figures(docs), "quality-figures")
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
     known = rows.where(~F.col("held_out") & F.col("doc_id").isNotNull()).join(marks, "doc_id").select("x", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("tunes"))
     known = materialize(known, "quality-known")
+    known = known.coalesce(max(1, -(-known.count() // PART)))
 
     def moments(pdf: pd.DataFrame) -> np.ndarray:
         x, y = unpack(pdf["x"]), pdf["y"].to_numpy()
@@ -169,14 +170,18 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, ridge: float
     mean = m[2 : 2 + WIDTH] / n
     waves = Waves(mean, np.sqrt(np.maximum(m[2 + WIDTH :] / n - mean**2, 0)))
 
+    size = WAVES + WIDTH + 2
+    upper = np.triu_indices(size)
+
     def equations(pdf: pd.DataFrame) -> np.ndarray:
         z, y = waves(unpack(pdf["x"])), pdf["y"].to_numpy()
         z1 = np.hstack([z, y[:, None]])
-        return (z1.T @ z1).ravel()
+        return (z1.T @ z1)[upper]
 
-    size = WAVES + WIDTH + 2
-    a = summed(known.where(~F.col("tunes")), equations)
-    a = a.reshape(size, size) if len(a) > 1 else np.zeros((size, size))
+    a, found = np.zeros((size, size)), summed(known.where(~F.col("tunes")), equations)
+    if len(found):
+        a[upper] = found
+        a = np.triu(a) + np.triu(a, 1).T
     beta = np.linalg.solve(a[:-1, :-1] + (ridge * max(a[-2, -2], 1)) * np.eye(size - 1) / 10, a[:-1, -1])
 
     def binned(pdf: pd.DataFrame) -> np.ndarray:
@@ -197,4 +202,4 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, ridge: float
             p = np.clip(p, 0, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")

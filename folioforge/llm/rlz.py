@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import blocks, keyed, materialize, mix, planes64, prefix_hash, release, shingle_hash, span_hash, tuned, unplanes64, utf8, word_spans
+from folioforge.llm.common import blocks, keyed, lean, materialize, mix, planes64, prefix_hash, release, shingle_hash, span_hash, trim, tuned, unplanes64, utf8, word_spans
 
 WINDOW = 13
 BLOCK = 2 << 20  # text of a block of documents
@@ -121,7 +121,7 @@ def seeds(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFrame:
                         empty = [None] * len(out["target"])
                         yield pa.RecordBatch.from_arrays([pa.array(out.get(c, empty), pa.int64() if c == "target" else pa.binary()) for c in names], names=list(names))
 
-    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, "target long, " + ", ".join(f"{c} binary" for c in names[1:]))
+    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(lean(run), "target long, " + ", ".join(f"{c} binary" for c in names[1:]))
 
 
 def answered(pdf: pd.DataFrame, groups: int) -> pd.DataFrame:
@@ -130,6 +130,7 @@ def answered(pdf: pd.DataFrame, groups: int) -> pd.DataFrame:
     target = pdf["target"].iloc[0]
     if target < 0:
         return pdf[list(ANSWER)].assign(grp=-1 - target)[["grp", *ANSWER]]
+    trim()
     k1, k2, doc, place = unpacked(pdf)
     first = first_places(np.frombuffer(b"".join(pdf["h"]), np.uint64), k1[doc], place)
     again = k1[doc] > k1[doc[first]]
@@ -140,6 +141,7 @@ def answered(pdf: pd.DataFrame, groups: int) -> pd.DataFrame:
 
 def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
     """One row for each document of a group: its factors, from all answers for it."""
+    trim()
     k1, k2, doc, place = unpacked(pdf)
     ref = np.frombuffer(b"".join(pdf["ref"]), np.int64)
     shift = unzigzag(np.concatenate([unplanes64(x) for x in pdf["shift"]]))
@@ -193,4 +195,4 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["factors"], kind), pa.array(out["kept"], pa.binary()).cast(pa.string())], names=["doc_id", *out])
 
     schema = "doc_id long, n_words long, n_removed long, factors array<struct<first: long, past: long, ref: long, ref_first: long>>, kept string"
-    return rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "start", "seeds", "ref", "ref_start").mapInArrow(run, schema)
+    return rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "start", "seeds", "ref", "ref_start").mapInArrow(lean(run), schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import blocks, covered, joint, keyed, materialize, mix, prefix_hash, release, span_hash, utf8
+from folioforge.llm.common import blocks, covered, joint, keyed, lean, materialize, mix, prefix_hash, release, span_hash, trim, tuned, utf8
 
 LENGTH, GRAM, V = 400, 64, 32
 MOST = 1024
@@ -80,7 +80,7 @@ def anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 take = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(s), pa.array(n), pa.array(d), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))], names=["k1", "k2", "s", "n", "d", "g", "c"])
 
-    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, s long, n long, d long, g long, c long")
+    return rows.select("k1", "k2", "text").mapInArrow(lean(run), "k1 long, k2 long, s long, n long, d long, g long, c long")
 
 
 def cover_ranks(x: np.ndarray, depth: int) -> np.ndarray:
@@ -173,7 +173,7 @@ def contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 texts = [buf[x:y].tobytes() for x, y in zip(start[i : i + 4096].tolist(), end[i : i + 4096].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(column[c].slice(i, 4096) for c in names), pa.array(texts, pa.binary())], names=["k1", "k2", *names, "t"])
 
-    return rows.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(run, "k1 long, k2 long, s long, n long, d long, g long, alone boolean, hot boolean, t binary")
+    return rows.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(lean(run), "k1 long, k2 long, s long, n long, d long, g long, alone boolean, hot boolean, t binary")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -191,6 +191,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     deal = max(1, -(-size // BLOCK))
 
     def sort_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        trim()
         n, d, s = (pdf[c].to_numpy() for c in ("n", "d", "s"))
         flags = repeated(list(pdf["t"]), pdf["g"].to_numpy().view(np.uint64), n, d, length)
         i, start, end = spans_of(flags & np.repeat(pdf["alone"].to_numpy(), n), n, s, length)
@@ -214,7 +215,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                 take = pa.array(w)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(s[w] + k), b.column(7).take(take), pa.array(f.view(np.int64))], names=["k1", "k2", "start", "alone", "f"])
 
-    printed = texts.where("hot").select("k1", "k2", "s", "n", "d", "t", "g", "alone").mapInArrow(prints, "k1 long, k2 long, start long, alone boolean, f long")
+    printed = texts.where("hot").select("k1", "k2", "s", "n", "d", "t", "g", "alone").mapInArrow(lean(prints), "k1 long, k2 long, start long, alone boolean, f long")
     again = printed.groupBy("f").agg(F.count("*").alias("times")).where("times > 1").select("f")
     hot = printed.where("alone").join(again, "f", "left_semi").select("k1", "k2", "start", (F.col("start") + length).alias("end"))
     return whole.unionByName(sorted_).unionByName(hot)
@@ -223,7 +224,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, keep: tuple[str, ...] = ("doc_id",), characters: bool = False) -> DataFrame:
     """The `keep` columns, n_bytes, n_removed, spans (start, end) and the kept bytes of
     each row. With `characters`, only whole characters go, so what stays is UTF-8."""
-    spark = docs.sparkSession
+    spark = tuned(docs.sparkSession)
     rows = keyed(docs)
     spans = repeated_spans(rows, length, gram, most)
     spans = materialize(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suffix-spans")
@@ -253,7 +254,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = M
 
     text = F.col("text").cast("string")
     left = docs.select(*keep, text.alias("_t"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1)).alias("k1"), F.xxhash64(text).alias("k2"))
-    return left.join(spans, ["k1", "k2"], "left").select(*keep, "_t", "spans").mapInArrow(run, schema)
+    return left.join(spans, ["k1", "k2"], "left").select(*keep, "_t", "spans").mapInArrow(lean(run), schema)
 
 
 def whole_characters(part: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

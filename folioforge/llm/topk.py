@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.llm.common import lean, materialize
+
 CANDIDATES, QUERIES, DIMS = 8192, 1024, 8
 
 
@@ -36,7 +38,7 @@ def quantised(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flat[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["vec_id", "v"])
 
     rows = vectors.where(F.col(id_column).isNotNull() & F.col(column).isNotNull() & good)
-    rows = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("e")).mapInArrow(run, "vec_id long, v binary")
+    rows = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("e")).mapInArrow(lean(run), "vec_id long, v binary")
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -84,8 +86,6 @@ class Columns:
 def search(spark: SparkSession, vectors: DataFrame, queries, k: int = 5, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best of each row for which `queries`, a
     condition on vec_id, holds, among all rows but its own."""
-    from folioforge.llm.common import materialize
-
     rows = materialize(quantised(vectors, id_column, column), "vectors")
     n, asked = rows.agg(F.count("*"), F.count(F.when(queries(F.col("vec_id")), 1))).first()
     cb, qb = max(1, -(-n // CANDIDATES)), max(1, -(-asked // QUERIES))
