@@ -97,6 +97,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Bits of the map that marks rows to read again; at most half a megabyte whatever the data.
+MARKS = 1 << 22
+
+
+def marked(rows: DataFrame, wanted: DataFrame, by: str = "k2") -> DataFrame:
+    """The rows whose key is marked in a bitmap of MARKS bits: all that `wanted` has and a few
+    others, so a join needn't move the rest."""
+    place = F.pmod(F.xxhash64(by), F.lit(MARKS))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    marks = wanted.groupBy(word.alias("id")).agg(F.bit_or(bit).alias("m"))
+    every = rows.sparkSession.range(MARKS // 64).join(marks, "id", "left").select("id", F.coalesce("m", F.lit(0)).alias("m"))
+    bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "m"))), lambda x: x["m"]).alias("b"))
+    return rows.where(F.get(bitmap.scalar(), word.cast("int")).bitwiseAND(bit) != 0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null is empty."""
     column = column.cast(pa.large_binary())

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import LOWER, blocks, discard, joint, keyed, lean, materialize, mix, prefix_hash, release, shingle_hash, span_hash, trim, tuned, utf8, word_spans
+from folioforge.llm.common import LOWER, blocks, discard, joint, keyed, lean, marked, materialize, mix, prefix_hash, release, shingle_hash, span_hash, trim, tuned, utf8, word_spans
 
 N, NUMERATOR, DENOMINATOR = 5, 80, 100  # shingle length; least similarity as a fraction
 FEW, NEAR = 16, 1
@@ -48,7 +48,6 @@ CROWD = 2048  # classes of a crowded piece in a block
 SET_BYTES = 4 << 20  # full sets that a verifying task is made for
 KEY_BYTES = 8 << 20  # piece keys that a bucket is made for
 CELL_ROWS = 16384  # classes that a task of crowded pieces is made for
-FILTER_BITS = 1 << 22
 SAMPLE, HOT = 4096, 16  # rows sampled for hot pieces; rows of these that make a piece hot
 SALTS = 64  # ways that a hot piece is dealt
 
@@ -315,17 +314,6 @@ def plausible(pairs: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame
     return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
-def maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose text hash is marked in a bitmap of FILTER_BITS, a size that doesn't
-    grow: all wanted ones and a few others, so a join needn't move the other texts."""
-    place = F.pmod("k2", F.lit(FILTER_BITS))
-    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
-    marks = wanted.groupBy(word.alias("id")).agg(F.bit_or(bit).alias("m"))
-    every = rows.sparkSession.range(FILTER_BITS // 64).join(marks, "id", "left").select("id", F.coalesce("m", F.lit(0)).alias("m"))
-    bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "m"))), lambda x: x["m"]).alias("b"))
-    return rows.where(F.get(bitmap.scalar(), word.cast("int")).bitwiseAND(bit) != 0)
-
-
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """Links among the pairs, by their full sets: of each task a spanning forest. Pairs are
     dealt by their hub a, a large hub's to several tasks; each set goes straight from one
@@ -348,7 +336,7 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, p: i
                 h, at = shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([h[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["class", "homes", "set"])
 
-    found = maybe(rows, wanted).join(wanted, ["k1", "k2"]).select("class", "homes", "text").mapInArrow(lean(sets), "class long, homes array<long>, set binary")
+    found = marked(rows, wanted).join(wanted, ["k1", "k2"]).select("class", "homes", "text").mapInArrow(lean(sets), "class long, homes array<long>, set binary")
     sent = found.select(F.explode("homes").alias("home"), "class", "set")
 
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+from collections import Counter
+
+import pytest
 
 from folioforge.llm import decontaminate
-from folioforge.llm.common import keyed
 
 
 def words(t):
@@ -62,10 +64,51 @@ def test_scan_is_brute_force(spark):
     assert all(not r.contaminated for r in decontaminate.scan(d, b.where("false")).collect())
 
 
-def test_proximity_bears_inserted_words(spark):
-    item = " ".join(f"term{i}" for i in range(20))
-    changed = item.replace("term12", "term12 inserted")
-    d = spark.createDataFrame([(1, f"before {changed} after"), (2, "term0 nothing else term19")], "doc_id long, text string")
-    tested = decontaminate.Items(spark.createDataFrame([(5, item)], "item_id long, text string"))
-    got = decontaminate.proximity(decontaminate.index(keyed(d), tested), tested).collect()
-    assert [(r.k1, r.share) for r in got] == [(1, 1.0)]
+def near(docs, items, slack, missing):
+    """(doc, sorted items) by the definition, window by window."""
+    cf = Counter(w for _, t in docs for w in words(t))
+    out = []
+    for d, t in docs:
+        w, ids = words(t), set()
+        at = {}
+        for p, x in enumerate(w):
+            at.setdefault(x, []).append(p)
+        for i, text in {(i, tuple(words(t))) for i, t in items if i is not None}:
+            need = min(10, len(text))
+            spare = min(missing, need // 5)
+            for ws in range(len(text) - need + 1 if text else 0):
+                places = sorted(range(ws, ws + need), key=lambda k: (cf[text[k]], k))[: spare + 1]
+                for k in places:
+                    for p in at.get(text[k], []):
+                        if sum(any(abs(q - (p + j - k)) <= slack for q in at.get(text[j], [])) for j in range(ws, ws + need)) >= need - spare:
+                            ids.add(str(i))
+        out.append((d, sorted(ids)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("slack", "missing"), [(3, 1), (1, 0), (2, 2)])
+def test_proximity_is_brute_force(spark, slack, missing):
+    docs, items = case()
+    rnd = random.Random(6)
+    for k, (i, t) in enumerate(x for x in items[:12] for _ in range(3)):
+        w = [f"r{i}x{j}" if j % 4 == 0 else x for j, x in enumerate(words(t))]
+        items.append((200 + k, " ".join(w)))
+        for _ in range(rnd.randint(0, 3)):
+            w.insert(rnd.randrange(len(w)), "inserted")
+        if k % 2:
+            w[rnd.randrange(len(w))] = "changed"
+        if k % 5 == 0:
+            w[3:6] = w[5:2:-1]
+        docs.append((300 + k, "before " + " ".join(w) + " after"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.near_ids) for r in decontaminate.scan(d, b, slack=slack, missing=missing).collect()), key=str)
+    want = near(docs, items, slack, missing)
+    assert got == want and sum(len(x) for _, x in want) > 40
+
+
+def test_proximity_bears_inserted_and_changed_words(spark):
+    item = " ".join(f"term{i}" for i in range(12))
+    changed = item.replace("term2 ", "term2 put ").replace("term7 ", "term7 in ").replace("term5 ", "else ")
+    d = spark.createDataFrame([(1, f"before {changed} after"), (2, "term0 nothing else term11")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.scan(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()}
+    assert (got[1].near_ids, got[1].n_near, got[1].contaminated) == (["5"], 1, False) and got[2].n_near == 0
