@@ -75,14 +75,14 @@ t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
 dw AS (SELECT doc_id, p, need, array_to_string(w[p:p + need - 1], ' ') AS k FROM t, (SELECT DISTINCT need FROM iw) WHERE p + need - 1 <= len(w)),
 m AS (SELECT DISTINCT doc_id, p, dw.need, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.need = iw.need),
 h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + need)) AS q FROM m) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id)
-tw AS (SELECT doc_id, p, w[p] AS word FROM t),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id),
+tw AS MATERIALIZED (SELECT doc_id, p, w[p] AS word FROM t),
 cf AS (SELECT word, count(*) AS cf FROM tw GROUP BY word),
 bw AS (SELECT item_id, ws, need, least(1, need // 5) AS spare, unnest(range(ws, ws + need)) AS ip, w FROM (SELECT item_id, w, least(10, len(w)) AS need, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS ws FROM b WHERE len(w) > 0)),
-rk AS (SELECT item_id, ws, need, spare, ip, w[ip] AS word, row_number() OVER (PARTITION BY item_id, ws ORDER BY coalesce(cf, 0), ip) AS nth FROM bw LEFT JOIN cf ON cf.word = w[ip]),
-pv AS (SELECT tw.doc_id, tw.p, r.* FROM rk r JOIN tw USING (word) WHERE nth <= spare + 1),
-nr AS (SELECT DISTINCT doc_id, item_id FROM (SELECT pv.doc_id, pv.item_id, pv.ws, pv.ip, pv.p FROM pv JOIN rk ON rk.item_id = pv.item_id AND rk.ws = pv.ws JOIN tw ON tw.doc_id = pv.doc_id AND tw.word = rk.word AND abs((tw.p - rk.ip) - (pv.p - pv.ip)) <= 3
-  GROUP BY pv.doc_id, pv.item_id, pv.ws, pv.ip, pv.p, pv.need, pv.spare HAVING count(DISTINCT rk.ip) >= pv.need - pv.spare)),
+rk AS MATERIALIZED (SELECT item_id, ws, need, spare, ip, w[ip] AS word, row_number() OVER (PARTITION BY item_id, ws ORDER BY coalesce(cf, 0), ip) AS nth FROM bw LEFT JOIN cf ON cf.word = w[ip]),
+pv AS MATERIALIZED (SELECT tw.doc_id, tw.p, r.* FROM rk r JOIN tw USING (word) WHERE nth <= spare + 1),
+ea AS MATERIALIZED (SELECT pv.doc_id, pv.item_id, pv.ws, pv.ip AS pip, pv.p, pv.need - pv.spare AS enough, rk.ip, rk.word, pv.p + rk.ip - pv.ip AS q FROM pv JOIN rk ON rk.item_id = pv.item_id AND rk.ws = pv.ws),
+nr AS (SELECT DISTINCT doc_id, item_id FROM (SELECT ea.doc_id, item_id FROM ea JOIN tw ON tw.doc_id = ea.doc_id AND tw.word = ea.word AND abs(tw.p - q) <= 3 GROUP BY ea.doc_id, item_id, ws, pip, ea.p, enough HAVING count(DISTINCT ip) >= enough)),
 nn AS (SELECT doc_id, count(*) AS n_near FROM nr GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN nn USING (doc_id)
