@@ -13,7 +13,8 @@ largest of the others, or at the latter if they overlap. A prediction above the
 confirmed by comparison with the family's templates: with one of them the paragraph
 shares `SHARED` of the shorter one's word pairs and, if the template has words that no
 other family's have, one of these; and it holds fewer words that only some one other family
-has than words that only its own has, none, or as many and a score over one half.
+has than words that only its own has, none, or as many and a score `MARGIN` over
+the cut.
 
 A paragraph without any feature has the score of the largest bias, below all cuts, so
 documents without a feature word are not taken apart; that leaves nothing out.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import discard, materialize
 
 STEPS, RATE, RIDGE = 50, 0.4, 0.01
-SHARED = 0.5
+SHARED, MARGIN = 0.5, 0.1
 PARAGRAPH = r"\n(?:[ \t\r]*\n)+|(?<=[.!?:;])[ \t\r]*\n"
 
 # Public notices of licence families, to learn from.
@@ -202,6 +203,9 @@ TUNING = {
 }
 # Words too common to make a feature.
 COMMON = ("a", "an", "all", "and", "any", "are", "as", "at", "be", "been", "by", "can", "for", "form", "from", "has", "have", "he", "his", "in", "into", "is", "it", "its", "last", "list", "may", "must", "near", "new", "not", "of", "on", "or", "other", "should", "that", "the", "their", "they", "this", "to", "use", "used", "v", "was", "were", "with", "year", "you", "your", "work", "file", "program", "source", "software", "copy", "general", "public")
+# Words of the templates that are common elsewhere, in other languages or as
+# numbers: they tell families apart beside others, but make no feature by themselves.
+PLAIN = (*COMMON, "mit", "nd", "no", "do", "if", "one", "under", "without", "available", "0", "1", "2", "3", "4", "29")
 
 
 def words(text: Column) -> Column:
@@ -219,7 +223,7 @@ def grams(w: Column, n: int) -> Column:
 
 
 def features(w: Column) -> Column:
-    telling = lambda g: ~F.forall(F.split(g, " "), lambda x: x.isin(*COMMON))
+    telling = lambda g: ~F.forall(F.split(g, " "), lambda x: x.isin(*PLAIN))
     return F.array_distinct(F.filter(F.concat(*(grams(w, n) for n in (1, 2, 3))), telling))
 
 
@@ -273,7 +277,7 @@ class Model:
         named = lambda x: F.expr(f"transform(filter(marks, m -> m.family = {x}), m -> m.word)")
         self.templates = materialize(packed.select("family", "templates", named("family").alias("own"), F.expr("transform(others, o -> transform(filter(marks, m -> m.family = o), m -> m.word))").alias("foreign")), "licence-templates")
         self.base = self.bias.agg(F.max(1 / (1 + F.exp(-F.col("bias"))))).first()[0]
-        self.vocabulary = sorted({w for _, t in known for w in "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()} - set(COMMON))
+        self.vocabulary = sorted({w for _, t in known for w in "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()} - set(PLAIN))
 
     def scored(self, paragraphs: DataFrame, keys: list[str]) -> DataFrame:
         """family and p of each paragraph (keys and grams) for each family it shares a gram with."""
@@ -298,7 +302,7 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     share = lambda o, t: F.size(F.array_intersect(o, t)) / F.greatest(F.lit(1.0), F.least(F.size(o), F.size(t)).cast("double"))
     alike = F.exists(own, lambda o: F.exists("templates", lambda t: (share(o, t["pairs"]) >= SHARED) & ((has(t["rare"]) > 0) | (F.size(t["rare"]) == 0))))
     foreign = F.coalesce(F.array_max(F.transform("foreign", has)), F.lit(0))
-    judged = judged.where(alike & ((foreign == 0) | (foreign < has(F.col("own"))) | ((foreign == has(F.col("own"))) & (F.col("p") > 0.5)))).select("k1", "k2", "par", F.lit(True).alias("confirmed"))
+    judged = judged.where(alike & ((foreign == 0) | (foreign < has(F.col("own"))) | ((foreign == has(F.col("own"))) & (F.col("p") > F.col("cut") + MARGIN)))).select("k1", "k2", "par", F.lit(True).alias("confirmed"))
     out = first.join(judged, ["k1", "k2", "par"], "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
     return out.select("k1", "k2", "par", "family", F.round("p", 6).alias("p"), "confirmed", F.when(F.col("confirmed"), F.col("family")).otherwise("unknown").alias("licence"))
 

@@ -63,7 +63,7 @@ def plain_scan(text, model):
     seen = False
     for part in parts:
         w = plain_words(part)
-        own = {g for n in (1, 2, 3) for g in plain_grams(w, n) if not set(g.split()) <= set(licences.COMMON)}
+        own = {g for n in (1, 2, 3) for g in plain_grams(w, n) if not set(g.split()) <= set(licences.PLAIN)}
         sums, times = {}, {}
         for g in own:
             for f, x in weights.get(g, {}).items():
@@ -79,7 +79,7 @@ def plain_scan(text, model):
         t = templates[f]
         alike = any(len(pairs & set(x["pairs"])) / max(1, min(len(pairs), len(x["pairs"]))) >= licences.SHARED and (set(w) & set(x["rare"]) or not x["rare"]) for x in t["templates"])
         foreign, mine = max((len(set(w) & set(x)) for x in t["foreign"]), default=0), len(set(w) & set(t["own"]))
-        sure = p[f] > cuts[f] and alike and (foreign == 0 or foreign < mine or foreign == mine and p[f] > 0.5)
+        sure = p[f] > cuts[f] and alike and (foreign == 0 or foreign < mine or foreign == mine and p[f] > cuts[f] + licences.MARGIN)
         found |= {f} if sure else set()
         best = max(best, (sure, p[f], f if sure else "unknown"))
     return best[2], best[1] if seen else None, ",".join(sorted(found))
