@@ -4,12 +4,17 @@ Vectors are quantised to floor(256 x). Candidates and queries are dealt into blo
 bounded size; each pair of a query block and a candidate block is one task group. There
 the candidates lie dimension by dimension; a query adds up one block of dimensions after
 another and keeps only candidates whose partial score plus the product of the remaining
-norms can still reach the k-th best exact score known. Block results merge by rank.
+norms can still reach the k-th best exact score known, which the most promising of those
+that are left raise after each block. Block results merge by rank. Each vector travels
+once for a block of queries (so as often as there are blocks, which grow with the query
+set), in two bytes a component where that is enough.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows
 without an id, take no part; rows that repeat an id count as one, with the smallest
 vector in byte order; a component that one of two vectors lacks counts as zero; equal
-scores go to the smaller id; extra columns are ignored; an empty table gives no rows.
+scores go to the smaller id; components beyond 62 bits count as the largest of 62 bits,
+scores beyond 64 as the largest of 64; extra columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -22,11 +27,12 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import lean, materialize
 
-CANDIDATES, QUERIES, DIMS = 8192, 1024, 8
+CANDIDATES, QUERIES, DIMS = 8192, 4096, 8
+WIDTHS = (np.int16, np.int32, np.int64)
 
 
 def quantised(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
-    """vec_id and v: floor(256 x) of each component as packed 64-bit integers."""
+    """vec_id and v: floor(256 x) of each component, packed."""
     good = F.forall(column, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
 
     def run(batches):
@@ -35,17 +41,23 @@ def quantised(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
             flat = np.floor(256 * np.asarray(lists.flatten().to_numpy(zero_copy_only=False), float))
             flat = np.clip(flat, -(2.0**62), 2.0**62).astype(np.int64)
             at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flat[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["vec_id", "v"])
 
     rows = vectors.where(F.col(id_column).isNotNull() & F.col(column).isNotNull() & good)
     rows = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("e")).mapInArrow(lean(run), "vec_id long, v binary")
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def matrix(packed: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(packed), dims), np.int64)
-    for i, v in enumerate(packed):
-        x = np.frombuffer(v, np.int64)
+def packed(x: np.ndarray) -> bytes:
+    """The narrowest width that holds all components, then these."""
+    w = next(k for k, t in enumerate(WIDTHS) if not len(x) or np.iinfo(t).min <= x.min() and x.max() <= np.iinfo(t).max)
+    return bytes([w]) + x.astype(WIDTHS[w]).tobytes()
+
+
+def matrix(column: pd.Series) -> np.ndarray:
+    rows = [np.frombuffer(v, WIDTHS[v[0]], offset=1) for v in column]
+    out = np.zeros((len(rows), max(map(len, rows))), np.int64)
+    for i, x in enumerate(rows):
         out[i, : len(x)] = x
     return out
 
@@ -68,16 +80,16 @@ class Columns:
         rest = self.remaining(q.astype(float))[:, 0]
         alive = np.flatnonzero(self.ids != own)
         part = np.zeros(len(alive), self.columns.dtype)
-        floor = None
+        slack = 1e-9 * rest[0] * self.rest[0] + 0.5  # of the bounds' arithmetic
+        floor = -np.inf
         for b, (lo, hi) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
             part = part + q[lo:hi] @ self.columns[lo:hi, alive]
             if hi == self.cuts[-1] or len(alive) <= k:
                 continue
             bound = part.astype(float) + rest[b + 1] * self.rest[b + 1, alive]
-            if floor is None:
-                first = np.argpartition(bound, -k)[-k:]
-                floor = float(min(q @ self.columns[:, alive[first]]))
-            kept = bound >= floor - 1e-9 * (abs(floor) + 1) - 0.5
+            first = np.argpartition(bound, -k)[-k:]
+            floor = max(floor, float(min(q @ self.columns[:, alive[first]])))
+            kept = bound >= floor - slack[alive]
             alive, part = alive[kept], part[kept]
         order = np.lexsort((self.ids[alive], -part))[:k]
         return self.ids[alive[order]], part[order]
@@ -95,10 +107,9 @@ def search(spark: SparkSession, vectors: DataFrame, queries, k: int = 5, id_colu
     asking = rows.where(queries(F.col("vec_id"))).select(deal(qb, 2).alias("qb"), each(cb).alias("cb"), F.lit(True).alias("asks"), "vec_id", "v")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        dims = max(pdf["v"].str.len()) // 8
-        all_, asks, ids = matrix(pdf["v"], dims), pdf["asks"].to_numpy(), pdf["vec_id"].to_numpy()
+        all_, asks, ids = matrix(pdf["v"]), pdf["asks"].to_numpy(), pdf["vec_id"].to_numpy()
         big = int(np.abs(all_).max(initial=0))
-        all_ = all_.astype(float) if big * big * max(dims, 1) < 2**52 else all_.astype(object)
+        all_ = all_.astype(float) if big * big * max(all_.shape[1], 1) < 2**52 else all_.astype(object)  # exact either way
         found, out = Columns(ids[~asks], all_[~asks]), []
         for i in np.flatnonzero(asks):
             got, score = found.search(ids[i], all_[i], k)

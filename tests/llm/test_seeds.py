@@ -86,3 +86,27 @@ def test_topk_is_brute_force(spark, monkeypatch):
     got = topk.search(spark, df, lambda v: v % 50 == 0).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_topk(vectors)
     assert topk.search(spark, df.where("false"), lambda v: v % 50 == 0).count() == 0
+
+
+def test_topk_repeated_ids_and_clashing_columns(spark):
+    vectors = [(0, [0.5, 0.25], "x", 9), (0, [0.5, 0.25], "y", 8), (1, [1.0, 0.0], "x", 7), (1, [1.0, 0.0], "x", 7), (50, [0.25, 0.5], None, None), (2, [0.5, 0.25], "v", 1)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, v string, rank int").selectExpr("*", "1 AS qb", "2 AS asks")
+    got = sorted(tuple(r) for r in topk.search(spark, df, lambda v: v % 50 == 0).collect())
+    assert got == brute_topk(list({r[0]: r[:2] for r in vectors}.values()))
+
+
+def test_topk_of_large_components_is_brute_force(spark, monkeypatch):
+    """Scores over 2^52, with norms far above the k-th score."""
+    rnd = random.Random(12)
+    vectors = [(i, [float(rnd.choice([-1, 1]) * rnd.randrange(1 << 18)) for _ in range(20)]) for i in range(160)]
+    vectors += [(300 + i, [x + rnd.choice([0.0, 1 / 256]) for x in vectors[i][1]]) for i in range(40)]
+    monkeypatch.setattr(topk, "CANDIDATES", 60)
+    got = topk.search(spark, spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), lambda v: v % 50 == 0).collect()
+    assert sorted(tuple(r) for r in got) == brute_topk(vectors)
+    assert max(r.score for r in got) > 2**52
+
+
+def test_packed_components_keep_their_values():
+    for x in ([], [0, -5, 32767], [-32768, 3], [32768], [2**31, -1], [-(2**62), 2**62]):
+        v = topk.packed(np.array(x, np.int64))
+        assert np.frombuffer(v, topk.WIDTHS[v[0]], offset=1).tolist() == x
