@@ -55,3 +55,19 @@ def test_digests(spark, both, odd_docs):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.encode(spark, odd_docs, PATH).count() == 6
+
+
+def test_odd_and_empty_tables(spark, odd_docs, no_docs):
+    got = bpe.digests(spark, odd_docs, PATH).collect()
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert len(got) == 6 and {(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got if r.doc_id == 8} == {(0, nothing, nothing)}
+    assert len({tuple(r) for r in got if r.doc_id == 7}) == 1
+    assert bpe.digests(spark, no_docs, PATH).count() == 0 and bpe.encode(spark, no_docs, PATH).count() == 0
+
+
+def test_codecs_are_known_by_content(both):
+    text = bpe.read_vocabulary(PATH)
+    first = bpe.codec_of(text)
+    assert bpe.codec_of("".join(text)) is first
+    other = bpe.codec_of(text + " ")
+    assert other is not first and bpe.codec_of(text) is not other

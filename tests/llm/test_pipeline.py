@@ -38,6 +38,28 @@ def test_stages(spark, docs, docs_rows, tmp_path):
     assert whole == tokens
 
 
+def test_odd_and_empty_tables(spark, docs, odd_docs, no_docs, tmp_path):
+    """Nulls, repeated rows, clashing columns and empty tables go through every stage."""
+    spark.createDataFrame([(1, None), (None, "x y z"), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = odd_docs.unionByName(docs.selectExpr("*", "'p' AS bucket", "3 AS k1"))
+    for name, start in (("odd", odd), ("none", no_docs)):
+        df = start
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            stage(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/{name}{k}")
+            df = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            if k < 4:
+                assert df.columns == list(pipeline.COLUMNS)
+            rows = df.collect()
+            if name == "none":
+                assert not rows
+            elif k == 0:
+                kept = len(rows)
+                assert kept > 100
+            elif k == 1:
+                assert [r.doc_id for r in rows].count(7) <= 2 and 0 < len(rows) < kept
+        assert df.columns[0] == "doc_id"
+
+
 def test_names():
     names = list(entry.queries())
     assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
