@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm.common import lean, tuned
+from folioforge.llm.common import caches, lean, tuned
 
 END = "\ue000"  # stands for the end-of-word suffix as part of the last symbol
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -44,8 +44,8 @@ NEWER = (
 CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 CHUNK = 1 << 16  # characters of a text handled at once
-CACHED = 80_000  # words whose encoding a worker keeps in each of two generations
-PAIRS = 250_000  # pairs of tokens whose fit it keeps
+CACHED = 60_000  # words whose encoding a worker keeps in each of two generations
+PAIRS = 150_000  # pairs of tokens whose fit it keeps
 
 
 def byte_alphabet() -> list[str]:
@@ -324,16 +324,14 @@ class Codec:
         return d.feed(ids) + d.finish()
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec_of(spec: str) -> Codec:
-    """One codec for each worker, that of the last vocabulary: known by its content."""
-    name = hashlib.sha256(spec.encode()).hexdigest()
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(spec)
-    return _codecs[name]
+    """One codec for each worker, that of the last vocabulary: known by its content. It
+    goes when the worker turns to another operator."""
+    codecs_, name = caches["bpe"], hashlib.sha256(spec.encode()).hexdigest()
+    if name not in codecs_:
+        codecs_.clear()
+        codecs_[name] = Codec(spec)
+    return codecs_[name]
 
 
 def read_vocabulary(path: str) -> str:
@@ -350,7 +348,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.ids(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, ids array<int>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(run, "bpe"), "doc_id long, ids array<int>")
 
 
 def digests(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -367,4 +365,4 @@ def digests(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(run), schema)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(run, "bpe"), schema)

@@ -48,22 +48,31 @@ except (AttributeError, OSError):  # not every C library has it
     _trim = None
 
 
-def trim() -> None:
-    """Give memory that Arrow and the C library hold for later back to the machine: workers
-    live on between tasks, beside those of other stages."""
+#: What workers keep between tasks of one operator, by its name.
+caches: dict[str, dict] = {"bpe": {}}
+
+
+def trim(keeps: str = "") -> None:
+    """Give memory back to the machine that Arrow, the C library and the caches of other
+    operators than `keeps` hold: workers live on between tasks and turn to other stages."""
+    for name, cache in caches.items():
+        if name != keeps:
+            cache.clear()
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
 
 
-def lean(run):
+def lean(run, keeps: str = ""):
     """A stage over batches that leaves no memory behind."""
 
     def trimmed(batches):
+        trim(keeps)
         try:
             yield from run(batches)
         finally:
-            trim()
+            trim(keeps)
 
     return trimmed
 

@@ -13,8 +13,10 @@ A window matches in proximity where one of its `missing` + 1 rarest words (ties
 stands and all but `missing` of its words, that one included, stand each within `slack`
 words of their place from there. So of the `missing` + 2 rarest two must stand near their
 places: lists of these meet by item and rounded shift, and only documents where two do
-are verified. `missing` counts once for five words of the window at most; an exact match
-is one in proximity too.
+are verified. So by default all words of a window must be there, in any order and with
+others between them; `missing` words may be others, at the price of longer lists (each
+more takes in the postings of the next rarest word of all windows). It counts once for
+five words of the window at most; an exact match is one in proximity too.
 
 All steps are DataFrame operations. Relations of the test items are broadcast only while
 their counted rows stay below `BROADCAST_ROWS`; beyond it the same joins shuffle. The
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import discard, keyed, marked, materialize
 
 WORDS = 10
-SLACK, MISSING = 3, 1
+SLACK, MISSING = 3, 0
 BROADCAST_ROWS = 500_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

@@ -78,7 +78,7 @@ h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(rang
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id),
 tw AS MATERIALIZED (SELECT doc_id, p, w[p] AS word FROM t),
 cf AS (SELECT word, count(*) AS cf FROM tw GROUP BY word),
-bw AS (SELECT item_id, ws, need, least(1, need // 5) AS spare, unnest(range(ws, ws + need)) AS ip, w FROM (SELECT item_id, w, least(10, len(w)) AS need, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS ws FROM b WHERE len(w) > 0)),
+bw AS (SELECT item_id, ws, need, 0 AS spare, unnest(range(ws, ws + need)) AS ip, w FROM (SELECT item_id, w, least(10, len(w)) AS need, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS ws FROM b WHERE len(w) > 0)),
 rk AS MATERIALIZED (SELECT item_id, ws, need, spare, ip, w[ip] AS word, row_number() OVER (PARTITION BY item_id, ws ORDER BY coalesce(cf, 0), ip) AS nth FROM bw LEFT JOIN cf ON cf.word = w[ip]),
 pv AS MATERIALIZED (SELECT tw.doc_id, tw.p, r.* FROM rk r JOIN tw USING (word) WHERE nth <= spare + 1),
 ea AS MATERIALIZED (SELECT pv.doc_id, pv.item_id, pv.ws, pv.ip AS pip, pv.p, pv.need - pv.spare AS enough, rk.ip, rk.word, pv.p + rk.ip - pv.ip AS q FROM pv JOIN rk ON rk.item_id = pv.item_id AND rk.ws = pv.ws),

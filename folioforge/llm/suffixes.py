@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import blocks, covered, joint, keyed, lean, materialize, mix, prefix_hash, release, span_hash, trim, tuned, utf8
+from folioforge.llm.common import BLOCK_BYTES, blocks, covered, joint, keyed, lean, materialize, mix, prefix_hash, release, span_hash, trim, tuned, utf8
 
 LENGTH, GRAM, V = 400, 64, 32
 MOST = 1024
@@ -75,7 +75,7 @@ def anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for b in batches:
             buf, off = utf8(b.column(2))
-            for lo, hi in blocks(off):
+            for lo, hi in blocks(off, BLOCK_BYTES // 2):
                 row, s, n, d, g, c = runs(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length, gram)
                 take = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(s), pa.array(n), pa.array(d), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))], names=["k1", "k2", "s", "n", "d", "g", "c"])

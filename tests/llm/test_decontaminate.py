@@ -109,6 +109,8 @@ def test_proximity_is_brute_force(spark, slack, missing):
 def test_proximity_bears_inserted_and_changed_words(spark):
     item = " ".join(f"term{i}" for i in range(12))
     changed = item.replace("term2 ", "term2 put ").replace("term7 ", "term7 in ").replace("term5 ", "else ")
-    d = spark.createDataFrame([(1, f"before {changed} after"), (2, "term0 nothing else term11")], "doc_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.scan(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()}
+    d = spark.createDataFrame([(1, f"before {changed} after"), (2, "term0 nothing else term11"), (3, changed.replace("else", "term5"))], "doc_id long, text string")
+    b = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert {r.doc_id: r.near_ids for r in decontaminate.scan(d, b).collect()} == {1: [], 2: [], 3: ["5"]}
+    got = {r.doc_id: r for r in decontaminate.scan(d, b, missing=1).collect()}
     assert (got[1].near_ids, got[1].n_near, got[1].contaminated) == (["5"], 1, False) and got[2].n_near == 0
