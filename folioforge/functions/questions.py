@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 AUTHOR = (r"(?i)(?:by|from|according to)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)", r"(?i)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)'s\s+(?:book|paper|article|lecture)", r"(?i)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+(?:said|wrote|explains|discusses)")
 TITLE = (r'"([^"]+)"', r"'([^']+)'", r"book\s+(?:titled|called|named)\s+([A-Z][^\s,\.]+(?:\s+[A-Z][^\s,\.]+)*)", r"(?:in|from)\s+([A-Z][a-z]+\s+[A-Z][a-z]+)")
 CHAPTER = (r"(?i)chapter\s+(\d+)", r"(?i)ch(?:ap)?\.?\s+(\d+)", r"(?i)(\d+)(?:st|nd|rd|th)\s+chapter")
+# The dotted section's number stands in a group, as `first_of` reads group 1.
 SECTION = (r"(?i)section\s+(\d+)", r"(?i)sec\.?\s+(\d+)", r"\d+\.(\d+)")
 TIMES = (("today", r"\btoday\b"), ("yesterday", r"\byesterday\b"), ("last_week", r"\blast\s+week\b"), ("last_month", r"\blast\s+month\b"), ("this_week", r"\bthis\s+week\b"))
 LANGUAGES = (("python", r"\b(?:python|\.py)\b"), ("javascript", r"\b(?:javascript|js|\.js)\b"), ("java", r"\b(?:java|\.java)\b"), ("cpp", r"\b(?:c\+\+|cpp|\.cpp)\b"), ("go", r"\b(?:golang|go|\.go)\b"))
@@ -24,8 +25,8 @@ INTENTS = (
     ("log_search", ("logs", "log file", "error log", "debugging", "trace")),
     ("listing", ("list", "show all", "all documents", "everything about")),
 )
-TOPIC_STOPS = "what does say about the in chapter section find show me tell explain how why when where which who is are was were be been have has had do can could should would my documents document book article paper".split()
-KEYWORD_STOPS = "what does say about the and for are with from this that have find show".split()
+TOPIC_STOPS = ("what", "does", "say", "about", "the", "in", "chapter", "section", "find", "show", "me", "tell", "explain", "how", "why", "when", "where", "which", "who", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "can", "could", "should", "would", "my", "documents", "document", "book", "article", "paper")
+KEYWORD_STOPS = ("what", "does", "say", "about", "the", "and", "for", "are", "with", "from", "this", "that", "have", "find", "show")
 TECHNICAL = ("quantum", "machine learning", "neural network", "data structure", "algorithm", "authentication")
 ABOUT = r"\babout\s+([a-z\s]+?)(?:\s+in|\s+from|$)"
 
@@ -70,7 +71,7 @@ def doc_type(q: Column) -> Column:
 
 
 def words_of(q: Column, stops: list[str]) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(q), F.lit(r"\b([a-z]{3,})\b"), 1), lambda w: ~w.isin(stops))
+    return F.filter(F.regexp_extract_all(F.lower(q), F.lit(r"\b([a-z]{3,})\b"), 1), lambda w: ~w.isin(*stops))
 
 
 def topic(q: Column) -> Column:

@@ -18,8 +18,23 @@ BLOCKED = ("rm -rf /", "dd if=", "mkfs", "format", "shutdown -h", "reboot", "> /
 BLOCKED_SSH = ("rm -rf", "dd if=", "mkfs", "format", "shutdown", "reboot", "passwd", "userdel")
 BLOCKED_DIRECT = ("rm -rf /", "dd if=", "mkfs", "format", "shutdown", "reboot", "passwd", "userdel", "deluser")
 SSH_SHAPE = r"^ssh\s+\w+@[\d\.]+(?:\s+['\"][^'\"]*['\"])?$"
-ALLOWED_SSH = ("docker ps", r"docker start \w+", r"docker stop \w+", r"docker restart \w+", r"docker logs \w+", "df -h", "du -sh", "ls -", "ps aux")
-ALLOWED = tuple(rf"^ssh\s+\w+@[\d\.]+\s+'{c}" for c in ALLOWED_SSH) + (r"^df\s+-h", r"^du\s+-sh", r"^ls\s+-", r"^ps\s+aux", "^whoami", "^pwd")
+ALLOWED = (
+    r"^ssh\s+\w+@[\d\.]+\s+'docker ps",
+    r"^ssh\s+\w+@[\d\.]+\s+'docker start \w+",
+    r"^ssh\s+\w+@[\d\.]+\s+'docker stop \w+",
+    r"^ssh\s+\w+@[\d\.]+\s+'docker restart \w+",
+    r"^ssh\s+\w+@[\d\.]+\s+'docker logs \w+",
+    r"^ssh\s+\w+@[\d\.]+\s+'df -h",
+    r"^ssh\s+\w+@[\d\.]+\s+'du -sh",
+    r"^ssh\s+\w+@[\d\.]+\s+'ls -",
+    r"^ssh\s+\w+@[\d\.]+\s+'ps aux",
+    r"^df\s+-h",
+    r"^du\s+-sh",
+    r"^ls\s+-",
+    r"^ps\s+aux",
+    "^whoami",
+    "^pwd",
+)
 SHELL_MARKS = ("&", "|", ";", "`", "$")
 DANGERS = (r"rm\s+-rf", r"dd\s+if=", "mkfs", r":\(\)\{", ">/dev/sd", r"chmod\s+777", r"chmod\s+-R\s+777")
 SYSTEM_PATHS = ("/usr/", "/bin/", "/etc/", "/var/", "/tmp/")

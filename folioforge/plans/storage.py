@@ -254,7 +254,14 @@ def _(t):
     return fx.executions(t).select("id", F.coalesce(F.when(i % 3 > 0, F.col("command")), F.lit("unknown")).alias("command"), F.coalesce(F.when(i % 4 > 0, F.col("output")), F.lit("")).alias("output"), (F.col("status") == "success").alias("success"))
 
 
-@query("chunk_smart_para")
+_W = "len(list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> ''))"
+_PIECES = (
+    "SELECT doc_id, t, " + _W.format("t") + " AS n, row_number() OVER (PARTITION BY doc_id ORDER BY p, s) AS i FROM (SELECT doc_id, p, unnest(range(1, len(l) + 1)) AS s, unnest(l) AS t FROM (SELECT doc_id, p, "
+    "CASE WHEN " + _W.format("para") + " > 200 THEN list_transform(string_split(para, '. '), lambda x: x || '. ') ELSE [para || chr(10) || chr(10)] END AS l FROM (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS p, unnest(ps) AS para FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents))))"
+)
+
+
+@query("chunk_smart_para", f"WITH RECURSIVE x AS MATERIALIZED ({_PIECES}), r AS (SELECT doc_id, i, n, 0 AS c FROM x WHERE i = 1 UNION ALL SELECT x.doc_id, x.i, CASE WHEN r.n + x.n <= 200 THEN r.n + x.n ELSE x.n END, CASE WHEN r.n + x.n <= 200 THEN r.c ELSE r.c + 1 END FROM r JOIN x ON x.doc_id = r.doc_id AND x.i = r.i + 1) SELECT doc_id, c AS chunk_number, regexp_replace(string_agg(t, '' ORDER BY i), '^\\s+|\\s+$', '', 'g') AS chunk FROM r JOIN x USING (doc_id, i) GROUP BY doc_id, c")
 def _(t):
     """Greedy packing of paragraphs by word counts, as a fold over them."""
     return t.documents.select("doc_id", F.posexplode(text.packed(F.col("text"), 200)).alias("chunk_number", "chunk"))

@@ -286,7 +286,15 @@ def chapters(df, key: str):
     return kept.select(key, "number", "title", (F.row_number().over(order) - 1).alias("n"))
 
 
-@query("doc_detect_chapters")
+def sql_headings() -> str:
+    each = []
+    for k, p in enumerate(HEADINGS):
+        q = "'(?m)" + p.replace("'", "''") + "'"
+        each.append(f"SELECT id, {k} AS k, i, regexp_extract(m, {q}, 1) AS number, regexp_replace(regexp_replace(regexp_extract(m, {q}, 2), '^\\s+|\\s+$', '', 'g'), '\\.+$', '') AS title, instr(text, m) AS place FROM (SELECT id, text, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS m FROM (SELECT id, text, regexp_extract_all(text, {q}) AS l FROM {values(STRUCTURED, STRUCTURED_DDL)}))")
+    return " UNION ALL ".join(each)
+
+
+@query("doc_detect_chapters", f"SELECT id, number, title, CAST(row_number() OVER (PARTITION BY id ORDER BY place, k, i) - 1 AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id, number, title ORDER BY k, i) AS r FROM ({sql_headings()})) WHERE r = 1")
 def _(t):
     return chapters(inline(t, STRUCTURED, STRUCTURED_DDL), "id")
 
