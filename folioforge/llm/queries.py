@@ -128,5 +128,17 @@ c AS (SELECT t.doc_id, t.p, t.w[t.p] AS word, coalesce(max(CASE WHEN f.p IS NULL
 g AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
 """
+# Bytes as pairs of hexadecimal digits, so that offsets are those of bytes.
+OP9 = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS MATERIALIZED (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 399)) AS p FROM d)),
+r AS MATERIALIZED (SELECT doc_id, p FROM s JOIN (SELECT k FROM s GROUP BY k HAVING count(*) > 1) USING (k)),
+e AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS first FROM r),
+g AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM (SELECT doc_id, p, sum(first) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM e) GROUP BY doc_id, run),
+k AS (SELECT doc_id, b AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), n) AS b FROM (SELECT g.doc_id, a, b, n FROM g JOIN d USING (doc_id) UNION ALL SELECT doc_id, -1, 0, n FROM d)),
+t AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) WHERE b > a GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
 
-ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op4_topk_search": OP4, "op5_ngram_jaccard": OP5, "op6_lm_scores": OP6, "op7_substring_dedup": OP7}
+ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op4_topk_search": OP4, "op5_ngram_jaccard": OP5, "op6_lm_scores": OP6, "op7_substring_dedup": OP7, "op9_suffix_dedup": OP9}
