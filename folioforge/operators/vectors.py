@@ -57,8 +57,8 @@ def paired(rows: DataFrame, queries: DataFrame, itself: bool = False) -> DataFra
     if n <= QUERIES:
         return rows.join(F.broadcast(queries), other)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERIES)))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = rows.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // QUERIES) - 1))).cast("long"))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERIES))).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = rows.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // QUERIES) - 1))))
     return met.join(dealt, ["_part", "_block"]).where(other).drop("_part", "_block")
 
 

@@ -7,7 +7,8 @@ from folioforge.operators import vectors
 from folioforge.plans import text as plan
 from folioforge.plans.registry import Tables, inline
 from folioforge.session import fresh_path
-from folioforge.sources.store import Store
+from folioforge.sources import files, pdf
+from folioforge.sources.store import Store, updated
 from folioforge.streaming import requests
 
 
@@ -90,3 +91,53 @@ def test_no_rows(spark):
     empty = spark.createDataFrame([], "chunk_id long, embedding array<double>, collection_ord int, chunk_number int, doc_id long")
     asked = spark.createDataFrame([(1, [0.5, 0.5])], "query_id long, query array<double>")
     assert vectors.over_collections(empty, asked, 5).count() == 0
+
+
+def test_pdf_pages():
+    made = pdf.made([["One (two) \\ three", "é ü"], ["", " "], ["last"]])
+    assert pdf.pages(made) == ["One (two) \\ three\né ü", "\n ", "last"]
+    assert pdf.pages(b"") == [] and pdf.pages(b"not a pdf") == [] and pdf.pages(made[:200]) in ([], [""])
+    raw = b"1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R 5 0 R] >>\nendobj\n"
+    raw += b"3 0 obj\n<< /Type /Page /Contents [4 0 R 6 0 R] >>\nendobj\n4 0 obj\n<< >>\nstream\nBT <FEFF00E9> Tj 0 -12 Td [(A) -20 (B\\051)] TJ ET\nendstream\nendobj\n"
+    raw += b"5 0 obj\n<< /Type /Page >>\nendobj\n6 0 obj\n<< >>\nstream\nBT (next) Tj ET\nendstream\nendobj\n"
+    assert pdf.pages(raw) == ["é\nAB)\nnext", ""]
+
+
+def test_pdf_files_are_read(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(pdf.made([["first page"], [" "], ["third page"]]))
+    (tmp_path / "b.PDF").write_bytes(pdf.made([[""]]))
+    (tmp_path / "c.txt").write_text("no pdf")
+    got = {r.path[-5:]: (r.text, r.status) for r in files.pdfs(spark, str(tmp_path), numbered=True).collect()}
+    assert got["a.pdf"] == ("[Page 1]\nfirst page\n\n[Page 3]\nthird page", "success")
+    assert set(got) <= {"a.pdf", "b.PDF"} and got.get("b.PDF", (None, "error")) == (None, "error")
+
+
+def test_many_queries_meet_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "chunk_id long, embedding array<double>")
+    asked = rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    few = sorted(tuple(r) for r in vectors.nearest(rows, asked, 3).collect())
+    monkeypatch.setattr(vectors, "QUERIES", 7)
+    assert sorted(tuple(r) for r in vectors.nearest(rows, asked, 3).collect()) == few and len(few) == 180
+
+
+def test_queries_see_allowed_documents_only(spark):
+    rows = spark.createDataFrame([(i, i % 3, [float(i)]) for i in range(12)], "chunk_id long, doc_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, [0.0]), (5, [5.0])], "query_id long, query array<double>")
+    allowed = spark.createDataFrame([(5, 1)], "query_id long, doc_id long")
+    got = {}
+    for r in vectors.nearest(rows, asked, 2, allowed=allowed).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id))
+    assert {k: sorted(v) for k, v in got.items()} == {0: [(1, 1), (2, 2)], 5: [(1, 4), (2, 7)]}
+
+
+def test_token_chunks_make_progress(spark):
+    words = F.split(F.lit("a b c d e f g"), " ")
+    one = lambda size, overlap: [" ".join(c) for c in spark.range(1).select(text.token_chunks(words, size, overlap).alias("c")).first().c]
+    assert one(3, 1) == ["a b c", "c d e", "e f g"] and one(4, 4) == ["a b c d", "c d e f", "e f g"] and one(9, 2) == ["a b c d e f g"]
+    assert spark.range(1).select(text.token_chunks(F.array().cast("array<string>"), 3, 1).alias("c")).first().c == []
+
+
+def test_updates_merge(spark):
+    rows = spark.createDataFrame([(1, 0.5, 3), (2, 0.6, None)], "chunk_id long, importance double, access_count int")
+    changes = spark.createDataFrame([(2, 0.9), (3, None)], "chunk_id long, importance double")
+    assert sorted(tuple(r) for r in updated(rows, changes).collect()) == [(1, 0.5, 3), (2, 0.9, 1), (3, None, 1)]
