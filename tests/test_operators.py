@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioforge.functions import providers, text
+from folioforge.functions import providers, replies, text
 from folioforge.operators import vectors
 from folioforge.plans import text as plan
 from folioforge.plans.registry import Tables, inline
@@ -141,3 +141,27 @@ def test_updates_merge(spark):
     rows = spark.createDataFrame([(1, 0.5, 3), (2, 0.6, None)], "chunk_id long, importance double, access_count int")
     changes = spark.createDataFrame([(2, 0.9), (3, None)], "chunk_id long, importance double")
     assert sorted(tuple(r) for r in updated(rows, changes).collect()) == [(1, 0.5, 3), (2, 0.9, 1), (3, None, 1)]
+
+
+def test_security_replies(spark):
+    texts = [
+        "COMMANDS:\n1. df -h\n- ssh me@1.2.3.4 \"uptime\"\necho no\nREASONING: look first\nAPPROACH: slow\nNEXT_STEPS:\n1. Review the outputs again\n2. ok\nCONFIDENCE: 0.7",
+        "reasoning: only this\napproach: that way\nCONFIDENCE: 1.7",
+        "Try ssh root@10.0.0.1 \"df -h\" now",
+        "",
+    ]
+    fields = replies.security_fields(F.col("t"))
+    rows = inline(Tables(spark, ""), list(enumerate(texts)), "id int, t string").select("id", *(c.alias(k) for k, c in fields.items())).collect()
+    assert [(r.commands, r.reasoning, r.approach, r.next_steps, r.confidence) for r in sorted(rows)] == [
+        (["df -h", "ssh me@1.2.3.4 'uptime'"], "look first", "slow", ["Review the outputs again"], 0.7),
+        ([], "only this", "that way\nCONFIDENCE: 1.7", [], 1.0),
+        (["ssh root@10.0.0.1 'df -h'"], "Collaborative analysis", "Step-by-step investigation", [], 0.8),
+        ([], "Collaborative analysis", "Step-by-step investigation", [], 0.8),
+    ]
+
+
+def test_store_figures(spark):
+    store = Store(spark, fresh_path(spark, "store"))
+    store.add(spark.createDataFrame([("1", "private", "a"), ("2", "public", "b"), ("3", "public", "c")], "chunk_id string, db string, collection string").coalesce(1))
+    got = {r.db: (r.files, r.mb >= 0) for r in store.stats().collect()}
+    assert got == {"private": (1, True), "public": (2, True)}
