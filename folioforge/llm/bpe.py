@@ -44,8 +44,8 @@ NEWER = (
 CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 CHUNK = 1 << 16  # characters of a text handled at once
-CACHED = 60_000  # words whose encoding a worker keeps in each of two generations
-PAIRS = 150_000  # pairs of tokens whose fit it keeps
+CACHED = 80_000  # words whose encoding a worker keeps in each of two generations
+PAIRS = 250_000  # pairs of tokens whose fit it keeps
 
 
 def byte_alphabet() -> list[str]:
@@ -73,6 +73,8 @@ class Merges:
         made = {a + b for a, b in self.rank} | {s for s in self.ids if self.symbols(s) == 1}
         self.lookahead = max(map(self.symbols, made), default=1)
         self.tokens = {s for s in made if s in self.ids}
+        #: All ends of tokens, and whether each is a token itself.
+        self.ends = {s[k:]: s[k:] in self.tokens for s in self.tokens for k in range(len(s))}
 
     @staticmethod
     def symbols(s: str) -> int:
@@ -249,17 +251,21 @@ class Codec:
         if len(shown) > self.m.lookahead:
             t = Transducer(self.m)
             return t.feed("".join(shown[:-1])) + t.finish(shown[-1] + end)
-        text, tokens, seen, follows = "".join(shown) + end, self.m.tokens, self.m.pair_ok, self.m.follows
-        last = [""]
-        for i in range(1, len(shown) + 1):
-            stop = i if i < len(shown) else len(text)
-            for j in range(i):
-                token = text[j:stop]
-                if token in tokens:
-                    ok = seen.get((last[j], token))
-                    if ok or ok is None and follows(last[j], token):
-                        break
-            last.append(token)
+        text, ends, seen, follows = "".join(shown) + end, self.m.ends, self.m.pair_ok, self.m.follows
+        last, n = [""], len(shown)
+        for i in range(1, n + 1):
+            stop, j, found = i if i < n else len(text), i - 1, []
+            while j >= 0 and (whole := ends.get(token := text[j:stop])) is not None:
+                if whole:
+                    found.append((last[j], token))
+                j -= 1
+            for pair in reversed(found):  # the longest first
+                ok = seen.get(pair)
+                if ok or ok is None and follows(*pair):
+                    last.append(pair[1])
+                    break
+            else:
+                last.append(text[i - 1 : stop])
         out, at = [], len(shown)
         while at > 0:
             out.append(last[at])
