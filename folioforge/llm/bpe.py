@@ -44,7 +44,8 @@ NEWER = (
 CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 CHUNK = 1 << 16  # characters of a text handled at once
-CACHED = 80_000  # words whose encoding a worker keeps in each of two generations
+CACHED = 120_000  # words whose encoding a worker keeps in each of two generations
+START = 6  # symbols of a word whose last tokens it keeps
 PAIRS = 250_000  # pairs of tokens whose fit it keeps
 
 
@@ -243,6 +244,7 @@ class Codec:
         self.made = {s: (struct.pack("<I", i), self.m.strings[i].encode()) for s, i in self.m.ids.items()}
         self.cache: dict[str, tuple[int, bytes, bytes]] = {}
         self.older: dict[str, tuple[int, bytes, bytes]] = {}
+        self.starts: dict[str, tuple[str, ...]] = {}
 
     def word(self, word: str) -> list[str]:
         """Tokens of one word; a short one needs no window, as all of it is one."""
@@ -252,8 +254,14 @@ class Codec:
             t = Transducer(self.m)
             return t.feed("".join(shown[:-1])) + t.finish(shown[-1] + end)
         text, ends, seen, follows = "".join(shown) + end, self.m.ends, self.m.pair_ok, self.m.follows
-        last, n = [""], len(shown)
-        for i in range(1, n + 1):
+        n = len(shown)
+        start = self.starts.get(text[:START]) if n > START else None
+        last = [*start] if start else [""]  # what ends at a place depends on the text before it only
+        for i in range(len(last), n + 1):
+            if i == START + 1 and not start:
+                if len(self.starts) >= CACHED:
+                    self.starts.clear()
+                self.starts[text[:START]] = tuple(last)
             stop, j, found = i if i < n else len(text), i - 1, []
             while j >= 0 and (whole := ends.get(token := text[j:stop])) is not None:
                 if whole:
@@ -313,11 +321,15 @@ class Codec:
     def digest(self, text: str | None) -> tuple[int, str, str]:
         n, ids, decoded, glue = 0, hashlib.sha256(), hashlib.sha256(), b""
         for words in self.encoded(text or ""):
-            full = [w for w in words if w[0]]
-            if full:
-                n += sum(w[0] for w in full)
-                ids.update(b"".join([w[1] for w in full]))
-                decoded.update(glue + b" ".join([w[2] for w in full]))
+            if not words:
+                continue
+            count, raw, shown = zip(*words, strict=True)
+            if 0 in count:
+                shown = [w[2] for w in words if w[0]]
+            if shown:
+                n += sum(count)
+                ids.update(b"".join(raw))
+                decoded.update(glue + b" ".join(shown))
                 glue = b" "
         return n, ids.hexdigest(), decoded.hexdigest()
 
