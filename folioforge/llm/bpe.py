@@ -46,6 +46,7 @@ CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c
 CHUNK = 1 << 16  # characters of a text handled at once
 CACHED = 120_000  # words whose encoding a worker keeps in each of two generations
 START = 6  # symbols of a word whose last tokens it keeps
+NEAR = 5  # symbols before a place whose tokens it keeps
 PAIRS = 250_000  # pairs of tokens whose fit it keeps
 
 
@@ -245,6 +246,7 @@ class Codec:
         self.cache: dict[str, tuple[int, bytes, bytes]] = {}
         self.older: dict[str, tuple[int, bytes, bytes]] = {}
         self.starts: dict[str, tuple[str, ...]] = {}
+        self.near: dict[str, tuple[tuple[int, str], ...]] = {}
 
     def word(self, word: str) -> list[str]:
         """Tokens of one word; a short one needs no window, as all of it is one."""
@@ -262,15 +264,16 @@ class Codec:
                 if len(self.starts) >= CACHED:
                     self.starts.clear()
                 self.starts[text[:START]] = tuple(last)
-            stop, j, found = i if i < n else len(text), i - 1, []
-            while j >= 0 and (whole := ends.get(token := text[j:stop])) is not None:
-                if whole:
-                    found.append((last[j], token))
-                j -= 1
-            for pair in reversed(found):  # the longest first
-                ok = seen.get(pair)
-                if ok or ok is None and follows(*pair):
-                    last.append(pair[1])
+            stop = i if i < n else len(text)
+            near = text[i - NEAR if i > NEAR else 0 : stop]
+            if (found := self.near.get(near)) is None:
+                found = self.ending(near, i if i < NEAR else NEAR)
+            if i > NEAR and ends.get(text[i - NEAR - 1 : stop]) is not None:
+                found = [(i - j, text[j:stop]) for j in range(max(0, i - self.m.lookahead), i - NEAR) if ends.get(text[j:stop])] + [*found]
+            for size, token in found:
+                ok = seen.get((last[i - size], token))
+                if ok or ok is None and follows(last[i - size], token):
+                    last.append(token)
                     break
             else:
                 last.append(text[i - 1 : stop])
@@ -280,6 +283,13 @@ class Codec:
             at -= self.m.symbols(last[at])
         return out[::-1]
 
+    def ending(self, text: str, n: int) -> tuple[tuple[int, str], ...]:
+        """The tokens that end a text of n symbols, the longest first, with their symbols."""
+        if len(self.near) >= CACHED:
+            self.near.clear()
+        got = self.near[text] = tuple((n - j, text[j:]) for j in range(n) if self.m.ends.get(text[j:]))
+        return got
+
     def packed(self, word: str) -> tuple[int, bytes, bytes]:
         got = self.older.get(word)
         if got is None:
