@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import time
 
 import numpy as np
@@ -58,7 +59,6 @@ def trim(keeps: str = "") -> None:
     for name, cache in caches.items():
         if name != keeps:
             cache.clear()
-    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
@@ -166,30 +166,6 @@ def word_spans(buf: np.ndarray, off: np.ndarray, separator: np.ndarray = SPACE):
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = np.random.default_rng(20240501).integers(0, 2**64, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, n of each."""
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 4096)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """h with h[j]-h[i] times the inverse power i a hash of buf[i:j]."""
-    h = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * powers(len(buf))[0], out=h[1:])
-    return h
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; bijective."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -197,10 +173,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, equal for equal bytes wherever they stand."""
-    inverse = powers(len(h))[1]
-    return mix((h[ends] - h[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+#: Longer spans are hashed one by one.
+LONG = 4096
+
+
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer; zeros follow the last byte."""
+    return np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans, equal for equal bytes wherever they stand. Eight bytes
+    a step go through a bijective finaliser, so spans of one length that differ in one step
+    only have different hashes, and no pattern of bytes cancels as in a polynomial."""
+    n = ends - starts
+    h = mix(n.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    x, k = lanes(buf), 0
+    at = np.flatnonzero((n > 0) & (n <= LONG))
+    while len(at):
+        lane, left = x[starts[at] + k], n[at] - k
+        last = np.flatnonzero(left < 8)
+        lane[last] &= (np.uint64(1) << (8 * left[last]).astype(np.uint64)) - np.uint64(1)
+        h[at] = mix(h[at] ^ lane * np.uint64(0x9E3779B97F4A7C15))
+        k += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(n > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def window_hash(buf: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of each `width` (8 or more) consecutive bytes, by doubling; the two last
+    halves may overlap."""
+    n = len(buf) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    size, run = 8, mix(lanes(buf)[: len(buf) - 7] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(width))
+    while 2 * size <= width:
+        run = joint(run[: len(run) - size], run[size:])
+        size *= 2
+    return run if size == width else joint(run[:n], run[width - size : width - size + n])
 
 
 def joint(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import blocks, discard, joint, lean, materialize, mix, pack_sorted, planes64, prefix_hash, release, span_hash, trim, tuned, unpack_sorted, unplanes64, utf8, word_spans
+from folioforge.llm.common import blocks, discard, joint, lean, materialize, mix, pack_sorted, planes64, release, span_hash, trim, tuned, unpack_sorted, unplanes64, utf8, word_spans
 
 BACKOFF = 0.4
 START = np.uint64(0x5851F42D4C957F2D)
@@ -50,7 +50,7 @@ def blocked(docs: DataFrame) -> DataFrame:
             for lo, hi in blocks(off, BLOCK):
                 part, at = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 s, e, row = word_spans(part, at)
-                vocabulary, place = np.unique(span_hash(prefix_hash(part), s, e), return_inverse=True)
+                vocabulary, place = np.unique(span_hash(part, s, e), return_inverse=True)
                 n = np.bincount(row, minlength=hi - lo)
                 yield pa.RecordBatch.from_pydict({"block": [number], "n_words": [len(s)], "ids": [ids[lo:hi].tobytes()], "n": [planes64(n)], "vocabulary": [pack_sorted(vocabulary)], "place": [planes64(place)]}, pa.schema(fields))
                 number += 1

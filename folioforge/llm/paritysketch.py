@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import LOWER, blocks, discard, joint, keyed, lean, marked, materialize, mix, prefix_hash, release, shingle_hash, span_hash, trim, tuned, utf8, word_spans
+from folioforge.llm.common import LOWER, blocks, discard, joint, keyed, lean, marked, materialize, mix, release, shingle_hash, span_hash, trim, tuned, utf8, word_spans
 
 N, NUMERATOR, DENOMINATOR = 5, 80, 100  # shingle length; least similarity as a fraction
 FEW, NEAR = 16, 1
@@ -56,7 +56,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarr
     """Sorted distinct shingle hashes of each row, one row after another, and offsets."""
     buf = LOWER[buf]
     s, e, row = word_spans(buf, off)
-    w = span_hash(prefix_hash(buf), s, e)
+    w = span_hash(buf, s, e)
     h = shingle_hash(w, n)
     inside = row[: len(h)] == row[n - 1 :][: len(h)]
     h, first = h[inside], row[: len(h)][inside]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import blocks, held_out, lean, materialize, mix, prefix_hash, shingle_hash, span_hash, tuned, utf8, word_spans
+from folioforge.llm.common import blocks, held_out, lean, materialize, mix, shingle_hash, span_hash, tuned, utf8, word_spans
 
 WAVES = 384
 PART = 20_000  # labelled rows whose equations a task sums
@@ -49,8 +49,7 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = np.bincount(doc, minlength=rows)
     per = np.maximum(n, 1)
     length = (e - s).astype(float)
-    h = prefix_hash(buf)
-    w = span_hash(h, s, e)
+    w = span_hash(buf, s, e)
     total = lambda v, d=doc: np.bincount(d, v, rows)
     mean = total(length) / per
     spread = np.sqrt(np.maximum(total(length**2) / per - mean**2, 0))
@@ -74,7 +73,7 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     newline[10] = True
     ls, le, ldoc = word_spans(buf, off, newline)
     lines = np.bincount(ldoc, minlength=rows)
-    line_kinds, _ = variety(span_hash(h, ls, le), ldoc)
+    line_kinds, _ = variety(span_hash(buf, ls, le), ldoc)
     odd = _CLASSES[last] >= 7 if len(s) else np.zeros(0)
     odd = odd & (_CLASSES[last] <= 9) if len(s) else odd
     columns = [np.log1p(size), np.log1p(n), np.log1p(lines), mean, spread, entropy, kinds, top, kinds3, top3, line_kinds, total(again) / per, total((length <= 3).astype(float)) / per, total((length >= 15).astype(float)) / per,

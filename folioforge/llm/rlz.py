@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import blocks, keyed, lean, materialize, mix, planes64, prefix_hash, release, shingle_hash, span_hash, trim, tuned, unplanes64, utf8, word_spans
+from folioforge.llm.common import blocks, keyed, lean, materialize, mix, planes64, release, shingle_hash, span_hash, trim, tuned, unplanes64, utf8, word_spans
 
 WINDOW = 13
 BLOCK = 2 << 20  # text of a block of documents
@@ -103,7 +103,7 @@ def seeds(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFrame:
             for lo, hi in blocks(off, BLOCK):
                 part, at = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 s, e, row = word_spans(part, at)
-                h = shingle_hash(span_hash(prefix_hash(part), s, e), window)
+                h = shingle_hash(span_hash(part, s, e), window)
                 doc = row[: len(h)]
                 place = np.arange(len(h)) - np.searchsorted(row, doc)
                 inside = (doc == row[window - 1 :][: len(h)]) & known[lo + doc]

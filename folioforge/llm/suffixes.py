@@ -17,7 +17,7 @@ meet by fingerprint of all their bytes, counted before and after the shuffle.
 
 Defined results: a null text is empty; rows that repeat an id and text are places of
 their own, so both lose what they share; texts shorter than `length` are kept whole;
-matches lie in one text; extra columns are ignored; an empty table gives no rows.
+rows without an id are rows like any other; matches lie in one text; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import BLOCK_BYTES, blocks, covered, joint, keyed, lean, materialize, mix, prefix_hash, release, span_hash, trim, tuned, utf8
+from folioforge.llm.common import BLOCK_BYTES, blocks, covered, discard, joint, keyed, lean, materialize, mix, release, span_hash, trim, tuned, utf8, window_hash
 
 LENGTH, GRAM, V = 400, 64, 32
 MOST = 1024
@@ -51,9 +51,8 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     n = len(buf) - length + 1
     if n <= 0:
         return empty
-    h = prefix_hash(buf)
-    at = np.arange(len(buf) - gram + 1)
-    grams = span_hash(h, at, at + gram)
+    grams = window_hash(buf, gram)
+    at = np.arange(len(grams))
     least = sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - gram + 1)
     anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -67,7 +66,7 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     last[:-1] &= ~inside[1:] | first[1:]
     e = np.flatnonzero(last)
     a = anchor[s]
-    context = joint(span_hash(h, s, e + length), (a - s).astype(np.uint64))
+    context = joint(span_hash(buf, s, e + length), (a - s).astype(np.uint64))
     return [row[s], s - off[row[s]], e - s + 1, a - s, grams[a], context]
 
 
@@ -133,10 +132,10 @@ def repeated(texts: list[bytes], group: np.ndarray, n: np.ndarray, d: np.ndarray
     if not len(left):
         return out
     depth = (length - V) // V * V
-    rank, h = cover_ranks(x, depth), prefix_hash(x)
+    rank = cover_ranks(x, depth)
     p = at[left]
     sample = -(-p // V) * V
-    ends = joint(span_hash(h, p, sample), span_hash(h, sample + depth, p + length))
+    ends = joint(span_hash(x, p, sample), span_hash(x, sample + depth, p + length))
     out[left] = shared(joint(joint(bucket[left], ends), mix(rank[sample // V].astype(np.uint64))))
     return out
 
@@ -176,8 +175,9 @@ def contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return rows.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(lean(run), "k1 long, k2 long, s long, n long, d long, g long, alone boolean, hot boolean, t binary")
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """k1, k2, start and end of intervals that cover just the bytes of repeated strings."""
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, list[DataFrame]]:
+    """k1, k2, start and end of intervals that cover just the bytes of repeated strings; and
+    the tables that they are read from."""
     spark = rows.sparkSession
     anchors = materialize(anchored(rows, length, gram), "suffix-anchors")
     classes = anchors.groupBy("g", "c").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "s", "n", "d")).alias("one"))
@@ -211,14 +211,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                 w, k = which[lo : lo + (1 << 18)], nth[lo : lo + (1 << 18)]
                 part = buf[off[w[0]] : off[w[-1] + 1]]
                 at = off[w] - off[w[0]] + k
-                f = joint(joint(span_hash(prefix_hash(part), at, at + length), (k - d[w]).astype(np.uint64)), g[w].view(np.uint64))
+                f = joint(joint(window_hash(part, length)[at], (k - d[w]).astype(np.uint64)), g[w].view(np.uint64))
                 take = pa.array(w)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(s[w] + k), b.column(7).take(take), pa.array(f.view(np.int64))], names=["k1", "k2", "start", "alone", "f"])
 
     printed = texts.where("hot").select("k1", "k2", "s", "n", "d", "t", "g", "alone").mapInArrow(lean(prints), "k1 long, k2 long, start long, alone boolean, f long")
     again = printed.groupBy("f").agg(F.count("*").alias("times")).where("times > 1").select("f")
     hot = printed.where("alone").join(again, "f", "left_semi").select("k1", "k2", "start", (F.col("start") + length).alias("end"))
-    return whole.unionByName(sorted_).unionByName(hot)
+    return whole.unionByName(sorted_).unionByName(hot), [anchors, classes, texts]
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, keep: tuple[str, ...] = ("doc_id",), characters: bool = False) -> DataFrame:
@@ -226,8 +226,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = M
     each row. With `characters`, only whole characters go, so what stays is UTF-8."""
     spark = tuned(docs.sparkSession)
     rows = keyed(docs)
-    spans = repeated_spans(rows, length, gram, most)
+    spans, parts = repeated_spans(rows, length, gram, most)
     spans = materialize(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suffix-spans")
+    discard(*parts)
     release(spark)
     kept = [f"{c} {t}" for c, t in docs.select(*keep).dtypes]
     schema = ", ".join([*kept, "n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"])

@@ -10,8 +10,8 @@ once for a block of queries (so as often as there are blocks, which grow with th
 set), in two bytes a component where that is enough.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows
-without an id, take no part; rows that repeat an id count as one, with the smallest
-vector in byte order; a component that one of two vectors lacks counts as zero; equal
+without an id, take no part; rows that repeat an id are candidates of their own,
+of other ids' queries only, and as queries share one ranking of k rows; a component that one of two vectors lacks counts as zero; equal
 scores go to the smaller id; components beyond 62 bits count as the largest of 62 bits,
 scores beyond 64 as the largest of 64; extra columns are ignored; an empty table gives no
 rows.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import lean, materialize
 
 CANDIDATES, QUERIES, DIMS = 8192, 4096, 8
+BLOCK_BYTES = 32 << 20  # packed vectors that a block of candidates or queries is made for
 WIDTHS = (np.int16, np.int32, np.int64)
 
 
@@ -44,8 +45,7 @@ def quantised(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["vec_id", "v"])
 
     rows = vectors.where(F.col(id_column).isNotNull() & F.col(column).isNotNull() & good)
-    rows = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("e")).mapInArrow(lean(run), "vec_id long, v binary")
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("e")).mapInArrow(lean(run), "vec_id long, v binary")
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -54,14 +54,21 @@ def packed(x: np.ndarray) -> bytes:
     return bytes([w]) + x.astype(WIDTHS[w]).tobytes()
 
 
-def matrix(column: pd.Series) -> np.ndarray:
-    rows = [np.frombuffer(v, WIDTHS[v[0]], offset=1) for v in column]
-    out = np.zeros((len(rows), max(map(len, rows))), np.int64)
+def matrix(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """The vectors cut or filled with zeros to one width, as numbers whose products are exact."""
+    out = np.zeros((len(rows), width), np.int64)
     for i, x in enumerate(rows):
-        out[i, : len(x)] = x
+        out[i, : min(len(x), width)] = x[:width]
     return out
 
 
+def classes(rows: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """Widths by powers of two, and which vectors are as wide: a few wide ones don't widen the rest."""
+    width = np.array([len(x) for x in rows], np.int64)
+    top = np.left_shift(1, np.ceil(np.log2(np.maximum(width, 1))).astype(np.int64))
+    return [(int(width[top == t].max()), np.flatnonzero(top == t)) for t in np.unique(top)]
+
+
 class Columns:
     """Candidates in vertical layout with the norms that remain after each block of dimensions."""
 
@@ -99,21 +106,29 @@ def search(spark: SparkSession, vectors: DataFrame, queries, k: int = 5, id_colu
     """query_id, rank, vec_id and score of the k best of each row for which `queries`, a
     condition on vec_id, holds, among all rows but its own."""
     rows = materialize(quantised(vectors, id_column, column), "vectors")
-    n, asked = rows.agg(F.count("*"), F.count(F.when(queries(F.col("vec_id")), 1))).first()
-    cb, qb = max(1, -(-n // CANDIDATES)), max(1, -(-asked // QUERIES))
+    asks = queries(F.col("vec_id"))
+    n, asked, size, asked_size = rows.agg(F.count("*"), F.count(F.when(asks, 1)), F.sum(F.length("v")), F.sum(F.when(asks, F.length("v")))).first()
+    ways = lambda m, most, size: max(1, -(-m // most), -(-(size or 0) // BLOCK_BYTES))
+    cb, qb = ways(n, CANDIDATES, size), ways(asked, QUERIES, asked_size)
     deal = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     candidates = rows.select(each(qb).alias("qb"), deal(cb, 1).alias("cb"), F.lit(False).alias("asks"), "vec_id", "v")
-    asking = rows.where(queries(F.col("vec_id"))).select(deal(qb, 2).alias("qb"), each(cb).alias("cb"), F.lit(True).alias("asks"), "vec_id", "v")
+    asking = rows.where(asks).select(deal(qb, 2).alias("qb"), each(cb).alias("cb"), F.lit(True).alias("asks"), "vec_id", "v")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        all_, asks, ids = matrix(pdf["v"]), pdf["asks"].to_numpy(), pdf["vec_id"].to_numpy()
-        big = int(np.abs(all_).max(initial=0))
-        all_ = all_.astype(float) if big * big * max(all_.shape[1], 1) < 2**52 else all_.astype(object)  # exact either way
-        found, out = Columns(ids[~asks], all_[~asks]), []
-        for i in np.flatnonzero(asks):
-            got, score = found.search(ids[i], all_[i], k)
-            out.append(pd.DataFrame({"query_id": np.full(len(got), ids[i]), "vec_id": got, "score": [max(-(2**63), min(2**63 - 1, int(s))) for s in score]}))
+        asking, ids = pdf["asks"].to_numpy(), pdf["vec_id"].to_numpy()
+        rows = [np.frombuffer(v, WIDTHS[v[0]], offset=1) for v in pdf["v"]]
+        mine, theirs = np.flatnonzero(asking), np.flatnonzero(~asking)
+        out = []
+        for width, at in classes([rows[i] for i in theirs]):
+            at = theirs[at]
+            found, asked = matrix([rows[i] for i in at], width), matrix([rows[i] for i in mine], width)
+            big = max(int(np.abs(found).max(initial=0)), int(np.abs(asked).max(initial=0)))
+            kind = float if big * big * max(width, 1) < 2**52 else object  # exact either way
+            found, asked = Columns(ids[at], found.astype(kind)), asked.astype(kind)
+            for i, q in zip(mine, asked, strict=True):
+                got, score = found.search(ids[i], q, k)
+                out.append(pd.DataFrame({"query_id": np.full(len(got), ids[i]), "vec_id": got, "score": [max(-(2**63), min(2**63 - 1, int(s))) for s in score]}))
         return pd.concat(out).astype("int64") if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     best = candidates.unionByName(asking).groupBy("qb", "cb").applyInPandas(block, "query_id long, vec_id long, score long")

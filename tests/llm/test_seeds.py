@@ -91,8 +91,20 @@ def test_topk_is_brute_force(spark, monkeypatch):
 def test_topk_repeated_ids_and_clashing_columns(spark):
     vectors = [(0, [0.5, 0.25], "x", 9), (0, [0.5, 0.25], "y", 8), (1, [1.0, 0.0], "x", 7), (1, [1.0, 0.0], "x", 7), (50, [0.25, 0.5], None, None), (2, [0.5, 0.25], "v", 1)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, v string, rank int").selectExpr("*", "1 AS qb", "2 AS asks")
-    got = sorted(tuple(r) for r in topk.search(spark, df, lambda v: v % 50 == 0).collect())
-    assert got == brute_topk(list({r[0]: r[:2] for r in vectors}.values()))
+    good = [(r[0], [int(256 * x) for x in r[1]]) for r in [*vectors, (1, [5.0, 0.0])]]
+    df = df.unionByName(spark.createDataFrame([(1, [5.0, 0.0])], "vec_id long, embedding array<float>"), allowMissingColumns=True)
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c) for i, x in good if i == q for c, y in good if c != q)[:5]
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in topk.search(spark, df, lambda v: v % 50 == 0).collect()) == want
+
+
+def test_topk_of_mixed_widths_is_brute_force(spark):
+    rnd = random.Random(8)
+    vectors = [(i, [rnd.uniform(-1, 1) for _ in range(rnd.choice([1, 3, 17, 40]))]) for i in range(120)] + [(500, [0.5] * 70_000)]
+    got = topk.search(spark, spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), lambda v: v % 50 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_topk(vectors)
 
 
 def test_topk_of_large_components_is_brute_force(spark, monkeypatch):
