@@ -1,8 +1,11 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read
 again as the next one's input. All but the last return the columns of documents.
 
-Rows without an id or text pass through the stages by their operators' defined results;
-columns besides those of documents are dropped.
+Rows without an id or text pass through the stages by their operators' defined results: a
+null or empty text has no language and goes in the first stage; of rows that repeat an id
+and text one stays, and of ties for a representative the least (id, text hash); texts of
+any length pass whole; an empty table gives an empty result; columns besides those of
+documents are dropped. A stage's table is deleted once the next one's is written.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import bpe, decontaminate, langid, paritysketch, suffixes
-from folioforge.llm.common import materialize, release, table
+from folioforge.llm.common import discard, materialize, release, table
 from folioforge.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -67,8 +70,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if before:
+            discard(before)
+        before = docs
         release(spark)
     return docs
