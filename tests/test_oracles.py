@@ -6,11 +6,12 @@ import glob
 import math
 import os
 
-import duckdb
 import pytest
 
 from folioforge import plans
 
+duckdb = pytest.importorskip("duckdb")
+
 SF = "/root/testdata/sf0.001"
 
 
