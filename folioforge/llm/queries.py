@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, decontaminate, langid, licences, lm, paritysketch, quality, rlz, suffixes, topk
+from folioforge.llm import bpe, decontaminate, funnels, langid, licences, lm, paritysketch, quality, rlz, suffixes, topk
 from folioforge.llm.common import table
 
 
@@ -64,7 +64,11 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_decontamination, op4_topk_search, op5_ngram_jaccard, op6_lm_scores, op7_substring_dedup, op8_quality, op9_suffix_dedup, op10_bpe_codec)}
+def op13_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnels.counted(table(spark, sf_dir, "clicks"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_decontamination, op4_topk_search, op5_ngram_jaccard, op6_lm_scores, op7_substring_dedup, op8_quality, op9_suffix_dedup, op10_bpe_codec, op13_ordered_funnels)}
 
 # SQL for the operators that SQL expresses; ids are taken to be unique and not null there.
 OP3 = r"""
@@ -141,4 +145,28 @@ c AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_span
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op4_topk_search": OP4, "op5_ngram_jaccard": OP5, "op6_lm_scores": OP6, "op7_substring_dedup": OP7, "op9_suffix_dedup": OP9}
+
+def op13_sql() -> str:
+    parts, rows = [], []
+    for f in funnels.FUNNELS:
+        name = f.name.lower()
+        parts.append(f"{name}1 AS (SELECT client_id, t AS first, t AS last FROM e WHERE kind = '{f.steps[0]}')")
+        rows.append(f"SELECT '{f.name}' AS funnel, client_id, 1 AS step, 0 AS gap FROM {name}1")
+        out = ", ".join(f"'{k}'" for k in f.excluded)
+        for k, step in enumerate(f.steps[1:], 2):
+            parts.append(
+                f"{name}{k} AS MATERIALIZED (SELECT p.client_id, p.first, p.last AS before, p.t AS last FROM (SELECT p.client_id, p.first, p.last, min(n.t) AS t FROM {name}{k - 1} p JOIN e n ON n.client_id = p.client_id AND n.kind = '{step}' AND n.t > p.last AND n.t <= p.first + {funnels.WITHIN} GROUP BY ALL) p"
+                f" WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.client_id = p.client_id AND x.kind IN ({out}) AND x.t > p.last AND x.t <= p.t))"
+            )
+            rows.append(f"SELECT '{f.name}', client_id, {k}, last - before FROM {name}{k}")
+    return f"""
+WITH e AS MATERIALIZED (SELECT DISTINCT client_id, kind, epoch_us(arrived_at) AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL),
+{", ".join(parts)},
+s AS ({" UNION ALL ".join(rows)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY funnel, client_id, step ORDER BY gap) AS nth, count(*) OVER (PARTITION BY funnel, client_id, step) AS n FROM s),
+c AS (SELECT funnel, client_id, {", ".join(f"count(*) FILTER (step = {k}) AS n{k}" for k in range(1, 5))}, CAST(max(step) AS INTEGER) AS deepest, {", ".join(f"max(gap) FILTER (step = {k} AND nth = ({funnels.PERCENT} * n + 99) // 100) AS t{k}" for k in range(2, 5))} FROM r GROUP BY funnel, client_id)
+SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM c
+"""
+
+
+ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op4_topk_search": OP4, "op5_ngram_jaccard": OP5, "op6_lm_scores": OP6, "op7_substring_dedup": OP7, "op9_suffix_dedup": OP9, "op13_ordered_funnels": op13_sql()}
