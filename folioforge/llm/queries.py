@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, decontaminate, funnels, langid, licences, lm, paritysketch, quality, rlz, suffixes, topk
+from folioforge.llm import bpe, decontaminate, funnels, langid, licences, lm, paritysketch, productcodes, quality, rlz, suffixes, topk
 from folioforge.llm.common import table
 
 
@@ -64,11 +64,15 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return productcodes.compressed(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op13_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnels.counted(table(spark, sf_dir, "clicks"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_decontamination, op4_topk_search, op5_ngram_jaccard, op6_lm_scores, op7_substring_dedup, op8_quality, op9_suffix_dedup, op10_bpe_codec, op13_ordered_funnels)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_decontamination, op4_topk_search, op5_ngram_jaccard, op6_lm_scores, op7_substring_dedup, op8_quality, op9_suffix_dedup, op10_bpe_codec, op12_vector_codes, op13_ordered_funnels)}
 
 # SQL for the operators that SQL expresses; ids are taken to be unique and not null there.
 OP3 = r"""
@@ -146,6 +150,28 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed
 """
 
 
+def op12_sql() -> str:
+    q = productcodes
+    near = "SELECT v.vec_id, v.label, v.part, v.x, c.entry, d FROM (SELECT v.vec_id, v.part, min({'d': d, 'entry': entry}) AS best FROM (SELECT v.vec_id, v.part, c.entry, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.x, c.x)]) AS BIGINT) AS d FROM p v JOIN c{r} c USING (part)) v GROUP BY ALL) b, p v, LATERAL (SELECT best.entry AS entry, best.d AS d) c WHERE v.vec_id = b.vec_id AND v.part = b.part"
+    parts = []
+    for r in range(q.ROUNDS + 1):
+        parts.append(f"a{r} AS MATERIALIZED ({near.replace('{r}', str(r))})")
+        if r < q.ROUNDS:
+            parts.append(f"m{r} AS (SELECT part, entry, list(m ORDER BY i) AS x FROM (SELECT part, entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM a{r}, range(1, (SELECT w FROM width) + 1) g(i) GROUP BY ALL) GROUP BY ALL)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (part, entry))")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, [CAST(floor({q.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+width AS (SELECT max(len(x)) // {q.PARTS} AS w FROM v),
+p AS MATERIALIZED (SELECT vec_id, label, part, x[part * w + 1:(part + 1) * w] AS x FROM v, width, range({q.PARTS}) g(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {q.ENTRIES})),
+{", ".join(parts)},
+e AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{q.ROUNDS} GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c{q.ROUNDS}) AS codebooks_sha256 FROM e
+"""
+
+
 def op13_sql() -> str:
     parts, rows = [], []
     for f in funnels.FUNNELS:
@@ -169,4 +195,4 @@ SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM c
 """
 
 
-ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op4_topk_search": OP4, "op5_ngram_jaccard": OP5, "op6_lm_scores": OP6, "op7_substring_dedup": OP7, "op9_suffix_dedup": OP9, "op13_ordered_funnels": op13_sql()}
+ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op4_topk_search": OP4, "op5_ngram_jaccard": OP5, "op6_lm_scores": OP6, "op7_substring_dedup": OP7, "op9_suffix_dedup": OP9, "op12_vector_codes": op12_sql(), "op13_ordered_funnels": op13_sql()}
