@@ -34,6 +34,9 @@ text of any length is one set; extra columns are ignored; an empty table gives n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -152,7 +155,25 @@ def piece_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def classed_keys(buf: np.ndarray, off: np.ndarray, n: int, p: int, q: int):
+def pieces(h: np.ndarray, at: np.ndarray, sets: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The join keys of some of a block's sets, and the number among these of each key's set."""
+    bands = Bands(int(np.diff(at).max()), p, q)
+    keys = [piece_keys(h[at[i] : at[i + 1]], bands) for i in sets]
+    return np.concatenate(keys), np.repeat(np.arange(len(sets)), [len(k) for k in keys])
+
+
+class Keys(NamedTuple):
+    """What makes a block's join keys (as `pieces` does), and about how many bytes they have
+    in all for so many rows and elements."""
+
+    of: Callable
+    size: Callable
+
+
+PIECES = Keys(pieces, lambda rows, elements: 5 * elements)  # a key is 8 bytes and its owner; there is about one to two elements
+
+
+def classed_keys(buf: np.ndarray, off: np.ndarray, n: int, p: int, q: int, keys: Keys):
     """Digests of the distinct sets of a block, the keys of all and whose each key is."""
     h, at = shingle_sets(buf, off, n)
     digest = digests(h, at)
@@ -160,12 +181,11 @@ def classed_keys(buf: np.ndarray, off: np.ndarray, n: int, p: int, q: int):
     first = first[classes != 0]
     if not len(first):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    bands = Bands(int(np.diff(at).max()), p, q)
-    keys = [piece_keys(h[at[i] : at[i + 1]], bands) for i in first]
-    return digest[first], np.concatenate(keys), np.repeat(np.arange(len(first)), [len(k) for k in keys])
+    key, owner = keys.of(h, at, first, p, q)
+    return digest[first], key, owner
 
 
-def hot_keys(rows: DataFrame, count: int, n: int, p: int, q: int) -> np.ndarray:
+def hot_keys(rows: DataFrame, count: int, n: int, p: int, q: int, keys: Keys) -> np.ndarray:
     """Keys that at least HOT of some SAMPLE rows share; at most SAMPLE / HOT times the
     keys of a row, whatever the number of rows."""
 
@@ -173,21 +193,21 @@ def hot_keys(rows: DataFrame, count: int, n: int, p: int, q: int) -> np.ndarray:
         for b in batches:
             buf, off = utf8(b.column(0))
             for lo, hi in blocks(off):
-                yield pa.RecordBatch.from_arrays([pa.array(classed_keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n, p, q)[1].view(np.int64))], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(classed_keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n, p, q, keys)[1].view(np.int64))], names=["key"])
 
     some = rows.where(F.pmod("k2", F.lit(max(1, count // SAMPLE))) == 0).select("text").mapInArrow(lean(run), "key long")
     found = some.groupBy("key").count().where(F.col("count") >= HOT).select("key").collect()
     return np.sort(np.array([r[0] for r in found], np.int64)).view(np.uint64)
 
 
-def sketched(rows: DataFrame, buckets: int, hot: np.ndarray, n: int, p: int, q: int) -> DataFrame:
+def sketched(rows: DataFrame, buckets: int, hot: np.ndarray, n: int, p: int, q: int, keys: Keys) -> DataFrame:
     """One row for each block of documents and bucket of keys, classes once a block."""
 
     def run(batches):
         for b in batches:
             buf, off = utf8(b.column(0))
             for lo, hi in blocks(off, rows=60_000):
-                digest, key, owner = classed_keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n, p, q)
+                digest, key, owner = classed_keys(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n, p, q, keys)
                 salt = np.where(np.isin(key, hot), mix(digest)[owner] % np.uint64(SALTS), np.uint64(0))
                 bucket = (mix(key + salt) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -434,7 +454,7 @@ def classed(rows: DataFrame, n: int = N) -> DataFrame:
     return rows.select("doc_id", "k1", "k2", "text").mapInArrow(lean(run), "doc_id long, k1 long, k2 long, n_shingles long, class long, sketch binary")
 
 
-def labelled(docs: DataFrame, n: int = N, p: int = NUMERATOR, q: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
+def labelled(docs: DataFrame, n: int = N, p: int = NUMERATOR, q: int = DENOMINATOR, keys: Keys = PIECES) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, k1, k2, n_shingles, class) and distinct classes (class, root, least)."""
     spark = tuned(docs.sparkSession)
     rows = keyed(docs)
@@ -442,9 +462,9 @@ def labelled(docs: DataFrame, n: int = N, p: int = NUMERATOR, q: int = DENOMINAT
     classes = every.where("class != 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     classes = materialize(classes, "jaccard-distinct")
     count, elements = every.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    hot = hot_keys(rows, count, n, p, q)
-    buckets = max(64, 5 * elements // KEY_BYTES)  # a key is 8 bytes and its owner; there is about one to two elements
-    found = materialize(sketched(rows, buckets, hot, n, p, q).groupBy("bucket").applyInPandas(lambda pdf: candidates(pdf, hot), "a long, b long, crowded boolean"), "jaccard-found")
+    hot = hot_keys(rows, count, n, p, q, keys)
+    buckets = max(64, keys.size(count, elements) // KEY_BYTES)
+    found = materialize(sketched(rows, buckets, hot, n, p, q, keys).groupBy("bucket").applyInPandas(lambda pdf: candidates(pdf, hot), "a long, b long, crowded boolean"), "jaccard-found")
     release(spark)
     pairs = materialize(plausible(found.where("not crowded").select("a", "b").distinct(), classes, p, q), "jaccard-candidates")
     crowd = found.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("class"))
@@ -455,9 +475,9 @@ def labelled(docs: DataFrame, n: int = N, p: int = NUMERATOR, q: int = DENOMINAT
     return every, rooted.select("class", F.coalesce("root", "class").alias("root"), "least", "one")
 
 
-def components(docs: DataFrame, n: int = N, p: int = NUMERATOR, q: int = DENOMINATOR) -> DataFrame:
+def components(docs: DataFrame, n: int = N, p: int = NUMERATOR, q: int = DENOMINATOR, keys: Keys = PIECES) -> DataFrame:
     """doc_id, n_shingles and component_id, the least id that links reach, of each row."""
-    every, classes = labelled(docs, n, p, q)
+    every, classes = labelled(docs, n, p, q, keys)
     ids = classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("class", "component")
     out = every.join(ids, "class", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, decontaminate, funnels, langid, licences, lm, paritysketch, productcodes, quality, rlz, suffixes, topk
+from folioforge.llm import bpe, decontaminate, funnels, langid, licences, lm, paritysketch, productcodes, quality, rlz, suffixes, superminhash, topk
 from folioforge.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return productcodes.compressed(spark, table(spark, sf_dir, "embeddings"))
 
@@ -72,7 +76,7 @@ def op13_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnels.counted(table(spark, sf_dir, "clicks"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_decontamination, op4_topk_search, op5_ngram_jaccard, op6_lm_scores, op7_substring_dedup, op8_quality, op9_suffix_dedup, op10_bpe_codec, op12_vector_codes, op13_ordered_funnels)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_decontamination, op4_topk_search, op5_ngram_jaccard, op6_lm_scores, op7_substring_dedup, op8_quality, op9_suffix_dedup, op10_bpe_codec, op11_minhash_groups, op12_vector_codes, op13_ordered_funnels)}
 
 # SQL for the operators that SQL expresses; ids are taken to be unique and not null there.
 OP3 = r"""
@@ -103,14 +107,17 @@ SELECT query_id, rank, vec_id, score FROM (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([x[1] * x[2] FOR x IN list_zip(q.v, c.v)]) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 5
 """
-OP5 = r"""
+def component_sql(n: int, percent: int, kept: str = "") -> str:
+    return r"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(5, len(w)) - 1], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM d WHERE len(w) > 0)),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(SIZE, len(w)) - 1], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(SIZE, len(w)) + 2)) AS p FROM d WHERE len(w) > 0)),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-l AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= PERCENT * (na.n + nb.n - shared)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
-"""
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_idKEPT FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+""".replace("SIZE", str(n)).replace("PERCENT", str(percent)).replace("KEPT", kept)
+
+
 OP6 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 t AS (SELECT doc_id, i, CASE WHEN i = 1 THEN NULL WHEN i = 2 THEN ' ' ELSE w[i - 2] END AS a, CASE WHEN i = 1 THEN ' ' ELSE w[i - 1] END AS b, w[i] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
@@ -195,4 +202,4 @@ SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM c
 """
 
 
-ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op4_topk_search": OP4, "op5_ngram_jaccard": OP5, "op6_lm_scores": OP6, "op7_substring_dedup": OP7, "op9_suffix_dedup": OP9, "op12_vector_codes": op12_sql(), "op13_ordered_funnels": op13_sql()}
+ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op4_topk_search": OP4, "op5_ngram_jaccard": component_sql(5, 80), "op6_lm_scores": OP6, "op7_substring_dedup": OP7, "op9_suffix_dedup": OP9, "op11_minhash_groups": component_sql(3, 85, ", d.doc_id = c.component_id AS kept"), "op12_vector_codes": op12_sql(), "op13_ordered_funnels": op13_sql()}
