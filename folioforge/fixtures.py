@@ -116,3 +116,16 @@ def interactions(t) -> DataFrame:
 
 
 INTERACTIONS = "(SELECT conv_id AS session_id, turn AS number, role AS kind, text AS input FROM conversations)"
+
+
+def actions(t) -> DataFrame:
+    """What users did after each interaction, dealt by the text's length."""
+    n = F.length("input")
+    kind = F.when(n % 6 == 0, "ROLLBACK").when(n % 6 < 3, "MODIFY").when((n % 6 == 3) & (F.col("number") > 2), "STOP").otherwise("CONTINUE")
+    return interactions(t).select("session_id", "number", F.col("kind").alias("stage"), (F.col("kind") != "system").alias("allows"), kind.alias("action"), F.substring("input", 1, 20).alias("value"), (F.floor(n / 6) % 4).cast("long").alias("target"))
+
+
+ACTIONS = (
+    "(SELECT session_id, number, kind AS stage, kind <> 'system' AS allows, CASE WHEN length(input) % 6 = 0 THEN 'ROLLBACK' WHEN length(input) % 6 < 3 THEN 'MODIFY' WHEN length(input) % 6 = 3 AND number > 2 THEN 'STOP' ELSE 'CONTINUE' END AS action, "
+    f"left(input, 20) AS value, length(input) // 6 % 4 AS target FROM {INTERACTIONS})"
+)

@@ -10,6 +10,9 @@ from folioforge.functions import safety as sf
 from folioforge.operators import catalog as cat
 from folioforge.operators import sessions as op
 from folioforge.plans.registry import inline, query, values
+from folioforge.session import fresh_path
+from folioforge.streaming import sessions as stream
+from folioforge.streaming.sinks import BatchSink
 
 I = fx.INTERACTIONS  # noqa: E741
 E = fx.EXECUTIONS
@@ -33,9 +36,9 @@ def _(t):
     return op.checkpoints(fx.interactions(t)).select("session_id", "checkpoint_number", "checkpoint_id", "parent_id", "can_rollback")
 
 
-@query("cp_upsert", f"SELECT session_id, checkpoint_number, checkpoint_id FROM {CP} WHERE checkpoint_number <= 3")
+@query("cp_upsert", f"SELECT session_id, checkpoint_number, checkpoint_id FROM {CP}")
 def _(t):
-    return op.checkpoints(fx.interactions(t)).where("checkpoint_number <= 3").select("session_id", "checkpoint_number", "checkpoint_id")
+    return op.checkpoints(fx.interactions(t)).select("session_id", "checkpoint_number", "checkpoint_id")
 
 
 @query("cp_rollback", f"SELECT p.session_id, p.checkpoint_number FROM {CP} p JOIN (SELECT session_id FROM {CP} WHERE checkpoint_number = 2 AND can_rollback) a USING (session_id) WHERE p.checkpoint_number <= 2")
@@ -47,8 +50,7 @@ def _(t):
 
 @query("cp_chain", f"WITH RECURSIVE p AS (SELECT * FROM {CP}), c AS (SELECT session_id, checkpoint_id, parent_id, 0 AS depth FROM p WHERE parent_id IS NULL UNION ALL SELECT p.session_id, p.checkpoint_id, p.parent_id, c.depth + 1 FROM p JOIN c ON p.parent_id = c.checkpoint_id AND p.session_id = c.session_id) SELECT session_id, checkpoint_id, depth FROM c")
 def _(t):
-    op.checkpoints(fx.interactions(t)).createOrReplaceTempView("folioforge_points")
-    return t.spark.sql("WITH RECURSIVE c AS (SELECT session_id, checkpoint_id, 0 AS depth FROM folioforge_points WHERE parent_id IS NULL UNION ALL SELECT p.session_id, p.checkpoint_id, c.depth + 1 FROM folioforge_points p JOIN c ON p.parent_id = c.checkpoint_id AND p.session_id = c.session_id) SELECT * FROM c")
+    return op.depths(op.checkpoints(fx.interactions(t)))
 
 
 @query("cp_summary", f"SELECT session_id, count(*) AS checkpoints, count(DISTINCT kind) AS kinds, CAST(sum(CASE WHEN can_rollback THEN 1 ELSE 0 END) AS BIGINT) AS open FROM {CP} GROUP BY session_id")
@@ -95,13 +97,35 @@ def _(t):
     return packed.select(F.from_json("j", "session_id long, number long, kind string, input string").alias("r")).select("r.*")
 
 
-ACTIONS = f"(SELECT session_id, number, CASE number % 4 WHEN 1 THEN 'MODIFY' WHEN 3 THEN 'STOP' ELSE 'CONTINUE' END AS action, left(input, 20) AS value FROM {I})"
+# Each row of a session in order: its checkpoint goes on the stack, then the user's action.
+REPLAYED = f"""
+WITH RECURSIVE a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY number) AS n FROM {fx.ACTIONS}),
+r AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, false AS ended, CAST(NULL AS VARCHAR) AS request, CAST(0 AS BIGINT) AS rollbacks, CAST(0 AS BIGINT) AS refused, CAST([] AS BIGINT[]) AS numbers, CAST([] AS VARCHAR[]) AS stages, CAST([] AS BOOLEAN[]) AS opens FROM a
+  UNION ALL SELECT session_id, n, ended OR action = 'STOP', CASE WHEN NOT ended AND action = 'MODIFY' AND value <> '' THEN value ELSE request END, rollbacks + CAST(back AS BIGINT), refused + CAST(NOT ended AND action = 'ROLLBACK' AND NOT back AS BIGINT),
+    CASE WHEN back THEN numbers[1:target] ELSE numbers END, CASE WHEN back THEN stages[1:target] ELSE stages END, CASE WHEN back THEN opens[1:target] ELSE opens END
+  FROM (SELECT *, NOT ended AND action = 'ROLLBACK' AND target BETWEEN 1 AND len(numbers) AND coalesce(opens[target], false) AS back
+    FROM (SELECT r.session_id, a.n, r.ended, r.request, r.rollbacks, r.refused, a.action, a.value, a.target, CASE WHEN r.ended THEN numbers ELSE list_append(numbers, a.number) END AS numbers, CASE WHEN r.ended THEN stages ELSE list_append(stages, a.stage) END AS stages, CASE WHEN r.ended THEN opens ELSE list_append(opens, a.allows) END AS opens
+      FROM r JOIN a ON a.session_id = r.session_id AND a.n = r.n + 1)))
+SELECT session_id, ended, request, rollbacks, refused, CAST(len(numbers) AS BIGINT) AS checkpoints, stages[-1] AS stage, numbers[-1] AS cycle, array_to_string(numbers, ',') AS history
+FROM r WHERE n = (SELECT max(n) FROM a WHERE a.session_id = r.session_id)
+"""
 
 
-@query("wf_apply_action", f"SELECT session_id, bool_or(action = 'STOP') AS ended, arg_max(value, number) FILTER (action = 'MODIFY' AND NOT stopped) AS request FROM (SELECT *, coalesce(bool_or(action = 'STOP') OVER (PARTITION BY session_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM {ACTIONS}) GROUP BY session_id")
+@query("wf_apply_action", REPLAYED)
 def _(t):
-    kind = F.when(F.col("number") % 4 == 1, "MODIFY").when(F.col("number") % 4 == 3, "STOP").otherwise("CONTINUE")
-    return op.applied(fx.interactions(t).select("session_id", "number", kind.alias("action"), F.substring("input", 1, 20).alias("value")))
+    """Sessions after all actions: STOP, MODIFY, and ROLLBACK to a checkpoint's snapshot."""
+    return op.replayed(fx.actions(t))
+
+
+@query("stream_sessions", REPLAYED)
+def _(t):
+    """The same from a stream: files in no order, two a micro-batch, states in a sink that
+    takes each batch once."""
+    folder, out, mark = (fresh_path(t.spark, n) for n in ("actions", "states", "offsets"))
+    fx.actions(t).repartition(6).write.json(folder)
+    sink = BatchSink(t.spark, out)
+    stream.run(stream.arriving(t.spark, folder, 2), sink, mark).awaitTermination()
+    return stream.current(sink)
 
 
 @query("sess_interactions", f"SELECT session_id, number, kind, length(input) AS n FROM {I}")

@@ -14,10 +14,15 @@ from folioforge.session import fresh_path
 from folioforge.sources import files, pdf
 from folioforge.sources.store import Store, updated
 from folioforge.streaming import requests
+from folioforge.streaming.sinks import BatchSink
 
 V = fx.VECTORS
 
 
+#: A file is read as one value.
+FILE_BYTES = 32 << 20
+
+
 def stored(t, rows=None) -> Store:
     store = Store(t.spark, fresh_path(t.spark, "store"))
     store.add(rows if rows is not None else fx.vectors(t))
@@ -26,9 +31,11 @@ def stored(t, rows=None) -> Store:
 
 @query("src_text_read", "SELECT count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents WHERE text <> ''")
 def _(t):
-    """All texts written as files, many to a file, and read back."""
+    """All texts written as files and read back; as many to a file as surely fit in FILE_BYTES."""
     path = fresh_path(t.spark, "texts")
-    t.documents.where("text <> ''").select("text").write.option("lineSep", "\u0001").option("maxRecordsPerFile", 10_000).text(path)
+    rows = t.documents.where("text <> ''").select("text")
+    longest = rows.agg(F.coalesce(F.max(F.octet_length("text")), F.lit(1))).first()[0]
+    rows.write.option("lineSep", "\u0001").option("maxRecordsPerFile", max(1, FILE_BYTES // longest)).text(path)
     rows = files.texts(t.spark, path).select(F.explode(F.split("text", "\u0001")).alias("x")).where("x <> ''")
     return rows.agg(F.count("*").alias("texts"), F.sum(F.length("x")).alias("characters"))
 
@@ -81,12 +88,14 @@ _asked = "(SELECT doc_id, trim(text, ' ' || chr(9) || chr(10)) AS text FROM docu
 
 @query("stream_requests", f"SELECT doc_id, CASE WHEN length(text) > {requests.LIMIT} THEN left(text, {requests.LIMIT}) || '{requests.MARK}' ELSE text END AS request, CASE WHEN {fx.sql_contains('lower(left(text, ' + str(requests.LIMIT) + '))', requests.SUMMARY_WORDS)} THEN 'summarization' ELSE 'sysadmin' END AS category, CASE WHEN {fx.sql_contains('lower(left(text, ' + str(requests.LIMIT) + '))', requests.SUMMARY_WORDS)} THEN 'summarize' ELSE 'collaborate' END AS handler FROM {_asked} WHERE text <> ''")
 def _(t):
-    """Each document as a request file through the stream, one micro-batch after another."""
+    """Each document as a request through the stream, many to a file and one micro-batch after
+    another, into a sink that takes each batch once."""
     folder, out, mark = (fresh_path(t.spark, n) for n in ("arrivals", "handled", "offsets"))
-    t.documents.select("text", "doc_id").write.partitionBy("doc_id").text(folder)
-    stream = requests.triaged(requests.arrivals(t.spark, folder, per_trigger=4096))
-    requests.run(stream, lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out), mark).awaitTermination()
-    return t.spark.read.parquet(out).select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "request", "category", "handler")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    t.documents.select(name.alias("name"), F.col("text").alias("request")).write.option("maxRecordsPerFile", 10_000).json(folder)
+    stream, sink = requests.triaged(requests.packed(t.spark, folder, per_trigger=16)), BatchSink(t.spark, out)
+    requests.run(stream, sink.write, mark).awaitTermination()
+    return sink.read(stream.schema).select(F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("doc_id"), "request", "category", "handler")
 
 
 @query("sink_pending", "SELECT doc_id, '{\"request_id\":' || doc_id || ',\"status\":\"needs_clarification\"}' AS metadata FROM documents WHERE length(text) < 100")

@@ -23,6 +23,15 @@ def arrivals(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFram
     return rows.withColumn("request", preview(F.col("request"), LIMIT, MARK))
 
 
+def packed(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
+    """Requests as they arrive in files of many: JSON lines of name and request, with the
+    rules of single files."""
+    raw = spark.readStream.schema("name string, request string").option("maxFilesPerTrigger", per_trigger).json(folder)
+    ok = (analysis.extension(F.col("name")) == ".txt") & ~F.rlike("name", F.lit("^[.~]"))
+    rows = raw.select(F.col("name").alias("path"), "name", strip(F.col("request")).alias("request")).where(ok & (F.col("request") != ""))
+    return rows.withColumn("request", preview(F.col("request"), LIMIT, MARK))
+
+
 def triaged(requests: DataFrame) -> DataFrame:
     """Requests with their category and handler, by keywords."""
     category = F.when(safety.any_of(F.lower("request"), SUMMARY_WORDS), "summarization").otherwise("sysadmin")
@@ -31,6 +40,7 @@ def triaged(requests: DataFrame) -> DataFrame:
 
 
 def run(requests: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start the stream; `handle` gets each micro-batch. Offsets live in the checkpoint, so
-    a restart neither loses nor repeats a file."""
+    """Start the stream; `handle` gets each micro-batch. Offsets live in the checkpoint, so a
+    restart loses no file, but a batch that broke off comes again: a handler has to know
+    batches by their id, as `sinks.BatchSink` does."""
     return requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
