@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from folioforge.functions.text import let
-from folioforge.operators.vectors import unit
+from folioforge.operators.vectors import overlap, unit
 
 DIMS = 64
 
@@ -52,15 +52,13 @@ def batched(encode=None, batch: int = 64):
 
 
 def scored(score=None):
-    """A pandas UDF over a scorer of (query, text) pairs; by default shared words."""
-
-    def default(q: str, t: str) -> float:
-        a, b = set(q.lower().split()), set(t.lower().split())
-        return len(a & b) / len(a) if a else 0.0
+    """A score of (query, text) columns: the built-in overlap, or a scorer of lists of queries
+    and texts, called once a batch, whose failure fails the query rather than hiding."""
+    if score is None:
+        return overlap
 
     @pandas_udf("double")
     def run(q: pd.Series, t: pd.Series) -> pd.Series:
-        f = score or default
-        return pd.Series([f(x or "", y or "") for x, y in zip(q, t, strict=True)])
+        return pd.Series(score([x or "" for x in q], [x or "" for x in t]), dtype=float)
 
     return run

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import let
 
-#: Queries that may travel to all tasks at once; more are dealt to blocks of as many.
-QUERIES = 1024
+#: Queries, and bytes of them, that may travel to all tasks at once; more are dealt to blocks.
+QUERIES, BYTES = 1024, 32 << 20
 
 
 def folded(values: Column) -> Column:
@@ -50,36 +50,44 @@ def ranked(df: DataFrame, keys: list, order: list, k: int, name: str = "rank") -
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
-def paired(rows: DataFrame, queries: DataFrame, itself: bool = False) -> DataFrame:
-    """Each row with each query (but for the one of its own id, unless `itself`), in blocks
-    of queries."""
-    other, n = (F.lit(True) if itself else F.col("chunk_id") != F.col("query_id")), queries.count()
-    if n <= QUERIES:
+def blocks(queries: DataFrame) -> int:
+    """Into how many blocks queries are dealt, by number and size."""
+    size = lambda f: F.octet_length(f.name) if f.dataType.typeName() == "string" else 8 * F.size(f.name) if f.dataType.typeName() == "array" else F.lit(8)
+    n, bytes_ = queries.agg(F.count("*"), F.sum(sum((F.coalesce(size(f), F.lit(8)) for f in queries.schema), F.lit(0)))).first()
+    return max(1, -(-n // QUERIES), -(-(bytes_ or 0) // BYTES))
+
+
+def paired(rows: DataFrame, queries: DataFrame, itself: bool = False, also: Column | None = None) -> DataFrame:
+    """Each row with each query (but for the one of its own id, unless `itself`) for which
+    `also` holds, in blocks of queries."""
+    other, n = (F.lit(True) if itself else F.col("chunk_id") != F.col("query_id")), blocks(queries)
+    other = other if also is None else other & also
+    if n == 1:
         return rows.join(F.broadcast(queries), other)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERIES))).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = rows.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // QUERIES) - 1))))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = rows.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return met.join(dealt, ["_part", "_block"]).where(other).drop("_part", "_block")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", keys: tuple[str, ...] = (), allowed: DataFrame | None = None) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", keys: tuple[str, ...] = (), passing: DataFrame | None = None) -> DataFrame:
     """query_id, the row's columns, distance and rank of the k nearest rows of each query
     (and each value of `keys`, such as the collection), other than the query itself. With
-    `allowed` (query_id, doc_id), a query that it names sees rows of its documents only."""
+    `passing` (doc_id, filters), a query with a `filter` sees rows of documents that pass it:
+    the filters of a row's document travel with the row and are looked at where it meets the
+    query, so queries and documents are never paired."""
     d = squared_l2(F.col("query"), F.col("embedding")) if metric == "l2" else 1 - cosine(F.col("query"), F.col("embedding"))
-    queries = queries.select("query_id", "query")
-    if allowed is None:
-        pairs = paired(rows, queries)
-    else:
-        bound = allowed.select("query_id").distinct()
-        some = rows.join(allowed, "doc_id").join(queries, "query_id").where("chunk_id <> query_id")
-        pairs = paired(rows, queries.join(bound, "query_id", "left_anti")).unionByName(some)
-    return ranked(pairs.withColumn("distance", d).drop("embedding", "query"), ["query_id", *keys], [F.col("distance"), F.col("chunk_id")], k)
+    queries, also = queries.select("query_id", "query", *(["filter"] if passing is not None else [])), None
+    if passing is not None:
+        rows = rows.join(passing.withColumnRenamed("filters", "_filters"), "doc_id", "left")
+        also = F.col("filter").isNull() | F.coalesce(F.array_contains("_filters", F.col("filter")), F.lit(False))
+    pairs = paired(rows, queries, also=also).withColumn("distance", d).drop("embedding", "query", "filter", "_filters")
+    return ranked(pairs, ["query_id", *keys], [F.col("distance"), F.col("chunk_id")], k)
 
 
-def over_collections(rows: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def over_collections(rows: DataFrame, queries: DataFrame, k: int, passing: DataFrame | None = None) -> DataFrame:
     """k of each collection, then the k most similar of all, ties by collection and rank there."""
-    hits = nearest(rows, queries, min(k, 100), keys=("collection_ord",), allowed=allowed).withColumnRenamed("rank", "dist_rank").withColumn("similarity", similarity(F.col("distance")))
+    hits = nearest(rows, queries, min(k, 100), keys=("collection_ord",), passing=passing).withColumnRenamed("rank", "dist_rank").withColumn("similarity", similarity(F.col("distance")))
     return ranked(hits, ["query_id"], [F.desc("similarity"), F.col("collection_ord"), F.col("dist_rank")], k, "hit_rank")
 
 
@@ -120,14 +128,31 @@ def final_score(similarity: Column, rerank: Column, author_hit: Column, chapter_
 MODES = {"fast": (10, 5, False, False), "balanced": (20, 10, True, False), "accurate": (50, 20, True, True), "thorough": (100, 50, True, True)}
 
 
+def filters(queries: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The queries with the key of their `filter`, an author (a part of the name, without
+    case) and a language; null where they name none, or one that no document passes, as such
+    a query isn't filtered. And doc_id, filters: the keys that each document passes.
+
+    Distinct filters meet distinct pairs of author and language only, which carry the keys
+    that they pass as a sorted set; documents take theirs by those two values."""
+    wanted, spoken = F.lower("author"), F.col("language")
+    keyed = queries.withColumn("filter", F.when(F.col("author").isNotNull() | F.col("language").isNotNull(), F.xxhash64(wanted, spoken)))
+    asks = keyed.where("filter IS NOT NULL").select(F.col("filter").alias("query_id"), wanted.alias("_wanted"), spoken.alias("_spoken")).distinct()
+    kinds = documents.select(F.col("author").alias("_author"), F.col("language").alias("_language")).distinct()
+    fits = (F.col("_wanted").isNull() | F.contains(F.lower("_author"), F.col("_wanted"))) & (F.col("_spoken").isNull() | (F.col("_language") == F.col("_spoken")))
+    kinds = kinds.withColumn("chunk_id", F.xxhash64("_author", "_language"))
+    sets = paired(kinds, asks, itself=True, also=fits).groupBy("_author", "_language").agg(F.sort_array(F.collect_set("query_id")).alias("filters"))
+    passing = documents.join(sets, documents["author"].eqNullSafe(sets["_author"]) & documents["language"].eqNullSafe(sets["_language"])).select("doc_id", "filters")
+    live = sets.select(F.explode("filters").alias("filter")).distinct().withColumn("_live", F.lit(True))
+    keyed = keyed.join(live, "filter", "left").withColumn("filter", F.when(F.col("_live"), F.col("filter"))).drop("_live")
+    return keyed, passing
+
+
 def filtered(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """query_id, doc_id of the documents that fit each query's author (a part of the name,
-    without case) and language, where it names any. A query that fits none isn't filtered,
-    so it has no row here. Queries are few against documents; each kind of filter is met
-    by its distinct values only."""
-    asks = queries.where(F.col("author").isNotNull() | F.col("language").isNotNull()).select("query_id", F.lower("author").alias("wanted"), F.col("language").alias("spoken"))
-    named = documents.select("author", "language").distinct().join(F.broadcast(asks) if asks.count() <= QUERIES else asks, (F.col("wanted").isNull() | F.contains(F.lower("author"), F.col("wanted"))) & (F.col("spoken").isNull() | (F.col("language") == F.col("spoken"))))
-    return documents.select("doc_id", "author", "language").join(named.select("query_id", "author", "language"), ["author", "language"]).select("query_id", "doc_id")
+    """query_id, doc_id of the documents that pass each filtered query's filter."""
+    keyed, passing = filters(queries, documents)
+    rows = passing.select("doc_id", F.explode("filters").alias("filter"))
+    return rows.join(keyed.where("filter IS NOT NULL").select("query_id", "filter"), "filter").select("query_id", "doc_id")
 
 
 def reranked(hits: DataFrame, texts: DataFrame, queries: DataFrame, k: int, score=overlap) -> DataFrame:
@@ -147,8 +172,10 @@ def retrieve(rows: DataFrame, queries: DataFrame, documents: DataFrame, mode: st
     has = set(queries.columns)
     for name, kind in (("author", "string"), ("language", "string"), ("chapter", "int"), ("text", "string")):
         queries = queries if name in has else queries.withColumn(name, F.lit(None).cast(kind))
-    allowed = filtered(queries, documents) if has & {"author", "language"} else None
-    hits = over_collections(rows, queries, initial, allowed)
+    passing = None
+    if has & {"author", "language"}:
+        queries, passing = filters(queries, documents)
+    hits = over_collections(rows, queries, initial, passing)
     if expands:
         near = rows.where(F.col("collection_ord").isin(0, 1, 2)).withColumn("priority", F.when(F.col("collection_ord") == 0, 0).when(F.col("collection_ord") == 2, 1).otherwise(2))
         near = ranked(near, ["doc_id", "chunk_number"], [F.col("priority"), F.col("chunk_id")], 1, "first")

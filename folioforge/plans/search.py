@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioforge import fixtures as fx
+from folioforge.operators import index as ivf
+from folioforge.operators import postings
 from folioforge.operators import vectors as op
 from folioforge.plans.registry import inline, query, values
 
@@ -288,8 +290,10 @@ def _(t):
 
 @query("ret_chunk_search", "SELECT doc_id, CASE WHEN p > 51 THEN '...' ELSE '' END || substr(text, greatest(1, p - 50), least(length(text), p - 1 + 4 + 50) - greatest(0, p - 51)) || CASE WHEN p - 1 + 4 + 50 < length(text) THEN '...' ELSE '' END AS preview FROM (SELECT doc_id, text, instr(lower(text), 'ther') AS p FROM documents) WHERE p > 0")
 def _(t):
+    """Texts with the words looked for, found by the trigram index and checked."""
     p, n = F.col("p"), F.length("text")
-    rows = t.documents.select("doc_id", "text", F.instr(F.lower("text"), "ther").alias("p")).where("p > 0")
+    texts = t.documents.select(F.col("doc_id").alias("id"), "text")
+    rows = postings.containing(texts, postings.bitmaps(texts), "ther").withColumnsRenamed({"id": "doc_id", "at": "p"})
     start, end = F.greatest(F.lit(0), p - 51), F.least(n, p - 1 + 4 + 50)
     return rows.select("doc_id", F.concat(F.when(start > 0, "...").otherwise(""), F.substring("text", start + 1, end - start), F.when(end < n, "...").otherwise("")).alias("preview"))
 
@@ -301,29 +305,37 @@ def _(t):
 
 
 # Reranking: benchmark items with ids divisible by 50 ask, all documents answer.
-PAIRS = f"(SELECT item_id, doc_id, text, {over('q', 'text')} AS overlap FROM (SELECT item_id, text AS q FROM benchmark WHERE item_id % 50 = 0) b, (SELECT doc_id, text FROM documents) d)"
+OVERLAPS = f"(SELECT item_id, doc_id, {over('q', 'text')} AS overlap FROM (SELECT item_id, text AS q FROM benchmark WHERE item_id % 50 = 0) b, (SELECT doc_id, text FROM documents) d)"
+NEAREST = f"(SELECT *, rank AS position FROM {knn(10)})"
 
 
-def questioned(t):
-    """Each document with each question, in blocks of questions."""
-    asked = t.benchmark.where(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    rows = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
-    return op.paired(rows, asked, itself=True).withColumnsRenamed({"query_id": "item_id", "chunk_id": "doc_id"})
+@query("rerank_overlap", f"SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(overlap, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM {OVERLAPS} WHERE overlap > 0) WHERE rank <= 10")
+def _(t):
+    """The ten documents with most of a question's words, from word postings."""
+    asked = t.benchmark.where(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), "text")
+    index = postings.indexed(t.documents.select(F.col("doc_id").alias("id"), "text"))
+    return postings.best(index, asked, 10).select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), F.round("overlap", 6).alias("overlap"))
 
 
-def overlaps(t):
-    return questioned(t).withColumn("overlap", op.overlap(F.col("q"), F.col("text")))
+@query("retr_rerank_k", f"SELECT query_id, chunk_id, CAST(position AS INTEGER) AS place FROM {rerank(NEAREST, 5)}")
+def _(t):
+    """Twice as many nearest chunks as wanted, the better half by their words."""
+    hits = op.nearest(fx.vectors(t), fx.asked(t), 10).withColumnRenamed("rank", "position")
+    return op.reranked(hits, fx.contents(t), fx.intents(t), 5).select("query_id", "chunk_id", F.col("position").alias("place"))
 
 
-@query("rerank_overlap", f"SELECT item_id, doc_id, round(overlap, 6) AS overlap FROM {PAIRS}")
+@query("idx_knn_exact", f"SELECT query_id, rank, chunk_id, round(distance, 6) AS distance FROM {knn(10)}")
 def _(t):
-    return overlaps(t).select("item_id", "doc_id", F.round("overlap", 6).alias("overlap"))
+    """The nearest ten from the inverted-file index, exact by its bounds."""
+    hits, _ = ivf.exact(ivf.built(fx.vectors(t)), fx.asked(t), 10)
+    return hits.select("query_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
-@query("retr_rerank_k", f"SELECT item_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, first) AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS first FROM {PAIRS}) WHERE first <= 6) WHERE place <= 3")
+@query("idx_knn_codes")
 def _(t):
-    first = op.ranked(overlaps(t), ["item_id"], [F.col("doc_id")], 6, "first")
-    return op.ranked(first, ["item_id"], [F.desc("overlap"), F.col("first")], 3, "place").select("item_id", "doc_id", "place")
+    """The nearest ten by codes; no SQL, as some may be missed: recall is tested."""
+    hits = ivf.search(ivf.built(fx.vectors(t)), fx.asked(t), 10)
+    return hits.select("query_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
 @query("ctx_budget", "SELECT source, doc_id, CASE WHEN before + tokens <= 2000 THEN text ELSE left(text, CAST((2000 - before) * 4 AS BIGINT)) || '...' END AS part FROM (SELECT source, doc_id, text, length(text) // 4 AS tokens, coalesce(sum(length(text) // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before + tokens <= 2000 OR (before <= 2000 AND (2000 - before) * 4 > 100)")

@@ -9,7 +9,7 @@ from folioforge.functions import providers, text
 from folioforge.operators import sessions as sess
 from folioforge.operators import vectors as vec
 from folioforge.plans.registry import inline, query, values
-from folioforge.plans.search import PAIRS, questioned
+from folioforge.plans.search import NEAREST, rerank
 from folioforge.session import fresh_path
 from folioforge.sources import files, pdf
 from folioforge.sources.store import Store, updated
@@ -225,11 +225,12 @@ def _(t):
     return t.documents.select("doc_id", vec.folded(e).alias("total"))
 
 
-@query("rerank_cross", f"SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS INTEGER) AS rank, doc_id, round(overlap, 6) AS score FROM {PAIRS}) WHERE rank <= 5")
+@query("rerank_cross", f"SELECT query_id, CAST(position AS INTEGER) AS rank, chunk_id, round(rerank, 6) AS score FROM {rerank(NEAREST, 5)}")
 def _(t):
-    pairs = questioned(t)
-    ranked = vec.ranked(pairs.withColumn("score", providers.scored()(F.col("q"), F.col("text"))), ["item_id"], [F.desc("score"), F.col("doc_id")], 5)
-    return ranked.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    """The nearest ten chunks of each query, ranked anew by a scorer of (question, text)."""
+    hits = vec.nearest(fx.vectors(t), fx.asked(t), 10).withColumnRenamed("rank", "position")
+    best = vec.reranked(hits, fx.contents(t), fx.intents(t), 5, providers.scored())
+    return best.select("query_id", F.col("position").alias("rank"), "chunk_id", F.round("rerank", 6).alias("score"))
 
 
 @query("cmd_history_search", f"SELECT query_id, rank, 'cmd_' || chunk_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM (SELECT q.query_id, v.chunk_id, 1 - list_dot_product(query, embedding) / (sqrt(list_dot_product(query, query)) * sqrt(list_dot_product(embedding, embedding))) AS d FROM {V} v, {fx.ASKED} q WHERE v.chunk_id <> q.query_id AND v.collection = 'episodic')) WHERE rank <= 3")

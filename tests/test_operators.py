@@ -122,10 +122,10 @@ def test_many_queries_meet_in_blocks(spark, monkeypatch):
 
 def test_queries_see_allowed_documents_only(spark):
     rows = spark.createDataFrame([(i, i % 3, [float(i)]) for i in range(12)], "chunk_id long, doc_id long, embedding array<double>")
-    asked = spark.createDataFrame([(0, [0.0]), (5, [5.0])], "query_id long, query array<double>")
-    allowed = spark.createDataFrame([(5, 1)], "query_id long, doc_id long")
+    asked = spark.createDataFrame([(0, [0.0], None), (5, [5.0], 77)], "query_id long, query array<double>, filter long")
+    passing = spark.createDataFrame([(1, [9, 77]), (2, [9])], "doc_id long, filters array<long>")
     got = {}
-    for r in vectors.nearest(rows, asked, 2, allowed=allowed).collect():
+    for r in vectors.nearest(rows, asked, 2, passing=passing).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id))
     assert {k: sorted(v) for k, v in got.items()} == {0: [(1, 1), (2, 2)], 5: [(1, 4), (2, 7)]}
 
