@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioforge import fixtures as fx
 from folioforge.operators import catalog as op
+from folioforge.operators.vectors import ranked
 from folioforge.plans.registry import query
 
 C = fx.CATALOG
@@ -73,10 +74,12 @@ def _(t):
     return fx.catalog(t).orderBy(F.desc("doc_id")).limit(5).select("doc_id", F.substring("title", 1, 30).alias("title"), F.substring("author", 1, 20).alias("author"))
 
 
-@query("cat_inspect", f"SELECT v.chunk_id, c.title, v.chunk_number, len(v.embedding) AS dims FROM (SELECT * FROM {fx.VECTORS} ORDER BY chunk_id LIMIT 20) v LEFT JOIN {C} c USING (doc_id)")
+@query("cat_inspect", f"SELECT v.chunk_id, v.collection, c.title, v.chunk_number, len(v.embedding) AS dims FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY md5(chunk_id::VARCHAR), chunk_id) AS place FROM {fx.VECTORS}) WHERE place <= 20) v LEFT JOIN {C} c USING (doc_id)")
 def _(t):
-    few = fx.vectors(t).orderBy("chunk_id").limit(20)
-    return few.join(fx.catalog(t).select("doc_id", "title"), "doc_id", "left").select("chunk_id", "title", "chunk_number", F.size("embedding").cast("long").alias("dims"))
+    """A sample of 20 rows of each collection: those of least hash, whatever the order; each
+    task keeps its 20 before they meet."""
+    few = ranked(fx.vectors(t).withColumn("dims", F.size("embedding").cast("long")).drop("embedding"), ["collection"], [F.md5(F.col("chunk_id").cast("string").cast("binary")), F.col("chunk_id")], 20)
+    return few.join(fx.catalog(t).select("doc_id", "title"), "doc_id", "left").select("chunk_id", "collection", "title", "chunk_number", "dims")
 
 
 @query("cat_list_collections", f"SELECT db, collection, count(*) AS n FROM {fx.VECTORS} GROUP BY ALL")

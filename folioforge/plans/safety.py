@@ -203,10 +203,29 @@ def _(t):
     return inline(t, ROUTE_GRID, ROUTE_DDL).select("category", "stage", (~(c.isin(*sf.TERMINAL) & s.isin(*sf.EXECUTION_STAGES))).alias("is_valid"), odd.alias("unusual"))
 
 
-@query("val_execution", f"SELECT session_id, cycle, round(greatest(0.0, least(1.0, 0.9 - 0.1 * sum(CASE WHEN status = 'success' AND coalesce(output, '') = '' THEN 1 ELSE 0 END))), 6)::DOUBLE AS confidence, count(*) AS executed FROM {fx.EXECUTIONS} GROUP BY ALL")
-def _(t):
-    silent = ((F.col("status") == "success") & (F.coalesce("output", F.lit("")) == "")).cast("int")
-    return fx.executions(t).groupBy("session_id", "cycle").agg(sf.clamped(0.9, F.lit(0), F.sum(silent)).alias("confidence"), F.count("*").alias("executed"))
+# Each session is expected to run in five cycles; blocked commands don't run, and those that
+# time out leave no result. A purchase completes a session, and its output is the reason.
+_RAN = f"(SELECT session_id, cycle, count(*) FILTER (status <> 'blocked') AS executed, count(*) FILTER (status IN ('success', 'failed')) AS results, coalesce(bool_or(command = 'purchase'), false) AS complete, count(*) FILTER (command = 'purchase' AND status = 'success' AND coalesce(output, '') <> '') AS reasons, count(*) FILTER (status = 'success' AND coalesce(output, '') = '') AS silent FROM {fx.EXECUTIONS} GROUP BY ALL)"
+_CHECKED = f"(SELECT g.session_id, g.cycle, coalesce(executed, 0) AS executed, CASE WHEN coalesce(executed, 0) = 0 THEN 1 ELSE 0 END AS issues, CAST(coalesce(executed, 0) > 0 AND coalesce(results, 0) = 0 AS INTEGER) + CAST(coalesce(complete, false) AND coalesce(reasons, 0) = 0 AS INTEGER) + coalesce(silent, 0) AS warnings FROM (SELECT DISTINCT session_id, unnest(range(1, 6)) AS cycle FROM {fx.EXECUTIONS}) g LEFT JOIN {_RAN} r ON r.session_id IS NOT DISTINCT FROM g.session_id AND r.cycle = g.cycle)"
+
+
+@query("val_execution", f"SELECT session_id, CAST(cycle AS INTEGER) AS cycle, executed, CAST(issues AS INTEGER) AS issues, CAST(warnings AS BIGINT) AS warnings, issues = 0 AS is_valid, round(greatest(0.0, least(1.0, 0.9 - 0.3 * issues - 0.1 * warnings)), 6)::DOUBLE AS confidence FROM {_CHECKED}")
+def _(t):
+    """The four checks of what each expected cycle ran: commands, results, the reason of a
+    completion, and the outputs of successes."""
+    rows, status, output = fx.executions(t), F.col("status"), F.coalesce("output", F.lit(""))
+    done = F.col("command") == "purchase"
+    ran = rows.groupBy("session_id", "cycle").agg(
+        F.count_if(status != "blocked").alias("executed"), F.count_if(status.isin("success", "failed")).alias("results"), F.bool_or(done).alias("complete"),
+        F.count_if(done & (status == "success") & (output != "")).alias("reasons"), F.count_if((status == "success") & (output == "")).alias("silent"),
+    )
+    grid = rows.select(F.col("session_id").alias("s")).distinct().select("s", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("c"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    both = grid.join(ran, F.col("s").eqNullSafe(F.col("session_id")) & (F.col("c") == F.col("cycle")), "left")
+    issues = (n("executed") == 0).cast("int")
+    warnings = ((n("executed") > 0) & (n("results") == 0)).cast("long") + (F.coalesce("complete", F.lit(False)) & (n("reasons") == 0)).cast("long") + n("silent")
+    checked = both.select(F.col("s").alias("session_id"), F.col("c").alias("cycle"), n("executed").alias("executed"), issues.alias("issues"), warnings.alias("warnings"))
+    return checked.select("*", (F.col("issues") == 0).alias("is_valid"), sf.clamped(0.9, F.col("issues"), F.col("warnings")).alias("confidence"))
 
 
 _long = r"list_distinct(list_filter(list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+'), lambda w: lower(w)), lambda w: length(w) > 5))"

@@ -8,6 +8,7 @@ from folioforge import fixtures as fx
 from folioforge.operators import index as ivf
 from folioforge.operators import postings
 from folioforge.operators import vectors as op
+from folioforge.operators.running import running
 from folioforge.plans.registry import inline, query, values
 
 V, Q, C = fx.VECTORS, fx.ASKED, fx.CATALOG
@@ -340,16 +341,15 @@ def _(t):
 
 @query("ctx_budget", "SELECT source, doc_id, CASE WHEN before + tokens <= 2000 THEN text ELSE left(text, CAST((2000 - before) * 4 AS BIGINT)) || '...' END AS part FROM (SELECT source, doc_id, text, length(text) // 4 AS tokens, coalesce(sum(length(text) // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before + tokens <= 2000 OR (before <= 2000 AND (2000 - before) * 4 > 100)")
 def _(t):
-    """Documents of a source, in order, until 2000 tokens; at most the last one is cut."""
-    from pyspark.sql import Window
-
+    """Documents of a source, in order, until 2000 tokens; at most the last one is cut. Only
+    the lengths are summed up; texts are read for the few documents that stay."""
     tokens = F.floor(F.length("text") / 4).cast("long")
-    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = t.documents.select("source", "doc_id", "text", tokens.alias("tokens")).withColumn("before", before)
-    left = 2000 - F.col("before")
-    fits = F.col("before") + F.col("tokens") <= 2000
-    rows = rows.where(fits | ((F.col("before") <= 2000) & (left * 4 > 100)))
-    return rows.select("source", "doc_id", F.when(fits, F.col("text")).otherwise(F.concat(F.substring("text", F.lit(1), (left * 4).cast("int")), F.lit("..."))).alias("part"))
+    sums = running(t.documents.select("source", "doc_id", tokens.alias("tokens")), ["source"], ["doc_id"], {"upto": "tokens"})
+    left = 2000 - (F.col("upto") - F.col("tokens"))
+    fits = F.col("upto") <= 2000
+    kept = sums.where(fits | ((left >= 0) & (left * 4 > 100))).select("doc_id", fits.alias("fits"), (left * 4).cast("int").alias("room"))
+    rows = t.documents.select("source", "doc_id", "text").join(kept, "doc_id")
+    return rows.select("source", "doc_id", F.when(F.col("fits"), F.col("text")).otherwise(F.concat(F.substring("text", F.lit(1), F.col("room")), F.lit("..."))).alias("part"))
 
 
 @query("ctx_qa", "SELECT source, string_agg('[Source ' || n || ' - ' || doc_id || ', Chunk ?]' || chr(10) || CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END || chr(10), chr(10) ORDER BY n) AS context FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5 GROUP BY source")

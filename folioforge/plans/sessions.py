@@ -9,6 +9,7 @@ from folioforge import fixtures as fx
 from folioforge.functions import safety as sf
 from folioforge.operators import catalog as cat
 from folioforge.operators import sessions as op
+from folioforge.operators.running import running
 from folioforge.plans.registry import inline, query, values
 from folioforge.session import fresh_path
 from folioforge.streaming import sessions as stream
@@ -86,8 +87,8 @@ def _(t):
 
 @query("sess_time_rollup", f"SELECT id, session_id, round(sum(execution_time) OVER (PARTITION BY session_id ORDER BY id ROWS UNBOUNDED PRECEDING), 4) AS so_far FROM {E}")
 def _(t):
-    w = Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return fx.executions(t).select("id", "session_id", F.round(F.sum("execution_time").over(w), 4).alias("so_far"))
+    rows = fx.executions(t).select("session_id", "id", "execution_time")
+    return running(rows, ["session_id"], ["id"], {"total": "execution_time"}).select("id", "session_id", F.round("total", 4).alias("so_far"))
 
 
 @query("sess_roundtrip", f"SELECT session_id, number, kind, input FROM {I}")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioforge import fixtures as fx
 from folioforge.functions import text
 from folioforge.operators import summaries as op
+from folioforge.operators.running import running
 from folioforge.plans.registry import inline, query, values
 from folioforge.plans.text import chunk_rows, sql_chunks
 
@@ -21,8 +22,8 @@ def ok():
 
 @query("agg_running_avg", f"SELECT id, round(avg(execution_time) OVER (PARTITION BY session_id ORDER BY id ROWS UNBOUNDED PRECEDING), 9) AS average FROM {E}")
 def _(t):
-    w = Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return fx.executions(t).select("id", F.round(F.avg("execution_time").over(w), 9).alias("average"))
+    rows = fx.executions(t).select("session_id", "id", "execution_time", F.when(F.col("execution_time").isNotNull(), 1).alias("one"))
+    return running(rows, ["session_id"], ["id"], {"total": "execution_time", "n": "one"}).select("id", F.round(F.when(F.col("n") > 0, F.col("total") / F.col("n")), 9).alias("average"))
 
 
 @query("agg_agent_stats", f"SELECT command, count(*) AS n, round(sum(execution_time), 4) AS total, round(sum(execution_time) / greatest(1, count(*)), 6) AS average, round({OK}::DOUBLE / greatest(1, count(*)), 6) AS success_rate FROM {E} GROUP BY command")
@@ -106,11 +107,12 @@ def _(t):
     return rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))).alias("a")).select("session_id", F.array_join(F.transform("a", lambda x: x["l"]), "\n").alias("context"))
 
 
-@query("ctx_exec_results", f"SELECT session_id, string_agg('- ' || command || ' [' || status || '] ' || left(output, 200), chr(10) ORDER BY id) AS context FROM {E} WHERE cycle = 2 GROUP BY session_id")
+@query("ctx_exec_results", f"SELECT session_id, cycle, string_agg('- ' || command || ' [' || status || '] ' || left(output, 200), chr(10) ORDER BY id) AS context FROM {E} GROUP BY session_id, cycle")
 def _(t):
+    """What each cycle of a session ran, for the next one's prompt."""
     line = F.concat(F.lit("- "), "command", F.lit(" ["), "status", F.lit("] "), F.substring("output", 1, 200))
-    rows = fx.executions(t).where("cycle = 2").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))).alias("a"))
-    return rows.select("session_id", F.array_join(F.transform("a", lambda x: x["l"]), "\n").alias("context"))
+    rows = fx.executions(t).groupBy("session_id", "cycle").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))).alias("a"))
+    return rows.select("session_id", "cycle", F.array_join(F.transform("a", lambda x: x["l"]), "\n").alias("context"))
 
 
 @query("sum_plan", "SELECT doc_id, length(text) // 4 <= 8192 - 3276 AS direct FROM documents")
@@ -160,12 +162,32 @@ def _(t):
     return rows.join(total, "doc_id").select("doc_id", "chunk_number", "total_chunks", F.substring("summary", 1, 50).alias("chunk_summary"), F.lit(0.7).alias("importance"), F.lit("private").alias("db"))
 
 
-@query("sum_cached_pipeline", f"SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 'cached' ELSE 'made' END AS origin, CASE WHEN d.doc_id % 3 = 0 THEN 'stored ' || d.doc_id ELSE m.summary END AS summary FROM documents d LEFT JOIN (SELECT * FROM {MAPPED} WHERE chunk_number = 0) m USING (doc_id)")
+FOLDED = f"(WITH RECURSIVE m AS (SELECT * FROM {MAPPED}), f AS (SELECT doc_id, chunk_number, summary FROM m WHERE chunk_number = 0 UNION ALL SELECT f.doc_id, m.chunk_number, right(f.summary || ' ' || m.summary, 600) FROM f JOIN m ON m.doc_id = f.doc_id AND m.chunk_number = f.chunk_number + 1) SELECT doc_id, arg_max(summary, chunk_number) AS summary FROM f GROUP BY doc_id)"
+
+
+@query("sum_cached_pipeline", f"SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 'cached' ELSE 'made' END AS origin, CASE WHEN d.doc_id % 3 = 0 THEN 'stored ' || d.doc_id ELSE m.summary END AS summary FROM documents d LEFT JOIN {FOLDED} m USING (doc_id)")
 def _(t):
-    """Stored summaries where path and hash are known; others are made, and only they are chunked."""
+    """Stored summaries where path and hash are known; the others are made, and only they
+    are chunked, mapped and folded."""
     c = fx.catalog(t).select("doc_id", "file_path", "file_hash")
     cache = c.where("doc_id % 3 = 0").select("file_path", "file_hash", F.concat(F.lit("stored "), F.col("doc_id").cast("string")).alias("summary"))
     hit = c.join(cache, ["file_path", "file_hash"]).select("doc_id", F.lit("cached").alias("origin"), "summary")
     miss = c.join(cache, ["file_path", "file_hash"], "left_anti").select("doc_id")
-    made = op.mapped(chunk_rows(t.documents.join(miss, "doc_id", "left_semi"), "doc_id", 500, 50)).where("chunk_number = 0")
+    made = op.folded(op.mapped(chunk_rows(t.documents.join(miss, "doc_id", "left_semi"), "doc_id", 500, 50)), 600)
     return hit.unionByName(miss.join(made, "doc_id", "left").select("doc_id", F.lit("made").alias("origin"), "summary"))
+
+
+# Whole texts through a context of 1024 tokens: 0.8 of it less 100 for the prompt and 300 for the reply.
+_ROOM = 4 * (int(0.8 * 1024) - 400) + 3
+_PIECES = f"(SELECT doc_id, text, n, CASE WHEN n = 0 THEN 1 ELSE 1 << least({op.DEPTH}, CAST(ceil(log2(greatest(n, {_ROOM})::DOUBLE / {_ROOM})) AS INTEGER)) END AS parts FROM (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL))"
+
+
+@query("sum_split", f"SELECT doc_id, parts AS pieces, (SELECT string_agg(CASE WHEN length(x) <= 200 THEN x ELSE left(x, 197) || '...' END, ' ' ORDER BY i) FROM (SELECT i, substr(text, i * ((n + parts - 1) // parts) + 1, (n + parts - 1) // parts) AS x FROM range(parts) g(i)) WHERE x <> '' OR parts = 1) AS summary FROM {_PIECES}")
+def _(t):
+    """Texts over the room of a prompt are halved until each piece fits; pieces stay in order."""
+    rows = t.documents.where("text IS NOT NULL").select("doc_id", F.lit(0).alias("chunk_number"), F.col("text").alias("chunk"))
+    parts = F.size(op.pieces(F.col("chunk"), _ROOM)).cast("long")
+    made = op.mapped(rows, context=1024, prompt=100)
+    return rows.select("doc_id", parts.alias("pieces")).join(made.select("doc_id", "summary"), "doc_id")
+
+
