@@ -1,11 +1,11 @@
-"""Queries of the question parser over a literal list of questions."""
+"""Queries of the question parser over all lines of documents, each asked in one of a list of forms."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from folioforge.functions import questions as nl
-from folioforge.plans.registry import inline, query, values
+from folioforge.plans.registry import dealt, dealt_sql, query
 
 DDL = "id int, q string"
 QUESTIONS = list(enumerate([
@@ -38,7 +38,7 @@ QUESTIONS = list(enumerate([
     "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron",
     "information about error log debugging trace",
 ], 1))
-V = values(QUESTIONS, DDL)
+V = dealt_sql(QUESTIONS, DDL, "q")
 
 
 def quoted(s: str) -> str:
@@ -54,7 +54,8 @@ def sql_labels(labels) -> str:
 
 
 def sql_words(stops) -> str:
-    return f"list_filter(regexp_extract_all(lower(q), '\\b([a-z]{{3,}})\\b', 1), lambda w: w NOT IN ({', '.join(quoted(s) for s in stops)}))"
+    # whole words of a-z: \\b of DuckDB's patterns knows no letters beyond these
+    return f"list_filter(regexp_extract_all(lower(q), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({', '.join(quoted(s) for s in stops)}))"
 
 
 def sql_any(words) -> str:
@@ -80,7 +81,7 @@ ENTITIES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {e} IS NOT NU
 
 
 def parsed(t):
-    return nl.parsed(inline(t, QUESTIONS, DDL))
+    return nl.parsed(dealt(t, QUESTIONS, DDL, "q").drop("form"))
 
 
 for _name, _column in {"author": "author", "title": "title", "chapter": "chapter", "section": "section", "topic": "topic", "temporal": "time_range", "doc_type": "doc_type", "language": "language", "intent": "intent_type"}.items():

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioforge import fixtures as fx
 from folioforge.functions import safety as sf
-from folioforge.plans.registry import inline, query, values
+from folioforge.plans.registry import dealt, dealt_sql, inline, query, values
 
 DDL = "id int, command string, context string"
 COMMANDS = [
@@ -18,7 +18,7 @@ COMMANDS = [
         ("ping 8.8.8.8 and 9.9.9.9", "ping 8.8.8.8"), ("x" * 120, ""), ("git log --format=oneline", ""), ("ps aux; id", ""), ("echo $HOME", ""), ("curl http://host/a/b", "get /host/a/b"), ("", ""),
     ], 1)
 ]
-V = values(COMMANDS, DDL)
+V = dealt_sql(COMMANDS, DDL, "command")
 
 
 def quoted(s: str) -> str:
@@ -38,12 +38,12 @@ SAFE = f"NOT {any_('lower(command)', sf.BLOCKED)} AND (NOT starts_with(lower(com
 
 @query("safe_exec", f"SELECT id, {SAFE} AS safe FROM {V}")
 def _(t):
-    return inline(t, COMMANDS, DDL).select("id", sf.safe_to_execute(F.col("command")).alias("safe"))
+    return dealt(t, COMMANDS, DDL, "command").select("id", sf.safe_to_execute(F.col("command")).alias("safe"))
 
 
 @query("safe_direct", f"SELECT id, NOT {any_('lower(command)', sf.BLOCKED_DIRECT)} AND ({' OR '.join(match('command', '(?i)' + p) for p in sf.ALLOWED)} OR (length(command) < 100 AND NOT {any_('command', sf.SHELL_MARKS)})) AS safe FROM {V}")
 def _(t):
-    return inline(t, COMMANDS, DDL).select("id", sf.safe_directly(F.col("command")).alias("safe"))
+    return dealt(t, COMMANDS, DDL, "command").select("id", sf.safe_directly(F.col("command")).alias("safe"))
 
 
 ISSUES = "list_filter([" + ", ".join(f"CASE WHEN {match('command', '(?i)' + p)} THEN {quoted(p)} END" for p in sf.DANGERS) + "], lambda x: x IS NOT NULL)"
@@ -54,14 +54,14 @@ STRANGERS = f"list_concat({PATHS}, list_filter(regexp_extract_all(command, {quot
 @query("val_command", f"SELECT id, len({ISSUES}) = 0 AS is_valid, array_to_string({ISSUES}, ',') AS issues, array_to_string({STRANGERS}, ',') AS warnings FROM {V}")
 def _(t):
     c, x = F.col("command"), F.col("context")
-    return inline(t, COMMANDS, DDL).select("id", (F.size(sf.dangers(c)) == 0).alias("is_valid"), F.array_join(sf.dangers(c), ",").alias("issues"), F.array_join(sf.strangers(c, x), ",").alias("warnings"))
+    return dealt(t, COMMANDS, DDL, "command").select("id", (F.size(sf.dangers(c)) == 0).alias("is_valid"), F.array_join(sf.dangers(c), ",").alias("issues"), F.array_join(sf.strangers(c, x), ",").alias("warnings"))
 
 
-@query("val_security", f"SELECT id % 7 AS request, CAST(sum(len({ISSUES})) AS BIGINT) AS issues, CAST(sum(len({STRANGERS})) AS BIGINT) AS warnings, round(greatest(0.0, least(1.0, 1.0 - (sum(len({ISSUES})) * 0.3 + sum(len({STRANGERS})) * 0.1))), 6)::DOUBLE AS confidence FROM {V} GROUP BY id % 7")
+@query("val_security", f"SELECT id // 100000 AS request, CAST(sum(len({ISSUES})) AS BIGINT) AS issues, CAST(sum(len({STRANGERS})) AS BIGINT) AS warnings, round(greatest(0.0, least(1.0, 1.0 - (sum(len({ISSUES})) * 0.3 + sum(len({STRANGERS})) * 0.1))), 6)::DOUBLE AS confidence FROM {V} GROUP BY id // 100000")
 def _(t):
-    """Roll-up of all commands of one request."""
+    """Roll-up of all commands of one request, the lines of a document."""
     c, x = F.col("command"), F.col("context")
-    rows = inline(t, COMMANDS, DDL).groupBy((F.col("id") % 7).alias("request")).agg(F.sum(F.size(sf.dangers(c)).cast("long")).alias("issues"), F.sum(F.size(sf.strangers(c, x)).cast("long")).alias("warnings"))
+    rows = dealt(t, COMMANDS, DDL, "command").groupBy(F.floor(F.col("id") / 100_000).alias("request")).agg(F.sum(F.size(sf.dangers(c)).cast("long")).alias("issues"), F.sum(F.size(sf.strangers(c, x)).cast("long")).alias("warnings"))
     return rows.withColumn("confidence", sf.clamped(1.0, F.col("issues"), F.col("warnings")))
 
 
@@ -75,12 +75,12 @@ def sql_fix(c: str) -> str:
 
 @query("fix_ssh", f"SELECT id, {sql_fix('command')} AS fixed FROM {V}")
 def _(t):
-    return inline(t, COMMANDS, DDL).select("id", sf.fix_ssh(F.col("command")).alias("fixed"))
+    return dealt(t, COMMANDS, DDL, "command").select("id", sf.fix_ssh(F.col("command")).alias("fixed"))
 
 
 RAW_DDL = "id int, raw string"
 RAW = list(enumerate(["1. `df -h`", "- ls -la", "* ssh me@1.2.3.4 \"uptime\"", "• 'ps aux'", "  2. echo hi", "cat  /x   y", "12. Review the command outputs", "ok", "- \"Determine the next actions\"", "`find . -name x`)", "", "ssh me@1.2.3.4 df -h", "3.  sudo   ls"], 1))
-RV = values(RAW, RAW_DDL)
+RV = dealt_sql(RAW, RAW_DDL, "raw")
 STRIPPED = "regexp_replace(raw, '^\\s+|\\s+$', '', 'g')"
 UNMARKED = f"regexp_replace(regexp_replace({STRIPPED}, '^\\d+\\.\\s*', ''), '^[-*•]\\s*', '')"
 FLAT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
@@ -89,23 +89,23 @@ EDGE = quoted(r"""^['"`)]+|['"`)]+$""")
 
 @query("clean_command", f"SELECT id, CASE WHEN length(d) >= 3 AND ({' OR '.join(f'starts_with(lower(d), {quoted(s)})' for s in sf.STARTS)}) THEN d ELSE '' END AS command FROM (SELECT id, CASE WHEN starts_with(lower(c), 'ssh') THEN {sql_fix('c')} ELSE regexp_replace(c, {EDGE}, '', 'g') END AS d FROM (SELECT id, {FLAT.format(f'''regexp_replace({UNMARKED}, '`([^`]+)`', '{chr(92)}1', 'g')''')} AS c FROM {RV}))")
 def _(t):
-    return inline(t, RAW, RAW_DDL).select("id", sf.clean_command(F.col("raw")).alias("command"))
+    return dealt(t, RAW, RAW_DDL, "raw").select("id", sf.clean_command(F.col("raw")).alias("command"))
 
 
 @query("clean_step", f"SELECT id, CASE WHEN length(c) > 10 THEN c ELSE '' END AS step FROM (SELECT id, {FLAT.format(f'regexp_replace({UNMARKED}, {EDGE}, {quoted('')}, {quoted('g')})')} AS c FROM {RV})")
 def _(t):
-    return inline(t, RAW, RAW_DDL).select("id", sf.clean_step(F.col("raw")).alias("step"))
+    return dealt(t, RAW, RAW_DDL, "raw").select("id", sf.clean_step(F.col("raw")).alias("step"))
 
 
 REQ_DDL = "id int, request string"
 REQUESTS = list(enumerate(["check disk space", "read the log via ssh root@10.1.1.1", "ssh somewhere", "hello", "disk log ssh a@1.1.1.1", "summarize the report", "analyze file x.txt deep", "give a quick overview", "execute and build", "please find the backup", ""], 1))
-QV = values(REQUESTS, REQ_DDL)
+QV = dealt_sql(REQUESTS, REQ_DDL, "request")
 TARGET = "regexp_extract(request, '(\\w+@[\\d\\.]+)', 1)"
 
 
 @query("fallback_commands", f"SELECT id, array_to_string(CASE WHEN len(l) > 0 THEN l ELSE ['whoami', 'pwd', 'ls -la'] END, ' ; ') AS commands FROM (SELECT id, list_concat(list_concat(CASE WHEN contains(lower(request), 'disk') OR contains(lower(request), 'space') THEN ['df -h', 'du -sh /var /tmp /home'] ELSE []::VARCHAR[] END, CASE WHEN contains(lower(request), 'ssh') AND {TARGET} <> '' THEN ['ssh ' || {TARGET} || ' \"whoami\"', 'ssh ' || {TARGET} || ' \"df -h\"'] ELSE []::VARCHAR[] END), CASE WHEN contains(lower(request), 'log') THEN ['ls -la /var/log', 'du -sh /var/log/*'] ELSE []::VARCHAR[] END) AS l FROM {QV})")
 def _(t):
-    return inline(t, REQUESTS, REQ_DDL).select("id", F.array_join(sf.fallback_commands(F.col("request")), " ; ").alias("commands"))
+    return dealt(t, REQUESTS, REQ_DDL, "request").select("id", F.array_join(sf.fallback_commands(F.col("request")), " ; ").alias("commands"))
 
 
 MOCK = ("summarize", "summary", "analyze file", "analyze document")
@@ -114,25 +114,26 @@ MOCK = ("summarize", "summary", "analyze file", "analyze document")
 @query("wf_mock_triage", f"SELECT id, CASE WHEN {any_('lower(request)', MOCK)} THEN 'summarization' ELSE 'sysadmin' END AS category, 0.95::DOUBLE AS confidence, {any_('lower(request)', MOCK)} AS is_terminal FROM {QV}")
 def _(t):
     hit = sf.any_of(F.lower("request"), MOCK)
-    return inline(t, REQUESTS, REQ_DDL).select("id", F.when(hit, "summarization").otherwise("sysadmin").alias("category"), F.lit(0.95).alias("confidence"), hit.alias("is_terminal"))
+    return dealt(t, REQUESTS, REQ_DDL, "request").select("id", F.when(hit, "summarization").otherwise("sysadmin").alias("category"), F.lit(0.95).alias("confidence"), hit.alias("is_terminal"))
 
 
 @query("depth_from_request", f"SELECT id, CASE WHEN contains(lower(request), 'quick') OR contains(lower(request), 'overview') THEN 'quick' WHEN contains(lower(request), 'deep') OR contains(lower(request), 'detailed') THEN 'deep' ELSE 'standard' END AS depth FROM {QV}")
 def _(t):
     low = F.lower("request")
-    return inline(t, REQUESTS, REQ_DDL).select("id", F.when(sf.any_of(low, ("quick", "overview")), "quick").when(sf.any_of(low, ("deep", "detailed")), "deep").otherwise("standard").alias("depth"))
+    return dealt(t, REQUESTS, REQ_DDL, "request").select("id", F.when(sf.any_of(low, ("quick", "overview")), "quick").when(sf.any_of(low, ("deep", "detailed")), "deep").otherwise("standard").alias("depth"))
 
 
-TRIAGE_DDL = "category string, confidence double"
-TRIAGE = [(c, p) for c in sf.CATEGORIES for p in (0.1, 0.5, 0.69, 0.75)]
+TRIAGE_DDL = "turn int, category string, confidence double"
+TRIAGE = [(k, c, p) for k, (c, p) in enumerate((c, p) for c in sf.CATEGORIES for p in (0.1, 0.5, 0.69, 0.75))]
 TV = values(TRIAGE, TRIAGE_DDL)
 _untypical = " OR ".join(f"(category = '{c}' AND NOT {any_('lower(request)', w)})" for c, w in sf.TYPICAL.items())
 _terminal = "category IN ('summarization', 'coding', 'knowledge_query')"
 
 
-@query("val_triage", f"SELECT id, category, confidence, array_to_string(list_filter([CASE WHEN {_terminal} AND {any_('lower(request)', ('execute', 'run command'))} THEN 'executes' END, CASE WHEN confidence < 0.3 THEN 'unsure' END, CASE WHEN ({_untypical}) AND confidence > 0.7 THEN 'untypical' END, CASE WHEN {_terminal} AND confidence < 0.7 THEN 'terminal_unsure' END], lambda x: x IS NOT NULL), ',') AS warnings FROM {QV} q CROSS JOIN {TV} t")
+@query("val_triage", f"SELECT id, category, confidence, array_to_string(list_filter([CASE WHEN {_terminal} AND {any_('lower(request)', ('execute', 'run command'))} THEN 'executes' END, CASE WHEN confidence < 0.3 THEN 'unsure' END, CASE WHEN ({_untypical}) AND confidence > 0.7 THEN 'untypical' END, CASE WHEN {_terminal} AND confidence < 0.7 THEN 'terminal_unsure' END], lambda x: x IS NOT NULL), ',') AS warnings FROM {QV} q JOIN {TV} t ON t.turn = q.id % {len(TRIAGE)}")
 def _(t):
-    grid = inline(t, REQUESTS, REQ_DDL).crossJoin(inline(t, TRIAGE, TRIAGE_DDL))  # a literal grid of test cases
+    rows = dealt(t, REQUESTS, REQ_DDL, "request").withColumn("turn", (F.col("id") % len(TRIAGE)).cast("int"))
+    grid = rows.join(F.broadcast(inline(t, TRIAGE, TRIAGE_DDL)), "turn")
     return grid.select("id", "category", "confidence", F.array_join(sf.triage_warnings(F.col("category"), F.col("confidence"), F.col("request")), ",").alias("warnings"))
 
 
@@ -147,7 +148,7 @@ REPLIES = list(enumerate([
     "• first insight is long enough\n- tiny\n12. twelfth insight in the list\n* starred key point here\nplain line",
     "",
 ], 1))
-PV = values(REPLIES, REPLY_DDL)
+PV = dealt_sql(REPLIES, REPLY_DDL, "reply")
 
 
 def sql_field(name: str, body: str) -> str:
@@ -165,7 +166,7 @@ _ask = f"coalesce(lower({sql_field('CLARIFICATION', r'(\w+)')}) IN ('yes', 'true
 
 @query("parse_triage", f"SELECT id, {_cat} AS category, {_dif} AS difficulty, {_con} AS confidence, {_why} AS reasoning, {_ask} AND NOT ({_con} >= 0.5 AND {_cat} <> 'unknown') AS needs_clarification FROM {PV}")
 def _(t):
-    return inline(t, REPLIES, REPLY_DDL).select("id", *(c.alias(k) for k, c in sf.triage_fields(F.col("reply")).items()))
+    return dealt(t, REPLIES, REPLY_DDL, "reply").select("id", *(c.alias(k) for k, c in sf.triage_fields(F.col("reply")).items()))
 
 
 def bullet_lines(reply, numbered: bool):
@@ -180,17 +181,17 @@ _lines = "list_transform(string_split(reply, chr(10)), lambda x: regexp_replace(
 
 @query("parse_insights", f"SELECT id, array_to_string(list_filter(list_transform(list_filter({_lines}, lambda x: regexp_matches(x, '^([•*-]|(1?[1-9]|10)\\.)')), lambda x: regexp_replace(x, '^[•\\-*0123456789. ]+', '')), lambda x: length(x) > 10), '|') AS insights FROM {PV}")
 def _(t):
-    return inline(t, REPLIES, REPLY_DDL).select("id", F.array_join(bullet_lines(F.col("reply"), True), "|").alias("insights"))
+    return dealt(t, REPLIES, REPLY_DDL, "reply").select("id", F.array_join(bullet_lines(F.col("reply"), True), "|").alias("insights"))
 
 
 @query("parse_key_points", f"SELECT id, array_to_string(list_transform(list_filter({_lines}, lambda x: regexp_matches(x, '^[•*-]')), lambda x: regexp_replace(x, '^[•\\-* ]+', '')), '|') AS points FROM {PV}")
 def _(t):
-    return inline(t, REPLIES, REPLY_DDL).select("id", F.array_join(bullet_lines(F.col("reply"), False), "|").alias("points"))
+    return dealt(t, REPLIES, REPLY_DDL, "reply").select("id", F.array_join(bullet_lines(F.col("reply"), False), "|").alias("points"))
 
 
 ROUTE_DDL = "category string, stage string"
 ROUTE_GRID = [(c, s) for c in sf.CATEGORIES for s in ("completion", "qa", "security", "execution", "executor")]
-GV = values(ROUTE_GRID, ROUTE_DDL)
+GV = dealt_sql(ROUTE_GRID, ROUTE_DDL)
 _odd = " OR ".join(f"(category = '{c}' AND stage NOT IN ({', '.join(map(quoted, s))}))" for c, s in sf.ROUTES.items())
 
 
@@ -200,7 +201,7 @@ def _(t):
     odd = F.lit(False)
     for k, stages in sf.ROUTES.items():
         odd = odd | ((c == k) & ~s.isin(*stages))
-    return inline(t, ROUTE_GRID, ROUTE_DDL).select("category", "stage", (~(c.isin(*sf.TERMINAL) & s.isin(*sf.EXECUTION_STAGES))).alias("is_valid"), odd.alias("unusual"))
+    return dealt(t, ROUTE_GRID, ROUTE_DDL).select("category", "stage", (~(c.isin(*sf.TERMINAL) & s.isin(*sf.EXECUTION_STAGES))).alias("is_valid"), odd.alias("unusual"))
 
 
 # Each session is expected to run in five cycles; blocked commands don't run, and those that

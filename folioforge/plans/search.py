@@ -9,7 +9,7 @@ from folioforge.operators import index as ivf
 from folioforge.operators import postings
 from folioforge.operators import vectors as op
 from folioforge.operators.running import running
-from folioforge.plans.registry import inline, query, values
+from folioforge.plans.registry import dealt, dealt_sql, inline, query, values
 
 V, Q, C = fx.VECTORS, fx.ASKED, fx.CATALOG
 L2 = "list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(query, embedding)])"
@@ -134,16 +134,16 @@ EMB_DDL = "name string, device string, configured int"
 EMB = [("all-MiniLM-L6-v2", "gpu", None), ("all-mpnet-base-v2", "gpu", None), ("bge-large-en", "cpu", None), ("x", "cpu", 40), ("multi-qa-mpnet", "cpu", None)]
 
 
-@query("emb_batch_size", f"SELECT name, device, coalesce(configured, CASE WHEN device = 'gpu' THEN 64 ELSE 16 END // CASE WHEN contains(name, 'mpnet') OR contains(name, 'large') THEN 2 ELSE 1 END) AS batch FROM {values(EMB, EMB_DDL)}")
+@query("emb_batch_size", f"SELECT name, device, coalesce(configured, CASE WHEN device = 'gpu' THEN 64 ELSE 16 END // CASE WHEN contains(name, 'mpnet') OR contains(name, 'large') THEN 2 ELSE 1 END) AS batch FROM {dealt_sql(EMB, EMB_DDL)}")
 def _(t):
     heavy = F.contains("name", F.lit("mpnet")) | F.contains("name", F.lit("large"))
     each = F.when(F.col("device") == "gpu", 64).otherwise(16)
-    return inline(t, EMB, EMB_DDL).select("name", "device", F.coalesce("configured", F.when(heavy, each / 2).otherwise(each).cast("int")).alias("batch"))
+    return dealt(t, EMB, EMB_DDL).select("name", "device", F.coalesce("configured", F.when(heavy, each / 2).otherwise(each).cast("int")).alias("batch"))
 
 
-@query("emb_dimension", f"SELECT name, CASE WHEN contains(name, 'mpnet') THEN 768 ELSE 384 END AS dims FROM {values(EMB, EMB_DDL)}")
+@query("emb_dimension", f"SELECT name, CASE WHEN contains(name, 'mpnet') THEN 768 ELSE 384 END AS dims FROM {dealt_sql(EMB, EMB_DDL)}")
 def _(t):
-    return inline(t, EMB, EMB_DDL).select("name", F.when(F.contains("name", F.lit("mpnet")), 768).otherwise(384).alias("dims"))
+    return dealt(t, EMB, EMB_DDL).select("name", F.when(F.contains("name", F.lit("mpnet")), 768).otherwise(384).alias("dims"))
 
 
 ROUTE_DDL = "task string, private string, public string"
@@ -152,17 +152,22 @@ ASK_DDL = "task string"
 TASKS = [("debugging",), ("research",), ("coding",), ("cooking",)]
 
 
-@query("route_collections", f"SELECT a.task, CASE WHEN r.task IS NULL THEN 'documents' ELSE r.private || CASE WHEN r.public <> '' THEN ',' || r.public ELSE '' END END AS collections FROM {values(TASKS, ASK_DDL)} a LEFT JOIN {values(ROUTES, ROUTE_DDL)} r ON a.task = r.task")
+@query("route_collections", f"SELECT a.task, CASE WHEN r.task IS NULL THEN 'documents' ELSE r.private || CASE WHEN r.public <> '' THEN ',' || r.public ELSE '' END END AS collections FROM {dealt_sql(TASKS, ASK_DDL)} a LEFT JOIN {values(ROUTES, ROUTE_DDL)} r ON a.task = r.task")
 def _(t):
     split = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
-    rows = inline(t, TASKS, ASK_DDL).join(inline(t, ROUTES, ROUTE_DDL), "task", "left")
+    rows = dealt(t, TASKS, ASK_DDL).join(inline(t, ROUTES, ROUTE_DDL), "task", "left")
     flat = F.array_join(F.concat(split(F.col("private")), split(F.col("public"))), ",")
     return rows.select("task", F.coalesce(flat, F.lit("documents")).alias("collections"))
 
 
-@query("cfg_quality_modes", "SELECT * FROM " + values([(m, *c) for m, c in op.MODES.items()], "mode string, initial_k int, final_k int, expands boolean, reranks boolean"))
+MODE_DDL = "id int, mode string, initial_k int, final_k int, expands boolean, reranks boolean"
+MODES = [(k, m, *c) for k, (m, c) in enumerate(op.MODES.items())]
+
+
+@query("cfg_quality_modes", f"SELECT id, mode, initial_k, final_k, expands, reranks FROM {dealt_sql(MODES, MODE_DDL)}")
 def _(t):
-    return inline(t, [(m, *c) for m, c in op.MODES.items()], "mode string, initial_k int, final_k int, expands boolean, reranks boolean")
+    """The settings of the mode that each document's request asks for."""
+    return dealt(t, MODES, MODE_DDL).drop("form")
 
 
 NEAR = f"(SELECT doc_id, chunk_number, chunk_id AS near_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_number ORDER BY CASE collection_ord WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END, chunk_id) AS first FROM {V} WHERE collection_ord IN (0, 1, 2)) WHERE first = 1)"

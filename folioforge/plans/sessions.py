@@ -10,7 +10,7 @@ from folioforge.functions import safety as sf
 from folioforge.operators import catalog as cat
 from folioforge.operators import sessions as op
 from folioforge.operators.running import running
-from folioforge.plans.registry import inline, query, values
+from folioforge.plans.registry import dealt, dealt_sql, query
 from folioforge.session import fresh_path
 from folioforge.streaming import sessions as stream
 from folioforge.streaming.sinks import BatchSink
@@ -64,9 +64,9 @@ FREQ_DDL = "frequency string, stage string"
 _in = lambda w: ", ".join(f"'{x}'" for x in w)
 
 
-@query("cp_should_create", f"SELECT frequency, stage, CASE frequency WHEN 'none' THEN stage = 'final_completion' WHEN 'minimal' THEN stage IN ({_in(op.CRITICAL)}) WHEN 'detailed' THEN true ELSE stage IN ({_in(op.MAJOR)}) END AS wanted FROM {values(FREQ, FREQ_DDL)}")
+@query("cp_should_create", f"SELECT frequency, stage, CASE frequency WHEN 'none' THEN stage = 'final_completion' WHEN 'minimal' THEN stage IN ({_in(op.CRITICAL)}) WHEN 'detailed' THEN true ELSE stage IN ({_in(op.MAJOR)}) END AS wanted FROM {dealt_sql(FREQ, FREQ_DDL)}")
 def _(t):
-    return inline(t, FREQ, FREQ_DDL).select("frequency", "stage", op.wants_checkpoint(F.col("frequency"), F.col("stage")).alias("wanted"))
+    return dealt(t, FREQ, FREQ_DDL).select("frequency", "stage", op.wants_checkpoint(F.col("frequency"), F.col("stage")).alias("wanted"))
 
 
 @query("sess_list", f"SELECT session_id, max(number) AS last FROM {I} GROUP BY session_id ORDER BY last DESC, session_id LIMIT 50")
@@ -138,32 +138,32 @@ def _(t):
 CAT_DDL = "category string"
 CATS = [(c,) for c in (*sf.CATEGORIES, "nonsense")]
 AGENTS = {"security": "security", "coding": "coder", "summarization": "summarization", "knowledge_query": "knowledge", "content": "summarization"}
-CV = values(CATS, CAT_DDL)
+CV = dealt_sql(CATS, CAT_DDL)
 _agent = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AGENTS.items()) + " ELSE 'executor' END"
 
 
 @query("wf_agent_map", f"SELECT category, {_agent} AS agent FROM {CV}")
 def _(t):
     table = F.create_map(*(F.lit(x) for kv in AGENTS.items() for x in kv))
-    return inline(t, CATS, CAT_DDL).select("category", F.coalesce(F.try_element_at(table, F.col("category")), F.lit("executor")).alias("agent"))
+    return dealt(t, CATS, CAT_DDL).select("category", F.coalesce(F.try_element_at(table, F.col("category")), F.lit("executor")).alias("agent"))
 
 
 @query("wf_terminal", f"SELECT category, category IN ({_in(sf.TERMINAL)}) AS is_terminal FROM {CV}")
 def _(t):
-    return inline(t, CATS, CAT_DDL).select("category", F.col("category").isin(*sf.TERMINAL).alias("is_terminal"))
+    return dealt(t, CATS, CAT_DDL).select("category", F.col("category").isin(*sf.TERMINAL).alias("is_terminal"))
 
 
 @query("wf_route", f"SELECT category, CASE WHEN category IN ({_in(sf.TERMINAL)}) THEN category ELSE 'security>execution>review' END AS stages FROM {CV}")
 def _(t):
     c = F.col("category")
     stages = F.when(c.isin(*sf.TERMINAL), F.array(c)).otherwise(F.array(F.lit("security"), F.lit("execution"), F.lit("review")))
-    return inline(t, CATS, CAT_DDL).select("category", F.array_join(stages, ">").alias("stages"))
+    return dealt(t, CATS, CAT_DDL).select("category", F.array_join(stages, ">").alias("stages"))
 
 
 @query("wf_file_route", f"SELECT category, CASE category WHEN 'summarization' THEN 'summarize' WHEN 'coding' THEN 'generate' WHEN 'knowledge_query' THEN 'answer' ELSE 'collaborate' END AS handler FROM {CV}")
 def _(t):
     c = F.col("category")
-    return inline(t, CATS, CAT_DDL).select("category", F.when(c == "summarization", "summarize").when(c == "coding", "generate").when(c == "knowledge_query", "answer").otherwise("collaborate").alias("handler"))
+    return dealt(t, CATS, CAT_DDL).select("category", F.when(c == "summarization", "summarize").when(c == "coding", "generate").when(c == "knowledge_query", "answer").otherwise("collaborate").alias("handler"))
 
 
 @query("wf_cycle_limit", f"SELECT id, session_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id) AS n, coalesce(max(CASE WHEN command = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM {E}) WHERE n <= 5 AND done = 0")
@@ -180,10 +180,10 @@ NEXT_DDL = "status string, next_steps string, failed int"
 NEXTS = [("completed", "Investigate further", 0), ("completed", "done", 2), ("completed", "done", 0), ("failed", "continue", 3), ("completed", "", 0), ("completed", "No MORE work", 0)]
 
 
-@query("wf_needs_more", f"SELECT status, next_steps, failed, status = 'completed' AND ({' OR '.join(f'contains(lower(next_steps), {chr(39)}{w}{chr(39)})' for w in MORE)} OR failed > 0) AS more FROM {values(NEXTS, NEXT_DDL)}")
+@query("wf_needs_more", f"SELECT status, next_steps, failed, status = 'completed' AND ({' OR '.join(f'contains(lower(next_steps), {chr(39)}{w}{chr(39)})' for w in MORE)} OR failed > 0) AS more FROM {dealt_sql(NEXTS, NEXT_DDL, "next_steps")}")
 def _(t):
     more = (F.col("status") == "completed") & (sf.any_of(F.lower("next_steps"), MORE) | (F.col("failed") > 0))
-    return inline(t, NEXTS, NEXT_DDL).select("*", more.alias("more"))
+    return dealt(t, NEXTS, NEXT_DDL, "next_steps").select("*", more.alias("more"))
 
 
 @query("wf_stall", f"SELECT session_id, sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) = 0 AND count(*) > 0 AS stalled FROM {E} GROUP BY session_id")
@@ -201,11 +201,11 @@ ASK_DDL = "id int, q string"
 ASKS = list(enumerate(["How many commands ran?", "what happened then", "What did it do", "why so", "any error there", "Did it fail", "tell me a tale", "how many"], 1))
 
 
-@query("sess_qa_router", f"SELECT id, CASE WHEN contains(l, 'how many') AND contains(l, 'command') THEN 'count' WHEN contains(l, 'what did') OR contains(l, 'what happened') THEN 'stages' WHEN contains(l, 'why') THEN 'triage' WHEN contains(l, 'error') OR contains(l, 'fail') THEN 'errors' ELSE 'search' END AS answer FROM (SELECT id, lower(q) AS l FROM {values(ASKS, ASK_DDL)})")
+@query("sess_qa_router", f"SELECT id, CASE WHEN contains(l, 'how many') AND contains(l, 'command') THEN 'count' WHEN contains(l, 'what did') OR contains(l, 'what happened') THEN 'stages' WHEN contains(l, 'why') THEN 'triage' WHEN contains(l, 'error') OR contains(l, 'fail') THEN 'errors' ELSE 'search' END AS answer FROM (SELECT id, lower(q) AS l FROM {dealt_sql(ASKS, ASK_DDL, "q")})")
 def _(t):
     low = F.lower("q")
     has = lambda *w: sf.any_of(low, w)
-    return inline(t, ASKS, ASK_DDL).select("id", F.when(has("how many") & has("command"), "count").when(has("what did", "what happened"), "stages").when(has("why"), "triage").when(has("error", "fail"), "errors").otherwise("search").alias("answer"))
+    return dealt(t, ASKS, ASK_DDL, "q").select("id", F.when(has("how many") & has("command"), "count").when(has("what did", "what happened"), "stages").when(has("why"), "triage").when(has("error", "fail"), "errors").otherwise("search").alias("answer"))
 
 
 @query("sess_qa_stages", f"SELECT session_id, string_agg(kind, ' -> ' ORDER BY first) AS stages FROM (SELECT session_id, kind, min(number) AS first FROM {I} GROUP BY ALL) GROUP BY session_id")

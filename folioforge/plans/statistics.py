@@ -9,7 +9,7 @@ from folioforge import fixtures as fx
 from folioforge.functions import text
 from folioforge.operators import summaries as op
 from folioforge.operators.running import running
-from folioforge.plans.registry import inline, query, values
+from folioforge.plans.registry import dealt, dealt_sql, query
 from folioforge.plans.text import chunk_rows, sql_chunks
 
 E = fx.EXECUTIONS
@@ -95,9 +95,9 @@ PREF_DDL = "configured string, session string"
 PREFS = [(c, s) for c in ("private", "public", "skip", None) for s in ("private", "public", None)]
 
 
-@query("mem_save_decision", f"SELECT configured, session, coalesce(session, configured, 'private') AS target FROM {values(PREFS, PREF_DDL)}")
+@query("mem_save_decision", f"SELECT configured, session, coalesce(session, configured, 'private') AS target FROM {dealt_sql(PREFS, PREF_DDL)}")
 def _(t):
-    return inline(t, PREFS, PREF_DDL).select("configured", "session", F.coalesce("session", "configured", F.lit("private")).alias("target"))
+    return dealt(t, PREFS, PREF_DDL).select("configured", "session", F.coalesce("session", "configured", F.lit("private")).alias("target"))
 
 
 @query("mem_debug_context", f"SELECT session_id, string_agg(command || ': ' || status, chr(10) ORDER BY id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id) AS n FROM {E}) WHERE n <= 3 GROUP BY session_id")
@@ -124,10 +124,10 @@ DEPTH_DDL = "depth string"
 DEPTHS = [("quick",), ("standard",), ("deep",), ("other",)]
 
 
-@query("sum_insight_plan", f"SELECT depth, CASE depth WHEN 'quick' THEN '3-5' WHEN 'standard' THEN '5-7' ELSE '7-10' END AS insights, CASE depth WHEN 'quick' THEN 300 WHEN 'standard' THEN 500 ELSE 700 END AS max_tokens FROM {values(DEPTHS, DEPTH_DDL)}")
+@query("sum_insight_plan", f"SELECT depth, CASE depth WHEN 'quick' THEN '3-5' WHEN 'standard' THEN '5-7' ELSE '7-10' END AS insights, CASE depth WHEN 'quick' THEN 300 WHEN 'standard' THEN 500 ELSE 700 END AS max_tokens FROM {dealt_sql(DEPTHS, DEPTH_DDL)}")
 def _(t):
     d = F.col("depth")
-    return inline(t, DEPTHS, DEPTH_DDL).select("depth", F.when(d == "quick", "3-5").when(d == "standard", "5-7").otherwise("7-10").alias("insights"), F.when(d == "quick", 300).when(d == "standard", 500).otherwise(700).alias("max_tokens"))
+    return dealt(t, DEPTHS, DEPTH_DDL).select("depth", F.when(d == "quick", "3-5").when(d == "standard", "5-7").otherwise("7-10").alias("insights"), F.when(d == "quick", 300).when(d == "standard", 500).otherwise(700).alias("max_tokens"))
 
 
 MAPPED = f"(SELECT doc_id, chunk_number, CASE WHEN length(chunk) <= 200 THEN chunk ELSE left(chunk, 197) || '...' END AS summary FROM ({sql_chunks('documents', 'doc_id', 500, 50)}))"

@@ -8,8 +8,8 @@ from folioforge import fixtures as fx
 from folioforge.functions import providers, text
 from folioforge.operators import sessions as sess
 from folioforge.operators import vectors as vec
-from folioforge.plans.registry import inline, query, values
-from folioforge.plans.search import NEAREST, rerank
+from folioforge.plans.registry import dealt, dealt_sql, inline, query
+from folioforge.plans.search import NEAREST, multi, rerank
 from folioforge.session import fresh_path
 from folioforge.sources import files, pdf
 from folioforge.sources.store import Store, updated
@@ -74,12 +74,12 @@ def _(t):
 
 
 META_DDL = "path string, title string, author string"
-META = [("/a/one.pdf", "Real Title", "Ann"), ("/a/two.pdf", " ", None), ("/b/three.x.pdf", None, "")]
+META = [("/a/one_{}.pdf", "Real Title", "Ann"), ("/a/two_{}.pdf", " ", None), ("/b/three.{}.pdf", None, "")]
 
 
-@query("src_pdf_meta", f"SELECT path, coalesce(nullif(trim(title), ''), regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^./]+$', '')) AS title, coalesce(nullif(trim(author), ''), 'Unknown') AS author FROM {values(META, META_DDL)}")
+@query("src_pdf_meta", f"SELECT path, coalesce(nullif(trim(title), ''), regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^./]+$', '')) AS title, coalesce(nullif(trim(author), ''), 'Unknown') AS author FROM {dealt_sql(META, META_DDL, "path", "id")}")
 def _(t):
-    raw = inline(t, META, META_DDL).select("path", F.create_map(F.lit("title"), F.col("title"), F.lit("author"), F.col("author")).alias("info"))
+    raw = dealt(t, META, META_DDL, "path", "id").select("path", F.create_map(F.lit("title"), F.col("title"), F.lit("author"), F.col("author")).alias("info"))
     return files.pdf_metadata(raw).select("path", "title", "author")
 
 
@@ -239,10 +239,11 @@ def _(t):
     return vec.nearest(history, fx.asked(t), 3, "cosine").select("query_id", "rank", F.concat(F.lit("cmd_"), F.col("chunk_id").cast("string")).alias("id"))
 
 
-@query("kn_confidence_band", "SELECT p, CASE WHEN p > 0.7 THEN 'green' WHEN p > 0.4 THEN 'yellow' ELSE 'red' END AS band, p < 0.5 AS tip FROM " + values([(x / 10,) for x in range(11)], "p double"))
+@query("kn_confidence_band", f"SELECT query_id, chunk_id, p, CASE WHEN p > 0.7 THEN 'green' WHEN p > 0.4 THEN 'yellow' ELSE 'red' END AS band, p < 0.5 AS tip FROM (SELECT query_id, chunk_id, round(similarity, 6) AS p FROM {multi(10)})")
 def _(t):
     p = F.col("p")
-    return inline(t, [(x / 10,) for x in range(11)], "p double").select("p", F.when(p > 0.7, "green").when(p > 0.4, "yellow").otherwise("red").alias("band"), (p < 0.5).alias("tip"))
+    hits = vec.over_collections(fx.vectors(t), fx.asked(t), 10).select("query_id", "chunk_id", F.round("similarity", 6).alias("p"))
+    return hits.select("query_id", "chunk_id", "p", F.when(p > 0.7, "green").when(p > 0.4, "yellow").otherwise("red").alias("band"), (p < 0.5).alias("tip"))
 
 
 @query("qa_answer", f"SELECT query_id, count(*) AS sources, round(least(1.0, avg(CASE WHEN distance <= 1 THEN 1 - distance ELSE 0 END)), 6)::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS r FROM (SELECT q.query_id, v.chunk_id, list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(query, embedding)]) AS distance FROM {V} v, {fx.ASKED} q WHERE v.chunk_id <> q.query_id AND v.collection = 'semantic')) WHERE r <= 5 GROUP BY query_id")
@@ -277,9 +278,13 @@ def _(t):
     return t.documents.select("doc_id", F.posexplode(text.packed(F.col("text"), 200)).alias("chunk_number", "chunk"))
 
 
-@query("clean_code_block", "SELECT id, CASE WHEN length(code) > 10 THEN code ELSE trim(reply) END AS code FROM (SELECT id, reply, trim(regexp_extract(reply, '(?s)```(?:python)?\\n(.*?)```', 1), ' ' || chr(10)) AS code FROM " + values([(1, "Here:\n```python\ndef f():\n    return 1\n```\nDone"), (2, "no fence"), (3, "```\nx\n```")], "id int, reply string") + ")")
+CODE_DDL = "id int, reply string"
+CODES = [(1, "Here:\n```python\ndef f():\n    return '{}'\n```\nDone"), (2, "no fence"), (3, "```\nx\n```"), (4, "```\n{}\n```\nmore ```\nsecond block {}\n```"), (5, "```python\nopen {}")]
+
+
+@query("clean_code_block", f"SELECT id, CASE WHEN length(code) > 10 THEN code ELSE trim(reply, ' ' || chr(9) || chr(10)) END AS code FROM (SELECT id, reply, trim(regexp_extract(reply, '(?s)```(?:python)?\\n(.*?)```', 1), ' ' || chr(9) || chr(10)) AS code FROM {dealt_sql(CODES, CODE_DDL, 'reply')})")
 def _(t):
     """The fenced block if it is long enough, else the whole reply."""
-    rows = inline(t, [(1, "Here:\n```python\ndef f():\n    return 1\n```\nDone"), (2, "no fence"), (3, "```\nx\n```")], "id int, reply string")
+    rows = dealt(t, CODES, CODE_DDL, "reply")
     code = text.strip(F.regexp_extract("reply", r"(?s)```(?:python)?\n(.*?)```", 1))
     return rows.select("id", F.when(F.length(code) > 10, code).otherwise(text.strip(F.col("reply"))).alias("code"))

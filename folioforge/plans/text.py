@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioforge import fixtures as fx
 from folioforge.functions import analysis, text
-from folioforge.plans.registry import inline, query, values
+from folioforge.plans.registry import dealt, dealt_sql, query
 
 SQL_FLAT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 SQL_PARAS = "array_to_string(list_filter(list_transform(string_split(coalesce({0}, ''), chr(10) || chr(10)), lambda p: " + SQL_FLAT.format("p") + "), lambda p: p <> ''), chr(10) || chr(10))"
@@ -34,9 +34,9 @@ def _(t):
     return t.documents.select("doc_id", text.flat(F.col("text")).alias("flat"))
 
 
-@query("txt_norm_para", f"SELECT id, {SQL_PARAS.format('text')} AS normal FROM {values(PARAS, PARA_DDL)}")
+@query("txt_norm_para", f"SELECT id, {SQL_PARAS.format('text')} AS normal FROM {dealt_sql(PARAS, PARA_DDL, "text")}")
 def _(t):
-    return inline(t, PARAS, PARA_DDL).select("id", text.paragraphs(F.col("text")).alias("normal"))
+    return dealt(t, PARAS, PARA_DDL, "text").select("id", text.paragraphs(F.col("text")).alias("normal"))
 
 
 @query("tok_count", f"SELECT doc_id, length(text) // 4 AS tokens, length({SQL_FLAT.format('text')}) // 4 AS flat_tokens FROM documents")
@@ -110,9 +110,9 @@ def _(t):
     return chunk_rows(t.documents, "doc_id", 3000, 200)
 
 
-@query("chunk_paragraph_rule", sql_chunks(values(PARAS, PARA_DDL), "id", 100, 10))
+@query("chunk_paragraph_rule", sql_chunks(dealt_sql(PARAS, PARA_DDL, "text"), "id", 100, 10))
 def _(t):
-    return chunk_rows(inline(t, PARAS, PARA_DDL), "id", 100, 10)
+    return chunk_rows(dealt(t, PARAS, PARA_DDL, "text"), "id", 100, 10)
 
 
 TOKENS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
@@ -251,16 +251,16 @@ STRUCTURED = [
 ]
 
 
-@query("doc_flags_head", f"SELECT id, {fx.sql_contains('left(text, 1000)', CODE5)} AS has_code, {fx.sql_contains('text', MATH)} AS has_math, CASE WHEN {SQL_EXT} IN ('.py', '.js', '.java', '.cpp', '.c') THEN 'code' WHEN {SQL_EXT} = '.log' OR contains(lower(path), 'log') THEN 'log' ELSE 'document' END AS kind FROM {values(STRUCTURED, STRUCTURED_DDL)}")
+@query("doc_flags_head", f"SELECT id, {fx.sql_contains('left(text, 1000)', CODE5)} AS has_code, {fx.sql_contains('text', MATH)} AS has_math, CASE WHEN {SQL_EXT} IN ('.py', '.js', '.java', '.cpp', '.c') THEN 'code' WHEN {SQL_EXT} = '.log' OR contains(lower(path), 'log') THEN 'log' ELSE 'document' END AS kind FROM {dealt_sql(STRUCTURED, STRUCTURED_DDL, "text")}")
 def _(t):
     ext = analysis.extension(F.col("path"))
     kind = F.when(ext.isin(".py", ".js", ".java", ".cpp", ".c"), "code").when((ext == ".log") | F.contains(F.lower("path"), F.lit("log")), "log").otherwise("document")
-    return inline(t, STRUCTURED, STRUCTURED_DDL).select("id", analysis.any_of(F.substring("text", 1, 1000), CODE5).alias("has_code"), analysis.any_of(F.col("text"), MATH).alias("has_math"), kind.alias("kind"))
+    return dealt(t, STRUCTURED, STRUCTURED_DDL, "text").select("id", analysis.any_of(F.substring("text", 1, 1000), CODE5).alias("has_code"), analysis.any_of(F.col("text"), MATH).alias("has_math"), kind.alias("kind"))
 
 
-@query("doc_structured_type", f"SELECT id, {fx.sql_document_type('path', 'text')} AS doc_type, {fx.sql_contains('text', analysis.CODE_MARKS)} AS has_code FROM {values(STRUCTURED, STRUCTURED_DDL)}")
+@query("doc_structured_type", f"SELECT id, {fx.sql_document_type('path', 'text')} AS doc_type, {fx.sql_contains('text', analysis.CODE_MARKS)} AS has_code FROM {dealt_sql(STRUCTURED, STRUCTURED_DDL, "text")}")
 def _(t):
-    return inline(t, STRUCTURED, STRUCTURED_DDL).select("id", analysis.document_type(F.col("path"), F.col("text")).alias("doc_type"), analysis.has_code(F.col("text")).alias("has_code"))
+    return dealt(t, STRUCTURED, STRUCTURED_DDL, "text").select("id", analysis.document_type(F.col("path"), F.col("text")).alias("doc_type"), analysis.has_code(F.col("text")).alias("has_code"))
 
 
 # Chapter headings, tried in this order.
@@ -290,13 +290,13 @@ def sql_headings() -> str:
     each = []
     for k, p in enumerate(HEADINGS):
         q = "'(?m)" + p.replace("'", "''") + "'"
-        each.append(f"SELECT id, {k} AS k, i, regexp_extract(m, {q}, 1) AS number, regexp_replace(regexp_replace(regexp_extract(m, {q}, 2), '^\\s+|\\s+$', '', 'g'), '\\.+$', '') AS title, instr(text, m) AS place FROM (SELECT id, text, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS m FROM (SELECT id, text, regexp_extract_all(text, {q}) AS l FROM {values(STRUCTURED, STRUCTURED_DDL)}))")
+        each.append(f"SELECT id, {k} AS k, i, regexp_extract(m, {q}, 1) AS number, regexp_replace(regexp_replace(regexp_extract(m, {q}, 2), '^\\s+|\\s+$', '', 'g'), '\\.+$', '') AS title, instr(text, m) AS place FROM (SELECT id, text, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS m FROM (SELECT id, text, regexp_extract_all(text, {q}) AS l FROM {dealt_sql(STRUCTURED, STRUCTURED_DDL, "text")}))")
     return " UNION ALL ".join(each)
 
 
 @query("doc_detect_chapters", f"SELECT id, number, title, CAST(row_number() OVER (PARTITION BY id ORDER BY place, k, i) - 1 AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id, number, title ORDER BY k, i) AS r FROM ({sql_headings()})) WHERE r = 1")
 def _(t):
-    return chapters(inline(t, STRUCTURED, STRUCTURED_DDL), "id")
+    return chapters(dealt(t, STRUCTURED, STRUCTURED_DDL, "text"), "id")
 
 
 @query("doc_assign_chapter", "SELECT n, m, i, (i * m) // n AS chapter FROM (SELECT unnest([7, 10, 33]) AS n) a, (SELECT unnest([1, 3, 5, 8]) AS m) b, (SELECT unnest(range(0, 33)) AS i) c WHERE i < n")
