@@ -8,8 +8,10 @@ makes; where the paths back from all those places meet, everything before is
 final and is emitted. Only the window after the meeting place is kept.
 
 Defined results: a null or empty text has no tokens; ids and decoded text of
-a text don't depend on other rows; repeated rows give repeated results; extra
-columns are ignored. The vocabulary is read from the path given, on the driver,
+a text don't depend on other rows; repeated rows give repeated results, and a row
+without an id has one like any other; texts of any length are encoded whole, in parts
+cut at white space, which no token crosses; ties can't occur, as the merges are ordered;
+an empty table gives no rows; extra columns are ignored. The vocabulary is read from the path given, on the driver,
 and sent to the executors as one broadcast of a fixed size.
 """
 
@@ -242,7 +244,6 @@ class Codec:
         special = sorted(self.m.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.breaks = regex.compile("[\t-\r ]")
-        self.made = {s: (struct.pack("<I", i), self.m.strings[i].encode()) for s, i in self.m.ids.items()}
         self.cache: dict[str, tuple[int, bytes, bytes]] = {}
         self.older: dict[str, tuple[int, bytes, bytes]] = {}
         self.starts: dict[str, tuple[str, ...]] = {}
@@ -290,11 +291,14 @@ class Codec:
         got = self.near[text] = tuple((n - j, text[j:]) for j in range(n) if self.m.ends.get(text[j:]))
         return got
 
+    def both(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        """How many ids, these as bytes, and what the decoder makes of them."""
+        return len(ids), struct.pack(f"<{len(ids)}I", *ids), Decoder(self.m).feed(ids).encode()
+
     def packed(self, word: str) -> tuple[int, bytes, bytes]:
         got = self.older.get(word)
         if got is None:
-            parts = [self.made[s] for s in self.word(word) if s in self.made]
-            got = len(parts), b"".join([x[0] for x in parts]), b" ".join([x[1] for x in parts])
+            got = self.both([self.m.ids[s] for s in self.word(word) if s in self.m.ids])
         if len(word) <= 64:
             if len(self.cache) >= CACHED:  # in place: a caller may hold it
                 self.older = dict(self.cache)
@@ -319,8 +323,7 @@ class Codec:
         for piece in self.pieces(text):
             for part in self.special.split(piece) if self.special and "<|" in piece else [piece]:
                 if part in self.m.special:
-                    i = self.m.special[part]
-                    yield [(1, struct.pack("<I", i), part.encode())]
+                    yield [self.both([self.m.special[part]])]
                     continue
                 normal = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 split = self.split
@@ -329,6 +332,9 @@ class Codec:
                 yield [cache.get(w) or packed(w) for w in split.findall(normal)]
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
+        """Number of tokens and digests of ids and decoded text. The ids of a word are decoded
+        once, with it, and where the decoder stood is all that passes from word to word:
+        whether a token came before, which puts a space between."""
         n, ids, decoded, glue = 0, hashlib.sha256(), hashlib.sha256(), b""
         for words in self.encoded(text or ""):
             if not words:

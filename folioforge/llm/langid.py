@@ -103,12 +103,13 @@ class Model:
 
 def fit(docs: DataFrame, per_language: int = 500) -> Model:
     """Learn from text and non-null lang of rows that are not held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    known = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("k2", F.xxhash64("text"))
+    known = rows.select("doc_id", "lang", "k2").distinct().withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
     # Some four times as many as are wanted go on to be ranked, however many there are.
     few = known.join(F.broadcast(known.groupBy("lang").count()), "lang").where(F.col("h") * F.col("count") < 4.0 * per_language * (1 << 30))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = [r[0] for r in few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").collect()]
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "k2")
+    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang", "k2")
 
     def run(batches):
         for b in batches:
@@ -117,10 +118,11 @@ def fit(docs: DataFrame, per_language: int = 500) -> Model:
                 x = features(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    if not chosen:
-        return Model([], np.zeros((0, 1)), np.zeros((BUCKETS + 1, 1), np.float32), np.ones(1, np.float32))
-    labelled = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(lean(run), "lang string, x binary")
+    # per_language keys of each language; rows that repeat one are one row
+    labelled = rows.join(F.broadcast(chosen), ["doc_id", "lang", "k2"], "left_semi").dropDuplicates(["doc_id", "lang", "k2"]).select("text", "lang").mapInArrow(lean(run), "lang string, x binary")
     got = sorted((r["lang"], bytes(r["x"])) for r in labelled.collect())
+    if not got:
+        return Model([], np.zeros((0, 1)), np.zeros((BUCKETS + 1, 1), np.float32), np.ones(1, np.float32))
     languages = sorted({lang for lang, _ in got})
     words = code(len(languages))
     x = np.stack([np.frombuffer(v, np.float16) for _, v in got]).astype(np.float32)

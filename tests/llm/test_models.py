@@ -163,3 +163,14 @@ def test_quality_is_a_plain_refit(spark, docs_rows):
     off = [abs(got[i].score - want[k]) for k, (i, _) in enumerate(rows)]
     assert max(off) < 1e-3 and np.mean(off) < 1e-5
     assert all(r.predicted == (r.score >= 0.7) for r in got.values())
+
+
+def test_one_id_many_times_is_one_label(spark):
+    """Rows that repeat an id and text are one; other texts of the id are others, up to the bound."""
+    base = [(i, f"{w} {w}ing {w}ed the text number {i}", lang) for i in range(60) for w, lang in (("walk", "en"), ("geh", "de"))]
+    rows = [(r[0] * 4 + k, r[1], r[2]) for k, r in enumerate(base[:2])] + [(5, t, lang) for _, t, lang in base for _ in range(10)] + [(9, None, "en")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, per_language=20)
+    assert model.languages == ["de", "en"]
+    told = langid.predict(spark, df, model).where("lang_pred <> 'und'").collect()
+    assert len(told) == len(rows) - 50
