@@ -12,6 +12,7 @@ from folioforge.plans.registry import dealt, dealt_sql, inline, query
 from folioforge.plans.search import NEAREST, multi, rerank
 from folioforge.session import fresh_path
 from folioforge.sources import files, pdf
+from folioforge.sources.keyed import KeyedTable
 from folioforge.sources.store import Store, updated
 from folioforge.streaming import requests
 from folioforge.streaming.sinks import BatchSink
@@ -139,6 +140,24 @@ def _(t):
     return updated(rows, touched).select("chunk_id", "importance", "access_count")
 
 
+# Every tenth document is read anew with another count, and one more for each is added; documents
+# of each seventh id go.
+MERGED = f"(SELECT doc_id, title, CASE WHEN doc_id % 10 = 0 THEN total_tokens + 1 ELSE total_tokens END AS total_tokens FROM {fx.CATALOG} UNION ALL SELECT -1 - doc_id, 'added ' || doc_id, 7 FROM documents WHERE doc_id % 10 = 0)"
+
+
+@query("store_keyed_merge", f"SELECT * FROM {MERGED} WHERE doc_id % 7 <> 3")
+def _(t):
+    """The catalog as a keyed table, merged with changes and then rid of some documents."""
+    rows = fx.catalog(t).select("doc_id", "title", "total_tokens")
+    table = KeyedTable(t.spark, "doc_id", buckets=8).create(rows)
+    some = rows.where("doc_id % 10 = 0")
+    anew = some.select("doc_id", F.lit(None).cast("string").alias("title"), (F.col("total_tokens") + 1).alias("total_tokens"))
+    added = some.select((-1 - F.col("doc_id")).alias("doc_id"), F.concat(F.lit("added "), F.col("doc_id").cast("string")).alias("title"), F.lit(7).cast("long").alias("total_tokens"))
+    table.merge(anew.unionByName(added))
+    table.delete(rows.where("doc_id % 7 = 3").select("doc_id"))
+    return table.read()
+
+
 @query("store_admin_stats")
 def _(t):
     return stored(t).stats()
