@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,16 @@ from folioforge.operators.vectors import overlap, unit
 DIMS = 64
 
 
+def bucket(word: Column, dims: int) -> Column:
+    """The first 32 bits of the word's MD5, modulo dims: a hash that other engines have too."""
+    return F.pmod(F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int")
+
+
 def hashed(text: Column, dims: int = DIMS, normalise: bool = True) -> Column:
     """Bag of words hashed to buckets, of unit length if `normalise`; a blank text is the
     zero vector."""
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
-    bucket = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = let(bucket, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(all_, lambda b: b == i)).cast("double")))
+    counts = let(F.transform(words, lambda w: bucket(w, dims)), lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(all_, lambda b: b == i)).cast("double")))
     return unit(counts) if normalise else counts
 
 
@@ -33,7 +38,7 @@ def batched(encode=None, batch: int = 64):
         out = np.zeros((len(texts), DIMS))
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                out[i, sum(w.encode()) % DIMS] += 1
+                out[i, int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIMS] += 1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     @pandas_udf("array<double>")

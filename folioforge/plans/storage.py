@@ -220,21 +220,32 @@ for _name, _db, _kind, _weight in (("mem_store_episodic", "private", "episodic",
         return stored(t, rows).read(db, kind)
 
 
-@query("emb_hash_features")
+_WORDS = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')"
+_COUNTS = f"(SELECT doc_id, [len(list_filter(b, lambda y: y = i))::DOUBLE FOR i IN range({providers.DIMS})] AS c FROM (SELECT doc_id, [('0x' || left(md5(w), 8))::BIGINT % {providers.DIMS} FOR w IN {_WORDS}] AS b FROM documents))"
+FEATURES = f"(SELECT doc_id, [round(x / greatest(sqrt(list_dot_product(c, c)), 1e-12), 6) FOR x IN c] AS embedding FROM {_COUNTS})"
+
+
+def rounded(e):
+    return F.transform(e, lambda x: F.round(x, 6))
+
+
+@query("emb_hash_features", f"SELECT doc_id, embedding FROM {FEATURES}")
 def _(t):
-    return t.documents.select("doc_id", providers.hashed(F.col("text")).alias("embedding"))
+    return t.documents.select("doc_id", rounded(providers.hashed(F.col("text"))).alias("embedding"))
 
 
-@query("emb_one", "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS length FROM documents")
+@query("emb_one", f"SELECT doc_id, round(sqrt(list_dot_product(embedding, embedding)), 4) AS length, list_max(embedding) AS most FROM {FEATURES}")
 def _(t):
     """One text at a time: a blank one is the zero vector, others have unit length."""
-    return t.documents.select("doc_id", F.round(vec.norm(providers.hashed(F.col("text"))), 6).alias("length"))
+    rows = t.documents.select("doc_id", rounded(providers.hashed(F.col("text"))).alias("e"))
+    return rows.select("doc_id", F.round(vec.norm(F.col("e")), 4).alias("length"), F.array_max("e").alias("most"))
 
 
-@query("emb_batch", "SELECT doc_id, 64 AS dims, 1.0::DOUBLE AS length FROM documents")
+@query("emb_batch", f"SELECT doc_id, CAST(len(embedding) AS INTEGER) AS dims, embedding FROM {FEATURES}")
 def _(t):
+    """The same features from an encoder that takes lists of texts."""
     e = providers.batched()(F.col("text"))
-    return t.documents.select("doc_id", e.alias("e")).select("doc_id", F.size("e").alias("dims"), F.round(vec.norm(F.col("e")), 6).alias("length"))
+    return t.documents.select("doc_id", e.alias("e")).select("doc_id", F.size("e").alias("dims"), rounded(F.col("e")).alias("embedding"))
 
 
 @query("emb_mini", "SELECT doc_id, CAST(len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS DOUBLE) AS total FROM documents")
