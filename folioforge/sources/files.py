@@ -50,6 +50,19 @@ def pdf_texts(rows: DataFrame, pages: PageReader = pdf.pages, numbered: bool = F
     return found.select("path", F.when(F.col("text") != "", F.col("text")).alias("text"), F.when(F.col("text") != "", "success").otherwise("error").alias("status"))
 
 
+def pdf_pages(rows: DataFrame) -> DataFrame:
+    """path, page (from 1) and text of each page of rows of path and content, handed on page
+    by page, so that a long file isn't one value."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                for i, p in enumerate(pdf.each_page(bytes(content or b"")), 1):
+                    yield pd.DataFrame({"path": [path], "page": [i], "text": [p]})
+
+    return rows.select("path", "content").mapInPandas(read, "path string, page int, text string")
+
+
 def pdfs(spark: SparkSession, folder: str, pages: PageReader = pdf.pages, numbered: bool = False) -> DataFrame:
     """The texts of a folder's PDF files."""
     return pdf_texts(binary(spark, folder).where(analysis.extension(F.col("path")) == ".pdf"), pages, numbered)
