@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The patterns, words and labels that define the question grammar.
-AUTHOR = (r"(?i)(?:by|from|according to)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)", r"(?i)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)'s\s+(?:book|paper|article|lecture)", r"(?i)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+(?:said|wrote|explains|discusses)")
-TITLE = (r'"([^"]+)"', r"'([^']+)'", r"book\s+(?:titled|called|named)\s+([A-Z][^\s,\.]+(?:\s+[A-Z][^\s,\.]+)*)", r"(?:in|from)\s+([A-Z][a-z]+\s+[A-Z][a-z]+)")
+# The patterns, words and labels that define the question grammar. Java's
+# engine goes a call deeper with each turn of a repeated group, so that a line of thousands
+# of words overflows the stack: groups repeat possessively (*+) where nothing after them
+# could make them give words back, and the one where it could takes 200 words more at most.
+AUTHOR = (r"(?i)(?:by|from|according to)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*+)", r"(?i)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*+)'s\s+(?:book|paper|article|lecture)", r"(?i)([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,200})\s+(?:said|wrote|explains|discusses)")
+TITLE = (r'"([^"]+)"', r"'([^']+)'", r"book\s+(?:titled|called|named)\s+([A-Z][^\s,\.]+(?:\s+[A-Z][^\s,\.]+)*+)", r"(?:in|from)\s+([A-Z][a-z]+\s+[A-Z][a-z]+)")
 CHAPTER = (r"(?i)chapter\s+(\d+)", r"(?i)ch(?:ap)?\.?\s+(\d+)", r"(?i)(\d+)(?:st|nd|rd|th)\s+chapter")
 # The dotted section's number stands in a group, as `first_of` reads group 1.
 SECTION = (r"(?i)section\s+(\d+)", r"(?i)sec\.?\s+(\d+)", r"\d+\.(\d+)")

@@ -46,6 +46,7 @@ def quoted(s: str) -> str:
 
 
 def sql_first(patterns) -> str:
+    patterns = [p.replace(")*+", ")*") for p in patterns]  # DuckDB's engine neither has nor needs possessive groups
     return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(q, {quoted(p)}) THEN trim(regexp_extract(q, {quoted(p)}, 1)) END" for p in patterns) + ")"
 
 
