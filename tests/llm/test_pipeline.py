@@ -62,5 +62,5 @@ def test_odd_and_empty_tables(spark, docs, odd_docs, no_docs, tmp_path):
 
 def test_names():
     names = list(entry.queries())
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]
     assert "pipeline" in names
