@@ -175,6 +175,7 @@ def _(t):
     return rows.where("n <= 5 AND done = 0").select("id", "session_id")
 
 
+# Words of next steps that ask for another cycle.
 MORE = ("continue", "next", "follow", "more", "additional", "investigate")
 NEXT_DDL = "status string, next_steps string, failed int"
 NEXTS = [("completed", "Investigate further", 0), ("completed", "done", 2), ("completed", "done", 0), ("failed", "continue", 3), ("completed", "", 0), ("completed", "No MORE work", 0)]

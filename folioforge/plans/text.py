@@ -233,6 +233,7 @@ def _(t):
     return fx.files(t).select("doc_id", analysis.document_type(F.col("path"), F.col("content")).alias("doc_type"))
 
 
+# Marks of code and of mathematics.
 CODE5, MATH = ("def ", "class ", "import ", "function", "var "), ("$$", "\\begin{", "\\frac", "\\sum")
 STRUCTURED_DDL = "id int, path string, text string"
 STRUCTURED = [
