@@ -300,11 +300,12 @@ def _(t):
     return chapters(dealt(t, STRUCTURED, STRUCTURED_DDL, "text"), "id")
 
 
-@query("doc_assign_chapter", "SELECT n, m, i, (i * m) // n AS chapter FROM (SELECT unnest([7, 10, 33]) AS n) a, (SELECT unnest([1, 3, 5, 8]) AS m) b, (SELECT unnest(range(0, 33)) AS i) c WHERE i < n")
+@query("doc_assign_chapter", f"SELECT chunk_id, m, (chunk_number * m) // n AS chapter FROM (SELECT chunk_id, chunk_number, count(*) OVER (PARTITION BY doc_id) AS n, unnest([1, 3, 5, 8]) AS m FROM {fx.VECTORS})")
 def _(t):
-    """Chunk i of n to chapter of m by proportion."""
-    grid = t.spark.range(33).select(F.explode(F.array(*map(F.lit, (7, 10, 33)))).alias("n"), F.col("id").alias("i")).select("n", F.explode(F.array(*map(F.lit, (1, 3, 5, 8)))).alias("m"), "i")
-    return grid.where("i < n").select("n", "m", "i", F.floor(F.col("i") * F.col("m") / F.col("n")).cast("long").alias("chapter"))
+    """Chunk i of n of each document to chapter of m by proportion, for documents of 1, 3, 5 and 8 chapters."""
+    rows = fx.vectors(t).select("chunk_id", "doc_id", "chunk_number")
+    sized = rows.join(rows.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id").select("chunk_id", "chunk_number", "n", F.explode(F.array(*map(F.lit, (1, 3, 5, 8)))).alias("m"))
+    return sized.select("chunk_id", "m", F.floor(F.col("chunk_number") * F.col("m") / F.col("n")).cast("long").alias("chapter"))
 
 
 @query("doc_chapter_spans", f"SELECT doc_id, CAST((chunk_number * 3) // n AS BIGINT) AS chapter, min(chunk_number) AS first_chunk, max(chunk_number) AS last_chunk FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({sql_chunks('documents', 'doc_id', 500, 50)})) GROUP BY ALL")
