@@ -16,18 +16,20 @@ other family's have, one of these; and it holds fewer words that only some one o
 has than words that only its own has, none, or as many and a score `MARGIN` over
 the cut.
 
-A paragraph without any feature has the score of the largest bias, below all cuts, so
-documents without a feature word are not taken apart; that leaves nothing out.
+A paragraph is judged if it holds a template's word outside `PLAIN`, or a pair of plain words
+that the examples hold, such as "under mit". Others are unknown by definition, with the score
+of the largest bias, below all cuts; documents that have only such aren't taken apart.
 
 Defined results: a null or empty text has no paragraphs, no licences and family
 `unknown` with score 0; of families with equal scores the first by name counts, of
 paragraphs the confirmed one, then the larger score, then the later name; a text of any
-length is taken apart whole; rows that repeat an id are rows of their own (equal rows give
-equal results); extra columns are ignored; an empty table gives no rows.
+length is taken apart whole; rows that repeat an id, or have none, are rows of their own
+(equal rows give equal results); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,6 +47,7 @@ TEMPLATES = {
         "MIT License",
         "This project is licensed under the MIT License - see the LICENSE file for details",
         "Distributed under the terms of the MIT license.",
+        "Released under MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
@@ -204,7 +207,7 @@ TUNING = {
 # Words too common to make a feature.
 COMMON = ("a", "an", "all", "and", "any", "are", "as", "at", "be", "been", "by", "can", "for", "form", "from", "has", "have", "he", "his", "in", "into", "is", "it", "its", "last", "list", "may", "must", "near", "new", "not", "of", "on", "or", "other", "should", "that", "the", "their", "they", "this", "to", "use", "used", "v", "was", "were", "with", "year", "you", "your", "work", "file", "program", "source", "software", "copy", "general", "public")
 # Words of the templates that are common elsewhere, in other languages or as
-# numbers: they tell families apart beside others, but make no feature by themselves.
+# numbers: they make features, but a lone one doesn't get a paragraph judged.
 PLAIN = (*COMMON, "mit", "nd", "no", "do", "if", "one", "under", "without", "available", "0", "1", "2", "3", "4", "29")
 
 
@@ -223,8 +226,17 @@ def grams(w: Column, n: int) -> Column:
 
 
 def features(w: Column) -> Column:
-    telling = lambda g: ~F.forall(F.split(g, " "), lambda x: x.isin(*PLAIN))
-    return F.array_distinct(F.filter(F.concat(*(grams(w, n) for n in (1, 2, 3))), telling))
+    """Words outside PLAIN, and runs of two and three words that have one outside COMMON."""
+    run = lambda g: ~F.forall(F.split(g, " "), lambda x: x.isin(*COMMON))
+    alone = F.filter(w, lambda x: ~x.isin(*COMMON))
+    return F.array_distinct(F.concat(alone, F.filter(F.concat(grams(w, 2), grams(w, 3)), run)))
+
+
+def paired(w: Column, pairs: list[str]) -> Column:
+    """Does one of the pairs stand in the words? Only words that may open one are joined to the next."""
+    opens = sorted({p.split(" ")[0] for p in pairs})
+    found = F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.when(a.isin(*opens) & b.isNotNull(), F.concat_ws(" ", a, b).isin(*pairs)))
+    return F.exists(found, lambda x: F.coalesce(x, F.lit(False)))
 
 
 def literal(spark: SparkSession, rows: list[tuple[str, str]], names: str) -> DataFrame:
@@ -277,7 +289,10 @@ class Model:
         named = lambda x: F.expr(f"transform(filter(marks, m -> m.family = {x}), m -> m.word)")
         self.templates = materialize(packed.select("family", "templates", named("family").alias("own"), F.expr("transform(others, o -> transform(filter(marks, m -> m.family = o), m -> m.word))").alias("foreign")), "licence-templates")
         self.base = self.bias.agg(F.max(1 / (1 + F.exp(-F.col("bias"))))).first()[0]
-        self.vocabulary = sorted({w for _, t in known for w in "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()} - set(PLAIN))
+        split = lambda t: "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()
+        self.vocabulary = sorted({w for _, t in known for w in split(t)} - set(PLAIN))
+        runs = {p for t in [*(t for _, t in known), *others] for p in itertools.pairwise(split(t))}
+        self.pairs = sorted(" ".join(p) for p in runs if set(p) <= set(PLAIN) and not set(p) <= set(COMMON))
 
     def scored(self, paragraphs: DataFrame, keys: list[str]) -> DataFrame:
         """family and p of each paragraph (keys and grams) for each family it shares a gram with."""
@@ -289,11 +304,11 @@ class Model:
 
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     """k1, k2, par, family, p, licence (family or unknown) and confirmed of each paragraph
-    that holds a feature word."""
-    telling = F.array(*map(F.lit, model.vocabulary))
-    parts = docs.select("k1", "k2", "text").where(F.arrays_overlap(words(F.col("text")), telling))
+    that holds a feature word, or a learned pair of plain words."""
+    either = lambda w: F.arrays_overlap(w, F.array(*map(F.lit, model.vocabulary))) | paired(w, model.pairs)
+    parts = docs.select("k1", "k2", "text").where(F.exists(F.array(words(F.col("text"))), either))
     parts = parts.select("k1", "k2", F.posexplode(F.split("text", PARAGRAPH)).alias("par", "body")).select("k1", "k2", "par", words(F.col("body")).alias("w"))
-    parts = materialize(parts.where(F.arrays_overlap("w", telling)).distinct(), "licence-paragraphs")
+    parts = materialize(parts.where(either(F.col("w"))).distinct(), "licence-paragraphs")
     best = model.scored(parts.select("k1", "k2", "par", features(F.col("w")).alias("grams")), ["k1", "k2", "par"])
     first = best.withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2", "par").orderBy(F.desc("p"), "family"))).where("n = 1").select("k1", "k2", "par", "family", "p")
     judged = parts.join(first, ["k1", "k2", "par"]).join(F.broadcast(model.cuts), "family").where("p > cut").join(F.broadcast(model.templates), "family")

@@ -31,6 +31,9 @@ CASES = [
     ("Licensed under the Open Software License version 3.0", "unknown"),
     ("My dog has a license and the apache tribe is old", "unknown"),
     ("the licensed driver lost the second version of a public letter", "unknown"),
+    ("Available under MIT.", "MIT"),
+    ("Er kam mit dem Hund und ohne Hut", "unknown"),
+    ("No one is available without 1 or 2", "unknown"),
     ("nothing like that", "unknown"),
     ("", "unknown"),
     (None, "unknown"),
@@ -57,13 +60,15 @@ def plain_grams(w, n):
 
 def plain_scan(text, model):
     """family, score and families of one text, from the collected model."""
-    weights, bias, cuts, templates = model
+    weights, bias, cuts, templates, vocabulary, learned = model
     best, found = (False, 0.0, "unknown"), set()
     parts = re.split(r"\n(?:[ \t\r]*\n)+|(?<=[.!?:;])[ \t\r]*\n", text)
     seen = False
     for part in parts:
         w = plain_words(part)
-        own = {g for n in (1, 2, 3) for g in plain_grams(w, n) if not set(g.split()) <= set(licences.PLAIN)}
+        if not set(w) & vocabulary and not set(plain_grams(w, 2)) & learned:
+            continue
+        own = {g for n in (1, 2, 3) for g in plain_grams(w, n) if not set(g.split()) <= set(licences.COMMON)}
         sums, times = {}, {}
         for g in own:
             for f, x in weights.get(g, {}).items():
@@ -89,7 +94,7 @@ def test_scan_is_a_plain_scorer(spark, model, docs_rows):
     weights = {}
     for r in model.weights.collect():
         weights.setdefault(r.gram, {})[r.family] = r.weight
-    plain = weights, {r.family: r.bias for r in model.bias.collect()}, {r.family: r.cut for r in model.cuts.collect()}, {r.family: r.asDict(True) for r in model.templates.collect()}
+    plain = weights, {r.family: r.bias for r in model.bias.collect()}, {r.family: r.cut for r in model.cuts.collect()}, {r.family: r.asDict(True) for r in model.templates.collect()}, set(model.vocabulary), set(model.pairs)
     texts = [t for t, _ in CASES if t] + [t for _, t in zip(range(40), (r[1] for r in docs_rows), strict=False) if t]
     texts += [" ".join(a.split()[:k]) + sep + b for k, sep in ((3, " "), (9, "\n"), (99, ".\n"), (99, "\n\n")) for a, b in zip(texts, texts[5:25], strict=False)]
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
