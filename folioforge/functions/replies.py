@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioforge.functions import safety
-from folioforge.functions.text import flat, strip
+from folioforge.functions.analysis import any_of
+from folioforge.functions.text import flat, let, strip
 
 # Labels, defaults and name tables of the reply formats.
 PLAN_STARTS = ("ssh", "ls", "df", "du", "ps", "cat", "grep", "find", "whoami", "pwd", "sudo", "curl", "wget", "docker")
@@ -133,3 +134,57 @@ def purpose(path: Column) -> Column:
 def class_name(module: Column) -> Column:
     word = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
     return F.array_join(F.transform(F.split(module, "_"), word), "")
+
+
+# Chatter that opens a reply, fences in order, what opens code, remarks to drop.
+CHATTER = (r"Here's.*?:\s*\n", r"This.*?:\s*\n", r"I'll.*?:\s*\n", r"The following.*?:\s*\n", r"Below is.*?:\s*\n")
+LISTED = r"This version includes[^\n]*\n(?:\d+\.[^\n]*\n)*"
+FENCES = (r"(?s)```python\n?(.*?)```", r"(?s)```\n?(.*?)```", r"`([^`]+)`")
+UNFENCED = ((r"```python\n?", ""), (r"```\n?", ""), (r"`([^`]+)`", "$1"))
+OPENS = ('"""', "'''", "import ", "from ", "class ", "def ", "#")
+REMARKS = ("this version includes", "this file contains", "note:", "example:", "the above", "explanation:")
+FENCED_LEAST = 50
+
+
+def without_chatter(reply: Column) -> Column:
+    """Without opening phrases up to a colon at a line's end, and numbered lists of changes.
+    The part behind the last such colon can hold no phrase's end, so it isn't searched."""
+
+    def calmed(p: str):
+        return lambda x: let(F.regexp_extract(x, r"(?s)^(.*:\s*\n)", 1), lambda head: F.concat(F.regexp_replace(head, "(?is)" + p, ""), F.substr(x, F.length(head) + 1)))
+
+    for p in CHATTER:
+        reply = let(reply, calmed(p))
+    return F.regexp_replace(reply, "(?i)" + LISTED, "")
+
+
+def clean_code(reply: Column) -> Column:
+    """The code of a model's reply: the first fenced part of over 50 characters, or else all
+    of it without marks, from the first line that opens code to the last that isn't blank or
+    a comment, without remarks. A null stays null, a reply without lines is empty."""
+    empty = F.array().cast("array<string>")
+
+    def fenced(x: Column) -> Column:
+        found = [strip(F.regexp_extract(x, p, 1)) for p in FENCES]
+        return F.filter(F.array(*found), lambda c: F.length(c) > FENCED_LEAST)
+
+    def unmarked(x: Column) -> Column:
+        for p, by in UNFENCED:
+            x = F.regexp_replace(x, p, by)
+        return x
+
+    def trimmed(lines: Column) -> Column:
+        opens = F.array_position(F.transform(lines, lambda x: let(strip(x), lambda y: reduce(lambda a, b: a | b, (F.startswith(y, F.lit(o)) for o in OPENS)))), True)
+        return let(F.slice(lines, F.greatest(opens, F.lit(1)).cast("int"), F.size(lines)), lambda rest: F.slice(rest, 1, last(rest)))
+
+    def last(lines: Column) -> Column:
+        back = F.reverse(F.transform(lines, lambda x: let(strip(x), lambda y: (y != "") & ~F.startswith(y, F.lit("#")) & ~F.contains(y, F.lit("This version")))))
+        return let(F.array_position(back, True).cast("int"), lambda at: F.when(at > 0, F.size(back) + 1 - at).otherwise(F.size(back)))
+
+    def code(x: Column) -> Column:
+        return let(strip(x), lambda y: F.startswith(y, F.lit("#")) | ~any_of(F.lower(y), REMARKS))
+
+    chosen = let(without_chatter(reply), lambda x: unmarked(F.coalesce(F.get(fenced(x), F.lit(0)), x)))
+    lines = F.filter(let(F.split(chosen, "\n"), trimmed), code)
+    body = let(strip(F.array_join(F.coalesce(lines, empty), "\n")), lambda x: F.when(x == "", x).otherwise(F.concat(x, F.lit("\n"))))
+    return F.when(reply.isNotNull(), body)

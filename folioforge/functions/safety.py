@@ -75,6 +75,17 @@ def strangers(c: Column, context: Column) -> Column:
     return F.concat(paths, F.filter(F.regexp_extract_all(c, F.lit(ADDRESS), 1), lambda a: ~F.contains(context, a)))
 
 
+def suggestion_findings(commands: Column, request: Column, risk: Column) -> tuple[Column, Column]:
+    """Issues and warnings of the commands suggested for a request: none at all, what each
+    holds, and a risk called critical though the commands together hold no danger."""
+    none = F.array().cast("array<string>")
+    some = lambda test, what: F.when(test, F.array(F.lit(what))).otherwise(none)
+    danger = reduce(lambda a, b: a | b, (F.rlike(F.array_join(commands, " "), F.lit(p)) for p in DANGERS))
+    issues = F.concat(some(F.size(commands) == 0, "no commands"), F.flatten(F.transform(commands, dangers)))
+    warnings = F.concat(F.flatten(F.transform(commands, lambda c: strangers(c, request))), some((risk == "critical") & ~danger, "critical but harmless"))
+    return issues, warnings
+
+
 def clamped(base: float, issues: Column, warnings: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - (issues * 0.3 + warnings * 0.1))), 6)
 

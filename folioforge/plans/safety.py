@@ -1,4 +1,4 @@
-"""Queries of filters, validators and reply parsers over literal commands and replies."""
+"""Queries of filters, validators and reply parsers over the lines of documents, put to forms of commands and replies."""
 
 from __future__ import annotations
 
@@ -57,12 +57,25 @@ def _(t):
     return dealt(t, COMMANDS, DDL, "command").select("id", (F.size(sf.dangers(c)) == 0).alias("is_valid"), F.array_join(sf.dangers(c), ",").alias("issues"), F.array_join(sf.strangers(c, x), ",").alias("warnings"))
 
 
-@query("val_security", f"SELECT id // 100000 AS request, CAST(sum(len({ISSUES})) AS BIGINT) AS issues, CAST(sum(len({STRANGERS})) AS BIGINT) AS warnings, round(greatest(0.0, least(1.0, 1.0 - (sum(len({ISSUES})) * 0.3 + sum(len({STRANGERS})) * 0.1))), 6)::DOUBLE AS confidence FROM {V} GROUP BY id // 100000")
+RISKS = ("low", "medium", "high", "critical")
+_RISK = f"{list(RISKS)}[d.doc_id % {len(RISKS)} + 1]"
+_HARMFUL = " OR ".join(match("coalesce(joined, '')", p) for p in sf.DANGERS)
+_SUGGESTED = f"(SELECT id // 100000 AS doc_id, id, command, context FROM {V} WHERE trim(command) <> '')"
+_WHOLE = f"(SELECT doc_id, string_agg(DISTINCT context, ' ' ORDER BY context) AS context FROM {_SUGGESTED} GROUP BY doc_id)"
+_SUMS = f"SELECT doc_id, sum(len({ISSUES})) AS i, sum(len({STRANGERS})) AS w, string_agg(command, ' ' ORDER BY id) AS joined FROM (SELECT doc_id, id, command, r.context FROM {_SUGGESTED} s JOIN {_WHOLE} r USING (doc_id)) GROUP BY doc_id"
+_FOUND = f"SELECT d.doc_id AS request, CAST(coalesce(i, 1) AS BIGINT) AS issues, CAST(coalesce(w, 0) + CASE WHEN {_RISK} = 'critical' AND NOT ({_HARMFUL}) THEN 1 ELSE 0 END AS BIGINT) AS warnings FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN ({_SUMS}) s ON s.doc_id = d.doc_id"
+
+
+@query("val_security", f"SELECT *, issues = 0 AS is_valid, round(greatest(0.0, least(1.0, 1.0 - (issues * 0.3 + warnings * 0.1))), 6)::DOUBLE AS confidence FROM ({_FOUND})")
 def _(t):
-    """Roll-up of all commands of one request, the lines of a document."""
-    c, x = F.col("command"), F.col("context")
-    rows = dealt(t, COMMANDS, DDL, "command").groupBy(F.floor(F.col("id") / 100_000).alias("request")).agg(F.sum(F.size(sf.dangers(c)).cast("long")).alias("issues"), F.sum(F.size(sf.strangers(c, x)).cast("long")).alias("warnings"))
-    return rows.withColumn("confidence", sf.clamped(1.0, F.col("issues"), F.col("warnings")))
+    """All commands of one request, the lines of a document; one without text suggests none."""
+    rows = dealt(t, COMMANDS, DDL, "command").where(F.trim("command") != "").groupBy(F.floor(F.col("id") / 100_000).alias("doc_id"))
+    rows = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "command"))), lambda x: x["command"]).alias("commands"), F.array_join(F.array_sort(F.collect_set("context")), " ").alias("context"))
+    rows = t.documents.select("doc_id").distinct().join(rows, "doc_id", "left").withColumn("risk", F.get(F.array(*map(F.lit, RISKS)), F.pmod("doc_id", F.lit(len(RISKS))).cast("int")))
+    rows = rows.withColumns({"commands": F.coalesce("commands", F.array().cast("array<string>")), "context": F.coalesce("context", F.lit(""))})
+    issues, warnings = sf.suggestion_findings(F.col("commands"), F.col("context"), F.col("risk"))
+    rows = rows.select(F.col("doc_id").alias("request"), F.size(issues).cast("long").alias("issues"), F.size(warnings).cast("long").alias("warnings"))
+    return rows.withColumns({"is_valid": F.col("issues") == 0, "confidence": sf.clamped(1.0, F.col("issues"), F.col("warnings"))})
 
 
 SSH = r"""^ssh\s+(\w+@[\d\.]+)\s*["']?([^"']*)["']?"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioforge import fixtures as fx
-from folioforge.functions import providers, text
+from folioforge.functions import providers, replies, text
 from folioforge.operators import sessions as sess
 from folioforge.operators import vectors as vec
 from folioforge.plans.registry import dealt, dealt_sql, inline, query
@@ -318,3 +318,49 @@ def _(t):
     rows = dealt(t, CODES, CODE_DDL, "reply")
     code = text.strip(F.regexp_extract("reply", r"(?s)```(?:python)?\n(.*?)```", 1))
     return rows.select("id", F.when(F.length(code) > 10, code).otherwise(text.strip(F.col("reply"))).alias("code"))
+
+
+CHATTY = [
+    (1, "Here's the module:\n\n```python\nimport os\n\n\ndef run():\n    '{}'\n    return os.getcwd()\n```\nThis version includes {}\n1. one\n2. two\n"),
+    (2, "Below is {}:\nclass A:\n    name = '{}'\n    # {}\nNote: {}\n    other = 1\n\n# end"),
+    (3, "{}"),
+    (4, "Text first\n`x = 1`\nfrom a import b\nvalue = '{}'\nExample: {}\nThis version works"),
+    (5, "I'll write it:\n```\n{}\n```\nand `{}`"),
+    (6, "Explanation: {}\n# only a comment\n\n"),
+]
+
+
+def sql_quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_gone(x: str, p: str, by: str = "") -> str:
+    return f"regexp_replace({x}, {sql_quoted(p)}, '{by}', 'g')"
+
+
+def sql_strip(x: str) -> str:
+    return sql_gone(x, r"^\s+|\s+$")
+
+
+def sql_clean_code(rows: str) -> str:
+    """The same as replies.clean_code over rows of (id, reply)."""
+    calm, plain, y = "reply", "chosen", sql_strip("x")
+    for p in replies.CHATTER:
+        calm = sql_gone(calm, "(?is)" + p)
+    for p, by in replies.UNFENCED:
+        plain = sql_gone(plain, p, by.replace("$", "\\"))
+    fenced = "list_filter([" + ", ".join(sql_strip(f"regexp_extract(c, {sql_quoted(p)}, 1)") for p in replies.FENCES) + f"], lambda x: length(x) > {replies.FENCED_LEAST})[1]"
+    opens = " OR ".join(f"starts_with({y}, {sql_quoted(o)})" for o in replies.OPENS)
+    ends = f"{y} <> '' AND NOT starts_with({y}, '#') AND NOT contains({y}, 'This version')"
+    remark = " OR ".join(f"contains(lower({y}), {sql_quoted(r)})" for r in replies.REMARKS)
+    lines = f"SELECT id, string_split({plain}, chr(10)) AS l FROM (SELECT id, coalesce({fenced}, c) AS chosen FROM (SELECT id, {sql_gone(calm, '(?i)' + replies.LISTED)} AS c FROM {rows}))"
+    rest = f"SELECT id, l[greatest(coalesce(list_position(list_transform(l, lambda x: {opens}), true), 1), 1):] AS rest FROM ({lines})"
+    last = f"SELECT id, rest, len(rest) + 1 - coalesce(nullif(list_position(list_reverse(list_transform(rest, lambda x: {ends})), true), 0), 1) AS n FROM ({rest})"
+    kept = f"list_filter(rest[:n], lambda x: starts_with({y}, '#') OR NOT ({remark}))"
+    return f"SELECT id, CASE WHEN body = '' THEN '' ELSE body || chr(10) END AS code FROM (SELECT id, {sql_strip(f'array_to_string({kept}, chr(10))')} AS body FROM ({last}))"
+
+
+@query("clean_code_reply", sql_clean_code(dealt_sql(CHATTY, CODE_DDL, "reply")))
+def _(t):
+    """The code of a reply with chatter, fences and remarks."""
+    return dealt(t, CHATTY, CODE_DDL, "reply").select("id", replies.clean_code(F.col("reply")).alias("code"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioforge.functions import providers, replies, text
+from folioforge.functions import providers, replies, safety, text
 from folioforge.operators import vectors
 from folioforge.plans import text as plan
 from folioforge.plans.registry import Tables, inline
@@ -165,3 +165,39 @@ def test_store_figures(spark):
     store.add(spark.createDataFrame([("1", "private", "a"), ("2", "public", "b"), ("3", "public", "c")], "chunk_id string, db string, collection string").coalesce(1))
     got = {r.db: (r.files, r.mb >= 0) for r in store.stats().collect()}
     assert got == {"private": (1, True), "public": (2, True)}
+
+
+def test_code_of_replies(spark):
+    body = "import os\n\n\ndef where():\n    return os.path.join(os.getcwd(), 'somewhere')"
+    long = "this line has no end " * 20_000
+    cases = [
+        (f"Here's the module:\n```python\n{body}\n```\nThis version includes a fix\n1. one\n2. two\n", body + "\n"),
+        ("```python\nx = 1\n```", "x = 1\n"),  # too short for a fence: only its marks go
+        ("Some words\nclass A:\n    # kept\n    a = 1\nNote: dropped\n    b = 2\n\n# a comment\n", "class A:\n    # kept\n    a = 1\n    b = 2\n"),
+        ("no code at all", "no code at all\n"),
+        ("# one\n# two", "# one\n# two\n"),
+        ("This is it:\n\nx = `y`", "x = y\n"),
+        ("This version works\nnothing else\nThis version works", "This version works\nnothing else\n"),
+        ("explanation: all of it", ""),
+        (long, long.strip() + "\n"),
+        ("", ""),
+        (None, None),
+    ]
+    rows = inline(Tables(spark, ""), [(i, r) for i, (r, _) in enumerate(cases)], "id int, reply string")
+    got = {r.id: r.code for r in rows.select("id", replies.clean_code(F.col("reply")).alias("code")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_findings_of_suggestions(spark):
+    cases = [
+        ([], "anything", "low", ["no commands"], []),
+        ([], "anything", "critical", ["no commands"], ["critical but harmless"]),
+        (["ls /srv/a", "df -h"], "look at /srv/a", "critical", [], ["critical but harmless"]),
+        (["ls /srv/b", "ping 10.0.0.1"], "look", "high", [], ["/srv/b", "10.0.0.1"]),
+        (["rm", "-rf x"], "clean", "critical", [], []),  # only together a danger
+        (["RM -RF x", "mkfs"], "clean", "critical", [r"rm\s+-rf", "mkfs"], []),
+    ]
+    rows = inline(Tables(spark, ""), [(i, *c[:3]) for i, c in enumerate(cases)], "id int, commands array<string>, request string, risk string")
+    issues, warnings = safety.suggestion_findings(F.col("commands"), F.col("request"), F.col("risk"))
+    got = {r.id: (r.i, r.w) for r in rows.select("id", issues.alias("i"), warnings.alias("w")).collect()}
+    assert got == {i: (c[3], c[4]) for i, c in enumerate(cases)}
