@@ -151,7 +151,8 @@ def without_chatter(reply: Column) -> Column:
     The part behind the last such colon can hold no phrase's end, so it isn't searched."""
 
     def calmed(p: str):
-        return lambda x: let(F.regexp_extract(x, r"(?s)^(.*:\s*\n)", 1), lambda head: F.concat(F.regexp_replace(head, "(?is)" + p, ""), F.substr(x, F.length(head) + 1)))
+        without = lambda x, head: F.when(head == "", x).otherwise(F.concat(F.regexp_replace(head, "(?is)" + p, ""), F.substr(x, F.length(head) + 1)))
+        return lambda x: let(F.regexp_extract(x, r"(?s)^(.*:\s*\n)", 1), lambda head: without(x, head))
 
     for p in CHATTER:
         reply = let(reply, calmed(p))
@@ -165,8 +166,8 @@ def clean_code(reply: Column) -> Column:
     empty = F.array().cast("array<string>")
 
     def fenced(x: Column) -> Column:
-        found = [strip(F.regexp_extract(x, p, 1)) for p in FENCES]
-        return F.filter(F.array(*found), lambda c: F.length(c) > FENCED_LEAST)
+        found = [let(strip(F.regexp_extract(x, p, 1)), lambda c: F.when(F.length(c) > FENCED_LEAST, c)) for p in FENCES]
+        return F.coalesce(*found, x)
 
     def unmarked(x: Column) -> Column:
         for p, by in UNFENCED:
@@ -182,9 +183,9 @@ def clean_code(reply: Column) -> Column:
         return let(F.array_position(back, True).cast("int"), lambda at: F.when(at > 0, F.size(back) + 1 - at).otherwise(F.size(back)))
 
     def code(x: Column) -> Column:
-        return let(strip(x), lambda y: F.startswith(y, F.lit("#")) | ~any_of(F.lower(y), REMARKS))
+        return let(strip(x), lambda y: F.startswith(y, F.lit("#")) | ~let(F.lower(y), lambda z: any_of(z, REMARKS)))
 
-    chosen = let(without_chatter(reply), lambda x: unmarked(F.coalesce(F.get(fenced(x), F.lit(0)), x)))
+    chosen = let(without_chatter(reply), lambda x: F.when(F.contains(x, F.lit("`")), unmarked(fenced(x))).otherwise(x))
     lines = F.filter(let(F.split(chosen, "\n"), trimmed), code)
     body = let(strip(F.array_join(F.coalesce(lines, empty), "\n")), lambda x: F.when(x == "", x).otherwise(F.concat(x, F.lit("\n"))))
     return F.when(reply.isNotNull(), body)
