@@ -52,11 +52,12 @@ def title(q: Column) -> Column:
 
 
 def chapter(q: Column) -> Column:
-    return first_of(q, CHAPTER).cast("int")
+    """Null where the number is beyond an int: no chapter has it."""
+    return first_of(q, CHAPTER).try_cast("int")
 
 
 def section(q: Column) -> Column:
-    return first_of(q, SECTION).cast("int")
+    return first_of(q, SECTION).try_cast("int")
 
 
 def labelled(q: Column, labels) -> Column:

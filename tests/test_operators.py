@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioforge.functions import providers, replies, safety, text
+from folioforge.functions import providers, questions, replies, safety, text
 from folioforge.operators import vectors
 from folioforge.plans import text as plan
 from folioforge.plans.registry import Tables, inline
@@ -201,3 +201,11 @@ def test_findings_of_suggestions(spark):
     issues, warnings = safety.suggestion_findings(F.col("commands"), F.col("request"), F.col("risk"))
     got = {r.id: (r.i, r.w) for r in rows.select("id", issues.alias("i"), warnings.alias("w")).collect()}
     assert got == {i: (c[3], c[4]) for i, c in enumerate(cases)}
+
+
+def test_chapter_and_section_numbers_beyond_an_int(spark):
+    asked = [(1, "chapter 9859476043669043"), (2, "section 2147483648 of it"), (3, "chapter 2147483647 section 7")]
+    rows = questions.parsed(inline(Tables(spark, ""), asked, "id int, q string")).orderBy("id").select("*", questions.formatted().alias("shown")).collect()
+    assert [(r.chapter, r.section) for r in rows] == [(None, None), (None, None), (2147483647, 7)]
+    assert ["chapter" in r.entities for r in rows] == [False, False, True]
+    assert "Chapter" not in rows[0].shown and "Chapter: 2147483647" in rows[2].shown
