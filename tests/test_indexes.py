@@ -103,3 +103,43 @@ def test_scorers_are_called_by_the_batch(spark):
     each = providers.scored(lambda q, t: [len(x) + 10 * len(q) for x in t])
     assert [r[0] for r in rows.select(each("q", "t")).collect()] == [23.0, 21.0]
     assert [r[0] for r in rows.select(providers.scored()(F.coalesce("q", F.lit("")), F.col("t"))).collect()] == [0.5, 0.0]
+
+
+ODD = [[0.5, 0.25, -1.0], [0.5, 0.25, -1.0], [0.1, 0.2, 0.3], [0.0, 0.0, 0.0], [1e200, 1.0, 0.0], [0.5, float("nan"), 1.0], [0.5, None, -1.0], [0.5, 0.25], [], None, [1.0, 1.0, 1.0, 1.0], [0.1, 0.2, 0.3], [-0.4, 0.1, 0.2], [0.3, -0.3, 0.9], [0.7, 0.1, -0.2]]
+
+
+def test_blocks_of_vectors_give_what_sql_gives(spark, monkeypatch):
+    """Copies, null, empty, short, long and not finite vectors, in blocks of a few rows."""
+    duckdb = pytest.importorskip("duckdb")
+    from folioforge.plans import search
+
+    odd = [[1e30, 1.0, 0.0] if v and v[0] == 1e200 else v for v in ODD]  # of floats
+    rows = [(i, odd[i % len(odd)], (i % 7) if i % 11 else None) for i in range(400)]
+    t = type("T", (), {"embeddings": spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")})
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
+    number = lambda v: None if v is None else str(float(f"{v:.6g}"))
+    for size in (vectors.SEARCHED, (64, 3)):
+        monkeypatch.setattr(vectors, "SEARCHED", size)
+        got = vectors.nearest(fx.vectors(t), fx.asked(t), 40).select("query_id", "rank", "chunk_id", "distance").collect()
+        want = c.sql(f"SELECT query_id, rank, chunk_id, distance FROM {search.knn(40)}").fetchall()
+        assert sorted((*r[:3], number(r[3])) for r in got) == sorted((*r[:3], number(r[3])) for r in want)
+        got = vectors.over_collections(fx.vectors(t), fx.asked(t), 30).select("query_id", "hit_rank", "chunk_id").collect()
+        assert sorted(map(tuple, got)) == sorted(c.sql(f"SELECT query_id, hit_rank, chunk_id FROM {search.multi(30)}").fetchall())
+
+
+@pytest.mark.parametrize("size", [None, (64, 3)])
+def test_cosines_of_blocks_are_those_of_expressions(spark, monkeypatch, size):
+    rnd = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, (ODD + rnd.normal(0, 1, (30, 3)).tolist())[i % 45]) for i in range(200)], VECTORS)
+    asked = rows.where("chunk_id % 4 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    if size:
+        monkeypatch.setattr(vectors, "SEARCHED", size)
+        monkeypatch.setattr(vectors, "LISTED", size)
+    pairs = vectors.paired(rows, asked).withColumn("s", vectors.cosine(F.col("query"), F.col("embedding")))
+    want = sorted((r.query_id, r.chunk_id, str(r.s)) for r in pairs.select("query_id", "chunk_id", F.round("s", 6).alias("s")).collect())
+    assert sorted((r.query_id, r.chunk_id, str(r.similarity)) for r in vectors.similarities(rows, asked).collect()) == want
+    best = vectors.ranked(pairs.withColumn("distance", 1 - F.col("s")), ["query_id"], [F.asc_nulls_last("distance"), F.col("chunk_id")], 50)
+    got = vectors.nearest(rows, asked, 50, "cosine")
+    assert sorted((r.query_id, r["rank"], r.chunk_id, str(r.distance)) for r in got.collect()) == sorted((r.query_id, r["rank"], r.chunk_id, str(r.distance)) for r in best.collect())
