@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import providers, questions, replies, safety, text
 from folioforge.operators import vectors
+from folioforge.plans import QUERIES
 from folioforge.plans import text as plan
 from folioforge.plans.registry import Tables, inline
 from folioforge.session import fresh_path
@@ -209,3 +210,11 @@ def test_chapter_and_section_numbers_beyond_an_int(spark):
     assert [(r.chapter, r.section) for r in rows] == [(None, None), (None, None), (2147483647, 7)]
     assert ["chapter" in r.entities for r in rows] == [False, False, True]
     assert "Chapter" not in rows[0].shown and "Chapter: 2147483647" in rows[2].shown
+
+
+def test_overlaps_are_those_of_all_documents(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    questions = t.benchmark.where("item_id % 50 = 0").count()
+    rows = QUERIES["rerank_overlap"](spark, t.sf_dir).collect()
+    assert len({(r.item_id, r.doc_id) for r in rows}) == len(rows) == questions * t.documents.count()
+    assert {r.overlap == 0 for r in rows} == {True, False}
