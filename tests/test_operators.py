@@ -218,3 +218,12 @@ def test_overlaps_are_those_of_all_documents(spark):
     rows = QUERIES["rerank_overlap"](spark, t.sf_dir).collect()
     assert len({(r.item_id, r.doc_id) for r in rows}) == len(rows) == questions * t.documents.count()
     assert {r.overlap == 0 for r in rows} == {True, False}
+
+
+def test_question_queries_pass_lines_with_numbers_beyond_an_int(spark, tmp_path):
+    # the first line of document 22 meets the empty form, so it is the whole question
+    spark.createDataFrame([(22, "chapter 9859476043669043 section 2147483648")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("qp_confidence", "qp_entities", "qp_format")}
+    assert [(r.id, r.confidence) for r in got["qp_confidence"]] == [(2200001, 0.55)]
+    assert [(r.id, r.entities) for r in got["qp_entities"]] == [(2200001, "doc_type")]
+    assert [r.shown.split("\n")[1:] for r in got["qp_format"]] == [["Intent: content_search", "  Type: book", "Confidence: 0.55"]]
