@@ -11,16 +11,18 @@ the exact way for pairs of such sets, on its d + 1 elements of least hash too: t
 element that linked sets share is among these in both.
 
 Equal sets are one class, found by a digest before any join. Classes that share a piece
-become candidate pairs: all of a piece's classes if they are few, else at first each with
-the piece's least and with its neighbour in an order that differs from piece to piece,
-which ties most families. A sketch of two to four bits an element bounds each pair's
-difference from below, as pieces do, and drops nearly all that aren't similar enough. The
-others are verified on their full sets: first each class with its least partner, then the
-pairs whose ends are still apart. Last come all pairs of a crowded piece that lie in
-different components by then: its classes are dealt to blocks, each two blocks meet in a
-task, and what the sketches allow is verified, so no pair that shares a piece is left out.
-A verifying task passes on a spanning forest of its links, and these close to components
-of least ids.
+become candidate pairs: all of a piece's classes if they are few. Of a crowded piece, each
+class could meet the least class and its neighbour in an order that differs from piece to
+piece; of these a class takes one least and one neighbour, however many crowded pieces it
+has. A sketch of two to four bits an element bounds each pair's difference from below, as
+pieces do, and drops nearly all that aren't similar enough. The others are verified on
+their full sets: first each class with its least partner, then the pairs whose ends are
+still apart. Last come all pairs of a crowded piece that lie in different components by
+then: its classes are dealt to blocks, each two blocks meet in a task, and what the
+sketches allow is verified, first each class with the partner of the nearest sketch, which
+ties most families, then all that this leaves apart, so no pair that shares a piece is left
+out. A verifying task passes on a spanning forest of its links, and these close to
+components of least ids.
 
 Pieces that a bounded sample of rows shows to be hot are dealt to tasks by class as well;
 that changes where their pairs are found, not which.
@@ -47,6 +49,7 @@ from folioforge.llm.common import LOWER, blocks, discard, joint, keyed, lean, ma
 
 N, NUMERATOR, DENOMINATOR = 5, 80, 100  # shingle length; least similarity as a fraction
 FEW, NEAR = 16, 1
+PAIR, LEAST, BESIDE, CROWDED = range(4)  # kinds of what a bucket of keys finds
 CROWD = 2048  # classes of a crowded piece in a block
 SET_BYTES = 4 << 20  # full sets that a verifying task is made for
 KEY_BYTES = 8 << 20  # piece keys that a bucket is made for
@@ -226,9 +229,9 @@ def sketched(rows: DataFrame, buckets: int, hot: np.ndarray, n: int, p: int, q:
 
 
 def candidates(pdf: pd.DataFrame, hot: np.ndarray) -> pd.DataFrame:
-    """Pairs of classes (a < b) to verify first, from one bucket of keys; and where
-    `crowded`, the key (a) and class (b) of each class of a key that is hot or that more
-    than FEW share."""
+    """What one bucket of keys finds, by `kind`. PAIR: two classes (a < b) of a key that few
+    share. Of a key that is hot or that more than FEW share, LEAST: its least class and
+    another; BESIDE: two neighbours; CROWDED: the key (a) and each of its classes (b)."""
     trim()
     size = np.array([len(c) // 8 for c in pdf["classes"]])
     base = np.repeat(np.cumsum(size) - size, [len(o) // 2 for o in pdf["owner"]])
@@ -240,31 +243,44 @@ def candidates(pdf: pd.DataFrame, hot: np.ndarray) -> pd.DataFrame:
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
     key, owner = key[new], owner[new]
-    pairs, k, o = [], key[:0], owner[:0]
+    found = {kind: np.zeros((0, 2), np.int64) for kind in (PAIR, LEAST, BESIDE, CROWDED)}
 
-    def tie(k: np.ndarray, o: np.ndarray, most: int) -> None:
+    def tied(k: np.ndarray, o: np.ndarray, most: int) -> np.ndarray:
+        pairs = [found[PAIR][:0]]
         for step in range(1, most + 1):
             same = k[step:] == k[:-step]
             if not same.any():
                 break
             pairs.append(np.stack([o[:-step][same], o[step:][same]], 1))
+        return np.concatenate(pairs)
 
     _, start, count = np.unique(key, return_index=True, return_counts=True)
     many = (np.repeat(count, count) > FEW) | np.isin(key, hot)
-    tie(key[~many], owner[~many], FEW - 1)
+    found[PAIR] = tied(key[~many], owner[~many], FEW - 1)
     if many.any():
         k, o = key[many], owner[many]
         least = np.repeat(owner[start], count)[many]
-        pairs.append(np.stack([least, o], 1)[least != o])
+        found[LEAST] = np.stack([least, o], 1)[least != o]
         shuffled = np.lexsort((joint(o.view(np.uint64), k), k))
-        tie(k[shuffled], o[shuffled], NEAR)
-    found = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), 1), axis=0)
-    return pd.DataFrame({"a": np.concatenate([found[:, 0], k.view(np.int64)]), "b": np.concatenate([found[:, 1], o]), "crowded": np.repeat([False, True], [len(found), len(k)])})
+        found[BESIDE] = tied(k[shuffled], o[shuffled], NEAR)
+        found[CROWDED] = np.stack([k.view(np.int64), o], 1)
+    found |= {kind: np.unique(np.sort(found[kind], 1), axis=0) for kind in (PAIR, LEAST, BESIDE)}
+    a, b = np.concatenate(list(found.values())).T
+    return pd.DataFrame({"a": a, "b": b, "kind": np.repeat(list(found), [len(x) for x in found.values()])})
 
 
-def crowded_pairs(crowd: DataFrame, classes: DataFrame, roots: DataFrame, p: int, q: int) -> DataFrame:
+def first_pairs(found: DataFrame) -> DataFrame:
+    """The pairs to verify before all of the crowded keys: those of keys that few share, and
+    of a class's crowded keys one least class and one neighbour, so two a class at most."""
+    order = F.when(F.col("kind") == LEAST, F.col("a")).otherwise(F.xxhash64("a", "b"))
+    ties = found.where(F.col("kind").isin(LEAST, BESIDE)).groupBy("b", "kind").agg(F.min_by("a", order).alias("a"))
+    return found.where(F.col("kind") == PAIR).select("a", "b").union(ties.select("a", "b")).distinct()
+
+
+def crowded_pairs(crowd: DataFrame, classes: DataFrame, roots: DataFrame, p: int, q: int, nearest: bool = False) -> DataFrame:
     """All pairs (a < b) of a crowded key's classes that lie in different components and
-    that sizes and sketches allow. crowd: key and class."""
+    that sizes and sketches allow; with `nearest`, of these only each class's with the
+    partner whose sketch differs least for the sizes. crowd: key and class."""
     there = materialize(crowd.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "jaccard-crowd")
     open_ = there.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", "m", F.ceil(F.col("m") / CROWD).cast("int").alias("ways"))
     open_ = materialize(open_, "jaccard-open")
@@ -283,7 +299,7 @@ def crowded_pairs(crowd: DataFrame, classes: DataFrame, roots: DataFrame, p: int
         of, root, n, sketch = (pdf[c].to_numpy() for c in ("class", "root", "n", "sketch"))
         length = np.array([len(x) for x in sketch])
         left, same = (pdf["mine"] == pdf["x"]).to_numpy(), (pdf["x"] == pdf["y"]).to_numpy()
-        out = [np.zeros((0, 2), np.int64)]
+        out, far = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             mid = i if same[i] else i + int(left[i:j].sum())  # of one block both sides are the whole
             rows, columns = np.arange(i, j if same[i] else mid), np.arange(mid, j)
@@ -301,12 +317,30 @@ def crowded_pairs(crowd: DataFrame, classes: DataFrame, roots: DataFrame, p: int
                             mine = folds(words_of(sketch[u]), words)
                             for w in range(words):
                                 distance += np.bitwise_count(mine[:, w, None] ^ right[:, w])
-                            a, b = np.nonzero(ok & allowed(n[u, None], n[v], distance, p, q))
-                            out.append(np.stack([of[u[a]], of[v[b]]], 1))
-        found = np.unique(np.sort(np.concatenate(out), 1), axis=0)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    out = materialize(met.select("bucket", "key", "x", "y", "mine", "class", "root", "n", "sketch").groupBy("bucket").applyInPandas(compare, "a long, b long").distinct(), "jaccard-apart")
+                            ok &= allowed(n[u, None], n[v], distance, p, q)
+                            if not nearest:
+                                a, b = np.nonzero(ok)
+                                out.append(np.stack([of[u[a]], of[v[b]]], 1))
+                                continue
+                            share = np.where(ok, distance / (n[u, None] + n[v]), np.inf)
+                            for x, y, axis in ((u, v, 1), (v, u, 0)):
+                                some = ok.any(axis)
+                                out.append(np.stack([of[y[share.argmin(axis)[some]]], of[x[some]]], 1))
+                                far.append(share.min(axis)[some])
+        found = np.concatenate(out)
+        if nearest:
+            far = np.concatenate(far)
+            order = np.lexsort((far, found[:, 1]))
+            found, far = found[order], far[order]
+            first = np.unique(found[:, 1], return_index=True)[1]
+            return pd.DataFrame({"a": found[first, 0], "b": found[first, 1], "far": far[first]})
+        found = np.unique(np.sort(found, 1), axis=0)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "far": 0.0})
+
+    pairs = met.select("bucket", "key", "x", "y", "mine", "class", "root", "n", "sketch").groupBy("bucket").applyInPandas(compare, "a long, b long, far double")
+    if nearest:
+        pairs = pairs.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a"))
+    out = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-apart")
     discard(there, open_)
     return out
 
@@ -386,8 +420,9 @@ def hooks(pairs: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, crowd: DataFrame, rows: DataFrame, classes: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """Links that join all that any of the pairs, or any two classes of a crowded key, join.
-    First each class is tried with its least partner; then all other pairs, and at last
-    all of the crowded keys, that this leaves in different components."""
+    First each class is tried with its least partner; then all other pairs that this leaves
+    in different components. The crowded keys follow: each class with its nearest partner,
+    then all pairs that are still apart."""
     first = materialize(hooks(pairs), "jaccard-hooks")
     near = verified(first, rows, classes, n, p, q)
     roots = closed(near)
@@ -399,12 +434,14 @@ def linked(pairs: DataFrame, crowd: DataFrame, rows: DataFrame, classes: DataFra
         discard(roots)
         roots = closed(near)
     discard(first, rest)
-    apart = crowded_pairs(crowd, classes, roots, p, q)
-    if apart is None or apart.isEmpty():
-        return roots
-    near = near.union(verified(apart, rows, classes, n, p, q))
-    discard(apart, roots)
-    return closed(near)
+    for nearest in (True, False):
+        apart = crowded_pairs(crowd, classes, roots, p, q, nearest)
+        if apart is None or apart.isEmpty():
+            break
+        near = near.union(verified(apart, rows, classes, n, p, q))
+        discard(apart, roots)
+        roots = closed(near)
+    return roots
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -464,10 +501,10 @@ def labelled(docs: DataFrame, n: int = N, p: int = NUMERATOR, q: int = DENOMINAT
     count, elements = every.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     hot = hot_keys(rows, count, n, p, q, keys)
     buckets = max(64, keys.size(count, elements) // KEY_BYTES)
-    found = materialize(sketched(rows, buckets, hot, n, p, q, keys).groupBy("bucket").applyInPandas(lambda pdf: candidates(pdf, hot), "a long, b long, crowded boolean"), "jaccard-found")
+    found = materialize(sketched(rows, buckets, hot, n, p, q, keys).groupBy("bucket").applyInPandas(lambda pdf: candidates(pdf, hot), "a long, b long, kind int"), "jaccard-found")
     release(spark)
-    pairs = materialize(plausible(found.where("not crowded").select("a", "b").distinct(), classes, p, q), "jaccard-candidates")
-    crowd = found.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("class"))
+    pairs = materialize(plausible(first_pairs(found), classes, p, q), "jaccard-candidates")
+    crowd = found.where(F.col("kind") == CROWDED).select(F.col("a").alias("key"), F.col("b").alias("class"))
     roots = linked(pairs, crowd, rows, classes, n, p, q)
     discard(found, pairs)
     release(spark)

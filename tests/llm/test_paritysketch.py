@@ -139,6 +139,18 @@ def test_hot_pieces_keep_their_pairs(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_a_class_brings_two_ties_of_its_hot_keys(spark, monkeypatch):
+    """Of all its hot keys together, and no link is lost by that."""
+    rnd, ties, plausible = random.Random(9), [], paritysketch.plausible
+    families = [[f"f{k}w{rnd.randrange(9000)}" for _ in range(120)] for k in range(2)]
+    rows = [(i, edited(rnd, families[i % 2], 0.01 + 0.03 * (i % 2)), "en", "s", 1) for i in range(300)]
+    monkeypatch.setattr(paritysketch, "HOT", 1)
+    monkeypatch.setattr(paritysketch, "plausible", lambda pairs, *a: ties.extend(pairs.groupBy("b").count().collect()) or plausible(pairs, *a))
+    got = sorted(tuple(r) for r in paritysketch.components(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)).collect())
+    assert got == brute(rows)
+    assert len(ties) > 100 and max(r["count"] for r in ties) <= 2
+
+
 def test_crowded_pairs_meet_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(paritysketch, "CROWD", 7)
     crowd = spark.createDataFrame([(1, c) for c in range(1, 41)] + [(2, c) for c in range(30, 50)] + [(3, c) for c in range(60, 80)], "key long, class long")
