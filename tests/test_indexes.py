@@ -3,13 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioforge import fixtures as fx
 from folioforge.functions import providers
 from folioforge.operators import index as ivf
-from folioforge.operators import postings, vectors
+from folioforge.operators import matrices, postings, vectors
 from folioforge.plans.registry import Tables
 
 VECTORS = "chunk_id long, embedding array<double>"
@@ -143,3 +144,26 @@ def test_cosines_of_blocks_are_those_of_expressions(spark, monkeypatch, size):
     best = vectors.ranked(pairs.withColumn("distance", 1 - F.col("s")), ["query_id"], [F.asc_nulls_last("distance"), F.col("chunk_id")], 50)
     got = vectors.nearest(rows, asked, 50, "cosine")
     assert sorted((r.query_id, r["rank"], r.chunk_id, str(r.distance)) for r in got.collect()) == sorted((r.query_id, r["rank"], r.chunk_id, str(r.distance)) for r in best.collect())
+
+
+def recorded(monkeypatch, module) -> list:
+    """What `grouped` of a module gets and makes."""
+    out, real = [], module.grouped
+    monkeypatch.setattr(module, "grouped", lambda asked, stored, *more: out.append((asked, stored, made := real(asked, stored, *more))) or made)
+    return out
+
+
+def test_blocks_of_pairs_let_little_travel(spark, monkeypatch):
+    rows = spark.range(9000).select(F.col("id").alias("chunk_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    asked = rows.where("chunk_id < 2500").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    seen = recorded(monkeypatch, vectors)
+    assert vectors.similarities(rows, asked).count() == 2500 * 8999
+    assert seen[0][0].count() + seen[0][1].count() <= 9000 + 3 * 2500
+
+
+def test_pairs_come_in_tables_of_bounded_size():
+    x = np.random.default_rng(0).normal(0, 1, (10_000, 3)).tolist()
+    rows = pa.table({"chunk_id": range(10_000), "embedding": x})
+    asked = pa.table({"query_id": range(-300, 0), "query": x[:300]})
+    sizes = [len(t) for t in matrices.cosines(asked, rows, 6)]
+    assert max(sizes) <= 1 << 20 and sum(sizes) == 300 * 10_000
