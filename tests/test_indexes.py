@@ -167,3 +167,18 @@ def test_pairs_come_in_tables_of_bounded_size():
     asked = pa.table({"query_id": range(-300, 0), "query": x[:300]})
     sizes = [len(t) for t in matrices.cosines(asked, rows, 6)]
     assert max(sizes) <= 1 << 20 and sum(sizes) == 300 * 10_000
+
+
+def test_exact_search_compares_rows_without_bounds(spark, monkeypatch):
+    """Numbers that are missing or not finite rule out no list; ids that occur twice; few rows a shelf."""
+    monkeypatch.setattr(ivf, "LEAST", 50)
+    rnd = np.random.default_rng(8)
+    odd = [[float("nan"), 0.0, 0.0], [0.1, None, 0.2], [1e200, 0.0, 1.0], [float("inf"), 0.0, 0.0]]
+    rows = [(i, (10 * (i % 9) + rnd.normal(0, 1, 3)).tolist()) for i in range(500)] + [(600 + i, v) for i, v in enumerate(odd)] + [(50, [0.0, 0.0, 0.0])] * 12
+    df = spark.createDataFrame(rows, VECTORS)
+    asked = df.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query")).dropDuplicates(["query_id"])
+    asked = asked.localCheckpoint()
+    want = sorted((r.query_id, r["rank"], r.chunk_id, str(r.distance)) for r in vectors.nearest(df, asked, 7).collect())
+    hits, seen = ivf.exact(ivf.built(df, lists=9), asked, 7, probes=1)
+    assert sorted((r.query_id, r["rank"], r.chunk_id, str(r.distance)) for r in hits.collect()) == want
+    assert seen.where("query_id < 600").agg(F.avg("seen")).first()[0] < 0.9 * len(rows)
