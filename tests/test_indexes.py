@@ -92,6 +92,19 @@ def test_filters_pair_no_query_with_a_document(spark):
     assert passing.count() == 4 and "query_id" not in passing.columns
 
 
+@pytest.mark.parametrize("many", [vectors.MANY, 2])
+def test_filtered_pairs_do_not_move(spark, monkeypatch, many):
+    """A filter with most documents and queries is many tasks; queries without one come out once."""
+    monkeypatch.setattr(vectors, "MANY", many)
+    documents = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("Ann").alias("author"), F.when(F.col("id") % 10 > 0, "en").otherwise("fr").alias("language"))
+    queries = spark.range(40).select(F.col("id").alias("query_id"), F.when(F.col("id") % 8 == 1, "nobody").alias("author"), F.when(F.col("id") % 4 > 0, "en").alias("language"))
+    pairs, free = vectors.choices(queries, documents)
+    each = pairs.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert sum(r["count"] for r in each) == 25 * 1800 and max(r["count"] for r in each) < 0.5 * 25 * 1800
+    assert pairs.distinct().count() == 25 * 1800 and pairs.select("query_id").distinct().count() == 25
+    assert sorted(r.query_id for r in free.collect()) == [q for q in range(40) if q % 4 == 0 or q % 8 == 1]
+
+
 def test_blocks_follow_bytes(spark, monkeypatch):
     queries = spark.createDataFrame([(i, [0.5] * 100) for i in range(8)], "query_id long, query array<double>")
     assert vectors.blocks(queries) == 1 and vectors.blocks(queries.limit(0)) == 1
@@ -182,3 +195,17 @@ def test_exact_search_compares_rows_without_bounds(spark, monkeypatch):
     hits, seen = ivf.exact(ivf.built(df, lists=9), asked, 7, probes=1)
     assert sorted((r.query_id, r["rank"], r.chunk_id, str(r.distance)) for r in hits.collect()) == want
     assert seen.where("query_id < 600").agg(F.avg("seen")).first()[0] < 0.9 * len(rows)
+
+
+def test_visits_of_lists_are_no_rows(spark, monkeypatch):
+    """A query meets shelves of many lists: as many rows as shelves, and `most` codes of each."""
+    rnd = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, rnd.normal(0, 1, 4).tolist()) for i in range(3000)], VECTORS)
+    asked = rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = ivf.built(rows, lists=100)
+    seen = recorded(monkeypatch, ivf)
+    for search in (ivf.search(index, asked, 5, kept=4), ivf.exact(index, asked, 5)[0], ivf.search(index, asked, 5, probes=100, kept=4)):
+        want = {(r.query_id, r.chunk_id) for r in vectors.nearest(rows, asked, 5).collect()}
+        assert len(want & {(r.query_id, r.chunk_id) for r in search.collect()}) >= 0.9 * len(want)
+    for met, _, made in seen:
+        assert met.count() <= 60 and made.count() <= 60 * 20
